@@ -3,7 +3,8 @@
 Coarse centroids and residual codebooks are fitted by k-means on a bounded sample of
 ``fit_rows`` vectors. Every vector goes to the list of its nearest centroid, with a code
 of its residual's nearest codewords. A query probes the lists of its ``probes`` nearest
-centroids: in each, a table of distances from the query's residual to all codewords
+centroids (as many as find ``target`` of the true neighbours within the sample): in each, a
+table of distances from the query's residual to all codewords
 (asymmetric distances) ranks the codes, the ``rerank`` best are measured exactly in double
 precision on the original vectors, and the k nearest of each list meet in a last top-k.
 Equal codes rank by smaller id, as equal distances do.
@@ -35,6 +36,8 @@ FIT_ROWS = 16_384
 MAX_LISTS = 4096
 PARTS, CODEWORDS = 16, 256
 RERANK = 100
+#: Part of the nearest rows whose lists the probes must reach, measured on the sample.
+TARGET = 0.96
 QUERY_ROWS = 256
 SHARD_ROWS = 256
 ROUNDS = 8
@@ -86,6 +89,17 @@ class Quantizer:
         half = (self.centres * self.centres).sum(axis=1) / 2
         return np.argsort(half - x @ self.centres.T, axis=1, kind="stable")[:, :n]
 
+    def probes_for(self, sample: np.ndarray, target: float, k: int, queries: int = 256) -> int:
+        """Probes that reach ``target`` of the k nearest sample rows of up to ``queries`` sample rows."""
+        at, need = self.lists(sample), []
+        for i in np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int):
+            distance = ((sample - sample[i]) ** 2).sum(axis=1)
+            distance[i] = np.inf
+            near = np.argsort(distance, kind="stable")[: min(k, len(sample) - 1)]
+            rank = np.argsort(self.probes(sample[i : i + 1], len(self.centres))[0])
+            need += rank[at[near]].tolist()
+        return int(np.quantile(need, target, method="higher")) + 1 if need else 1
+
     def tables(self, x: np.ndarray, at: int) -> list[np.ndarray]:
         """Squared distances from each query's residual in list ``at`` to the codewords, by part."""
         r = x - self.centres[at]
@@ -175,7 +189,7 @@ def _search(queries: DataFrame, index: DataFrame, shared, k: int, rerank: int) -
     return queries.groupBy(*on).cogroup(index.groupBy(*on)).applyInArrow(run, schema)
 
 
-def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 100, k: int = K, lists: int | None = None, probes: int | None = None, rerank: int = RERANK, fit_rows: int = FIT_ROWS) -> DataFrame:
+def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 100, k: int = K, lists: int | None = None, probes: int | None = None, rerank: int = RERANK, fit_rows: int = FIT_ROWS, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``, against all rows but its own."""
     spark = df.sparkSession
     rows = _usable(df, vec_id, embedding).withColumn("n", F.size("embedding"))
@@ -186,14 +200,15 @@ def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     dimension, total = sizes[0]
     rows = rows.filter(F.col("n") == dimension).drop("n")
     lists = lists or max(1, min(MAX_LISTS, round(total**0.5)))
-    probes = min(lists, probes or max(16, lists // 6))
     # A cut of the hash that keeps fit_rows on average, and at most a few standard deviations more.
     key = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30))
     near = rows.filter(key < min(1.0, fit_rows / total) * (1 << 30)) if total > fit_rows else rows
     sample = np.array([r[0] for r in near.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows + fit_rows // 8).collect()])
     if not len(sample):
         sample = np.array([r[0] for r in rows.select("embedding").limit(1).collect()])
-    shared = spark.sparkContext.broadcast(Quantizer(sample, lists))
+    quantizer = Quantizer(sample, lists)
+    probes = probes or quantizer.probes_for(sample, target, k)
+    shared = spark.sparkContext.broadcast(quantizer)
     index = stage(_index(rows, shared), "index")
     probed = stage(_probed(rows.filter(F.col("vec_id") % every == 0), shared, probes), "probed")
     shard_rows = max(SHARD_ROWS, 2 * total // lists)

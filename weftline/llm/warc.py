@@ -1,8 +1,8 @@
 """Deterministic sharded WARC archives, and their reader.
 
-Every record has an id that follows from its page; shards are equal ranges of the ids, so
-they hold equal parts of the records whatever the pages are. A task sorts its shard by id
-and writes records as gzip members, rolls a file when its compressed size reaches
+Every record has a place: a response the digest of its payload, a revisit a digest of its
+page. Shards are equal ranges of the places, so they hold equal parts of the records
+whatever the pages are. A task sorts its shard by place and writes records as gzip members, rolls a file when its compressed size reaches
 ``roll_bytes``, and regenerates all headers and digests from the payload. A file is
 written under a temporary name of the attempt and renamed when whole; a lost or repeated
 task renames the same bytes to the same name. The manifest, a table with a row for each
@@ -111,7 +111,11 @@ def _responses(batches: Iterator[pa.RecordBatch], level: int, date: str, least:
 
 
 def records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE, level: int = LEVEL) -> DataFrame:
-    """(key, member, and for revisits page_id, url, sha, size, to_key, to_page, to_url): a row for each row of pages (page_id, url, html)."""
+    """Records by their place ``at``: key and member; for revisits also page_id, url, sha, size, to_key, to_page, to_url.
+
+    A response stands at its payload's digest. Blocks that hold the same payload each send one, and of those with the
+    same ``at`` and sha the one of least ``place`` is the record.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
     rows = rows.withColumn("sha", F.sha1(_payload("html"))).withColumn("size", F.octet_length(_payload("html")).cast("long"))
     counted = rows.groupBy("page_id", "url", "sha", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("place", _order("page_id", "url"))
@@ -123,14 +127,14 @@ def records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, date:
     repeats = repeats.withColumn("key", _key("page_id", "url", "sha", F.col("copy"))).withColumn("to_key", _key("to_page", "to_url", "sha", F.lit(0)))
     made = rows.filter(F.col("size") >= min_revisit_bytes).withColumn("key", _key("page_id", "url", "sha", F.lit(0))).select("page_id", "url", "html", "sha", "key")
     made = made.mapInArrow(lambda it: _responses(it, level, date, min_revisit_bytes), "page_id long, url string, sha string, key string, member binary")
-    firsts = made.groupBy("sha").agg(F.min(F.struct(_order("page_id", "url").alias("place"), "key", "member")).alias("r")).select("r.key", "r.member")
-    out = firsts.unionByName(repeats.select("key", "page_id", "url", "sha", "size", "to_key", "to_page", "to_url"), allowMissingColumns=True)
+    firsts = made.select("key", "sha", "member", F.col("sha").alias("at"), _order("page_id", "url").alias("place"))
+    out = firsts.unionByName(repeats.select("key", F.col("key").alias("at"), "page_id", "url", "sha", "size", "to_key", "to_page", "to_url"), allowMissingColumns=True)
     if min_revisit_bytes > 0:
         short = rows.filter(F.col("size") < min_revisit_bytes).groupBy("page_id", "url", "html", "sha").agg(F.count(F.lit(1)).alias("n"))
         short = short.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
         short = short.withColumn("key", _key("page_id", "url", "sha", F.col("copy"))).select("page_id", "url", "html", "sha", "key")
         alone = short.mapInArrow(lambda it: _responses(it, level, date, min_revisit_bytes), "page_id long, url string, sha string, key string, member binary")
-        out = out.unionByName(alone.select("key", "member"), allowMissingColumns=True)
+        out = out.unionByName(alone.select("key", F.col("key").alias("at"), "member"), allowMissingColumns=True)
     return out
 
 
@@ -146,7 +150,7 @@ def write(pages: DataFrame, path: str | None = None, shards: int | None = None,
     path = path or new_path(spark, "warc")
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     made = records(pages, min_revisit_bytes, date, level)
-    shard = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * shards / F.lit(1 << 32)).cast("int")
+    shard = F.floor(F.conv(F.substring("at", 1, 8), 16, 10).cast("long") * shards / F.lit(1 << 32)).cast("int")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(path)
@@ -161,9 +165,13 @@ def write(pages: DataFrame, path: str | None = None, shards: int | None = None,
             done.append((name, *stat[:2], stat[2].hexdigest()))
             out = None
 
-        at, number = None, 0
+        at, number, last = None, 0, None
         for b in batches:
             for row in b.to_pylist():
+                if row["sha"] is not None and row["member"] is not None:
+                    if row["sha"] == last:
+                        continue
+                    last = row["sha"]
                 if out and (row["shard"] != at or out[3][1] >= roll_bytes):
                     close()
                 if row["shard"] != at:
@@ -181,7 +189,7 @@ def write(pages: DataFrame, path: str | None = None, shards: int | None = None,
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["file", "records", "bytes", "sha1"])
 
-    placed = made.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key")
+    placed = made.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "at", "place").drop("place")
     placed.mapInArrow(save, "file string, records long, bytes long, sha1 string").write.mode("overwrite").parquet(f"{path}/{_MANIFEST}")
     return path
 

@@ -1,14 +1,723 @@
-"""Queries over the tables of a folder, and their SQL."""
+"""Queries over the tables of a folder, and their SQL for an independent engine.
+
+The tables hold no code, so each operator runs over a view that stands for symbols,
+relations, edges, chunks or sections. Every view is the whole of its tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftline.functions import exprs
+from weftline.operators import capability, chunk, diagrams, docmodel, graph, link, planning, report, retrieval, vector
+from weftline.plans.sync import reach_sections
+from weftline.sources import code, diff, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+class Views:
+    """The tables of a folder, and the views over them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir.rstrip("/")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @property
+    def sym(self) -> DataFrame:
+        n = F.col("doc_id")
+        name = F.concat(F.when(n % 3 == 0, "Load").when(n % 3 == 1, "getIndex").otherwise("render"), (n % 97).cast("string"))
+        kinds = F.array(*map(F.lit, ("function", "method", "struct", "constant", "file_module")))
+        return self.table("documents").select(
+            n.cast("string").alias("id"), F.col("source").alias("filepath"), F.col("lang").alias("package"), F.col("text").alias("content"), ((n % 50) * 20 + 1).cast("int").alias("start_line"), ((n % 50) * 20 + 20).cast("int").alias("end_line"),
+            F.element_at(kinds, (n % 5 + 1).cast("int")).alias("unit_type"), name.alias("name"), F.substring("text", 1, 60).alias("description"), F.concat(name, F.lit("()")).alias("signature"), F.sha2("text", 256).alias("content_hash"), n.alias("n"),
+        )
+
+    @property
+    def chunks(self) -> DataFrame:
+        n = F.col("n")
+        deps = F.array(F.concat(F.lit("Load"), n * 7 % 97), F.concat(F.lit("render"), n % 13))
+        source = F.struct(F.col("id").alias("symbol_id"), F.col("filepath").alias("file_path"), "start_line", "end_line", F.lit("primary").alias("relation"), F.round((n % 10) / 10, 6).alias("confidence"))
+        return self.sym.select("id", F.col("filepath").alias("file_path"), "name", "unit_type", "package", "description", "signature", "content", "content_hash", deps.alias("dependencies"), F.array().cast("array<string>").alias("used_by"), F.array(source).alias("sources"), "n")
+
+    @property
+    def changes(self) -> DataFrame:
+        e = self.table("events").filter((F.col("event_type") == "error") & (F.col("event_id") % 7 == 0))
+        return e.groupBy(F.concat(F.lit("src"), F.col("user_id") % 20).alias("path")).agg(F.array_sort(F.collect_set((F.floor(F.col("event_id") / 7) % 1000 + 1).cast("int"))).alias("changed_lines"))
+
+    def _edges(self, start: Column, end: Column) -> DataFrame:
+        lines = self.table("lineitem").filter((F.col("l_quantity") >= 49) & (F.col("l_linenumber") == 1))
+        return lines.groupBy(start.cast("string").alias("from_id"), end.cast("string").alias("to_id")).agg(F.min("l_returnflag").alias("kind"), F.round(F.min(1 - F.col("l_discount")), 2).alias("confidence")).filter("from_id <> to_id")
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._edges(F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey")))
+
+    @property
+    def doc_edges(self) -> DataFrame:
+        n = self.table("documents").agg(F.count(F.lit(1)).alias("docs"))
+        lines = self.table("lineitem").filter((F.col("l_quantity") >= 49) & (F.col("l_linenumber") == 1)).crossJoin(F.broadcast(n))
+        pair = lines.groupBy((F.col("l_partkey") % F.col("docs")).cast("string").alias("from_id"), (F.col("l_orderkey") % F.col("docs")).cast("string").alias("to_id"))
+        return pair.agg(F.min("l_returnflag").alias("kind"), F.round(F.min(1 - F.col("l_discount")), 2).alias("confidence")).filter("from_id <> to_id")
+
+    @property
+    def names(self) -> DataFrame:
+        parts = self.table("part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_brand").alias("name"), F.col("p_type").alias("package"))
+        return parts.unionByName(self.table("nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), F.lit("geo").alias("package")))
+
+    @property
+    def relations(self) -> DataFrame:
+        n = F.col("s_suppkey")
+        brand = F.concat(F.lit("Brand#"), n % 5 + 1, F.floor(n / 5) % 5 + 1)
+        j = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        target = F.when(n % 7 == 0, F.concat(F.lit("*"), "n_name")).when(n % 7 == 1, F.concat(F.lit("[]"), "n_name")).when(n % 7 == 2, F.concat(F.lit("geo."), "n_name")).when(n % 7 == 3, F.concat(F.lit("x."), "n_name")).when(n % 7 == 4, F.concat(F.lit("map[string]"), "n_name")).when(n % 7 == 5, brand).otherwise(F.concat(F.lit("x."), brand))
+        return j.select(F.concat(F.lit("s"), n).alias("from_id"), F.lit(0).alias("ord"), target.alias("target"), F.when(n % 2 == 0, "calls").otherwise("uses_type").alias("kind"), F.lit("heuristic").alias("resolver"), F.round((n % 10) / 10, 6).alias("confidence"))
+
+    @property
+    def sources(self) -> DataFrame:
+        d = self.table("documents").filter("doc_id % 7 = 0").join(self.table("labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
+        return d.select(F.col("source").alias("section_id"), F.col("doc_id").cast("string").alias("symbol_id"), F.col("source").alias("file_path"), F.coalesce("quality", F.lit(0)).cast("double").alias("confidence"))
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.table("embeddings").select(F.col("vec_id").cast("string").alias("id"), "vec_id", "embedding", "label")
+
+    @property
+    def markdown(self) -> DataFrame:
+        """A document for each conversation: every third turn is a heading."""
+        c = self.table("conversations")
+        line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("## "), F.substring(F.translate("text", "\n\r", "  "), 1, 20))).otherwise(F.translate("text", "\n\r", "  "))
+        return c.groupBy(F.col("conv_id").cast("string").alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("r"), line.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
+
+
+CTE = {
+    "sym": """SELECT doc_id::VARCHAR AS id, source AS filepath, lang AS package, text AS content, ((doc_id % 50) * 20 + 1)::INT AS start_line, ((doc_id % 50) * 20 + 20)::INT AS end_line,
+      ['function', 'method', 'struct', 'constant', 'file_module'][(doc_id % 5 + 1)::INT] AS unit_type, (CASE WHEN doc_id % 3 = 0 THEN 'Load' WHEN doc_id % 3 = 1 THEN 'getIndex' ELSE 'render' END) || (doc_id % 97) AS name,
+      substr(text, 1, 60) AS description, (CASE WHEN doc_id % 3 = 0 THEN 'Load' WHEN doc_id % 3 = 1 THEN 'getIndex' ELSE 'render' END) || (doc_id % 97) || '()' AS signature, sha256(text) AS content_hash, doc_id AS n FROM documents""",
+    "chunks": "SELECT id, filepath AS file_path, name, unit_type, package, description, signature, content, content_hash, ['Load' || (n * 7 % 97), 'render' || (n % 13)] AS dependencies, round((n % 10) / 10, 6) AS conf, start_line, end_line, n FROM sym",
+    "chg": "SELECT DISTINCT 'src' || (user_id % 20) AS path, (event_id // 7) % 1000 + 1 AS line FROM events WHERE event_type = 'error' AND event_id % 7 = 0",
+    "edg": "SELECT 'p' || l_partkey AS from_id, 's' || l_suppkey AS to_id, min(l_returnflag) AS kind, round(min(1 - l_discount), 2) AS confidence FROM lineitem WHERE l_quantity >= 49 AND l_linenumber = 1 GROUP BY 1, 2",
+    "dedg": "SELECT * FROM (SELECT (l_partkey % c)::VARCHAR AS from_id, (l_orderkey % c)::VARCHAR AS to_id, min(l_returnflag) AS kind, round(min(1 - l_discount), 2) AS confidence FROM lineitem, (SELECT count(*) AS c FROM documents) WHERE l_quantity >= 49 AND l_linenumber = 1 GROUP BY 1, 2) WHERE from_id <> to_id",
+    "names": "SELECT 'p' || p_partkey AS id, p_brand AS name, p_type AS package FROM part UNION ALL SELECT 'n' || n_nationkey, n_name, 'geo' FROM nation",
+    "rel": """SELECT 's' || s_suppkey AS from_id, CASE s_suppkey % 7 WHEN 0 THEN '*' || n_name WHEN 1 THEN '[]' || n_name WHEN 2 THEN 'geo.' || n_name WHEN 3 THEN 'x.' || n_name WHEN 4 THEN 'map[string]' || n_name WHEN 5 THEN b ELSE 'x.' || b END AS target,
+      CASE WHEN s_suppkey % 2 = 0 THEN 'calls' ELSE 'uses_type' END AS kind, round((s_suppkey % 10) / 10, 6) AS confidence FROM (SELECT *, 'Brand#' || (s_suppkey % 5 + 1) || ((s_suppkey // 5) % 5 + 1) AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
+    "src": "SELECT source AS section_id, d.doc_id::VARCHAR AS symbol_id, source AS file_path, coalesce(quality, 0)::DOUBLE AS confidence FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id WHERE d.doc_id % 7 = 0",
+    "md": "SELECT conv_id::VARCHAR AS doc, string_agg(CASE WHEN turn % 3 = 0 THEN '## ' || substr(translate(text, chr(10) || chr(13), '  '), 1, 20) ELSE translate(text, chr(10) || chr(13), '  ') END, chr(10) ORDER BY turn, role) AS content FROM conversations GROUP BY 1",
+    "keys": "SELECT DISTINCT unnest([name, package || '.' || name]) AS key, id FROM names",
+    "relkeys": r"""SELECT from_id, target, kind, confidence, unnest([{'s': 0, 'k': c}, {'s': 1, 'k': target}, {'s': 2, 'k': CASE WHEN contains(c, '.') THEN regexp_extract(c, '[^.]*$') END}]) AS sk
+      FROM (SELECT *, regexp_replace(regexp_replace(target, '^\*', ''), '^\[\]', '') AS c FROM rel)""",
+    "hit": "SELECT DISTINCT from_id, target, kind, confidence, sk.s AS s, sk.k AS k, id FROM relkeys JOIN keys ON key = sk.k",
+    "linked": "SELECT * FROM hit QUALIFY s = min(s) OVER (PARTITION BY from_id)",
+}
+
+_NEEDS = {"chunks": ["sym"], "keys": ["names"], "relkeys": ["rel"], "hit": ["relkeys", "keys"], "linked": ["hit"]}
+
+
+def _with(views: str, body: str) -> str:
+    """SQL with the CTEs that it names, and those that they need, in front."""
+    order: list[str] = []
+
+    def add(name: str) -> None:
+        if name not in order:
+            for need in _NEEDS.get(name, []):
+                add(need)
+            order.append(name)
+
+    for v in views.split():
+        add(v)
+    heads = [f"{v} AS ({CTE[v]})" for v in order]
+    body = body.strip()
+    if body.upper().startswith("WITH "):
+        return "WITH " + ", ".join([*heads, body[5:]])
+    return ("WITH " + ", ".join(heads) + " " if heads else "") + body
+
+
+def query(views: str, sql: str | None):
+    """Registers a function of Views, by its name, with its SQL."""
+
+    def register(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql is not None:
+            ORACLE[f.__name__] = _with(views, sql)
+        return f
+
+    return register
+
+
+def joined(c: str) -> Column:
+    return F.array_join(F.col(c).cast("array<string>"), ",")
+
+
+# Sources
+
+
+@query("", r"""WITH p AS (SELECT page_id, regexp_replace(url, '^.*://', '') || CASE page_id % 4 WHEN 0 THEN '.go' WHEN 1 THEN '_test.go' WHEN 2 THEN '/vendor/x.go' ELSE '.md' END AS path FROM pages)
+SELECT page_id, path FROM p WHERE regexp_matches(path, '\.go$') AND NOT regexp_matches(path, '_test\.go$') AND NOT regexp_matches(path, '(^|/)(\.git|vendor|node_modules|testdata)/')""")
+def crawl_filter(v: Views) -> DataFrame:
+    n = F.col("page_id") % 4
+    path = F.concat(F.regexp_replace("url", "^.*://", ""), F.when(n == 0, ".go").when(n == 1, "_test.go").when(n == 2, "/vendor/x.go").otherwise(".md"))
+    return v.table("pages").select("page_id", path.alias("path")).filter(code.is_source(F.col("path")))
+
+
+@query("", """WITH l AS (SELECT user_id % 7 AS diff, event_id, event_id % 10 = 0 AS f, CASE WHEN event_id % 4 = 1 THEN 1 ELSE event_id % 4 END AS cnt, event_id % 50 + 1 AS st, 'a b/f' || (user_id % 5) || '.go' AS path FROM events),
+g AS (SELECT *, sum(f::INT) OVER (PARTITION BY diff ORDER BY event_id) AS file_no FROM l),
+x AS (SELECT diff, file_no, unnest(range(st, st + cnt)) AS line FROM g WHERE NOT f AND file_no > 0)
+SELECT diff::VARCHAR AS diff, g.path, coalesce(string_agg(x.line, ',' ORDER BY x.line), '') AS changed_lines FROM g LEFT JOIN x USING (diff, file_no) WHERE g.f GROUP BY diff, g.file_no, g.path""")
+def diff_hunks_explode(v: Views) -> DataFrame:
+    n = F.col("event_id")
+    name = F.concat(F.lit("a b/f"), F.col("user_id") % 5, F.lit(".go"))
+    header = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name)
+    hunk = F.concat(F.lit("@@ -3,2 +"), n % 50 + 1, F.when(n % 4 == 1, "").otherwise(F.concat(F.lit(","), n % 4)), F.lit(" @@ f()"))
+    lines = v.table("events").select((F.col("user_id") % 7).cast("string").alias("diff"), n.alias("line_no"), F.when(n % 10 == 0, header).otherwise(hunk).alias("line"))
+    return diff.parse(lines).select("diff", "path", joined("changed_lines").alias("changed_lines"))
+
+
+# Stored tables
+
+
+@query("", "SELECT (doc_id % 300)::VARCHAR AS id, arg_max(doc_id, (source, doc_id)) AS n FROM documents GROUP BY 1")
+def snapshot_replace(v: Views) -> DataFrame:
+    d = v.table("documents").select((F.col("doc_id") % 300).cast("string").alias("id"), F.col("source").alias("filepath"), F.col("doc_id").alias("start_line"))
+    nodes, _ = chunk.snapshot(d, v.doc_edges)
+    return nodes.select("id", F.col("start_line").alias("n"))
+
+
+@query("", """WITH o AS (SELECT doc_id AS id, 'old' AS state, doc_id AS seq FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id // 3 AS id, 'new' AS state, doc_id AS seq FROM documents WHERE doc_id % 3 <> 0)
+SELECT id, state, seq FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, state, max(seq) FROM n GROUP BY 1, 2""")
+def upsert_chunks(v: Views) -> DataFrame:
+    d = v.table("documents")
+    old = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("old").alias("state"), F.col("doc_id").alias("seq"))
+    new = d.filter("doc_id % 3 <> 0").select(F.floor(F.col("doc_id") / 3).alias("id"), F.lit("new").alias("state"), F.col("doc_id").alias("seq"))
+    return chunk.upsert(old, new, order="seq")
+
+
+@query("chunks", "SELECT id, file_path FROM chunks WHERE id NOT IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_custkey % 5 = 0) AND file_path NOT IN ('src3', 'src4')")
+def delete_by_id_or_file(v: Views) -> DataFrame:
+    ids = v.table("customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").cast("string").alias("target"))
+    files = v.spark.createDataFrame([("src3",), ("src4",)], "target string")
+    return chunk.delete(v.chunks.select("id", "file_path"), ids.unionByName(files))
+
+
+@query("chunks", "SELECT count(DISTINCT CASE WHEN trim(file_path) <> '' THEN file_path END) AS n FROM chunks")
+def distinct_files(v: Views) -> DataFrame:
+    return store.distinct_files(v.chunks)
+
+
+@query("chunks", "SELECT id, content_hash FROM chunks WHERE n % 4 = 1 OR n % 10 = 0")
+def embed_skip_unchanged(v: Views) -> DataFrame:
+    stored = v.chunks.filter("n % 4 <> 1").select("id", F.when(F.col("n") % 10 == 0, "").otherwise(F.col("content_hash")).alias("content_hash"))
+    return chunk.unchanged(v.chunks, stored).select("id", "content_hash")
+
+
+_HEALTH = """WITH e AS (SELECT doc_id AS id FROM documents WHERE doc_id % 5 <> 0), i AS (SELECT doc_id AS id FROM documents WHERE doc_id % 7 <> 0),"""
+
+
+@query("", _HEALTH + """ n AS (SELECT count(e.id) AS expected, count(i.id) AS indexed, count_if(e.id IS NOT NULL AND i.id IS NOT NULL) AS both_ FROM e FULL JOIN i ON e.id = i.id),
+m AS (SELECT expected, indexed, (expected - both_)::BIGINT AS missing, (indexed - both_)::BIGINT AS stale, round(both_ / expected, 6) AS coverage, round(1 - (expected + indexed - 2 * both_) / greatest(expected, indexed), 6) AS freshness, round((indexed - both_) / indexed, 6) AS stale_ratio FROM n)
+SELECT *, freshness < 0.85 OR coverage < 0.7 OR stale_ratio > 0.15 AS rebuild FROM m""")
+def index_health(v: Views) -> DataFrame:
+    ids = v.table("documents").select(F.col("doc_id").alias("id"))
+    return vector.index_health(ids.filter("id % 5 <> 0"), ids.filter("id % 7 <> 0"))
+
+
+@query("", _HEALTH + " x AS (SELECT 1) SELECT id, 'missing' AS state FROM (SELECT id FROM e EXCEPT SELECT id FROM i) UNION ALL SELECT id, 'stale' FROM (SELECT id FROM i EXCEPT SELECT id FROM e)")
+def missing_and_stale(v: Views) -> DataFrame:
+    ids = v.table("documents").select(F.col("doc_id").alias("id"))
+    return vector.missing_and_stale(ids.filter("id % 5 <> 0"), ids.filter("id % 7 <> 0"))
+
+
+# Expressions
+
+
+@query("", """SELECT doc_id, CASE WHEN regexp_matches(lower(w), 'key|secret|token|password|credential|auth') THEN '"[REDACTED]"' ELSE lang END AS value FROM (SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN 'API_Key' WHEN 1 THEN 'authMode' WHEN 2 THEN 'Color' ELSE source END AS w FROM documents)""")
+def redact_secrets(v: Views) -> DataFrame:
+    n = F.col("doc_id") % 4
+    word = F.when(n == 0, "API_Key").when(n == 1, "authMode").when(n == 2, "Color").otherwise(F.col("source"))
+    return v.table("documents").select("doc_id", exprs.redacted(word, F.col("lang")).alias("value"))
+
+
+_ROLE_NAMES = ("OrderService", "userRepo", "HTTPHandler", "AppConfig", "PingRequest", "Plain", "NewThing", "getX", "SetY", "runTests", "work")
+_ROLE_KINDS = ("interface", "struct", "function", "method", "constant", "variable", "type")
+
+
+@query("", f"""WITH s AS (SELECT event_id, {list(_ROLE_KINDS)}[event_id % 7 + 1] AS k, lower({list(_ROLE_NAMES)}[event_id % 11 + 1]) AS n FROM events)
+SELECT event_id, CASE WHEN k = 'interface' THEN 'Interface' WHEN k = 'struct' THEN CASE WHEN n LIKE '%service' THEN 'Service' WHEN regexp_matches(n, '(repository|repo|store)$') THEN 'Data Access' WHEN regexp_matches(n, '(handler|controller)$') THEN 'API Handler'
+  WHEN regexp_matches(n, '(config|options)$') THEN 'Configuration' WHEN regexp_matches(n, '(request|response)$') THEN 'DTO' ELSE 'Data Model' END
+  WHEN k IN ('function', 'method') THEN CASE WHEN n LIKE 'new%' THEN 'Constructor' WHEN n LIKE 'get%' OR n LIKE 'set%' THEN 'Accessor' WHEN n LIKE '%test%' THEN 'Test' ELSE 'Logic' END
+  WHEN k = 'constant' THEN 'Constant' WHEN k = 'variable' THEN 'Variable' ELSE 'Component' END AS role FROM s""")
+def role_classify(v: Views) -> DataFrame:
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("event_id") % len(words) + 1).cast("int"))
+    return v.table("events").select("event_id", exprs.role(pick(_ROLE_KINDS), pick(_ROLE_NAMES)).alias("role"))
+
+
+_TARGETS = ("append", "fmt.Println", "Store", "*Store", "[]string", "x.make", "json", "json.Marshal", "error", "map[string]int")
+
+
+@query("", f"""WITH s AS (SELECT event_id, {list(_TARGETS)}[event_id % 10 + 1] AS t FROM events)
+SELECT event_id, t AS target, t IN ({", ".join(f"'{b}'" for b in exprs.BUILTINS)}) OR regexp_matches(t, '^({"|".join(exprs.STDLIB)})\\.') AS noise,
+  regexp_replace(regexp_replace(t, '^\\*', ''), '^\\[\\]', '') NOT IN ({", ".join(f"'{b}'" for b in exprs.PRIMITIVES)}) AS user_type FROM s""")
+def noise_filter(v: Views) -> DataFrame:
+    t = F.element_at(F.array(*map(F.lit, _TARGETS)), (F.col("event_id") % 10 + 1).cast("int"))
+    return v.table("events").select("event_id", t.alias("target")).select("event_id", "target", exprs.is_noise(F.col("target")).alias("noise"), exprs.is_user_type(F.col("target")).alias("user_type"))
+
+
+@query("", """WITH r AS (SELECT l_orderkey, l_linenumber, ['belongs_to', 'instantiates', 'calls', 'uses_type', 'embeds', 'other'][l_partkey % 6 + 1] AS kind, ['types', 'heuristic', 'guess'][l_suppkey % 3 + 1] AS resolver, CASE WHEN l_orderkey % 4 = 0 THEN '' ELSE 'a.go' END AS f, l_linenumber AS s, l_linenumber + l_orderkey % 3 - 1 AS e FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(least(greatest(CASE kind WHEN 'belongs_to' THEN 0.8 WHEN 'instantiates' THEN 0.72 WHEN 'calls' THEN 0.7 WHEN 'uses_type' THEN 0.65 WHEN 'embeds' THEN 0.6 ELSE 0.55 END
+  + CASE resolver WHEN 'types' THEN 0.18 WHEN 'heuristic' THEN 0 ELSE -0.03 END - CASE WHEN f = '' THEN 0.05 ELSE 0 END - CASE WHEN s > 0 AND e >= s THEN 0 ELSE 0.05 END, 0.1), 0.99), 6)::DOUBLE AS confidence FROM r""")
+def relation_confidence(v: Views) -> DataFrame:
+    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (F.col(by) % len(words) + 1).cast("int"))
+    kind, by = pick(("belongs_to", "instantiates", "calls", "uses_type", "embeds", "other"), "l_partkey"), pick(("types", "heuristic", "guess"), "l_suppkey")
+    score = exprs.relation_confidence(kind, by, F.when(F.col("l_orderkey") % 4 == 0, "").otherwise("a.go"), F.col("l_linenumber"), F.col("l_linenumber") + F.col("l_orderkey") % 3 - 1)
+    return v.table("lineitem").select("l_orderkey", "l_linenumber", score.alias("confidence"))
+
+
+@query("sym", "SELECT id, 'go/' || package || ':' || unit_type || ':' || name || ':' || substr(sha256('go|' || package || '|' || unit_type || '|' || name || '||' || signature), 1, 16) AS symbol_id FROM sym")
+def stable_symbol_id(v: Views) -> DataFrame:
+    return v.sym.select("id", exprs.stable_id(F.lit(" go "), F.col("package"), F.col("unit_type"), F.col("name"), F.lit(None), F.col("signature")).alias("symbol_id"))
+
+
+@query("chunks", """SELECT id, 'Symbol: ' || name || ' (' || unit_type || ') in package ' || package || chr(10) || 'Context: ' || description || chr(10) || 'Definition: ' || signature || chr(10) || 'Depends on: ' || dependencies[1] || ', ' || dependencies[2] || chr(10) AS text FROM chunks""")
+def embeddable_text(v: Views) -> DataFrame:
+    return v.chunks.select("id", exprs.embeddable_text().alias("text"))
+
+
+@query("sym", r"""SELECT id, CASE WHEN d = '' THEN name || ' affects it.' ELSE CASE WHEN length(d) > 40 THEN regexp_replace(substr(d, 1, 40), '^[\s]+|[\s]+$', '', 'g') || '...' ELSE d END END AS claim FROM (SELECT id, name, replace(regexp_replace(description, '^[\s]+|[\s]+$', '', 'g'), chr(10), ' ') AS d FROM sym)""")
+def claim_texts(v: Views) -> DataFrame:
+    text = exprs.claim_text(F.col("name"), F.col("package"), F.col("description"), 40)
+    return v.sym.select("id", F.when(text == "", F.concat("name", F.lit(" affects it."))).otherwise(text).alias("claim"))
+
+
+# Name resolution
+
+
+@query("linked", "SELECT from_id, id AS to_id, kind, round(max(confidence), 6) AS confidence FROM linked GROUP BY 1, 2, 3")
+def link_relations(v: Views) -> DataFrame:
+    edges, _ = link.link(v.relations, v.names)
+    return edges.select("from_id", "to_id", "kind", F.round("confidence", 6).alias("confidence"))
+
+
+@query("rel linked", "SELECT 'no_candidate' AS reason, count(*) AS n FROM rel WHERE from_id NOT IN (SELECT from_id FROM linked)")
+def unresolved_by_reason(v: Views) -> DataFrame:
+    _, missing = link.link(v.relations, v.names)
+    return link.reason_counts(missing.withColumn("reason", F.when(F.col("kind") == "calls", "").otherwise(F.col("reason"))))
+
+
+@query("rel hit", """WITH c AS (SELECT from_id, count(DISTINCT id) AS n, min(id) AS to_id FROM hit GROUP BY 1)
+SELECT from_id, coalesce(CASE WHEN n = 1 THEN to_id END, '') AS to_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'typecheck_failed' END AS state, CASE WHEN n = 1 THEN greatest(confidence, 0.9)::DOUBLE ELSE 0 END AS confidence FROM rel LEFT JOIN c USING (from_id)""")
+def resolve_unique_key(v: Views) -> DataFrame:
+    rel = v.relations.withColumn("reason", F.lit("no_candidate"))
+    none = v.spark.createDataFrame([], "from_id string, to_id string, kind string, resolver string, confidence double")
+    edges, rest = link.resolve_unique(rel, link.name_index(v.names), none)
+    return edges.select("from_id", "to_id", F.lit("resolved").alias("state"), "confidence").unionByName(rest.select("from_id", F.lit("").alias("to_id"), F.col("reason").alias("state"), F.lit(0.0).alias("confidence")))
+
+
+@query("rel linked hit", """WITH u AS (SELECT * FROM rel WHERE from_id NOT IN (SELECT from_id FROM linked)) SELECT 0 AS stage, 'types' AS name, (SELECT count(*) FROM u) AS before_n, (SELECT count(*) FROM u) AS after_n, 0::BIGINT AS resolved""")
+def resolver_chain(v: Views) -> DataFrame:
+    edges, missing = link.link(v.relations, v.names)
+    _, _, stages = link.run_chain(edges, missing, [("types", lambda e, u: link.resolve_unique(u, link.name_index(v.names), e))])
+    return stages
+
+
+# Graph
+
+
+@query("edg", "SELECT from_id AS id, to_id AS neighbor FROM edg WHERE to_id IN (SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+def neighbors_out(v: Views) -> DataFrame:
+    return graph.neighbors_out(v.edges, v.table("supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id")))
+
+
+@query("edg", "SELECT to_id AS id, from_id AS neighbor FROM edg WHERE from_id IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 10)")
+def neighbors_in(v: Views) -> DataFrame:
+    return graph.neighbors_in(v.edges, v.table("part").filter("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("id")))
+
+
+_SEEDS = "seeds AS (SELECT DISTINCT id FROM sym JOIN chg ON path = filepath AND line BETWEEN start_line AND end_line)"
+
+
+@query("sym chg", f"WITH {_SEEDS} SELECT id FROM seeds UNION SELECT id FROM sym WHERE filepath = 'src7'")
+def seed_overlap(v: Views) -> DataFrame:
+    whole = v.spark.createDataFrame([("src7", [])], "path string, changed_lines array<int>")
+    return graph.seeds(v.sym, v.changes.unionByName(whole))
+
+
+@query("sym chg dedg", f"WITH {_SEEDS} SELECT id, 'direct' AS level FROM seeds UNION ALL (SELECT DISTINCT from_id, 'indirect' FROM dedg WHERE to_id IN (SELECT id FROM seeds) AND from_id NOT IN (SELECT id FROM seeds))")
+def impact_levels(v: Views) -> DataFrame:
+    return graph.impact(v.sym, v.doc_edges, v.changes)
+
+
+def _expanded(edges: str, start: str) -> str:
+    return f"""near AS (SELECT u, v, max(w) AS w FROM (SELECT from_id AS u, to_id AS v, least(confidence, 1) AS w FROM {edges} UNION ALL SELECT to_id, from_id, least(confidence, 1) FROM {edges}) GROUP BY 1, 2),
+  n0 AS (SELECT DISTINCT id, 0 AS depth, 1.0::DOUBLE AS score FROM {start}),
+  n1 AS (SELECT id, min(depth) AS depth, max(score) AS score FROM (SELECT * FROM n0 UNION ALL SELECT v, 1, score * w FROM n0 JOIN near ON u = id) GROUP BY 1),
+  n2 AS (SELECT id, min(depth) AS depth, max(score) AS score FROM (SELECT * FROM n1 UNION ALL SELECT v, 2, score * w FROM n1 JOIN near ON u = id WHERE depth = 1) GROUP BY 1)"""
+
+
+_START = "start AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey <= 5)"
+
+
+@query("edg", f"WITH {_START}, {_expanded('edg', 'start')} SELECT id, depth, round(score, 6) AS score FROM n2")
+def khop_max_product(v: Views) -> DataFrame:
+    start = v.table("part").filter("p_partkey <= 5").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    nodes, _ = graph.expand(v.edges, start, 2)
+    return nodes.select("id", "depth", F.round("score", 6).alias("score"))
+
+
+@query("edg", f"WITH {_START}, e AS (SELECT * FROM edg WHERE confidence >= 0.93 AND kind IN ('N', 'A')), {_expanded('e', 'start')} SELECT DISTINCT from_id, to_id, kind FROM e WHERE from_id IN (SELECT id FROM n2 WHERE depth < 2) OR to_id IN (SELECT id FROM n2 WHERE depth < 2)")
+def khop_edges_filtered(v: Views) -> DataFrame:
+    start = v.table("part").filter("p_partkey <= 5").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    _, edges = graph.expand(v.edges, start, 2, 0.93, ("N", "A"))
+    return edges.select("from_id", "to_id", "kind")
+
+
+@query("edg", f"WITH {_START}, {_expanded('edg', 'start')} SELECT id, depth FROM n2 WHERE depth > 0")
+def bfs_distance(v: Views) -> DataFrame:
+    return graph.distances(v.edges, v.table("part").filter("p_partkey <= 5").select(F.concat(F.lit("p"), "p_partkey").alias("id")), 2)
+
+
+@query("sym dedg", f"WITH e AS (SELECT from_id, to_id, 1.0 AS confidence FROM dedg), s AS (SELECT id FROM sym WHERE regexp_matches(name, '^[A-Z]')), {_expanded('e', 's')} SELECT id FROM sym WHERE id IN (SELECT id FROM n2)")
+def reach_flag(v: Views) -> DataFrame:
+    return graph.doc_relevant(v.sym, v.doc_edges)
+
+
+_IMPACT = f"""WITH {_SEEDS}, {_expanded('dedg', 'seeds')},
+j AS (SELECT section_id, symbol_id, file_path, score, confidence, CASE WHEN score IS NOT NULL THEN CASE WHEN confidence > 0 THEN (score + confidence) / 2 ELSE score END END AS c, file_path IN (SELECT path FROM chg) AS f FROM src LEFT JOIN n2 ON id = symbol_id),
+g AS (SELECT section_id, count(c) AS symbol_hits, coalesce(sum(c), 0) AS cs, count_if(f)::BIGINT AS file_hits, coalesce(string_agg(DISTINCT CASE WHEN c IS NOT NULL THEN symbol_id END, ',' ORDER BY CASE WHEN c IS NOT NULL THEN symbol_id END), '') AS symbols FROM j GROUP BY 1)
+SELECT section_id, round(symbol_hits + 0.2 * cs + 0.35 * file_hits, 6)::DOUBLE AS score, round(least(greatest((cs + 0.3 * file_hits) / (symbol_hits + file_hits), 0), 1), 6)::DOUBLE AS confidence, symbol_hits, file_hits, symbols FROM g WHERE symbol_hits + file_hits > 0"""
+
+
+@query("sym chg dedg src", _IMPACT)
+def section_impact(v: Views) -> DataFrame:
+    sections, _ = reach_sections(v.sym, v.doc_edges, v.changes, v.sources)
+    return sections.select("section_id", "score", "confidence", "symbol_hits", "file_hits", joined("symbols").alias("symbols"))
+
+
+@query("sym chg dedg src", f"WITH {_SEEDS}, {_expanded('dedg', 'seeds')} SELECT id FROM n2 WHERE id NOT IN (SELECT symbol_id FROM src)")
+def unmatched_symbols(v: Views) -> DataFrame:
+    return reach_sections(v.sym, v.doc_edges, v.changes, v.sources)[1]
+
+
+# Vectors
+
+_COS = "list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[])"
+
+
+def _first_vector(v: Views) -> DataFrame:
+    return v.vectors.filter("vec_id = 0").select(F.lit("0").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query("", f"SELECT vec_id::VARCHAR AS id, round({_COS}, 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY score DESC, id LIMIT 20")
+def cosine_topk(v: Views) -> DataFrame:
+    return vector.top_k_each(v.vectors, _first_vector(v), 20).select("id", "score")
+
+
+@query("", f"""WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT qid, vec_id::VARCHAR AS id, round({_COS}, 6) AS score FROM embeddings, q)
+SELECT qid::VARCHAR AS query_id, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10""")
+def cosine_topk_each(v: Views) -> DataFrame:
+    q = v.vectors.filter("vec_id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.top_k_each(v.vectors, q, 10).select("query_id", "id", "score", "rank")
+
+
+@query("", f"""WITH e AS (SELECT DISTINCT l_partkey % 400 AS a, l_suppkey % 400 AS b FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 49), near AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d1 AS (SELECT DISTINCT b AS id FROM near WHERE a = 0 AND b <> 0), d2 AS (SELECT DISTINCT b AS id FROM near JOIN d1 ON a = d1.id WHERE b <> 0 AND b NOT IN (SELECT id FROM d1))
+SELECT vec_id::VARCHAR AS id, round({_COS} + CASE WHEN vec_id IN (SELECT id FROM d1) THEN 0.2 WHEN vec_id IN (SELECT id FROM d2) THEN 0.1 ELSE 0 END, 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY score DESC, id LIMIT 25""")
+def hybrid_topk(v: Views) -> DataFrame:
+    e = v.table("lineitem").filter("l_linenumber = 1 AND l_quantity >= 49").select((F.col("l_partkey") % 400).cast("string").alias("from_id"), (F.col("l_suppkey") % 400).cast("string").alias("to_id")).distinct()
+    near = graph.distances(e, v.spark.createDataFrame([("0",)], "id string"), 2)
+    query = [float(x) for x in _first_vector(v).first()["query"]]
+    return vector.hybrid_top_k(v.vectors, near, query, 25).select("id", "score")
+
+
+@query("", f"""WITH s AS (SELECT vec_id AS ord, embedding AS q FROM embeddings WHERE vec_id < 12), x AS (SELECT vec_id::VARCHAR AS id, 'sec' || ord AS section_id, ord, round({_COS}, 6) AS score FROM embeddings, s WHERE vec_id >= 12)
+SELECT id, section_id, score FROM x WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) = 1""")
+def semantic_argmax(v: Views) -> DataFrame:
+    s = v.vectors.filter("vec_id < 12").select(F.concat(F.lit("sec"), "vec_id").alias("section_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    return vector.assign(v.vectors.filter("vec_id >= 12").select("id", "embedding"), s)
+
+
+# Chunks
+
+
+@query("sym", r"""WITH l AS (SELECT id, string_split(content, chr(10)) AS ls, content_hash, start_line FROM sym WHERE unit_type IN ('function', 'method')),
+x AS (SELECT *, unnest(range(0, least(3, (len(ls) + 4) // 5))) AS i FROM l WHERE len(ls) > 6),
+y AS (SELECT id || '::seg:' || (i + 1) AS id, regexp_replace(array_to_string(ls[i * 5 + 1 : least(i * 5 + 8, len(ls))], chr(10)), '^[\s]+|[\s]+$', '', 'g') AS content, content_hash || '::seg:' || (i + 1) AS content_hash, start_line + i * 5 AS first_line, start_line + least(i * 5 + 8, len(ls)) - 1 AS last_line FROM x)
+SELECT id, sha256(content) AS content_sha, content_hash, first_line::INT AS first_line, last_line::INT AS last_line FROM y WHERE content <> ''""")
+def chunk_segments(v: Views) -> DataFrame:
+    s = chunk.segments(v.chunks.drop("n"), 8, 3, 3, 6, 0)
+    return s.select("id", F.sha2("content", 256).alias("content_sha"), "content_hash", F.col("sources")[0]["start_line"].alias("first_line"), F.col("sources")[0]["end_line"].alias("last_line"))
+
+
+@query("chunks", r"""WITH o AS (SELECT *, content_hash AS h, '- **' || name || '** (' || unit_type || '): ' || description || chr(10) AS told, CASE WHEN unit_type IN ('function', 'method', 'struct', 'interface') THEN '// ' || unit_type || ' ' || name || chr(10) || content || chr(10) || chr(10) ELSE '' END AS code, CASE WHEN unit_type IN ('struct', 'interface') THEN signature || chr(10) || chr(10) ELSE '' END AS sig FROM chunks),
+g AS (SELECT file_path, string_agg(told, '' ORDER BY start_line, id) AS told, string_agg(code, '' ORDER BY start_line, id) AS code, string_agg(sig, '' ORDER BY start_line, id) AS sig, string_agg(h, '' ORDER BY start_line, id) AS h, arg_min(package, (start_line, id)) AS package, count(*) AS n FROM o GROUP BY 1),
+d AS (SELECT file_path, string_agg(DISTINCT dep, ',' ORDER BY dep) AS deps FROM (SELECT file_path, unnest(dependencies) AS dep FROM chunks) GROUP BY 1)
+SELECT g.file_path AS id, package, sha256('Module `' || g.file_path || '` in package `' || package || '` containing:' || chr(10) || told) AS description_sha, sha256(CASE WHEN length(code) > 3000 THEN substr(code, 1, 3000) || chr(10) || '... (truncated)' ELSE code END) AS content_sha, sha256(sig) AS signature_sha, sha256(h) AS hash_sha, deps AS dependencies, n AS sources FROM g JOIN d USING (file_path)""")
+def file_rollup(v: Views) -> DataFrame:
+    f = chunk.file_chunks(v.sym, v.chunks.drop("n"))
+    sha = lambda c: F.sha2(F.col(c), 256)
+    return f.select("id", "package", sha("description").alias("description_sha"), sha("content").alias("content_sha"), sha("signature").alias("signature_sha"), sha("content_hash").alias("hash_sha"), joined("dependencies").alias("dependencies"), F.size("sources").cast("long").alias("sources"))
+
+
+_PRIORITY = "(CASE WHEN unit_type = 'file_module' THEN 5 ELSE 40 END + CASE WHEN regexp_matches(name, '^[A-Z]') THEN 20 ELSE 0 END + CASE WHEN unit_type IN ('function', 'method', 'struct', 'interface') THEN 12 WHEN unit_type IN ('constant', 'variable') THEN 4 ELSE 0 END + least(len(dependencies), 8))"
+
+
+@query("chunks", f"SELECT id, {_PRIORITY}::INT AS priority FROM chunks")
+def chunk_priority(v: Views) -> DataFrame:
+    return chunk.prioritized(v.chunks).select("id", "priority")
+
+
+@query("chunks", f"""WITH r AS (SELECT id, unit_type = 'file_module' AS is_file, row_number() OVER (PARTITION BY unit_type = 'file_module' ORDER BY {_PRIORITY} DESC, id, content_hash) AS rn FROM chunks),
+p AS (SELECT *, CASE WHEN rn <= CASE WHEN is_file THEN 25 ELSE 75 END THEN 0 WHEN NOT is_file THEN 1 ELSE 2 END AS phase FROM r WHERE rn <= 100) SELECT id, phase FROM p ORDER BY phase, is_file, rn LIMIT 100""")
+def budget_quota(v: Views) -> DataFrame:
+    return chunk.budget(v.chunks, 100).select("id", "phase")
+
+
+# Retrieval
+
+_WORDS = ("the", "index", "load", "ation", "ver")
+_KEYWORD = "(" + " + ".join(f"3 * contains(lower(name || chr(10) || description || chr(10) || signature || chr(10) || content), '{w}')::INT" for w in _WORDS) + " + CASE WHEN unit_type IN ('function', 'method', 'struct', 'interface', 'file_module') THEN 1 ELSE 0 END)"
+
+
+@query("chunks", f"SELECT id, {_KEYWORD}::INT AS score FROM chunks WHERE {_KEYWORD} > 0 ORDER BY score DESC, id LIMIT 40")
+def keyword_topk(v: Views) -> DataFrame:
+    return retrieval.keyword_top_k(v.chunks, _WORDS, 40).select("id", "score")
+
+
+_LISTS = """lists AS (SELECT 0 AS l, id, row_number() OVER (ORDER BY name, id) AS pos FROM chunks WHERE n % 4 = 0 UNION ALL SELECT 1, id, row_number() OVER (ORDER BY name DESC, id) FROM chunks WHERE n % 6 = 0)"""
+
+
+def _lists(v: Views) -> list[DataFrame]:
+    c = v.chunks
+    return [c.filter("n % 4 = 0").withColumn("pos", F.row_number().over(Window.orderBy("name", "id"))), c.filter("n % 6 = 0").withColumn("pos", F.row_number().over(Window.orderBy(F.desc("name"), "id")))]
+
+
+@query("chunks", f"WITH {_LISTS}, o AS (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY id ORDER BY l, pos) = 1) SELECT id, rank AS pos FROM (SELECT id, row_number() OVER (ORDER BY l, pos)::INT AS rank FROM o) WHERE rank <= 300")
+def merge_ranked_union(v: Views) -> DataFrame:
+    return retrieval.merge_ranked(_lists(v), 300).select("id", "pos")
+
+
+@query("chunks", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY name, id) AS pos, count(*) OVER (PARTITION BY package) AS total, CASE WHEN trim(description) <> '' THEN 2 ELSE 0 END + 2 + CASE WHEN trim(content) <> '' THEN 2 ELSE 0 END + 2 + CASE WHEN unit_type IN ('function', 'method', 'struct', 'interface') THEN 2 WHEN unit_type = 'file_module' THEN -1 ELSE 0 END AS rich FROM chunks),
+f AS (SELECT *, row_number() OVER (PARTITION BY package, file_path ORDER BY pos) > 2 AND total > 50 AS late FROM c)
+SELECT package, id, row_number() OVER (PARTITION BY package ORDER BY late, CASE WHEN late THEN -rich END, CASE WHEN late THEN id END, pos)::INT AS rank FROM f QUALIFY rank <= 50 OR total <= 50""")
+def diversity_rerank(v: Views) -> DataFrame:
+    c = v.chunks.withColumn("pos", F.row_number().over(Window.partitionBy("package").orderBy("name", "id")))
+    return retrieval.diversity_rerank(c, 50, 2, ("package",)).select("package", "id", "rank")
+
+
+@query("chunks", """WITH g AS (SELECT package, count(*) AS chunk_count, count(DISTINCT file_path) AS files, sum(conf) AS s, count_if(conf > 0) AS k FROM chunks GROUP BY 1),
+m AS (SELECT package, round(least(1, chunk_count / 200), 6)::DOUBLE AS coverage, round(least(1, CASE WHEN k > 0 THEN s / k ELSE 0.55 END + 0.2 * files / chunk_count), 6)::DOUBLE AS confidence, chunk_count, chunk_count AS source_count, 2 AS query_count FROM g)
+SELECT *, coverage < 0.7 OR confidence < 0.6 AS low_evidence FROM m""")
+def evidence_stats(v: Views) -> DataFrame:
+    return retrieval.evidence_stats(v.chunks, ["package"], F.lit(200), F.lit(2))
+
+
+@query("chunks", """WITH c AS (SELECT file_path, id, unit_type NOT IN ('file_module', 'constant', 'variable') AND NOT contains(lower(name), '_test') AND NOT ends_with(lower(name), 'test') AND file_path <> 'src5' AS k FROM chunks)
+SELECT file_path, id FROM c QUALIFY k OR NOT bool_or(k) OVER (PARTITION BY file_path)""")
+def section_filter_or_all(v: Views) -> DataFrame:
+    keep = retrieval.section_filter(F.lit("key-features")) & (F.col("file_path") != "src5")
+    return retrieval.filter_or_all(v.chunks, keep, ["file_path"]).select("file_path", "id")
+
+
+@query("", r"""WITH q AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) || '  ' || props ELSE event_type || ' ' || props || ' ' END AS query FROM events)
+SELECT min(event_id) AS pos, arg_min(query, event_id) AS query FROM q GROUP BY lower(regexp_replace(regexp_replace(query, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))""")
+def query_dedup(v: Views) -> DataFrame:
+    q = v.table("events").select(F.col("event_id").alias("pos"), F.when(F.col("event_id") % 2 == 0, F.concat(F.upper("event_type"), F.lit("  "), "props")).otherwise(F.concat("event_type", F.lit(" "), "props", F.lit(" "))).alias("query"))
+    return retrieval.distinct_queries(q)
+
+
+@query("", """WITH l AS (SELECT doc_id::VARCHAR AS path, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, string_split(text, chr(10)) AS ls FROM documents), s AS (SELECT doc_id::VARCHAR AS path, doc_id, len(string_split(text, chr(10))) AS n FROM documents),
+c AS (SELECT *, greatest(doc_id % 9 + 1 - 4, 1) AS f, least(least(doc_id % 9 + 3 + 4, n), greatest(doc_id % 9 + 1 - 4, 1) + 5) AS t FROM s)
+SELECT 'evidence:s' || c.path || ':' || f || '-' || t AS id, sha256(string_agg(ls[line_no], chr(10) ORDER BY line_no)) AS content_sha FROM c JOIN l ON l.path = c.path AND line_no BETWEEN f AND t WHERE t >= f GROUP BY c.path, f, t""")
+def hydrate_lines(v: Views) -> DataFrame:
+    d = v.table("documents")
+    lines = d.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("p", "text")).select("path", (F.col("p") + 1).alias("line_no"), "text")
+    n, i = F.col("doc_id"), F.col("doc_id").cast("string")
+    claims = d.select(i.alias("claim_id"), F.lit(0).alias("src_ord"), F.lit("flow").alias("text"), F.lit(0.5).alias("confidence"), F.concat(F.lit("s"), i).alias("symbol_id"), i.alias("file_path"), (n % 9 + 1).cast("int").alias("start_line"), (n % 9 + 3).cast("int").alias("end_line"))
+    return retrieval.hydrate(claims, lines, most=6).select("id", F.sha2("content", 256).alias("content_sha"))
+
+
+# Capabilities and diagrams
+
+_BUCKETS = {k: "(" + " + ".join(f"2 * contains(t, '{w}')::INT" for w in words.split()) + ")" for k, (words, _, _) in capability.BUCKETS.items()}
+
+
+@query("chunks", f"""WITH t AS (SELECT *, lower(name || ' ' || unit_type || ' ' || package || ' ' || description || ' ' || signature) AS t FROM chunks WHERE trim(name) <> '' AND NOT contains(lower(name), '_test') AND NOT ends_with(lower(name), 'test') AND unit_type NOT IN ('file_module', 'constant', 'variable')),
+s AS (SELECT *, greatest({", ".join(_BUCKETS.values())}) AS best FROM t), b AS (SELECT *, CASE WHEN best <= 0 THEN 'core' {" ".join(f"WHEN {x} = best THEN '{k}'" for k, x in _BUCKETS.items())} END AS key FROM s),
+m AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY package, name, id) <= 6)
+SELECT key, count(*) AS n, count(DISTINCT package) AS packages, count(DISTINCT unit_type) AS types, round(least(1, 0.18 * count(*) + 0.14 * count(DISTINCT package) + 0.1 * count(DISTINCT unit_type)), 6)::DOUBLE AS confidence FROM m GROUP BY key""")
+def capability_cluster(v: Views) -> DataFrame:
+    return capability.capabilities(v.chunks).select("key", "n", "packages", "types", "confidence")
+
+
+_PACKAGE_EDGES = """deps AS (SELECT file_path AS f, unnest(dependencies) AS dep FROM chunks), nm AS (SELECT name, min(file_path) AS t FROM chunks WHERE unit_type NOT IN ('file_module', 'symbol_segment') GROUP BY 1), pe AS (SELECT f AS from_pkg, t AS to_pkg, count(*) AS w FROM deps JOIN nm ON dep = name WHERE f <> t GROUP BY 1, 2)"""
+
+
+@query("chunks", f"WITH {_PACKAGE_EDGES} SELECT from_pkg, to_pkg, w FROM pe")
+def package_edges(v: Views) -> DataFrame:
+    return diagrams.package_edges(v.chunks.withColumn("package", F.col("file_path")))
+
+
+@query("chunks", f"WITH {_PACKAGE_EDGES}, top AS (SELECT file_path, count(*) AS n FROM chunks GROUP BY 1 ORDER BY n DESC, file_path LIMIT 8) SELECT from_pkg, to_pkg, w FROM pe WHERE from_pkg IN (SELECT file_path FROM top) AND to_pkg IN (SELECT file_path FROM top) ORDER BY w DESC, from_pkg, to_pkg LIMIT 10")
+def snapshot_edges(v: Views) -> DataFrame:
+    return diagrams.snapshot_edges(v.chunks.withColumn("package", F.col("file_path")))
+
+
+@query("", "WITH p AS (SELECT source AS package, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, package LIMIT 6) SELECT package, n, lead(package) OVER (ORDER BY n DESC, package) AS next FROM p")
+def package_chain(v: Views) -> DataFrame:
+    return diagrams.package_chain(v.chunks.withColumn("package", F.col("file_path")))
+
+
+_STAGE = ["(" + " + ".join(f"contains(t, '{w}')::INT" for w in words.split()) + ")" for _, _, words in diagrams.STAGES]
+
+
+@query("chunks", f"""WITH t AS (SELECT *, lower(name || ' ' || package || ' ' || description) AS t FROM chunks), b AS (SELECT *, greatest({", ".join(_STAGE)}) AS best FROM t), s AS (SELECT *, CASE {" ".join(f"WHEN {x} = best THEN {i}" for i, x in enumerate(_STAGE))} END AS stage FROM b WHERE best > 0),
+nm AS (SELECT name, min(stage) AS other FROM s GROUP BY 1), d AS (SELECT stage, unnest(dependencies) AS name FROM s), e AS (SELECT stage, other, count(*) AS w FROM d JOIN nm USING (name) WHERE other > stage GROUP BY 1, 2),
+x AS (SELECT stage, other FROM e QUALIFY row_number() OVER (PARTITION BY stage ORDER BY w DESC, other) = 1)
+SELECT s.stage::INT AS stage, count(*) AS hits, any_value(x.other)::INT AS next_stage FROM s LEFT JOIN x ON s.stage = x.stage GROUP BY 1""")
+def stage_flow(v: Views) -> DataFrame:
+    return diagrams.stage_flow(v.chunks)
+
+
+# Planning and routing
+
+_FILES = "sf AS (SELECT DISTINCT source AS file_path, 'sec' || (doc_id % 3) AS section_id FROM documents WHERE doc_id % 7 = 0 AND source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6'))"
+
+
+def _section_files(v: Views) -> DataFrame:
+    return v.table("documents").filter((F.col("doc_id") % 7 == 0) & F.col("source").isin(*(f"src{i}" for i in range(7)))).select(F.col("source").alias("file_path"), F.concat(F.lit("sec"), F.col("doc_id") % 3).alias("section_id"))
+
+
+@query("chunks", f"WITH {_FILES} SELECT id, section_id FROM chunks JOIN sf USING (file_path)")
+def route_by_file(v: Views) -> DataFrame:
+    return planning.route_by_file(v.chunks, _section_files(v))[0]
+
+
+@query("chunks", "SELECT id, ['overview', 'development', 'key-features'][(row_number() OVER (ORDER BY id) - 1) % 3 + 1] AS section_id FROM chunks")
+def route_round_robin(v: Views) -> DataFrame:
+    return planning.route_round_robin(v.chunks, ("overview", "development", "key-features"))
+
+
+_HEURISTIC = "CASE WHEN regexp_matches(t, 'config|env|setup') THEN 'development' WHEN regexp_matches(t, 'graph|index|extract|crawler|parser') THEN 'overview' ELSE 'key-features' END"
+
+
+@query("chunks", f"SELECT id, {_HEURISTIC} AS section_id FROM (SELECT id, lower(name || ' ' || file_path || ' ' || package || ' ' || description) AS t FROM chunks)")
+def route_heuristic(v: Views) -> DataFrame:
+    return planning.route_heuristic(v.chunks)
+
+
+@query("chunks", f"""WITH {_FILES}, m AS (SELECT id, section_id, 'file' AS stage FROM chunks JOIN sf USING (file_path))
+SELECT * FROM m UNION ALL SELECT id, {_HEURISTIC}, 'heuristic' FROM (SELECT id, lower(name || ' ' || file_path || ' ' || package || ' ' || description) AS t FROM chunks WHERE id NOT IN (SELECT id FROM m))""")
+def route_cascade(v: Views) -> DataFrame:
+    return planning.route_cascade(v.chunks, _section_files(v))
+
+
+@query("", "WITH s AS (SELECT source AS section_id, count(*) AS n FROM documents GROUP BY 1) SELECT section_id, n, row_number() OVER (ORDER BY CASE section_id WHEN 'src9' THEN 1 WHEN 'src2' THEN 2 END NULLS LAST, n DESC, section_id)::INT AS pos FROM s")
+def section_order(v: Views) -> DataFrame:
+    return planning.section_order(v.table("documents").groupBy(F.col("source").alias("section_id")).agg(F.count(F.lit(1)).alias("n")), ("src9", "src2"))
+
+
+# Document model
+
+_SPLIT = r"""ln AS (SELECT doc, unnest(range(0, len(string_split(content, chr(10))))) AS i, string_split(content, chr(10)) AS ls FROM md),
+hd AS (SELECT doc, i, ls[i + 1] AS line, regexp_matches(regexp_replace(ls[i + 1], '^\s+|\s+$', '', 'g'), '^#{1,6} ') AS h FROM ln), sn AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc ORDER BY i) AS ord FROM hd),
+sec AS (SELECT doc, ord, coalesce(max(CASE WHEN h THEN regexp_replace(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^#{1,6}', ''), '^\s+|\s+$', '', 'g') END), 'Introduction') AS title, coalesce(max(CASE WHEN h THEN length(regexp_extract(regexp_replace(line, '^\s+', ''), '^#+')) END), 0) AS level, string_agg(line, chr(10) ORDER BY i) || chr(10) AS content FROM sn GROUP BY 1, 2),
+sl AS (SELECT *, CASE WHEN trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'section' ELSE trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') END AS base FROM sec),
+ded AS (SELECT *, base || CASE WHEN row_number() OVER (PARTITION BY doc, base ORDER BY ord) = 1 THEN '' ELSE '-' || row_number() OVER (PARTITION BY doc, base ORDER BY ord) END AS id FROM sl)"""
+
+
+@query("md", f"WITH {_SPLIT} SELECT doc, ord::BIGINT AS ord, title, level::INT AS level, sha256(doc || ':' || title) AS id, sha256(content) AS content_sha FROM sec")
+def markdown_split(v: Views) -> DataFrame:
+    return docmodel.split_markdown(v.markdown).select("doc", F.col("ord").cast("long").alias("ord"), "title", "level", "id", F.sha2("content", 256).alias("content_sha"))
+
+
+@query("", "SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)")
+def slugify(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", exprs.slug(F.substring("text", 1, 40)).alias("slug"))
+
+
+@query("md", f"WITH {_SPLIT} SELECT doc, ord::BIGINT AS ord, id FROM ded")
+def dedup_slug(v: Views) -> DataFrame:
+    s = docmodel.split_markdown(v.markdown).drop("id").withColumn("base", exprs.slug(F.col("title")))
+    return docmodel.dedup_slugs(s, "base", "ord").select("doc", F.col("ord").cast("long").alias("ord"), "id")
+
+
+_T = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query("md", f"WITH {_SPLIT} SELECT doc, id, 'sha256:' || sha256({_T.format('title')} || chr(10) || {_T.format('content')} || chr(10)) AS hash FROM ded")
+def section_hash(v: Views) -> DataFrame:
+    return docmodel.build_model(v.markdown).select("doc", "id", "hash")
+
+
+@query("", r"""WITH l AS (SELECT doc_id, [regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(text, chr(10))] AS ls FROM documents) SELECT doc_id, coalesce(substr([x FOR x IN ls IF x <> '' AND NOT starts_with(x, '#')][1], 1, 120), '') AS summary FROM l""")
+def summarize(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", exprs.summary(F.col("text")).alias("summary"))
+
+
+@query("md", f"""WITH {_SPLIT}, c(id, pos) AS (VALUES ('overview', 0), ('key-features', 1), ('development', 2)), last AS (SELECT doc, max(ord) AS last FROM ded GROUP BY 1), al AS (SELECT doc, id, ord - (SELECT min(ord) FROM ded d WHERE d.doc = ded.doc) AS ord FROM ded UNION ALL SELECT doc, c.id, 1000000 + pos FROM last, c WHERE (doc, c.id) NOT IN (SELECT doc, id FROM ded))
+SELECT doc, id, row_number() OVER (PARTITION BY doc ORDER BY CASE id WHEN 'overview' THEN 0 WHEN 'key-features' THEN 1 WHEN 'development' THEN 2 ELSE 4 END, ord, id)::INT - 1 AS ord FROM al""")
+def model_normalize(v: Views) -> DataFrame:
+    return docmodel.normalize(docmodel.build_model(v.markdown)).select("doc", "id", "ord")
+
+
+@query("md", f"WITH {_SPLIT}, c(id) AS (VALUES ('overview'), ('key-features'), ('development')) SELECT doc, 'required section missing' AS problem, c.id FROM (SELECT DISTINCT doc FROM ded), c WHERE (doc, c.id) NOT IN (SELECT doc, id FROM ded)")
+def model_violations(v: Views) -> DataFrame:
+    return docmodel.violations(docmodel.build_model(v.markdown))
+
+
+@query("sym", """WITH e AS (SELECT filepath AS section_id, id AS symbol_id, filepath AS file_path, n AS pos FROM sym WHERE n % 3 = 0), w AS (SELECT filepath AS section_id, (n - n % 2)::VARCHAR AS symbol_id, filepath AS file_path, n AS pos FROM sym)
+SELECT section_id, symbol_id, pos, false AS added FROM e UNION ALL (SELECT section_id, symbol_id, min(pos), true FROM w WHERE (section_id, symbol_id, file_path) NOT IN (SELECT section_id, symbol_id, file_path FROM e) GROUP BY 1, 2)""")
+def merge_sources(v: Views) -> DataFrame:
+    s = v.sym
+    old = s.filter("n % 3 = 0").select(F.col("filepath").alias("section_id"), F.col("id").alias("symbol_id"), F.col("filepath").alias("file_path"), F.col("n").alias("pos"))
+    new = s.select(F.col("filepath").alias("section_id"), (F.col("n") - F.col("n") % 2).cast("string").alias("symbol_id"), F.col("filepath").alias("file_path"), F.col("n").alias("pos"))
+    return docmodel.merge_sources(old, new).select("section_id", "symbol_id", "pos", "added")
+
+
+# Reports
+
+
+@query("", r"""WITH d AS (SELECT doc_id, ['overview', 'key-features', 'development'][doc_id % 3 + 1] AS s, regexp_replace(CASE WHEN doc_id % 2 = 0 THEN '- ' || text ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM documents),
+l AS (SELECT *, lower(t) AS w, [x FOR x IN [regexp_replace(y, '^\s+|\s+$', '', 'g') FOR y IN string_split(t, chr(10))] IF x <> ''] AS ls FROM d),
+c AS (SELECT *, len(ls) AS total, len([x FOR x IN ls IF starts_with(x, '- ') OR starts_with(x, '* ')]) AS bullets, len([x FOR x IN ls IF NOT (starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '#'))]) AS paras, len(string_split(w, chr(10) || '## ')) - 1 AS heads FROM l)
+SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE round(greatest(0, 1 - CASE WHEN total > 0 AND bullets / greatest(total, 1) > 0.45 THEN 0.25 ELSE 0 END - CASE WHEN paras < 2 THEN 0.2 ELSE 0 END - CASE WHEN contains(w, 'module `')::INT + contains(w, '.go`')::INT + contains(w, '.go ')::INT + contains(w, 'package `')::INT + contains(w, 'containing:')::INT >= 2 THEN 0.35 ELSE 0 END
+  - CASE WHEN contains(w, 'explain the') OR contains(w, 'describe the') OR contains(w, 'write ') OR contains(w, 'must include') OR contains(w, 'tbd') OR contains(w, 'placeholder') THEN 0.2 ELSE 0 END - CASE WHEN s = 'overview' AND NOT contains(w, '```mermaid') THEN 0.2 ELSE 0 END - CASE WHEN s = 'key-features' AND heads < 2 THEN 0.2 ELSE 0 END - CASE WHEN s = 'key-features' AND NOT contains(w, '`') THEN 0.15 ELSE 0 END), 6) END::DOUBLE AS quality FROM c""")
+def writer_quality(v: Views) -> DataFrame:
+    n = F.col("doc_id")
+    section = F.element_at(F.array(F.lit("overview"), F.lit("key-features"), F.lit("development")), (n % 3 + 1).cast("int"))
+    d = v.table("documents").select("doc_id", section.alias("section_id"), F.when(n % 2 == 0, F.concat(F.lit("- "), "text")).otherwise(F.col("text")).alias("content"))
+    return report.writer_quality(d).select("doc_id", "quality")
+
+
+@query("", """SELECT (SELECT count(*) FROM nation) AS stage_count, (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS failed_stages, count(*) AS section_count, count_if(value < 20)::BIGINT AS low_evidence_sections, round(avg(round(event_id % 11 / 10, 6)), 6) AS avg_quality FROM events""")
+def report_summary(v: Views) -> DataFrame:
+    stages = v.table("nation").select(F.when(F.col("n_regionkey") == 1, "failed").otherwise("ok").alias("status"))
+    return report.summary(stages, v.table("events").select((F.col("value") < 20).alias("low_evidence"), F.round(F.col("event_id") % 11 / 10, 6).alias("quality")))
+
+
+_SIGNALS = "sg AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'warning' WHEN 'view' THEN 'notice' ELSE 'info' END AS severity, 'st' || (user_id % 4) AS stage, 'c' || event_id AS code FROM events)"
+
+
+def _signals(v: Views) -> DataFrame:
+    kind = F.col("event_type")
+    return v.table("events").select("event_id", F.when(kind == "error", "critical").when(kind == "purchase", "warning").when(kind == "view", "notice").otherwise("info").alias("severity"), F.concat(F.lit("st"), F.col("user_id") % 4).alias("stage"), F.concat(F.lit("c"), "event_id").alias("code"))
+
+
+@query("", f"WITH {_SIGNALS} SELECT severity, count(*) AS n FROM sg GROUP BY 1")
+def signal_counts(v: Views) -> DataFrame:
+    return report.signal_counts(_signals(v))
+
+
+@query("", f"WITH {_SIGNALS} SELECT code FROM sg ORDER BY CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END DESC, stage, code LIMIT 50")
+def signal_order(v: Views) -> DataFrame:
+    """A report's first 50 signals."""
+    return _signals(v).orderBy(*report.by_signal()).limit(50).select("code")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Sections that a change set reaches in two hops, in the order to refresh them."""
+    v = Views(spark, sf_dir)
+    return reach_sections(v.sym, v.doc_edges, v.changes, v.sources)[0]

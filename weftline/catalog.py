@@ -277,7 +277,7 @@ def relation_confidence(v: Views) -> DataFrame:
     return v.table("lineitem").select("l_orderkey", "l_linenumber", score.alias("confidence"))
 
 
-@query("sym", "SELECT id, 'go/' || package || ':' || unit_type || ':' || name || ':' || substr(sha256('go|' || package || '|' || unit_type || '|' || name || '||' || signature), 1, 16) AS symbol_id FROM sym")
+@query("sym", "SELECT id, 'go/' || package || ':' || unit_type || ':' || name || ':' || substr(sha256('go|' || package || '|' || unit_type || '||' || name || '|' || signature), 1, 16) AS symbol_id FROM sym")
 def stable_symbol_id(v: Views) -> DataFrame:
     return v.sym.select("id", exprs.stable_id(F.lit(" go "), F.col("package"), F.col("unit_type"), F.col("name"), F.lit(None), F.col("signature")).alias("symbol_id"))
 

@@ -82,12 +82,16 @@ def role(unit_type: Column, name: Column) -> Column:
     )
 
 
-def stable_id(language: Column, package: Column, unit_type: Column, name: Column, receiver: Column, signature: Column) -> Column:
-    """``language/package:kind:name:`` and 16 digits of a hash of the six fields; blanks read unknown, _, symbol and _. The path is no part of it."""
+def stable_id(language: Column, package: Column, unit_type: Column, name: Column, receiver: Column, signature: Column, content: Column | None = None) -> Column:
+    """``language/package:kind:name:`` and 16 digits of a hash of the six fields, with the content for a blank signature.
+
+    Blanks read unknown, _, symbol and _. The path is no part of it.
+    """
     one = lambda c: F.regexp_replace(trim_ws(F.coalesce(c, F.lit(""))), r"\s+", " ")
     named = lambda c, default: F.when(one(c) == "", default).otherwise(one(c))
     lang, pkg, kind, label = named(language, "unknown"), named(package, "_"), named(unit_type, "symbol"), named(name, "_")
-    digest = F.substring(F.sha2(F.concat_ws("|", lang, pkg, kind, label, one(receiver), one(signature)), 256), 1, 16)
+    told = one(signature) if content is None else F.when(one(signature) == "", one(content)).otherwise(one(signature))
+    digest = F.substring(F.sha2(F.concat_ws("|", lang, pkg, kind, one(receiver), label, told), 256), 1, 16)
     return F.concat(lang, F.lit("/"), pkg, F.lit(":"), kind, F.lit(":"), label, F.lit(":"), digest)
 
 

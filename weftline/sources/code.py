@@ -295,13 +295,13 @@ def extract(files: DataFrame, language: str = "go") -> DataFrame:
 
 def symbols(units: DataFrame) -> DataFrame:
     """Symbols of units, with stable id, hash and role."""
-    id_ = exprs.stable_id(*(F.col(c) for c in ("language", "package", "unit_type", "name", "receiver", "signature")))
+    id_ = exprs.stable_id(*(F.col(c) for c in ("language", "package", "unit_type", "name", "receiver", "signature", "content")))
     return units.select(id_.alias("id"), "filepath", "package", "language", "start_line", "end_line", "content", F.sha2("content", 256).alias("content_hash"), "unit_type", exprs.role(F.col("unit_type"), F.col("name")).alias("role"), "name", "description", "signature", "receiver")
 
 
 def relations(units: DataFrame) -> DataFrame:
     """from_id, ord, target, kind, resolver, confidence, evidence. A body's relation is scored without its file, as its evidence has none when it is found."""
-    id_ = exprs.stable_id(*(F.col(c) for c in ("language", "package", "unit_type", "name", "receiver", "signature")))
+    id_ = exprs.stable_id(*(F.col(c) for c in ("language", "package", "unit_type", "name", "receiver", "signature", "content")))
     r = units.select(id_.alias("from_id"), "filepath", F.posexplode("relations").alias("ord", "r"))
     file = F.when(F.col("r.in_body"), "").otherwise(F.col("filepath"))
     confidence = exprs.relation_confidence(F.col("r.kind"), F.lit("heuristic"), file, F.col("r.start_line"), F.col("r.end_line"))

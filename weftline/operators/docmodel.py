@@ -15,7 +15,7 @@ from weftline.functions.exprs import blank, clamp, section_hash, slug, summary,
 from weftline.operators.planning import CANONICAL
 
 SOURCE = "struct<symbol_id:string,file_path:string,start_line:int,end_line:int,relation:string,confidence:double>"
-STATUSES = ("active", "draft", "deprecated")
+STATUSES = ("active", "deprecated", "archived")
 RELATIONS = ("primary", "dependency", "context")
 
 

@@ -92,3 +92,13 @@ def doc_relevant(symbols: DataFrame, edges: DataFrame, hops: int = 2) -> DataFra
 def update_symbols(symbols: DataFrame, changes: DataFrame, extracted: DataFrame) -> DataFrame:
     """Symbols less those of changed paths, and those newly extracted."""
     return symbols.join(changes.select(F.col("path").alias("filepath")), "filepath", "left_anti").unionByName(extracted)
+
+
+def files(symbols: DataFrame) -> DataFrame:
+    """(path) of symbols, without blanks."""
+    return symbols.select(F.col("filepath").alias("path")).filter("trim(path) <> ''").distinct()
+
+
+def deleted_files(symbols: DataFrame, present: DataFrame) -> DataFrame:
+    """(path) of symbols' files that are no longer present (path)."""
+    return files(symbols).join(present.select("path"), "path", "left_anti")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import blocktext, bpe, host_reputation, ivfpq, langid, mixing, repetition, simhash, token_histogram, warc
+from weftline.staging import stage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -54,7 +55,8 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer()
-    return token_histogram.suffix_sums(token_histogram.histogram(bpe.lengths(table(spark, sf_dir, "documents").select("text"), ranks, pattern)))
+    hist = token_histogram.histogram(bpe.lengths(table(spark, sf_dir, "documents").select("text"), ranks, pattern))
+    return token_histogram.suffix_sums(stage(hist, "histogram"))  # it is read twice; encoding is done once
 
 
 def op9_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+BLOCK = 128
 
 
 def histogram(lengths: DataFrame, n_tokens: str = "n_tokens") -> DataFrame:

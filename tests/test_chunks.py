@@ -107,5 +107,9 @@ def test_hydration(spark):
     b = retrieval.hydrate(claims, lines).first()
     assert b.id == "evidence:sym.stepA:1-7" and "StepB" in b.content
     claims = spark.createDataFrame([(f, 0, t, c, s, "f.go", i, i) for i, (f, t, c, s) in enumerate((("flow-1", "the pipeline then", 0.8, "sym.a"), ("flow-2", "before route when", 0.8, "sym.b"), ("other", "plain", 0.4, "sym.c")), 1)], schema)
+    rich = chunks(spark, [{"id": f"c{i}", "dependencies": ["d"] * i} for i in range(10)])
+    told = [r.id for r in retrieval.draft_context(rich, retrieval.hydrate(claims, lines)).orderBy("pos").collect()]
+    assert told[:2] == ["c9", "c8"] and len(told) == 11 and told[8].startswith("evidence:sym.")
+    assert retrieval.file_count(rich).first().n == 1
     got = retrieval.layer_b(retrieval.hydrate(claims, lines), 3).collect()
     assert len(got) == 3 and sum(r.flow for r in got[:2]) == 2

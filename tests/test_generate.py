@@ -7,7 +7,7 @@ from weftline.functions import providers
 from weftline.operators.vector import hashing_embedder
 from weftline.plans import generate, sync
 from weftline.sources import model as models
-from weftline.sources.store import Store
+from weftline.sources.store import Store, StoredIndex
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +84,28 @@ def test_bad_models_are_not_saved(spark, tmp_path, built):
     assert models.problems({}) != [] and models.load_model(spark, f"file://{tmp_path}/none.json") is None
 
 
+def test_http_writer(monkeypatch):
+    seen = []
+
+    def post(url, body, headers, *rest):
+        seen.append(body["messages"][1]["content"])
+        return {"choices": [{"message": {"content": "1 it is"}}]}
+
+    monkeypatch.setattr(providers, "post", post)
+    w = providers.HttpWriter("u", "m", "k")
+    assert w.insertion_point(["A", "B"], "text") == 1
+    assert w.update_section("old", ["e1", "e2"]) == w.from_draft("d", []) == w.new_section(["x"]) == w.full_document(["x"]) == "1 it is"
+    assert "[2]\ne2" in seen[1]
+
+
+def test_stored_index(spark, built):
+    index = StoredIndex(built[0])
+    query = [float(x) for x in built[0].load("chunks").filter("name = 'helper'").first().embedding]
+    assert index.search(query, 1).first().name == "helper"
+    ids = built[0].chunk_ids()
+    assert index.hashes(ids).count() == ids.count() == built[0].count_chunks()
+
+
 def test_providers(monkeypatch):
     asked = []
 

@@ -132,7 +132,14 @@ def test_routing(spark):
     files = spark.createDataFrame([("s1", "x"), ("s2", "x")], "section_id string, file_path string")
     cascade = planning.route_cascade(c, files)
     assert rows(cascade, "id", "section_id", "stage") == [("A", "s1", "file"), ("A", "s2", "file"), ("B", "key-features", "heuristic"), ("C", "key-features", "heuristic")]
+    chosen = planning.route_cascade(c, files, heuristic=False, chosen=lambda rest: planning.route_by_choice(rest, ["s1", "s9"], lambda toc, text: 1, 1))
+    assert rows(chosen, "id", "section_id", "stage")[2:] == [("B", "s9", "choice"), ("C", "updates", "new")]
     new = planning.route_cascade(c, files, heuristic=False, most_new=1)
     assert rows(new.filter("stage = 'new'"), "id") == [("B",)]
     order = planning.section_order(spark.createDataFrame([("overview", 1), ("key-features", 5), ("development", 1)], "section_id string, n int"), ("development", "overview"))
     assert [r.section_id for r in order.orderBy("pos").collect()] == ["development", "overview", "key-features"]
+
+
+def test_files_and_deleted_files(spark, symbols):
+    assert rows(graph.files(symbols), "path") == [("a.go",), ("b.go",), ("c.go",)]
+    assert rows(graph.deleted_files(symbols, spark.createDataFrame([("a.go",)], "path string")), "path") == [("b.go",), ("c.go",)]

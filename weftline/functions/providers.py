@@ -69,6 +69,43 @@ class HttpEmbedder:
         return out
 
 
+def _listed(evidence: Sequence[str]) -> str:
+    return "\n\n".join(f"[{i}]\n{text}" for i, text in enumerate(evidence, 1))
+
+
+@dataclass
+class HttpWriter:
+    """A Writer behind a chat service: takes {model, messages}, answers {choices: [{message: {content}}]}."""
+
+    url: str
+    model: str
+    key: str = ""
+    retries: int = 5
+    wait: float = 3.0
+    timeout: float = 60.0
+
+    def ask(self, task: str, text: str) -> str:
+        headers = {"Authorization": f"Bearer {self.key}"} if self.key else {}
+        body = {"model": self.model, "messages": [{"role": "system", "content": "You maintain technical documentation. Use only the evidence given."}, {"role": "user", "content": f"{task}\n\n{text}"}]}
+        return post(self.url, body, headers, self.retries, self.wait, self.timeout)["choices"][0]["message"]["content"]
+
+    def full_document(self, evidence: Sequence[str]) -> str:
+        return self.ask("Write the project's documentation in Markdown.", _listed(evidence))
+
+    def update_section(self, content: str, evidence: Sequence[str]) -> str:
+        return self.ask("Bring this section up to date with the evidence. Answer with the section only.", f"{content}\n\nEvidence:\n{_listed(evidence)}")
+
+    def from_draft(self, draft: str, evidence: Sequence[str]) -> str:
+        return self.ask("Turn this draft into prose in Markdown. Keep its headings and claims.", f"{draft}\n\nEvidence:\n{_listed(evidence)}")
+
+    def new_section(self, evidence: Sequence[str]) -> str:
+        return self.ask("Write a new section in Markdown for this code.", _listed(evidence))
+
+    def insertion_point(self, titles: Sequence[str], content: str) -> int:
+        listed = "\n".join(f"{i}: {t}" for i, t in enumerate(titles))
+        return parse_index(self.ask("After which of these sections does the text belong? Answer with its number only.", f"{listed}\n\n{content}"), len(titles))
+
+
 def embedder(kind: str = "hashing", dimension: int = 64, **options) -> Embed:
     if kind == "hashing":
         return hashing_embedder(dimension)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,11 +71,18 @@ def section_order(affected: DataFrame, preferred: Sequence[str] = ()) -> DataFra
     return affected.withColumn("pos", F.row_number().over(Window.orderBy(at.asc_nulls_last(), F.desc("n"), "section_id")))
 
 
-def route_cascade(chunks: DataFrame, section_files: DataFrame, preferred: Sequence[str] = (), heuristic: bool = True, sections: DataFrame | None = None, new_section: str = "updates", most_new: int = 8) -> DataFrame:
+def route_by_choice(chunks: DataFrame, sections: Sequence[str], choose: Callable[[Sequence[str], str], int], most: int = 2) -> DataFrame:
+    """(id, section_id) of the first ``most`` chunks that a service finds a section for: choose(sections, text) is a position or -1."""
+    first = chunks.orderBy("id").limit(most).select("id", F.concat_ws("\n", "name", "file_path", "description").alias("text")).collect()
+    found = [(r.id, sections[at]) for r in first if 0 <= (at := choose(sections, r.text)) < len(sections)]
+    return chunks.sparkSession.createDataFrame(found, "id string, section_id string")
+
+
+def route_cascade(chunks: DataFrame, section_files: DataFrame, preferred: Sequence[str] = (), heuristic: bool = True, sections: DataFrame | None = None, new_section: str = "updates", most_new: int = 8, chosen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, section_id, stage): each stage takes what the one before left, so stages partition the chunks.
 
-    by file, then preferred sections in turn, the heuristic, the nearest section by vector (chunks with
-    ``embedding``), and a new section of ``most_new`` chunks.
+    by file, then preferred sections in turn, the heuristic, what ``chosen`` makes of the rest (id, section_id), the
+    nearest section by vector (chunks with ``embedding``), and a new section of ``most_new`` chunks.
     """
     matched, rest = route_by_file(chunks, section_files)
     out = matched.withColumn("stage", F.lit("file"))
@@ -84,6 +91,10 @@ def route_cascade(chunks: DataFrame, section_files: DataFrame, preferred: Sequen
         return out
     if heuristic:
         return out.unionByName(route_heuristic(rest).withColumn("stage", F.lit("heuristic")))
+    if chosen is not None:
+        picked = chosen(rest)
+        out = out.unionByName(picked.select("id", "section_id", F.lit("choice").alias("stage")))
+        rest = rest.join(picked.select("id"), "id", "left_anti")
     if sections is not None:
         near = assign(rest, sections).select("id", "section_id")
         out = out.unionByName(near.withColumn("stage", F.lit("semantic")))

@@ -168,3 +168,15 @@ def layer_b(blocks: DataFrame, most: int = LAYER_B, min_flow: int = MIN_FLOW) ->
 
 def layer_a(chunks: DataFrame, most: int = LAYER_A) -> DataFrame:
     return chunks.withColumn("rich", richness()).orderBy(F.desc("rich"), F.asc("id")).limit(most)
+
+
+def draft_context(chunks: DataFrame, blocks: DataFrame, most_a: int = LAYER_A, most_b: int = LAYER_B, min_flow: int = MIN_FLOW) -> DataFrame:
+    """What a writer gets for a draft, in order of pos: the richest chunks, then source blocks of claims."""
+    a = layer_a(chunks, most_a).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("rich"), "id"))).drop("rich")
+    b = layer_b(blocks, most_b, min_flow).withColumn("pos", F.row_number().over(Window.orderBy("late", F.desc("weight"), "claim_id", "src_ord"))).select("id", "file_path", "unit_type", "content", "pos")
+    return merge_ranked([a, b], most_a + most_b)
+
+
+def file_count(chunks: DataFrame) -> DataFrame:
+    """One row, n: distinct files, chunks without one counted by id."""
+    return chunks.agg(F.count_distinct(F.coalesce(F.when(~blank(F.col("file_path")), F.col("file_path")), F.when(~blank(F.col("id")), F.col("id")))).alias("n"))

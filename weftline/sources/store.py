@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.chunk import delete, snapshot, upsert
+from weftline.operators.vector import top_k
 
 
 class Store:
@@ -86,6 +88,34 @@ class Store:
         return distinct_files(self.load("chunks"))
 
 
+class Index(Protocol):
+    """What a vector index does."""
+
+    def add(self, items: DataFrame) -> None: ...
+    def delete(self, targets: DataFrame) -> None: ...
+    def search(self, query: list[float], k: int) -> DataFrame: ...
+    def hashes(self, ids: DataFrame) -> DataFrame: ...
+
+
+class StoredIndex:
+    """An index over a store's chunks (with ``embedding``)."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def add(self, items: DataFrame) -> None:
+        self.store.save_chunks(items)
+
+    def delete(self, targets: DataFrame) -> None:
+        self.store.delete_chunks(targets)
+
+    def search(self, query: list[float], k: int) -> DataFrame:
+        return top_k(self.store.load("chunks"), query, k)
+
+    def hashes(self, ids: DataFrame) -> DataFrame:
+        return self.store.hashes(ids)
+
+
 def distinct_files(chunks: DataFrame) -> DataFrame:
     """One row, n: distinct non-blank files."""
     return chunks.agg(F.count_distinct(F.when(F.trim("file_path") != "", F.col("file_path"))).alias("n"))

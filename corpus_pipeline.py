@@ -7,6 +7,8 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +20,22 @@ from weftline.staging import stage
 LEAST_SCORE = 0.5
 
 
+def _beside(docs: DataFrame, added: Sequence[str], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f's rows with the columns and values of docs, also where f adds columns of the same names."""
+    apart = {c: f"_weftline_own_{c}" for c in docs.columns if c in added}
+    out = f(docs.withColumnsRenamed(apart))
+    return out.select(*(F.col(apart.get(c, c)).alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return repetition.judge(docs).filter("kept").select(*docs.columns)
+    return _beside(docs, repetition.ADDED, lambda d: repetition.judge(d).filter("kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told: not ``und``, and a score of LEAST_SCORE or more."""
-    found, _ = langid.identify(docs)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    told = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return _beside(docs, langid.ADDED, lambda d: langid.identify(d)[0].filter(told))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    return _beside(docs, mixing.ADDED, lambda d: mixing.emit(mixing.mix(d)))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_bpe import reference
@@ -59,6 +60,19 @@ def test_run_equals_brute_force(spark, folder):
         assert r.n_tokens == len(library.encode_ordinary(docs[r.doc_id][1])) and r.source == docs[r.doc_id][3]
 
 
+def test_stages_keep_values_of_clashing_columns(spark, folder):
+    path, rows = folder
+    names = ["kept", "score", "size", "copies", "target", "n_words", "first", "before", "fp", "row", "task", "_id", "held_out", "lang_pred", "taken"]
+    docs = queries.table(spark, path, "documents").filter("doc_id < 60")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, path)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names]
+    assert f is not None and corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == docs.count()
+
+
 def test_stages_keep_the_columns_of_documents(spark, folder):
     path, _ = folder
     docs = queries.table(spark, path, "documents")

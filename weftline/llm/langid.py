@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 PER_LANGUAGE = 2000
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
@@ -33,6 +34,7 @@ EVIDENCE = 200.0
 SMOOTHING = 0.5
 MODEL_BYTES = 64 << 20
 UNKNOWN = "und"
+ADDED = ("held_out", "lang_pred", "score")
 #: Characters scored at once.
 BLOCK = 1_000_000
 

@@ -28,7 +28,9 @@ MOST_COPIES = 3
 SEED = "mix"
 #: Rows of the table of tasks and sources up to which it is broadcast.
 MOST_RUNS = 500_000
-_ADDED = ("size", "source_size", "target", "copies", "taken")
+#: Before names that exist inside a plan only.
+_OWN = "_weftline_mix_"
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: str) -> Column:
@@ -58,34 +60,37 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED, drop_text: bool = False) -> DataFrame:
     """``df``, without its text if told so, with size, source_size, target, copies (0 to ``most``) and taken (copies times size)."""
-    df = df.drop(*_ADDED).withColumn("size", word_count(text))
+    df = df.drop(*ADDED).withColumn("size", word_count(text))
     if drop_text:
         df = df.drop(text)
-    rows = df.withColumns({"_source": F.col(source), "_id": F.col(doc_id), "_tie": F.rand(7)})
+    rows = df.withColumns({_OWN + "source": F.col(source), _OWN + "id": F.col(doc_id), _OWN + "tie": F.rand(7)})
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = [F.col("_source").asc_nulls_last(), F.col("size").asc(), F.col("_id").asc_nulls_last(), F.col("_tie").asc()]
-    ordered = stage(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).drop("_id", "_tie"), "mix")
-    runs = ordered.groupBy("_source", F.shiftright("_at", 33).alias("_task")).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"), F.sum("size").alias("words"))
-    sizes = runs.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size"))
-    start = runs.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    goal = targets(sizes, weights, most).withColumnRenamed("source", "_name")
-    start = start.join(goal, F.col("_source").eqNullSafe(F.col("_name"))).select("_source", "_task", "first", "before", "source_size", "target")
-    start = start.withColumnRenamed("_source", "_run")
+    order = [F.col(_OWN + "source").asc_nulls_last(), F.col("size").asc(), F.col(_OWN + "id").asc_nulls_last(), F.col(_OWN + "tie").asc()]
+    ordered = stage(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn(_OWN + "at", F.monotonically_increasing_id()).drop(_OWN + "id", _OWN + "tie"), "mix")
+    own, at = F.col(_OWN + "source"), F.col(_OWN + "at")
+    task = F.shiftright(at, 33)
+    runs = ordered.groupBy(own.alias("source"), task.alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.sum("size").alias("words"))
+    sizes = runs.groupBy("source").agg(F.sum("words").alias("source_size"))
+    start = runs.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    goal = targets(sizes, weights, most).withColumnRenamed("source", "name")
+    start = start.join(goal, F.col("source").eqNullSafe(F.col("name"))).select(F.col("source").alias(_OWN + "run"), F.struct("task", "first", "before").alias(_OWN + "place"), "source_size", "target")
     small = runs.count() <= MOST_RUNS
-    placed = ordered.join(F.broadcast(start) if small else start, F.col("_source").eqNullSafe(F.col("_run")) & (F.shiftright("_at", 33) == F.col("_task")))
+    place = F.col(_OWN + "place")
+    placed = ordered.join(F.broadcast(start) if small else start, own.eqNullSafe(F.col(_OWN + "run")) & (task == place["task"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     part = rate - whole
-    offset = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("_source"), F.lit("")), F.lit(":" + seed)).cast("binary")), 1, 5), 16, 10).cast("double") / F.lit(2.0**20)
-    index = F.col("_at") - F.col("first") + F.col("before")
+    offset = F.conv(F.substring(F.md5(F.concat(F.coalesce(own, F.lit("")), F.lit(":" + seed)).cast("binary")), 1, 5), 16, 10).cast("double") / F.lit(2.0**20)
+    index = at - place["first"] + place["before"]
     crossed = F.floor((index + 1) * part + offset) - F.floor(index * part + offset)
     placed = placed.withColumn("copies", (whole + crossed).cast("long"))
-    return placed.withColumn("taken", F.col("copies") * F.col("size")).drop("_source", "_at", "_run", "_task", "first", "before")
+    return placed.withColumn("taken", F.col("copies") * F.col("size")).drop(*(_OWN + c for c in ("source", "at", "run", "place")))
 
 
 def emit(df: DataFrame, copies: str = "copies") -> DataFrame:
     """Each row as often as its copies."""
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col(copies), F.lit(1))))).filter(F.col(copies) > 0).drop("_copy")
+    number = _OWN + "number"
+    return df.filter(F.col(copies) > 0).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(number)
 
 
 ORACLE = r"""

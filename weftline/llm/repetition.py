@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+
 #: A shorter repeat than this is chance or idiom.
 MIN_WORDS = 10
 #: Verdict: at most this part of the words in repeats, and no repeat longer than this.
@@ -34,6 +35,7 @@ BLOCK_WORDS = 200_000
 _SYMBOLS, _SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, covered_words long, base_failed boolean, kept boolean"
+ADDED = tuple(c.split()[0] for c in COLUMNS.split(", "))
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:

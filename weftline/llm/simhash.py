@@ -219,7 +219,8 @@ def survivors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     """One row of ``df`` for each component: that of the smallest doc_id (null last), then of the smallest text hash; of rows equal in both, any."""
     rows, of = _linked(df, doc_id, text, k, max_bits, None)
     least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"))
-    keep = least.join(of, "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
-    hashed = df.withColumn("_text_hash", F.xxhash64(F.col(text)))
-    kept = hashed.join(keep.distinct(), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
+    own = "_weftline_simhash_"
+    keep = least.join(of, "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias(own + "id"), F.col("row.text_hash").alias(own + "kept"))
+    hashed = df.withColumn(own + "hash", F.xxhash64(F.col(text)))
+    kept = hashed.join(keep.distinct(), F.col(doc_id).eqNullSafe(F.col(own + "id")) & (F.col(own + "hash") == F.col(own + "kept")), "left_semi")
+    return kept.dropDuplicates([doc_id, own + "hash"]).drop(own + "hash")

@@ -161,7 +161,12 @@ def write(pages: DataFrame, path: str | None = None, shards: int | None = None,
             nonlocal out
             stream, temporary, name, stat = out
             stream.close()
-            fs.move(temporary, f"{base}/{name}")
+            try:
+                fs.move(temporary, f"{base}/{name}")
+            except OSError:  # some stores don't replace: another attempt has put the same bytes there
+                if fs.get_file_info(f"{base}/{name}").size != stat[1]:
+                    raise
+                fs.delete_file(temporary)
             done.append((name, *stat[:2], stat[2].hexdigest()))
             out = None
 
@@ -191,9 +196,20 @@ def write(pages: DataFrame, path: str | None = None, shards: int | None = None,
 
     placed = made.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "at", "place").drop("place")
     placed.mapInArrow(save, "file string, records long, bytes long, sha1 string").write.mode("overwrite").parquet(f"{path}/{_MANIFEST}")
+    _sweep(path)
     return path
 
 
+def _sweep(path: str) -> None:
+    """Deletes what lost attempts left under temporary names."""
+    from pyarrow import fs as files
+
+    fs, base = _fs(path)
+    for f in fs.get_file_info(files.FileSelector(base)):
+        if f.type == files.FileType.File and f.base_name.startswith(".shard-"):
+            fs.delete_file(f.path)
+
+
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record of a stream of gzip members."""
     left, z, data = b"", None, bytearray()

@@ -19,8 +19,9 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.workers import trimmed
+
 #: Characters of text in a block, and of distinct words that a task keeps.
-BLOCK_CHARS, CACHE_CHARS = 2_000_000, 4_000_000
+BLOCK_CHARS, CACHE_CHARS = 1_000_000, 3_000_000
+#: Words that are replayed at once, and spans that are gathered at once.
+REPLAY_WORDS, SPAN = 15_000, 50_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -39,6 +44,17 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+class _Pairs(dict):
+    """Rank of the token that two tokens make, by first << 20 | second; -1 if they make none."""
+
+    def __init__(self, tokens: dict[int, bytes], ranks: dict[bytes, int]):
+        self.tokens, self.ranks = tokens, ranks
+
+    def __missing__(self, key: int) -> int:
+        self[key] = rank = self.ranks.get(self.tokens[key >> 20] + self.tokens[key & 0xFFFFF], -1)
+        return rank
+
+
 class Codec:
     """Encodes and decodes by a rank file's tokens and a pattern that splits texts."""
 
@@ -46,20 +62,23 @@ class Codec:
         pairs = [line.split() for line in ranks.splitlines() if line]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.tokens = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
         top = max(self.tokens) + 1
         self.width = np.array([len(self.tokens.get(i, b"")) for i in range(top)], np.int64)
         self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(top)), np.uint8)
         self.start = np.cumsum(self.width) - self.width
         self.byte_rank = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.two = np.array([[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs = _Pairs(self.tokens, self.ranks)
         self.clear()
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
-        self.ids, self.first, self.count, self.text = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        self.chars = 0
+        #: Of each word: whether a later block met it, its ids, and these in decimal with a comma after each.
+        self.again, self.chars = np.zeros(0, bool), 0
+        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.text, self.text_first, self.text_count = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in sequence, and how many each has. No word is empty."""
@@ -73,94 +92,133 @@ class Codec:
         pair = np.full(n, -1)
         pair[:-1] = self.two[data[:-1], data[1:]]
         pair[ends - 1] = -1
-        index: dict[int, list[int]] = defaultdict(list)
         some = np.flatnonzero(pair >= 0)
         some = some[np.argsort(pair[some], kind="stable")]
-        found, cut = np.unique(pair[some], return_index=True)
-        for rank, at in zip(found.tolist(), np.split(some, cut[1:]), strict=True) if len(found) else ():
+        heap, cut = np.unique(pair[some], return_index=True)
+        # For each rank, the positions where its pair stands or stood; None if the rank is not on the heap.
+        index: list[list[int] | None] = [None] * len(self.width)
+        heap = heap.tolist()
+        for rank, at in zip(heap, np.split(some, cut[1:]), strict=False):
             index[rank] = at.tolist()
-        heap = found.tolist()
         token, before, after, pair = self.byte_rank[data].tolist(), before.tolist(), after.tolist(), pair.tolist()
-        known, tokens, ranks = self.pairs, self.tokens, self.ranks
-
-        def rank_of(a: int, b: int) -> int:
-            r = known.get((a, b))
-            if r is None:
-                r = known[a, b] = ranks.get(tokens[a] + tokens[b], -1)
-            return r
-
+        known = self.pairs
         while heap:
             rank = heappop(heap)
-            at = index.pop(rank, None)
-            if at is None:
-                continue
+            at, index[rank] = index[rank], None
             at.sort()
-            for k, p in enumerate(at):
+            high = rank << 20
+            for p in at:
                 if pair[p] != rank:
                     continue
                 q = after[p]
                 right, left = after[q], before[p]
-                token[p], token[q], pair[q], after[p], lowest = rank, -1, -1, right, rank
+                token[p], token[q], pair[q], after[p], lower = rank, -1, -1, right, False
                 if right >= 0:
                     before[right] = p
-                    pair[p] = new = rank_of(rank, token[right])
+                    pair[p] = new = known[high | token[right]]
                     if new >= 0:
-                        if new not in index:
+                        if index[new] is None:
+                            index[new] = [p]
                             heappush(heap, new)
-                        index[new].append(p)
-                        lowest = min(lowest, new)
+                        else:
+                            index[new].append(p)
+                        lower = new < rank
                 else:
                     pair[p] = -1
                 if left >= 0:
-                    pair[left] = new = rank_of(token[left], rank)
+                    pair[left] = new = known[token[left] << 20 | rank]
                     if new >= 0:
-                        if new not in index:
+                        if index[new] is None:
+                            index[new] = [left]
                             heappush(heap, new)
-                        index[new].append(left)
-                        lowest = min(lowest, new)
-                if lowest < rank:
-                    index[rank] = at[k + 1 :]
-                    heappush(heap, rank)
+                        else:
+                            index[new].append(left)
+                        lower = lower or new < rank
+                if lower:
+                    if index[rank] is None:
+                        heappush(heap, rank)
+                    index[rank] = [x for x in at if x > p]
                     break
         left = np.array(token)
         alive = left >= 0
         return left[alive].astype(np.int32), np.add.reduceat(alive.astype(np.int64), ends - sizes)
 
-    def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if not new:
-            return
+    def learn(self, words: set[str]) -> None:
+        """Takes in the words of a block. When the cache is full, words that no later block met are forgotten."""
+        if self.chars > CACHE_CHARS:
+            self.forget()
+        new = list(words.difference(self.words))
+        met = words.difference(new)
+        self.again[np.fromiter(map(self.words.__getitem__, met), np.int64, len(met))] = True
+        for i in range(0, len(new), REPLAY_WORDS):
+            self._add(new[i : i + REPLAY_WORDS])
+
+    def _add(self, new: list[str]) -> None:
         ids, count = self.replay([w.encode() for w in new])
-        first = np.cumsum(count) - count
-        texts = list(map(str, ids.tolist()))
-        self.text += [",".join(texts[a : a + n]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-        self.first = np.concatenate([self.first, first + len(self.ids)])
-        self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, count])
-        self.chars += sum(map(len, new))
+        listed = np.char.add(ids.astype("S"), b",")
+        sizes = np.char.str_len(listed)
+        text = np.frombuffer(b"".join(listed.tolist()), np.uint8)
+        text_count = np.add.reduceat(sizes, np.cumsum(count) - count)
+        self._append(new, np.zeros(len(new), bool), ids, count, text, text_count)
+
+    def _append(self, names: list[str], again: np.ndarray, ids: np.ndarray, count: np.ndarray, text: np.ndarray, text_count: np.ndarray) -> None:
+        self.words.update(zip(names, range(len(self.words), len(self.words) + len(names)), strict=True))
+        self.first = np.concatenate([self.first, np.cumsum(count) - count + len(self.ids)])
+        self.text_first = np.concatenate([self.text_first, np.cumsum(text_count) - text_count + len(self.text)])
+        self.again, self.ids, self.text = np.concatenate([self.again, again]), np.concatenate([self.ids, ids]), np.concatenate([self.text, text])
+        self.count, self.text_count = np.concatenate([self.count, count.astype(np.int32)]), np.concatenate([self.text_count, text_count.astype(np.int32)])
+        self.chars += sum(map(len, names))
+
+    def forget(self) -> None:
+        names = [w for w, i in self.words.items() if self.again[i]]
+        if 2 * sum(map(len, names)) > CACHE_CHARS:
+            names = []
+        at = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))
+        kept = self._spans(self.ids, self.first, self.count, at), self.count[at], self._spans(self.text, self.text_first, self.text_count, at), self.text_count[at]
+        self.clear()
+        self._append(names, np.zeros(len(names), bool), *kept)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, bytes]:
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        return self._spans(self.ids, self.first, self.count, at), self._spans(self.text, self.text_first, self.text_count, at).tobytes()
+
+    def _pieces(self, text: str) -> Iterator[list[str]]:
+        """Words of a long text, some at a time."""
+        found = self.pattern.finditer(text)
+        while words := [m.group() for m in islice(found, REPLAY_WORDS)]:
+            self.learn(set(words))
+            yield words
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes]]:
         """The ids of each text, and these in decimal with commas."""
+        if len(texts) == 1 and len(texts[0] or "") > BLOCK_CHARS:
+            parts = [self._encoded(words) for words in self._pieces(texts[0])]
+            yield np.concatenate([ids for ids, _ in parts]), b"".join(listed for _, listed in parts)[:-1]
+            return
         split = [self.split(t or "") for t in texts]
-        if self.chars > CACHE_CHARS:
-            self.clear()
         self.learn(set().union(*split))
         for words in split:
-            at = list(map(self.words.__getitem__, words))
-            yield self._spans(self.ids, self.first, self.count, np.array(at, np.int64)), ",".join(map(self.text.__getitem__, at)).encode()
+            ids, listed = self._encoded(words)
+            yield ids, listed[:-1]
 
     def count_ids(self, texts: list[str | None]) -> list[int]:
+        sizes = lambda words: int(self.count[np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))].sum(dtype=np.int64))
+        if len(texts) == 1 and len(texts[0] or "") > BLOCK_CHARS:
+            return [sum(map(sizes, self._pieces(texts[0])))]
         split = [self.split(t or "") for t in texts]
-        if self.chars > CACHE_CHARS:
-            self.clear()
         self.learn(set().union(*split))
-        return [int(self.count[list(map(self.words.__getitem__, words))].sum()) if words else 0 for words in split]
+        return list(map(sizes, split))
 
     @staticmethod
     def _spans(data: np.ndarray, first: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
-        n = count[at]
-        ends = np.cumsum(n)
-        return data[np.repeat(first[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        """What data has for each of ``at``, one after the other."""
+        parts = []
+        for i in range(0, len(at), SPAN) or (0,):
+            part = at[i : i + SPAN]
+            n = count[part].astype(np.int64)
+            ends = np.cumsum(n)
+            parts.append(data[np.repeat(first[part] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self._spans(self.bytes, self.start, self.width, ids).tobytes()
@@ -203,7 +261,7 @@ def _added(df: DataFrame, added: str, make, text: str) -> DataFrame:
         for part, texts in blocks(batches, text):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *make(texts)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
@@ -223,7 +281,7 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> DataF
             out = [codec(shared.value, pattern).decode(np.array(x.as_py() or [], np.int64)) for x in b.column(ids)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "decoded"])
 
-    return df.mapInArrow(run, T.StructType([*rest, T.StructField("decoded", T.BinaryType())]))
+    return df.mapInArrow(trimmed(run), T.StructType([*rest, T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(df: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
@@ -256,4 +314,4 @@ def hot_words(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
                     seen[w] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    return df.select(F.col(text).alias(text)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return df.select(F.col(text).alias(text)).mapInArrow(trimmed(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.workers import trimmed
 
 PER_LANGUAGE = 2000
 BUCKETS = 1 << 16
@@ -36,7 +37,7 @@ MODEL_BYTES = 64 << 20
 UNKNOWN = "und"
 ADDED = ("held_out", "lang_pred", "score")
 #: Characters scored at once.
-BLOCK = 1_000_000
+BLOCK = 200_000
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -125,7 +126,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: Column | Non
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["cell", "n"])
 
-    cells = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = sample.mapInArrow(trimmed(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     sums = np.zeros(len(languages) * buckets)
     sums[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
     sums = sums.reshape(len(languages), buckets) + SMOOTHING
@@ -187,7 +188,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             langs, scores = score(shared.value, (x.as_py() for x in b.column(text)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return df.mapInArrow(run, T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(trimmed(run), T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

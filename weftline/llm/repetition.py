@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weftline.llm.workers import trimmed
 
 #: A shorter repeat than this is chance or idiom.
 MIN_WORDS = 10
@@ -30,7 +31,7 @@ MIN_WORDS = 10
 MAX_COVERED = 0.3
 MAX_REPEAT = 50
 #: Words that share a suffix array; a longer text has one of its own.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 100_000
 
 _SYMBOLS, _SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 
@@ -168,4 +169,4 @@ def judge(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_cov
             longs = [pa.array([s[i] for s in stats], pa.int64()) for i in range(7)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *longs, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names=[*names, *added.names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)

@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.workers import trimmed
 from weftline.staging import drop, stage
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
 #: Shingles whose bits are unpacked at once, pairs verified at once, and grid rows of a task.
-_SHINGLES, _PAIRS, _ROWS = 50_000, 1_000_000, 1_000_000
+_SHINGLES, _PAIRS, _ROWS = 20_000, 1_000_000, 1_000_000
 
 
 def _hashes(text: str | None, k: int) -> np.ndarray:
@@ -68,7 +69,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", k: int = SHINGLE_WORDS,
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fingerprints((x.as_py() for x in b.column(text)), k))], names=[*names, column])
 
-    return df.mapInArrow(run, T.StructType([*rest, T.StructField(column, T.LongType())]))
+    return df.mapInArrow(trimmed(run), T.StructType([*rest, T.StructField(column, T.LongType())]))
 
 
 def offsets(segments: int, max_bits: int) -> list[tuple[int, ...]]:
@@ -168,7 +169,7 @@ def links(fps: DataFrame, n: int, segments: int | None = None, max_bits: int = M
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grid // _ROWS + 1)
-    return _cells(fps, segments, max_bits).repartition(tasks, "cell").mapInArrow(run, "a long, b long")
+    return _cells(fps, segments, max_bits).repartition(tasks, "cell").mapInArrow(trimmed(run), "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,18 +40,28 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back."""
     path = new_path(df.sparkSession, tag)
+    _staged.append(path)
     df.write.parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._staged_at = path
     return staged
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(*staged: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in staged:
         path = getattr(df, "_staged_at", None)
         if path:
-            with contextlib.suppress(Exception):
-                jvm, spark = df.sparkSession._jvm, df.sparkSession
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this process has staged, once their results are written elsewhere."""
+    while _staged:
+        _delete(spark, _staged.pop())

@@ -16,7 +16,7 @@ ARTICLE = "<p>First paragraph of the story, long enough to count as text.</p><p>
         ("<article><header><h1>T</h1></header><p>x</p></article><header>site</header>", "T\n\nx"),
         ("<div class='cookie-notice'>ok?</div><div role=navigation>m</div><div hidden>h</div><p>text</p>", "text"),
         ("<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div>" + ARTICLE + "</div><ul><li><a href=3>Three</a></ul>", "First paragraph of the story, long enough to count as text.\n\nSecond one."),
-        ("<p title='a > b'>in</p>", "in"), ("<p>x<script>y", "x"), ("<table><tr><td>a<td>b</table>", "a\n\nb"),
+        ("<p title='a > b'>in</p>", "in"), ("<p title='a hidden ad class=ad'>kept</p><p data-x=hidden>too</p><p HIDDEN>no</p>", "kept\n\ntoo"), ("<article><div class=article-header><h1>T</h1></div><p>x</p></article>", "T\n\nx"), ("<p>x<script>y", "x"), ("<table><tr><td>a<td>b</table>", "a\n\nb"),
     ],
 )
 def test_extract(html, want):

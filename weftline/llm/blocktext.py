@@ -43,7 +43,7 @@ _SAME = {k: frozenset(v.split()) for k, v in _SAME.items()}
 _SCOPE = frozenset("ul ol dl table article main section div body html td th blockquote".split())
 
 _TAG = re.compile(r"""<(?:!--(?:>|->|[\s\S]*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)(?:>|\Z))""")
-_MARKS = re.compile(r"""\s(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_MARKS = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z0-9]+(?:[A-Z]+(?![a-z]))?|[A-Z]+[a-z0-9]*")
 
 

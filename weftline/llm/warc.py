@@ -2,11 +2,12 @@
 
 Every record has a place: a response the digest of its payload, a revisit a digest of its
 page. Shards are equal ranges of the places, so they hold equal parts of the records
-whatever the pages are. A task sorts its shard by place and writes records as gzip members, rolls a file when its compressed size reaches
-``roll_bytes``, and regenerates all headers and digests from the payload. A file is
-written under a temporary name of the attempt and renamed when whole; a lost or repeated
-task renames the same bytes to the same name. The manifest, a table with a row for each
-file, is written after all files, and readers take only files that it names.
+whatever the pages are. A task sorts its shard by place, writes records as gzip members
+with headers and digests made from the payload, and rolls a file when its compressed size
+reaches ``roll_bytes``. A file is written under a temporary name of the attempt and renamed
+when whole; a lost or repeated task renames the same bytes to the same name. The manifest,
+a table with a row for each file, is written after all files, and readers take only files
+that it names.
 
 Of records with equal payloads of at least ``min_revisit_bytes``, that of the smallest
 page_id (null last, then url) is the response; the others are revisits without payload.

@@ -576,9 +576,9 @@ _STAGE = ["(" + " + ".join(f"contains(t, '{w}')::INT" for w in words.split()) +
 @query("chunks", f"""WITH t AS (SELECT *, lower(name || ' ' || package || ' ' || description) AS t FROM chunks), b AS (SELECT *, greatest({", ".join(_STAGE)}) AS best FROM t), s AS (SELECT *, CASE {" ".join(f"WHEN {x} = best THEN {i}" for i, x in enumerate(_STAGE))} END AS stage FROM b WHERE best > 0),
 nm AS (SELECT name, min(stage) AS other FROM s GROUP BY 1), d AS (SELECT stage, unnest(dependencies) AS name FROM s), e AS (SELECT stage, other, count(*) AS w FROM d JOIN nm USING (name) WHERE other > stage GROUP BY 1, 2),
 x AS (SELECT stage, other FROM e QUALIFY row_number() OVER (PARTITION BY stage ORDER BY w DESC, other) = 1)
-SELECT s.stage::INT AS stage, count(*) AS hits, any_value(x.other)::INT AS next_stage FROM s LEFT JOIN x ON s.stage = x.stage GROUP BY 1""")
+SELECT s.stage::INT AS stage, count(*) AS hits, coalesce(any_value(x.other), -1)::INT AS next_stage FROM s LEFT JOIN x ON s.stage = x.stage GROUP BY 1""")
 def stage_flow(v: Views) -> DataFrame:
-    return diagrams.stage_flow(v.chunks)
+    return diagrams.stage_flow(v.chunks).withColumn("next_stage", F.coalesce("next_stage", F.lit(-1)))
 
 
 # Planning and routing

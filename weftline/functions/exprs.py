@@ -43,6 +43,15 @@ def hits(c: Column, words: Sequence[str], each: int = 1) -> Column:
     return reduce(lambda a, b: a + b, (F.when(F.contains(c, F.lit(w)), each).otherwise(0) for w in words))
 
 
+def most_hits(text: Column, groups: Sequence[Sequence[str]]) -> Column:
+    """Position of the group of words with most hits, the first of equals; null without any.
+
+    Lambdas bind the text and the counts, so that neither is evaluated again for each word or comparison.
+    """
+    counts = F.transform(F.array(text), lambda t: F.array(*(hits(t, words) for words in groups)))[0]
+    return F.transform(F.array(counts), lambda n: F.when(F.array_max(n) > 0, F.array_position(n, F.array_max(n)).cast("int") - 1))[0]
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 

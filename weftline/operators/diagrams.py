@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.exprs import diagram_id, hits
+from weftline.functions.exprs import diagram_id, most_hits
 
 # Stages in order with their labels and words.
 STAGES = (
@@ -21,12 +21,7 @@ TOP_PACKAGES, TOP_EDGES, CHAIN = 8, 10, 6
 def stage_of() -> Column:
     """Number of the stage with most words in name, package and description, the first of equals; null without any."""
     text = F.lower(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in ("name", "package", "description"))))
-    scores = [hits(text, words.split()) for _, _, words in STAGES]
-    best = F.greatest(*scores)
-    out = F.lit(None).cast("int")
-    for i in reversed(range(len(STAGES))):
-        out = F.when(scores[i] == best, i).otherwise(out)
-    return F.when(best > 0, out)
+    return most_hits(text, [words.split() for _, _, words in STAGES])
 
 
 def package_counts(chunks: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations, repeat
+from itertools import repeat
 from math import comb
 
 import numpy as np
@@ -220,8 +220,8 @@ def survivors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     """One row of ``df`` for each component: that of the smallest doc_id (null last), then of the smallest text hash; of rows equal in both, any."""
     rows, of = _linked(df, doc_id, text, k, max_bits, None)
     least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"))
-    own = "_weftline_simhash_"
-    keep = least.join(of, "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias(own + "id"), F.col("row.text_hash").alias(own + "kept"))
-    hashed = df.withColumn(own + "hash", F.xxhash64(F.col(text)))
-    kept = hashed.join(keep.distinct(), F.col(doc_id).eqNullSafe(F.col(own + "id")) & (F.col(own + "hash") == F.col(own + "kept")), "left_semi")
-    return kept.dropDuplicates([doc_id, own + "hash"]).drop(own + "hash")
+    # One key that is never null, so that the join and the removal of repeats share a partitioning of the texts.
+    key = lambda id_, hash_: F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_).cast("string")), F.lit("")), F.lit(":"), hash_.cast("string"))
+    own = "_weftline_simhash_key"
+    keep = least.join(of, "fp").groupBy("root").agg(F.min("row").alias("row")).select(key("row.doc_id", F.col("row.text_hash")).alias(own)).distinct()
+    return df.withColumn(own, key(doc_id, F.xxhash64(F.col(text)))).join(keep, own, "left_semi").dropDuplicates([own]).drop(own)

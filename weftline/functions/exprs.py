@@ -23,7 +23,7 @@ STRUCT_ROLES = (("service", "Service"), ("repository repo store", "Data Access")
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def blank(c: Column) -> Column:

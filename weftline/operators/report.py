@@ -14,35 +14,41 @@ SEVERITIES = ("critical", "warning", "info")
 HEURISTIC_SHARE, QUALITY_LOW, FALLBACK_BELOW = 0.8, 0.55, 0.45
 
 
-def quality_issues(section: Column, content: Column) -> dict[str, tuple[Column, float]]:
-    """Each issue's test and penalty."""
-    text = trim_ws(content)
-    low = F.lower(text)
-    lines = F.filter(F.transform(F.split(text, "\n"), trim_ws), lambda x: x != "")
-    bullet = lambda x: x.startswith("- ") | x.startswith("* ")
-    bullets, paragraphs = F.size(F.filter(lines, bullet)), F.size(F.filter(lines, lambda x: ~bullet(x) & ~x.startswith("#")))
-    heads = F.size(F.split(low, "\n## ")) - 1
+def quality_issues() -> dict[str, tuple[Column, float]]:
+    """Each issue's test and penalty, over the columns that ``_measured`` adds."""
+    section, low, bullets = F.col("_section"), F.col("_low"), F.col("_bullets")
     feature = section == "key-features"
     return {
-        "list_heavy": ((F.size(lines) > 0) & (bullets / F.greatest(F.size(lines), F.lit(1)) > 0.45), 0.25),
-        "insufficient_paragraphs": (paragraphs < 2, 0.2),
+        "list_heavy": ((F.col("_lines") > 0) & (bullets / F.greatest("_lines", F.lit(1)) > 0.45), 0.25),
+        "insufficient_paragraphs": (F.col("_paragraphs") < 2, 0.2),
         "file_walkthrough_style": (hits(low, WALKTHROUGH) >= 2, 0.35),
         "instructional_or_placeholder_text": (contains_any(low, PLACEHOLDERS), 0.2),
         "missing_overview_diagram": ((section == "overview") & ~F.contains(low, F.lit("```mermaid")), 0.2),
-        "insufficient_feature_sections": (feature & (heads < 2), 0.2),
+        "insufficient_feature_sections": (feature & (F.col("_heads") < 2), 0.2),
         "missing_technical_anchors": (feature & ~F.contains(low, F.lit("`")), 0.15),
     }
 
 
+def _measured(sections: DataFrame, section: str, content: str) -> DataFrame:
+    """sections with text and counts as columns of their own, so that no test computes them again."""
+    bullet = lambda x: x.startswith("- ") | x.startswith("* ")
+    s = sections.withColumn("_section", F.col(section)).withColumn("_text", trim_ws(F.coalesce(F.col(content), F.lit(""))))
+    s = s.withColumn("_low", F.lower("_text")).withColumn("_split", F.filter(F.transform(F.split("_text", "\n"), trim_ws), lambda x: x != ""))
+    s = s.withColumn("_bullets", F.size(F.filter("_split", bullet))).withColumn("_paragraphs", F.size(F.filter("_split", lambda x: ~bullet(x) & ~x.startswith("#"))))
+    return s.withColumn("_lines", F.size("_split")).withColumn("_heads", F.size(F.split("_low", "\n## ")) - 1)
+
+
 def writer_quality(sections: DataFrame, section: str = "section_id", content: str = "content") -> DataFrame:
     """sections with quality (0 to 1) and issues, listed with commas."""
-    issues = quality_issues(F.col(section), F.col(content))
-    empty = trim_ws(F.coalesce(F.col(content), F.lit(""))) == ""
+    tests = quality_issues()
+    s = _measured(sections, section, content).withColumn("_issues", F.array(*(test for test, _ in tests.values())))
     lost = F.lit(0.0)
-    for test, penalty in issues.values():
-        lost = lost + F.when(test, penalty).otherwise(0.0)
-    names = F.concat_ws(",", *(F.when(test, name) for name, (test, _) in issues.items()))
-    return sections.withColumn("quality", F.when(empty, 0.0).otherwise(F.round(F.greatest(1 - lost, F.lit(0.0)), 6))).withColumn("issues", F.when(empty, "empty_content").otherwise(names))
+    for i, (_, penalty) in enumerate(tests.values()):
+        lost = lost + F.when(F.col("_issues")[i], penalty).otherwise(0.0)
+    names = F.concat_ws(",", *(F.when(F.col("_issues")[i], name) for i, name in enumerate(tests)))
+    empty = F.col("_text") == ""
+    s = s.withColumn("quality", F.when(empty, 0.0).otherwise(F.round(F.greatest(1 - lost, F.lit(0.0)), 6))).withColumn("issues", F.when(empty, "empty_content").otherwise(names))
+    return s.select(*sections.columns, "quality", "issues")
 
 
 def is_low_quality(section: Column, content: Column) -> Column:

@@ -22,12 +22,12 @@ def trim() -> None:
 
 
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for mapInArrow, followed by ``trim``."""
+    """``run`` for mapInArrow, with ``trim`` after each batch."""
 
     def wrapped(batches: Iterator) -> Iterator:
-        try:
-            yield from run(batches)
-        finally:
+        for out in run(batches):
+            yield out
+            del out
             trim()
 
     return wrapped

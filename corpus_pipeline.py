@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, langid, mixing, repetition, simhash
-from weftline.llm.queries import table, tokenizer
+from weftline.llm.queries import documents, tokenizer
 from weftline.staging import stage
 
 #: A prediction of lower score is rejected; four equally likely languages score 0.25.
@@ -61,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for name, f in STAGES:
         docs = stage(f(spark, docs, sf_dir), name.split()[0].lower())
     return docs

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in a task for each core at least: a table of a few row groups is dealt anew, so that work on its texts is shared."""
+    df = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tokenizer(name: str = VOCABULARY) -> tuple[bytes, str]:
     """Ranks and pattern of a public tokenizer."""
     import public_tokenizers
@@ -32,11 +39,11 @@ def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True).drop("longest_repeat")
+    return repetition.judge(documents(spark, sf_dir).select("doc_id", "text"), drop_text=True).drop("longest_repeat")
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.components(table(spark, sf_dir, "documents"))
+    return simhash.components(documents(spark, sf_dir))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found, _ = langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -55,7 +62,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer()
-    hist = token_histogram.histogram(bpe.lengths(table(spark, sf_dir, "documents").select("text"), ranks, pattern))
+    hist = token_histogram.histogram(bpe.lengths(documents(spark, sf_dir).select("text"), ranks, pattern))
     return token_histogram.suffix_sums(stage(hist, "histogram"))  # it is read twice; encoding is done once
 
 
@@ -65,7 +72,7 @@ def op9_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer()
-    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return bpe.digests(documents(spark, sf_dir).select("doc_id", "text"), ranks, pattern)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

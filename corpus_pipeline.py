@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, mixing, repetition, simhash
+from weftline.llm import bpe, langid, mixing, nearcopies, repetition, simhash
 from weftline.llm.queries import documents, tokenizer
 from weftline.staging import stage
 
@@ -39,8 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id."""
-    return simhash.survivors(docs).select(*docs.columns)
+    """One document of each group of near-duplicates, that of the smallest doc_id: within op4's bits, or of five-word similarity 0.8 or more."""
+    return simhash.survivors(docs, more=nearcopies.links(docs)).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,12 +199,13 @@ def connected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _linked(df: DataFrame, doc_id: str, text: str, k: int, max_bits: int, segments: int | None) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, text_hash, fp), and each fp's first_id and root."""
+def _linked(df: DataFrame, doc_id: str, text: str, k: int, max_bits: int, segments: int | None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp), and each fp's first_id and root; ``more`` holds further links (a, b) of fingerprints."""
     narrow = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     rows = stage(with_fingerprint(narrow, "text", k), "fingerprints")
     fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    found = connected(links(fps.select("fp"), fps.count(), segments, max_bits))
+    within = links(fps.select("fp"), fps.count(), segments, max_bits)
+    found = connected(within if more is None else within.unionByName(more))
     return rows, fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
 
 
@@ -216,9 +217,12 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def survivors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of ``df`` for each component: that of the smallest doc_id (null last), then of the smallest text hash; of rows equal in both, any."""
-    rows, of = _linked(df, doc_id, text, k, max_bits, None)
+def survivors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, more: DataFrame | None = None) -> DataFrame:
+    """One row of ``df`` for each component: that of the smallest doc_id (null last), then of the smallest text hash; of rows equal in both, any.
+
+    ``more`` holds links (a, b) of fingerprints beside those within max_bits.
+    """
+    rows, of = _linked(df, doc_id, text, k, max_bits, None, more)
     least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"))
     # One key that is never null, so that the join and the removal of repeats share a partitioning of the texts.
     key = lambda id_, hash_: F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_).cast("string")), F.lit("")), F.lit(":"), hash_.cast("string"))

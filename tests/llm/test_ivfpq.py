@@ -65,3 +65,15 @@ def test_odd_vectors(spark):
     assert ivfpq.search(df.limit(0)).count() == 0
     assert ivfpq.search(df.filter("vec_id = 400")).count() == 0
     assert ivfpq.search(df.filter("vec_id = 0")).count() == 0
+
+
+def test_repeated_ids_count_once_against_the_limits(spark, monkeypatch):
+    monkeypatch.setattr(ivfpq, "SHARD_ROWS", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
+    near = np.array(rows[0][1])
+    rows += [(1001, (near + 0.01).tolist())] * 150 + [(1002, (near + rng.normal(size=8) * 0.01).tolist()) for _ in range(150)] + [(100, rows[100][1])] * 20
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
+    got, want = found(ivfpq.search(df, lists=2, probes=2)), exact(rows, 100, 10)
+    for q in want:
+        assert len(got[q]) == 10 and [i for i, _ in got[q]] == [i for i, _ in want[q]]

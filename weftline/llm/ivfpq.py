@@ -155,21 +155,28 @@ def _probed(queries: DataFrame, shared, probes: int) -> DataFrame:
 
 
 def _best(q: Quantizer, at: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    order = np.argsort(ids, kind="stable")
+    ids, x, codes = ids[order], x[order], codes[order]
+    each, start, of = np.unique(ids, return_index=True, return_inverse=True)
     for i in range(0, len(queries), 32):
         tables = q.tables(queries[i : i + 32], at)
         near = sum(t[:, codes[:, p]] for p, t in enumerate(tables))
         for j, approximate in enumerate(near):
-            query, own = queries[i + j], ids != query_ids[i + j]
-            approximate = np.where(own, np.round(approximate, 12), np.inf)
-            n = min(rerank, len(ids))
+            query, own = queries[i + j], each != query_ids[i + j]
+            # An id counts once against both limits, at its nearest row.
+            approximate = np.where(own, np.minimum.reduceat(np.round(approximate, 12), start), np.inf)
+            n = min(rerank, len(each))
             cut = np.partition(approximate, n - 1)[n - 1]
             closer, level = np.flatnonzero(approximate < cut), np.flatnonzero(approximate == cut)
-            level = level[np.argsort(ids[level], kind="stable")][: n - len(closer)]
-            pick = np.concatenate([closer, level])
-            pick = pick[own[pick]]
+            picked = np.zeros(len(each), bool)
+            picked[closer] = True
+            picked[level[: n - len(closer)]] = True
+            pick = np.flatnonzero((picked & own)[of])
             exact = np.sqrt(((x[pick] - query) ** 2).sum(axis=1))
-            order = np.lexsort((ids[pick], exact))[:k]
-            yield int(query_ids[i + j]), ids[pick][order], exact[order]
+            found, first = np.unique(ids[pick], return_index=True)
+            exact = np.minimum.reduceat(exact, first) if len(first) else exact
+            order = np.lexsort((found, exact))[:k]
+            yield int(query_ids[i + j]), found[order], exact[order]
 
 
 def _search(queries: DataFrame, index: DataFrame, shared, k: int, rerank: int) -> DataFrame:
@@ -197,8 +204,8 @@ def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    dimension, total = sizes[0]
-    rows = rows.filter(F.col("n") == dimension).drop("n")
+    rows = stage(rows.filter(F.col("n") == sizes[0]["n"]).drop("n").distinct(), "vectors")
+    total = rows.count()
     lists = lists or max(1, min(MAX_LISTS, round(total**0.5)))
     # A cut of the hash that keeps fit_rows on average, and at most a few standard deviations more.
     key = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30))
@@ -216,7 +223,7 @@ def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     asked = {r[0]: r[1] for r in probed.groupBy("list").count().collect()}
     number = lambda counts, rows: F.coalesce(F.create_map(*(x for i, n in counts.items() for x in (F.lit(i), F.lit(-(-n // rows)))))[F.col("list")], F.lit(1)) if counts else F.lit(1)
     shards, blocks = {i: n for i, n in held.items() if n > shard_rows}, {i: n for i, n in asked.items() if n > QUERY_ROWS}
-    dealt = index.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), number(shards, shard_rows)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), (number(blocks, QUERY_ROWS) - 1).cast("int"))))
+    dealt = index.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding", F.lit(1)), number(shards, shard_rows)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), (number(blocks, QUERY_ROWS) - 1).cast("int"))))
     sent = probed.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), number(blocks, QUERY_ROWS)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), (number(shards, shard_rows) - 1).cast("int"))))
     found = _search(sent, dealt, shared, k, rerank).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

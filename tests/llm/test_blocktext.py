@@ -42,3 +42,23 @@ def test_rows(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.page_id or 0, r.n_chars) for r in out.collect()) == [(0, 1), (1, 0), (1, 72)]
     assert main_text(df.limit(0)).count() == 0
+
+
+TEXT = "First paragraph of the story, long enough to count as text.\n\nSecond one."
+
+
+@pytest.mark.parametrize("start", ['<svg class="i"/>', "<math/>", "<video src=x>", "<object data=x>", "<canvas>"])
+def test_text_after_empty_or_unclosed_elements_stays(start):
+    assert extract(f"<article>{start}{ARTICLE}</article>") == TEXT
+
+
+def test_raw_text_still_runs_to_the_end():
+    assert extract(f"<article>{ARTICLE}</article><script>{ARTICLE}") == TEXT
+    assert extract(f"<article>{ARTICLE}<svg><text>x</text></svg></article>") == TEXT
+    assert isinstance(extract("<video>" * 50_000), str)
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "with-sidebar", "no-footer", "page-with-left-sidebar"])
+def test_wrappers_that_have_noise_are_not_noise(name):
+    assert extract(f'<div class="{name}">{ARTICLE}</div>') == TEXT
+    assert extract(f'<div class="left-sidebar">{ARTICLE}</div>') == ""

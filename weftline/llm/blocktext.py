@@ -30,6 +30,8 @@ SURGE = 80
 
 # Names of HTML elements and common class names.
 _RAW = frozenset("script style template noscript iframe svg math object canvas video audio title textarea xmp noembed noframes".split())
+#: Of these, those whose content is text up to their end tag, or to the end of the page.
+_TO_END = frozenset("script style noscript iframe title textarea xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _SKIP = frozenset("head nav footer aside form menu dialog select button fieldset datalist header".split())
@@ -37,6 +39,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search alert ale
 _NOISE = frozenset(
     "nav navbar navigation menu menubar topbar topnav sidebar sidenav side aside footer foot bottombar header masthead banner ad ads advert adverts advertisement adsense adbox sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login signin search searchbox share sharing social breadcrumb breadcrumbs pagination pager related recommended comment comments commentlist disqus replies reply respond widget toolbar skip copyright legal disclaimer tags taglist".split()
 )
+#: Words that say what a wrapper has, and not what it is.
+_ABOUT = frozenset("has with no".split())
 _P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "thead tbody tfoot tr td th", "tbody": "thead tbody tfoot tr td th", "tfoot": "thead tbody tfoot tr td th"}
 _SAME = {k: frozenset(v.split()) for k, v in _SAME.items()}
@@ -55,7 +59,7 @@ def _is_noise(attributes: str, in_article: bool = False) -> bool:
         if name in ("class", "id"):
             for token in value.split():
                 parts = [x.lower() for x in _WORDS.findall(token)]
-                if any(x in _NOISE and not (in_article and x == "header") for x in (token.lower(), *parts[:1], *parts[-1:])):
+                if any(x in _NOISE and not (in_article and x == "header") for x in (token.lower(), *parts[:1], *(() if _ABOUT.intersection(parts[:-1]) else parts[-1:]))):
                     return True
     return False
 
@@ -65,6 +69,7 @@ def lines(html: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     open_: list[str] = []
     inside: Counter[str] = Counter()
+    unclosed: set[str] = set()  # without an end tag in the rest of the page
     skipped_at = article_at = 0  # depth + 1 of the outermost such element
     text: list[str] = []
     links = in_link = at = 0
@@ -116,8 +121,13 @@ def lines(html: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
                 pop_to(len(open_) - 1 - open_[::-1].index(name))
             continue
         if name in _RAW:
+            if name in ("svg", "math") and m[3].endswith("/") or name in unclosed:
+                continue
             closed = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = closed.end() if closed else len(html)
+            if closed or name in _TO_END:
+                at = closed.end() if closed else len(html)
+            else:
+                unclosed.add(name)
             continue
         if name in _VOID:
             if not skipped_at:

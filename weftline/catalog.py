@@ -1,7 +1,8 @@
 """Queries over the tables of a folder, and their SQL for an independent engine.
 
 The tables hold no code, so each operator runs over a view that stands for symbols,
-relations, edges, chunks or sections. Every view is the whole of its tables.
+relations, edges, chunks or sections. Edges, changes, section sources and section files
+are views of part of their tables' rows, in the SQL too; the README says how many.
 """
 
 from __future__ import annotations

@@ -1,6 +1,13 @@
+import random
+import re
+from html import unescape
+
 import pytest
 
-from weftline.llm.blocktext import extract, lines, main_text
+from weftline.llm import blocktext, queries
+from weftline.llm.blocktext import between, extract, lines, main_text
+
+SF = "/root/testdata/sf0.001"
 
 ARTICLE = "<p>First paragraph of the story, long enough to count as text.</p><p>Second one.</p>"
 
@@ -23,8 +30,95 @@ def test_extract(html, want):
     assert extract(html) == want
 
 
-def test_skipped_parts_leave_gaps():
-    assert [t for t, _, _ in lines("<p>a</p><nav>n</nav><p>b</p>")] == ["a", "", "", "", "b"]
+def test_markup_leaves_empty_lines():
+    """One for each boundary of a box, three around noise, whose lines stay in the distribution without weight."""
+    assert [(t, n) for t, n, _ in lines("<p>a</p><nav>n</nav><div><p>b</p></div>")] == [("a", 1), *[("", 0)] * 3, ("n", 0), *[("", 0)] * 4, ("b", 1), ("", 0)]
+
+
+def brute_between(found, window, part):
+    """The distribution by its definition, sum by sum."""
+    n = len(found)
+    weight = lambda i: found[i][1] if 0 <= i < n else 0
+    cover = lambda i: [j for j in range(i - window + 1, i + 1) if 0 <= j < n]
+    sums = [sum(weight(j) for j in cover(i)) for i in range(n + window - 1)]
+    top = max(sums, default=0)
+    keep, run = set(), []
+    for i in [*range(len(sums)), None]:
+        if i is not None and sums[i] > 0:
+            run.append(i)
+            continue
+        if any(part * sums[j] >= top for j in run):
+            some = [j for j in range(n) if weight(j) and j in run]
+            keep.update(range(some[0], some[-1] + 1))
+            for step, j in ((-1, some[0]), (1, some[-1])):
+                for k in range(1, window):
+                    if not (0 <= j + step * k < n and found[j + step * k][0]):
+                        break
+                    keep.add(j + step * k)
+        run = []
+    for a in {x[2] for x in found} - {0}:
+        own = [j for j in range(n) if found[j][2] == a]
+        if not top or any(part * sums[i] >= top and weight(j) for j in own for i in range(j, j + window)):
+            keep.update(own)
+    return [j in keep for j in range(n)]
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 5])
+def test_distribution_equals_brute_force(window):
+    rng = random.Random(window)
+    for _ in range(400):
+        found, article = [], 0
+        for _ in range(rng.randrange(1, 40)):
+            kind = rng.random()
+            article = rng.choice([0, 1, 2]) if rng.random() < 0.1 else article
+            found += [("", 0, 0)] * rng.randrange(1, 5) if kind < 0.3 else [("x", 0 if kind < 0.45 else rng.choice([1, 5, 20, 300]), article)]
+        part = rng.choice([1, 3, 5])
+        assert between(found, window, part).tolist() == brute_between(found, window, part)
+    assert between([]).tolist() == []
+
+
+def test_distribution_decides_on_unnamed_parts(monkeypatch):
+    """Without any list of names, the menu has no weight and neither the advert nor the footer surges."""
+    body = "".join(f"<p>{'word ' * 60}</p>" for _ in range(4))
+    page = f"<div><a href=/>Home</a><a href=/x>News</a></div><div><div><div>Buy this now</div></div></div><div><h1>Title</h1>{body}</div><div><div><div>All rights reserved by us</div></div></div>"
+    want = "\n\n".join(["Title", *[("word " * 60).strip()] * 4])
+    assert extract(page) == want
+    for name in ("_NOISE", "_SKIP", "_ROLES"):
+        monkeypatch.setattr(blocktext, name, frozenset())
+    assert extract(page) == want
+
+
+def pages(spark):
+    return [(r.page_id, r.html or "") for r in queries.table(spark, SF, "pages").collect()]
+
+
+def test_query_equals_brute_force(spark):
+    """The pages of the test tables have one article each, of headings and paragraphs, and nothing else in it."""
+    want = {}
+    for i, html in pages(spark):
+        inner = re.search(r"(?s)<article>(.*)</article>", html)[1]
+        blocks = (" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner))
+        want[i] = "\n\n".join(x for x in blocks if x)
+    got = queries.op5_main_text(spark, SF).collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_the_method_decides_on_the_test_pages(spark, monkeypatch):
+    """Every page changes without the distribution; nine of ten stay as they are without any list of names, and all without the rule for articles."""
+    html = [h for _, h in pages(spark)]
+    want = [extract(h) for h in html]
+    assert all("\n\n".join(t for t, _, _ in lines(h) if t) != w for h, w in zip(html, want, strict=True))
+    for h, w in zip(html, want, strict=True):
+        plain = [(t, n, 0) for t, n, _ in lines(h)]
+        assert "\n\n".join(t for (t, _, _), k in zip(plain, between(plain), strict=True) if k and t) == w
+    monkeypatch.setattr(blocktext, "_NOISE", frozenset())
+    monkeypatch.setattr(blocktext, "_SKIP", frozenset(["head"]))
+    assert sum(extract(h) == w for h, w in zip(html, want, strict=True)) >= 0.85 * len(html)
+
+
+@pytest.mark.parametrize(("name", "noise"), [("ad-box", True), ("ad-hoc-analysis", False), ("cookie-notice", True), ("site-footer", True), ("tags", False), ("legal-text", False), ("related", False), ("share", False), ("header-image", False), ("comments-area", True), ("comment-on-the-law", False), ("mainNav", True), ("ad2", True)])
+def test_classes(name, noise):
+    assert extract(f'<div class="{name}">{ARTICLE}</div><p>x</p>').startswith("First") != noise
 
 
 @pytest.mark.parametrize("html", ["<a " * 50_000, '<a b="' * 50_000, "<!--" * 50_000, "<div>" * 20_000, "<script>" * 20_000, "&" * 200_000, "<p>x" * 20_000, "</p>" * 50_000])
@@ -37,10 +131,10 @@ def test_long_text_is_whole():
 
 
 def test_rows(spark):
-    df = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "x"), (1, None, None, "x"), (None, "u", "<p>é</p>", "x")], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "x"), (1, None, None, "x"), (None, "u", "<p>é</p>", "x"), (1, "u", "<p>é</p>", "x")], "page_id long, url string, html string, text string")
     out = main_text(df)
     assert out.columns == ["page_id", "url", "text", "n_chars"]
-    assert sorted((r.page_id or 0, r.n_chars) for r in out.collect()) == [(0, 1), (1, 0), (1, 72)]
+    assert sorted((r.page_id or 0, r.n_chars) for r in out.collect()) == [(0, 1), (1, 0), (1, 1), (1, 72)]
     assert main_text(df.limit(0)).count() == 0
 
 

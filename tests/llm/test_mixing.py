@@ -67,11 +67,37 @@ def test_odd_rows(spark):
     out = mixing.mix(df).collect()
     assert len(out) == 5 and {r["size"] for r in out} == {0, 2, 5000}
     assert sum(r.taken for r in out if r.source == "b") == 5000
-    assert mixing.mix(df.limit(0)).count() == 0
+    assert mixing.mix(df.limit(0)).count() == mixing.mixed(df.limit(0)).count() == 0
     assert {r.taken for r in mixing.mix(df.filter("source = 'a'")).collect()} == {0}
 
 
+def test_reruns_agree_where_ids_repeat(spark):
+    """Rows that share source, size and id but not text keep their copies however the rows are dealt; equal rows share theirs."""
+    rng = random.Random(4)
+    rows = [(1, rng.choice(["a", "b", None]), f"w{i % 40} " * 5, {"k": "v"}) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, size map<string,string>")
+    counted = lambda d, f: sorted(map(str, f(d).select("source", "text", *(c for c in ("copies",) if f is mixing.mix)).collect()))
+    for f in (mixing.mix, mixing.mixed):
+        want = counted(df, f)
+        assert counted(df.repartition(7, "text"), f) == want == counted(df.repartition(2), f)
+    assert mixing.mix(df).count() == 400
+    assert mixing.mixed(df).columns == df.columns and counted(df, mixing.mixed) == sorted(map(str, mixing.emit(mixing.mix(df)).select("source", "text").collect()))
+
+
+def test_many_sources_need_no_task_of_their_own(spark):
+    sizes = {f"s{i:04d}": (i * 7919) % 1000 for i in range(1500)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_a_hot_source_spreads_over_tasks(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "'a' AS source", "repeat('w ', int(id % 50)) AS text")
+    placed = mixing._sorted(df, [F.col("source"), F.col("doc_id")], "hot").groupBy("task").count().collect()
+    assert len(placed) > 1 and max(r["count"] for r in placed) < 2500 and mixing.copies(df).count() == 4000
+
+
 def test_plan_has_no_python(spark):
     _, df = corpus(spark, 50)
-    plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    for out in (mixing.copies(df), mixing.mix(df), mixing.mixed(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

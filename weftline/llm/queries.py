@@ -57,7 +57,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(rows, drop_text=True).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.copies(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from weftline.llm import warc
+from weftline.llm import skew, warc
 
 SCHEMA = "page_id long, url string, html string, payload_digest string"
 
@@ -58,6 +59,25 @@ def test_files_are_the_same_in_every_run(spark, tmp_path):
     assert one.startswith(b"WARC/1.1\r\n") and b"WARC-Record-ID: <urn:uuid:" in one
 
 
+def test_a_hot_payload_is_compressed_once(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i % 50}", "hot " * 300 if i % 3 else f"own {i}") for i in range(400)] + [(1, "u1", "hot " * 300)] * 3
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(8)
+    plain = result(spark, warc.write(df, f"file://{tmp_path}/a", shards=2))
+    monkeypatch.setattr(warc, "MOST_HOT", 3)
+    monkeypatch.setattr(skew, "LEAST_HOT", 3)
+    monkeypatch.setattr(skew, "MOST_HOT", 3)
+    seen, keys = warc._keyed(df)
+    members = warc.records(seen, keys).filter("member IS NOT NULL")
+    assert members.filter(F.col("sha") == hashlib.sha1(("hot " * 300).encode()).hexdigest()).count() <= 4  # the first row and its repeats
+    assert result(spark, warc.write(df, f"file://{tmp_path}/b", shards=2)) == plain == want(rows)
+
+
+def test_shards_follow_the_bytes():
+    sizes = [0, 1, 8 << 20, 100 << 20, 1 << 30, 30 << 30, 100 << 40]
+    assert [warc.shards_for(n) for n in sizes] == [1, 1, 1, 13, 68, 184, 409664]
+    assert type(warc._fs("s3a://bucket/x?region=us-east-1")[0]).__name__ == "S3FileSystem" and warc._fs("file:///tmp/x")[1] == "/tmp/x"
+
+
 def test_broken_files_are_found(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "abc", "x")], SCHEMA)
     path = warc.write(df, f"file://{tmp_path}/w", shards=1)

@@ -1,20 +1,27 @@
 """Deterministic sharded WARC archives, and their reader.
 
 Every record has a place: a response the digest of its payload, a revisit a digest of its
-page. Shards are equal ranges of the places, so they hold equal parts of the records
-whatever the pages are. A task sorts its shard by place, writes records as gzip members
-with headers and digests made from the payload, and rolls a file when its compressed size
-reaches ``roll_bytes``. A file is written under a temporary name of the attempt and renamed
-when whole; a lost or repeated task renames the same bytes to the same name. The manifest,
-a table with a row for each file, is written after all files, and readers take only files
-that it names.
+page. Shards are equal ranges of the places, as many as the payloads' bytes ask for, so they
+hold equal parts of the records whatever the pages and the session are. A task sorts its
+shard by place, writes records as gzip members with headers and digests made from the
+payload, and rolls a file when its compressed size reaches ``roll_bytes``. A file is written
+under a temporary name of the attempt and renamed when whole; a lost or repeated task renames
+the same bytes to the same name. The manifest, a table with a row for each file, is written
+after all files, and readers take only files that it names.
 
 Of records with equal payloads of at least ``min_revisit_bytes``, that of the smallest
 page_id (null last, then url) is the response; the others are revisits without payload.
-Payloads that repeat are reduced to one for each block before they are shuffled, and the
-rows that refer to them carry digests only, so a payload of a third of all pages costs no
-task more than others. Null html is the empty payload, a null url gives no target URI.
-Rows that repeat page_id, url and html are records of their own.
+Pages are hashed once into a staged table of (page_id, url, digest, size), which says how
+many share a payload and which is first. Of a payload that more pages share than
+LEAST_HOT and 1 / MOST_HOT of all, only the first page is compressed; of others, one for each
+block that holds the payload. Rows that refer to a payload carry digests only, and meet their
+first through ``skew.attach``, so a payload of a third of all pages costs no task more than others.
+
+Archives are written by Arrow's file systems (file, hdfs, s3, gs, abfs and Spark's names for
+these). Null html is the empty payload, a null url gives no target URI, a null page_id no
+page. Rows that repeat page_id, url and html are records of their own. A payload is whole in
+its task, whatever its length; an empty table gives an empty manifest and no rows. Other
+columns of pages are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.staging import new_path
+from weftline.llm.skew import attach
+from weftline.staging import new_path, stage
 
 MIN_REVISIT_BYTES = 0
 ROLL_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
+#: A shard holds SMALL_SHARD bytes of payloads, and FEW_SHARDS of these and more so much that each SHARD bytes add one.
+SMALL_SHARD, FEW_SHARDS, SHARD = 8 << 20, 64, 256 << 20
+#: Payloads of which only the first page is compressed: fewer than MOST_HOT.
+LEAST_HOT, MOST_HOT = 16, 10_000
 #: Bytes read at once from an archive.
 _READ = 1 << 20
 _MANIFEST = "manifest"
@@ -111,46 +123,68 @@ def _responses(batches: Iterator[pa.RecordBatch], level: int, date: str, least:
         yield pa.RecordBatch.from_arrays([*(pa.array([rows[i][c] for i in kept], t) for c, t in ((0, pa.int64()), (1, pa.string()), (3, pa.string()), (4, pa.string()))), pa.array(members, pa.binary())], names=["page_id", "url", "sha", "key", "member"])
 
 
-def records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE, level: int = LEVEL) -> DataFrame:
+def _keyed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with html, sha and size; staged keys: page_id, url, sha, size, n rows and place)."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
+    rows = rows.withColumn("sha", F.sha1(_payload("html"))).withColumn("size", F.octet_length(_payload("html")).cast("long"))
+    keys = stage(rows.groupBy("page_id", "url", "sha", "size").agg(F.count(F.lit(1)).alias("n")), "keys")
+    return rows, keys.withColumn("place", _order("page_id", "url"))
+
+
+_MEMBER = "page_id long, url string, sha string, key string, member binary"
+
+
+def records(rows: DataFrame, keys: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE, level: int = LEVEL) -> DataFrame:
     """Records by their place ``at``: key and member; for revisits also page_id, url, sha, size, to_key, to_page, to_url.
 
-    A response stands at its payload's digest. Blocks that hold the same payload each send one, and of those with the
+    A response stands at its payload's digest. Blocks that hold the same payload may each send one, and of those with the
     same ``at`` and sha the one of least ``place`` is the record.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
-    rows = rows.withColumn("sha", F.sha1(_payload("html"))).withColumn("size", F.octet_length(_payload("html")).cast("long"))
-    counted = rows.groupBy("page_id", "url", "sha", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("place", _order("page_id", "url"))
-    firsts = counted.filter(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.min("place").alias("first"))
-    joined = counted.join(firsts, "sha", "left")
-    is_first = F.col("place") == F.col("first")
-    repeats = joined.filter(F.col("first").isNotNull()).withColumn("from", F.when(is_first, 1).otherwise(0)).filter("n > `from`")
+    firsts = stage(keys.filter(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.min("place").alias("first"), F.sum("n").alias("pages"), F.count(F.lit(1)).alias("n")), "firsts")
+    joined = attach(keys.filter(F.col("size") >= min_revisit_bytes), firsts.select("sha", "first"), "sha", firsts.select("sha", "n"))
+    repeats = joined.withColumn("from", F.when(F.col("place") == F.col("first"), 1).otherwise(0)).filter("n > `from`")
     repeats = repeats.select("page_id", "url", "sha", "size", F.col("first.page_id").alias("to_page"), F.col("first.url").alias("to_url"), F.explode(F.sequence(F.col("from"), (F.col("n") - 1).cast("int"))).alias("copy"))
     repeats = repeats.withColumn("key", _key("page_id", "url", "sha", F.col("copy"))).withColumn("to_key", _key("to_page", "to_url", "sha", F.lit(0)))
-    made = rows.filter(F.col("size") >= min_revisit_bytes).withColumn("key", _key("page_id", "url", "sha", F.lit(0))).select("page_id", "url", "html", "sha", "key")
-    made = made.mapInArrow(lambda it: _responses(it, level, date, min_revisit_bytes), "page_id long, url string, sha string, key string, member binary")
-    firsts = made.select("key", "sha", "member", F.col("sha").alias("at"), _order("page_id", "url").alias("place"))
-    out = firsts.unionByName(repeats.select("key", F.col("key").alias("at"), "page_id", "url", "sha", "size", "to_key", "to_page", "to_url"), allowMissingColumns=True)
+    total = firsts.agg(F.sum("pages")).first()[0] or 0
+    hot = firsts.filter(F.col("pages") > max(LEAST_HOT, total // MOST_HOT)).select("sha", F.col("first.page_id").alias("p"), F.col("first.url").alias("u"))
+    hot = F.broadcast(hot.select("sha", _key("p", "u", "sha", F.lit(0)).alias("first_key")))
+    made = rows.filter(F.col("size") >= min_revisit_bytes).withColumn("key", _key("page_id", "url", "sha", F.lit(0))).join(hot, "sha", "left")
+    made = made.filter(F.col("first_key").isNull() | (F.col("first_key") == F.col("key"))).select("page_id", "url", "html", "sha", "key")
+    made = made.mapInArrow(lambda it: _responses(it, level, date, min_revisit_bytes), _MEMBER)
+    out = made.select("key", "sha", "member", F.col("sha").alias("at"), _order("page_id", "url").alias("place"))
+    out = out.unionByName(repeats.select("key", F.col("key").alias("at"), "page_id", "url", "sha", "size", "to_key", "to_page", "to_url"), allowMissingColumns=True)
     if min_revisit_bytes > 0:
         short = rows.filter(F.col("size") < min_revisit_bytes).groupBy("page_id", "url", "html", "sha").agg(F.count(F.lit(1)).alias("n"))
         short = short.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
         short = short.withColumn("key", _key("page_id", "url", "sha", F.col("copy"))).select("page_id", "url", "html", "sha", "key")
-        alone = short.mapInArrow(lambda it: _responses(it, level, date, min_revisit_bytes), "page_id long, url string, sha string, key string, member binary")
+        alone = short.mapInArrow(lambda it: _responses(it, level, date, min_revisit_bytes), _MEMBER)
         out = out.unionByName(alone.select("key", F.col("key").alias("at"), "member"), allowMissingColumns=True)
     return out
 
 
+def shards_for(size: int) -> int:
+    """Shards for so many bytes of payloads."""
+    return max(1, min(-(-size // SMALL_SHARD), FEW_SHARDS + size // SHARD))
+
+
+#: What Spark calls a scheme, and what Arrow does. Fixed values.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _fs(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + colon + rest)
 
 
 def write(pages: DataFrame, path: str | None = None, shards: int | None = None, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE, level: int = LEVEL) -> str:
     """Writes archives and their manifest under ``path`` (a folder that all executors reach; a new one in the shared folder, if not given) and returns it."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = records(pages, min_revisit_bytes, date, level)
+    rows, keys = _keyed(pages)
+    shards = shards or shards_for(keys.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0)
+    made = records(rows, keys, min_revisit_bytes, date, level)
     shard = F.floor(F.conv(F.substring("at", 1, 8), 16, 10).cast("long") * shards / F.lit(1 << 32)).cast("int")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,5 +296,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pack(rows)
 
     files = spark.read.parquet(f"{path}/{_MANIFEST}").select("file")
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return files.repartition(tasks, "file").mapInArrow(load, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.repartition(max(1, files.count()), "file").mapInArrow(load, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from weftline.llm import simhash
+from weftline.llm import simhash, skew
 
 
 def brute_fingerprint(text):
@@ -93,3 +93,27 @@ def test_components_and_survivors(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(({smallest[x] for x in label}), key=str)
     assert kept.count() == len(set(label))
     assert simhash.components(df.limit(0)).count() == 0
+
+
+def test_hot_stars_and_fingerprints_are_split(spark, monkeypatch):
+    rng = random.Random(6)
+    hub = [(0, i) for i in range(1, 60)] + [(200, i) for i in range(100, 160)] + [(rng.randrange(60, 90), rng.randrange(60, 90)) for _ in range(25)]
+    edges = spark.createDataFrame(hub + [(i, i + 40) for i in (59, 60)], "a long, b long")
+    plain = {r.node: r.root for r in simhash.connected(edges).collect()}
+    texts = [("same words here again" if i % 3 == 0 else "" if i % 3 == 1 else f"alone {i} of {i * 7} kinds {i * 31}") for i in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = sorted(map(tuple, simhash.components(df).collect()))
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
+    monkeypatch.setattr(skew, "MOST_HOT", 20)
+    assert {r.node: r.root for r in simhash.connected(edges).collect()} == plain
+    assert sorted(map(tuple, simhash.components(df).collect())) == whole
+    label = list(range(300))
+    for r in edges.collect():
+        label = [min(label[r.a], label[r.b]) if x in (label[r.a], label[r.b]) else x for x in label]
+    assert plain == {i: x for i, x in enumerate(label) if x != i}
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 5), (1, 7), (2, 6)], "a long, b long")
+    monkeypatch.setattr(simhash, "_joined", None)
+    assert {r.node: r.root for r in simhash.connected(edges).collect()} == {5: 1, 7: 1, 6: 2}

@@ -12,8 +12,14 @@ links found, never all pairs. More segments mean smaller cells and more neighbou
 ``segments_for`` takes the cheapest for the number of fingerprints.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z. Null and empty texts have
-fingerprint 0, linked like any other. A repeated doc_id keeps one row per input row. A
-null doc_id is linked too, and is a component's id only where no member has an id.
+fingerprint 0, linked like any other. A long text's shingles are hashed at once, 8 bytes for
+each, and their bits counted in parts. A repeated doc_id keeps one row per input row. A
+null doc_id is linked too, and is a component's id only where no member has an id. Of
+components of equal smallest ids each is a component; an empty table gives an empty table.
+Other columns are not read by ``components``, and are kept by ``survivors``, whatever their names.
+
+Documents meet their fingerprint's component, and the links of a star its centre, through
+``skew.attach``: a fingerprint or a centre with a third of the rows is split.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm import skew
 from weftline.llm.workers import trimmed
 from weftline.staging import drop, stage
 
@@ -172,49 +179,57 @@ def links(fps: DataFrame, n: int, segments: int | None = None, max_bits: int = M
     return _cells(fps, segments, max_bits).repartition(tasks, "cell").mapInArrow(trimmed(run), "a long, b long")
 
 
+def _shape(e: DataFrame) -> tuple[bool, int]:
+    """Whether links (u, v), u > v, are stars already: no node has two smaller ones, or a smaller and a larger one; and the most links of a node."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    loose, most = nodes.agg(F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)), F.max(F.col("up") + F.col("down"))).first()
+    return not loose, most or 0
+
+
+def _joined(links: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """links with the least neighbour of their u, split where a node has many."""
+    if most <= skew.LEAST_HOT:
+        return links.join(least, "u")
+    return skew.attach(links, least, "u", links.groupBy("u").agg(F.count(F.lit(1)).alias("n")))
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's component, by alternating large and small stars.
+    """(node, root): the smallest node of each node's component, by alternating large and small stars until only stars are left.
 
     A star's centre meets its neighbours through a partial minimum and a join, not in one group.
     """
-
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
-
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    was = state(e)
-    while was[0]:
+    done, most = _shape(e)
+    while not done:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _joined(both.filter("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = _joined(large, least, most).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         new = stage(small.filter("u > v").distinct(), "edges")
-        now = state(new)
         drop(e)
         e = new
-        if now == was:
-            break
-        was = now
+        done, most = _shape(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _linked(df: DataFrame, doc_id: str, text: str, k: int, max_bits: int, segments: int | None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, text_hash, fp), and each fp's first_id and root; ``more`` holds further links (a, b) of fingerprints."""
+    """Rows (doc_id, text_hash, fp), and each fp's first_id, n rows and root; ``more`` holds further links (a, b) of fingerprints."""
     narrow = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     rows = stage(with_fingerprint(narrow, "text", k), "fingerprints")
-    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
     within = links(fps.select("fp"), fps.count(), segments, max_bits)
     found = connected(within if more is None else within.unionByName(more))
-    return rows, fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return rows, fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
 
 
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable): one row per row of ``df``."""
     rows, of = _linked(df, doc_id, text, k, max_bits, segments)
     ids = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = of.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stage(of.join(ids, "root").select("fp", "n", "component_id"), "components")
+    return skew.attach(rows, named.drop("n"), "fp", named.select("fp", "n")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def survivors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, more: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.exprs import diagram_id, most_hits
+from weftline.functions.exprs import diagram_id, most_hits, trim_ws
 
 # Stages in order with their labels and words.
 STAGES = (
@@ -115,7 +115,7 @@ def package_flow(chunks: DataFrame) -> DataFrame:
 
 def with_diagram(content: Column, heading: str, diagram: Column) -> Column:
     """Content with the diagram under its heading: in place of one that stands there, or else put there, or at the end."""
-    text, block = F.trim(content), F.trim(diagram)
+    text, block = trim_ws(content), trim_ws(diagram)
     at = F.instr(text, heading)
     before = F.concat(F.substr(text, F.lit(1), at - 1), F.lit(heading))
     after = F.regexp_replace(F.substr(text, at + len(heading)), r"(?s)^\n*(?:```mermaid.*?```)?\n*", "")

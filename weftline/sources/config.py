@@ -13,6 +13,16 @@ class Config:
     embedder: str = "hashing"
     embed_dimension: int = 64
     embed_batch: int = 64
+    embed_url: str = ""
+    embed_model: str = ""
+    embed_key: str = ""
+    writer: str = "none"
+    writer_url: str = ""
+    writer_model: str = ""
+    writer_key: str = ""
+    #: Parquet table of a type checker's references, and whether names resolve within their package first.
+    typed_refs: str = ""
+    package_first: bool = False
     max_embed_chunks: int = 80
     max_llm_sections: int = 2
     max_llm_routes: int = 2

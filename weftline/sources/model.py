@@ -10,7 +10,6 @@ import hashlib
 import json
 import re
 import time
-import uuid
 from collections import Counter
 from contextlib import contextmanager
 
@@ -18,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators.docmodel import RELATIONS, SOURCE, STATUSES
 from weftline.operators.planning import CANONICAL
+from weftline.sources import files
 
+# Fixed values of the document's schema: its version, the fields of a section, and the policies' names and values.
 VERSION = "v0.1.0"
 STYLE = {"tone": "technical, objective", "audience": "open-source maintainers", "code_block_language": "go", "focus_mode": "semantic", "avoid_call_graph_narration": True, "prefer_conceptual_diagrams": True, "prefer_task_oriented_examples": True}
 FOCUS_MODES = ("semantic", "reference", "hybrid")
@@ -26,31 +27,6 @@ _SECTION = frozenset("id title level order parent_id content_md summary status s
 _NEEDED = frozenset("id title level order parent_id content_md sources hash status".split())
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def read_file(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]
-
-
-def write_file(spark: SparkSession, path: str, text: str) -> None:
-    """A whole file or none: written beside its place and renamed."""
-    fs, target = _fs(spark, path)
-    _, temporary = _fs(spark, f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(temporary, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(temporary, target)
-
-
 def now() -> str:
     return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
@@ -101,11 +77,11 @@ def problems(model: dict) -> list[str]:
 def save_model(spark: SparkSession, path: str, model: dict) -> None:
     if found := problems(model):
         raise ValueError("document model: " + "; ".join(found))
-    write_file(spark, path, json.dumps(model, indent=2, ensure_ascii=False) + "\n")
+    files.put(spark, path, json.dumps(model, indent=2, ensure_ascii=False) + "\n")
 
 
 def load_model(spark: SparkSession, path: str) -> dict | None:
-    return json.loads(read_file(spark, path)) if exists(spark, path) else None
+    return json.loads(files.read(spark, path)) if files.exists(spark, path) else None
 
 
 def sections_of(spark: SparkSession, model: dict, doc: str = "main") -> DataFrame:
@@ -155,4 +131,4 @@ class Report:
         return {"version": "v1", "mode": self.mode, "generated_at": now(), "stages": self.stages, "sections": self.sections, "signals": signals, "summary": summary}
 
     def save(self, spark: SparkSession, path: str) -> None:
-        write_file(spark, path, json.dumps(self.as_dict(), indent=2) + "\n")
+        files.put(spark, path, json.dumps(self.as_dict(), indent=2) + "\n")

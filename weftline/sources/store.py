@@ -1,7 +1,9 @@
-"""Stored tables: versioned Parquet folders with a pointer, and JSON and Markdown files.
+"""Stored tables: versioned Parquet folders with numbered pointers, and JSON and Markdown files.
 
-A save writes a new version folder and then the pointer, so readers see one whole
-snapshot of all tables or the one before.
+A save writes new folders and then the next pointer, a file that no other writer has made;
+if one has, its tables are taken over and the number after it is tried. The newest pointer
+is the store, so a crash leaves the snapshot before and a reader sees one whole snapshot.
+Pointers older than the last KEEP go, with the folders that only they name.
 """
 
 from __future__ import annotations
@@ -15,38 +17,50 @@ from pyspark.sql import functions as F
 
 from weftline.operators.chunk import delete, snapshot, upsert
 from weftline.operators.vector import top_k
+from weftline.sources import files
+
+#: Snapshots that stay, so that readers of one can finish while others are saved.
+KEEP = 4
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def _pointers(self) -> list[int]:
+        found = (n.removeprefix("SNAPSHOT-") for n in files.names(self.spark, self.root) if n.startswith("SNAPSHOT-"))
+        return sorted(int(n) for n in found if n.isdigit())
 
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _tables(self, number: int) -> dict[str, str]:
+        return json.loads(files.read(self.spark, f"{self.root}/SNAPSHOT-{number}"))
 
     def version(self) -> dict[str, str]:
         """Folder of each table in the newest snapshot; empty before the first."""
-        if not self._fs().exists(self._path("CURRENT")):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
-
-    def _point(self, tables: dict[str, str]) -> None:
-        fs, temporary = self._fs(), self._path(f".CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(temporary, True)
-        out.write(bytearray(json.dumps(tables).encode()))
-        out.close()
-        fs.delete(self._path("CURRENT"), False)
-        fs.rename(temporary, self._path("CURRENT"))
+        found = self._pointers()
+        return self._tables(found[-1]) if found else {}
+
+    def _point(self, new: dict[str, str]) -> None:
+        while True:
+            last = max(self._pointers(), default=0)
+            tables = (self._tables(last) if last else {}) | new
+            if files.put(self.spark, f"{self.root}/SNAPSHOT-{last + 1}", json.dumps(tables), replace=False):
+                return
+
+    def _forget(self) -> None:
+        found = self._pointers()
+        kept = {folder for n in found[-KEEP:] for folder in self._tables(n).values()}
+        for n in found[:-KEEP]:
+            for folder in set(self._tables(n).values()) - kept:
+                files.delete(self.spark, f"{self.root}/{folder}")
+            files.delete(self.spark, f"{self.root}/SNAPSHOT-{n}")
 
     def save(self, **tables: DataFrame) -> None:
         """Replaces the named tables together."""
         new = {name: f"{name}-{uuid.uuid4().hex}" for name in tables}
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{new[name]}")
-        self._point(self.version() | new)
+        self._point(new)
+        self._forget()
 
     def load(self, name: str) -> DataFrame | None:
         """A table, or None if no snapshot has it."""
@@ -121,9 +135,9 @@ def distinct_files(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count_distinct(F.when(F.trim("file_path") != "", F.col("file_path"))).alias("n"))
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A JSON file, one document."""
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema: str | None = None, whole: bool = False) -> DataFrame:
+    """Rows of JSON files, one on each line as ``write_json`` has them; ``whole``: each file is one document."""
+    reader = spark.read.option("multiLine", whole)
     return (reader.schema(schema) if schema else reader).json(path)
 
 

@@ -51,17 +51,20 @@ def segments(chunks: DataFrame, lines: int = SEGMENT_LINES, overlap: int = SEGME
 def file_chunks(symbols: DataFrame, chunks: DataFrame, max_chars: int = FILE_CUT) -> DataFrame:
     """One chunk for each file, its symbols in order of (start_line, id). chunks are the symbols' chunks.
 
-    A file's symbols are collected together: the text of one file bounds that, not the corpus.
+    Code after the cut is dropped before symbols are collected, by the length of what stands before it in its file.
+    What is collected of a file's symbols bounds a row: names, descriptions, signatures and hashes.
     """
     s = symbols.select("id", "filepath", "start_line", "end_line", "content").join(chunks.drop("content", "sources", "file_path"), "id")
-    code, shape = F.col("unit_type").isin(*CODE_TYPES), F.col("unit_type").isin("struct", "interface")
+    is_code, shape = F.col("unit_type").isin(*CODE_TYPES), F.col("unit_type").isin("struct", "interface")
+    code = F.when(is_code, F.concat(F.lit("// "), F.col("unit_type"), F.lit(" "), F.col("name"), F.lit("\n"), F.col("content"), F.lit("\n\n"))).otherwise("")
+    before = Window.partitionBy("filepath").orderBy("start_line", "id").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("code", F.substring(code, 1, max_chars + 1)).withColumn("code", F.when(F.coalesce(F.sum(F.length("code")).over(before), F.lit(0)) <= max_chars, F.col("code")).otherwise(""))
     row = F.struct(
-        "start_line", "id", F.concat(F.lit("- **"), F.col("name"), F.lit("** ("), F.col("unit_type"), F.lit("): "), F.coalesce("description", F.lit("")), F.lit("\n")).alias("told"),
-        F.when(code, F.concat(F.lit("// "), F.col("unit_type"), F.lit(" "), F.col("name"), F.lit("\n"), F.col("content"), F.lit("\n\n"))).otherwise("").alias("code"),
+        "start_line", "id", F.concat(F.lit("- **"), F.col("name"), F.lit("** ("), F.col("unit_type"), F.lit("): "), F.coalesce("description", F.lit("")), F.lit("\n")).alias("told"), "code",
         F.when(shape, F.concat(F.col("signature"), F.lit("\n\n"))).otherwise("").alias("shape"), F.coalesce("content_hash", F.lit("")).alias("hash"),
         "dependencies", "used_by", _source("primary", F.col("start_line"), F.col("end_line")).alias("source"), "package",
     )
-    g = s.groupBy("filepath").agg(F.array_sort(F.collect_list(row), lambda a, b: F.when((a["start_line"] < b["start_line"]) | ((a["start_line"] == b["start_line"]) & (a["id"] < b["id"])), -1).when((a["start_line"] == b["start_line"]) & (a["id"] == b["id"]), 0).otherwise(1)).alias("r"))
+    g = s.groupBy("filepath").agg(F.sort_array(F.collect_list(row)).alias("r"))
     joined = lambda field: F.array_join(F.transform("r", lambda x: x[field]), "")
     names = lambda field: F.array_sort(F.array_distinct(F.flatten(F.transform("r", lambda x: x[field]))))
     name = F.substring_index("filepath", "/", -1)

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from weftline.functions.exprs import edge_allowed, edge_score, is_exported
 from weftline.staging import stage
 
-#: Rounds after which a frontier is staged, to cut its lineage.
-_ROUNDS = 3
 #: Lines in a bucket of the line-overlap join.
 LINE_BUCKET = 64
 
@@ -66,14 +64,11 @@ def expand(edges: DataFrame, start: DataFrame, hops: int = 2, least: float = 0.0
     near = _both_ways(allowed)
     nodes = start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("score"))
     for depth in range(1, hops + 1):
-        # Each row once more for each neighbour of a node found last, so that the nodes so far stand in the plan once.
-        met = nodes.join(near, (F.col("id") == F.col("u")) & (F.col("depth") == depth - 1), "left")
-        own = F.struct("id", "depth", "score")
-        next_ = F.struct(F.col("v").alias("id"), F.lit(depth).alias("depth"), (F.col("score") * F.col("w")).alias("score"))
-        rows = met.select(F.explode(F.array(own, next_)).alias("n")).select("n.*").filter("id IS NOT NULL")
-        nodes = rows.groupBy("id").agg(F.min("depth").alias("depth"), F.max("score").alias("score"))
-        if depth % _ROUNDS == 0 and depth < hops:
-            nodes = stage(nodes, "frontier")
+        found = nodes.filter(F.col("depth") == depth - 1).join(near, F.col("id") == F.col("u"))
+        next_ = found.select(F.col("v").alias("id"), F.lit(depth).alias("depth"), (F.col("score") * F.col("w")).alias("score"))
+        nodes = nodes.unionByName(next_).groupBy("id").agg(F.min("depth").alias("depth"), F.max("score").alias("score"))
+        if depth > 1 and depth < hops:
+            nodes = stage(nodes, "frontier")  # the nodes so far stand in the plan twice
     inner = nodes.filter(F.col("depth") < hops).select("id")
     ends = allowed.select("*", F.explode(F.array("from_id", "to_id")).alias("id")).join(inner, "id", "left_semi").drop("id")
     return nodes, ends.dropDuplicates(["from_id", "to_id", "kind"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import clamp, section_by_heuristic
+from weftline.operators.order import summed
 from weftline.operators.vector import assign
 
 # A hit symbol scores 1 and a fifth of its combined confidence, a hit file 0.35 at confidence 0.3; a node without score counts 0.45.
@@ -52,11 +53,12 @@ def route_by_file(chunks: DataFrame, section_files: DataFrame) -> tuple[DataFram
 
 
 def route_round_robin(unmatched: DataFrame, preferred: Sequence[str], order: str = "id") -> DataFrame:
-    """(id, section_id): chunks in order dealt to preferred sections in turn."""
+    """(id, section_id): chunks in order dealt to preferred sections in turn. They are numbered task by task, staged in order."""
     if not preferred:
         return unmatched.select("id", F.lit(None).cast("string").alias("section_id")).limit(0)
-    turn = (F.row_number().over(Window.orderBy(order)) - 1) % len(preferred)
-    return unmatched.select("id", F.element_at(F.array(*map(F.lit, preferred)), turn + 1).alias("section_id"))
+    numbered = summed(unmatched.select("id", F.col(order).alias("order")), [F.asc("order"), F.asc("id")], "turns")
+    turn = (F.col("row") % len(preferred) + 1).cast("int")
+    return numbered.select("id", F.element_at(F.array(*map(F.lit, preferred)), turn).alias("section_id"))
 
 
 def route_heuristic(chunks: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def route_heuristic(chunks: DataFrame) -> DataFrame:
 
 
 def section_order(affected: DataFrame, preferred: Sequence[str] = ()) -> DataFrame:
-    """affected (section_id, n) with pos: preferred sections first in their order, then by n and id."""
+    """affected (section_id, n) with pos: preferred sections first in their order, then by n and id. A row for each section, in one task."""
     at = F.array_position(F.array(*map(F.lit, preferred)), F.col("section_id")) if preferred else F.lit(0)
     at = F.when(at > 0, at)
     return affected.withColumn("pos", F.row_number().over(Window.orderBy(at.asc_nulls_last(), F.desc("n"), "section_id")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import CODE_TYPES, blank, file_key, hits, is_testlike, richness
+from weftline.operators.order import summed
 
 # Section plans (id, title, goal, required blocks, query hints, keywords, top_k, min_evidence, uses a writer).
 SECTION_KEYWORDS = {
@@ -35,13 +36,15 @@ def keyword_top_k(chunks: DataFrame, words: Sequence[str], limit: int) -> DataFr
 
 
 def merge_ranked(groups: Sequence[DataFrame], limit: int = 0, pos: str = "pos") -> DataFrame:
-    """Union of ranked lists in order of (list, pos), each id once, without blank ids; ``pos`` is renumbered."""
+    """Union of ranked lists in order of (list, pos), each id once, without blank ids; ``pos`` is renumbered. Without a limit, task by task, staged in order."""
     union = None
     for i, g in enumerate(groups):
         g = g.withColumn("_list", F.lit(i))
         union = g if union is None else union.unionByName(g, allowMissingColumns=True)
     once = union.filter(~blank(F.col("id"))).withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy("_list", pos))).filter("_rn = 1")
-    ranked = once.orderBy("_list", pos, "id").limit(limit) if limit > 0 else once
+    if limit <= 0:
+        return summed(once, [F.asc("_list"), F.asc(pos), F.asc("id")], "merged").withColumn(pos, (F.col("row") + 1).cast("int")).drop("_list", "_rn", "row")
+    ranked = once.orderBy("_list", pos, "id").limit(limit)
     return ranked.withColumn(pos, F.row_number().over(Window.orderBy("_list", pos, "id"))).drop("_list", "_rn")
 
 
@@ -128,7 +131,7 @@ def select_evidence(chunks: DataFrame, ranked: DataFrame, section: str, top_k: i
     n = found.agg(F.count(F.lit(1)).alias("_found"))
     extra = filter_or_all(extra, keep).crossJoin(F.broadcast(n)).filter(F.col("_found") < top_k // 2).drop("_found")
     first = found.crossJoin(F.broadcast(n)).withColumn("_most", F.when(F.col("_found") < top_k // 2, top_k).otherwise(2 * top_k)).drop("_found")
-    merged = merge_ranked([first, extra.withColumn("_most", F.lit(top_k))])
+    merged = merge_ranked([first, extra.withColumn("_most", F.lit(top_k))], 3 * top_k)
     return diversity_rerank(merged.filter(F.col("pos") <= F.col("_most")).drop("_most"), top_k, 2)
 
 

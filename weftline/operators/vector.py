@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import clamp, cosine
+from weftline.staging import stage
 
 #: (steps from the source, boost).
 GRAPH_BOOST = ((1, 0.2), (2, 0.1))
 #: An index is rebuilt under this freshness or coverage, or over this part of stale rows.
 FRESH, COVERED, STALE = 0.85, 0.70, 0.15
+#: Rows of queries or sections that are broadcast at once.
+BLOCK = 2048
 
 
 def similarity(vectors: DataFrame, query: list[float], digits: int | None = None) -> DataFrame:
@@ -28,11 +31,30 @@ def top_k(vectors: DataFrame, query: list[float], k: int, digits: int | None = N
     return similarity(vectors, query, digits).orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
+def blocks(df: DataFrame, key: str, most: int | None = None) -> list[DataFrame]:
+    """``df`` in parts of at most ``most`` rows (BLOCK, if not given), by a hash of its key; counted, so that each may be broadcast."""
+    most, n = most or BLOCK, df.count()
+    if n <= most:
+        return [df]
+    parts = -(-2 * n // most)
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    counts = {r["part"]: r["count"] for r in df.groupBy(part.alias("part")).count().collect()}
+    for p, rows in counts.items():
+        if rows > most:
+            raise ValueError(f"part {p} has {rows} rows of {key}, which repeats or is null; at most {most} are broadcast")
+    return [df.filter(part == p) for p in sorted(counts)]
+
+
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """(query_id, rank, id, score) for each of a bounded set of queries (query_id, query), which is broadcast."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query")), digits).alias("score"))
+    """(query_id, rank, id, score) for each of the queries (query_id, query). All rows are scanned once for each block of queries, whose answers are staged."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    out, parts = None, blocks(queries, "query_id")
+    for part in parts:
+        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query")), digits).alias("score"))
+        found = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+        found = stage(found, "nearest") if len(parts) > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def boost(depth: Column) -> Column:
@@ -59,10 +81,13 @@ def related(vectors: DataFrame, text: str, embed: Callable[[list[str]], list[lis
 
 
 def assign(items: DataFrame, sections: DataFrame, digits: int = 6) -> DataFrame:
-    """(id, section_id, score): the section of highest positive cosine of each item; ties to the first section. sections (section_id, ord, vector) are a document's, a few, and are broadcast."""
-    scored = items.crossJoin(F.broadcast(sections)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), digits))
-    best = scored.filter("score > 0").groupBy("id").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "section_id")).alias("b"))
-    return best.select("id", F.col("b.section_id").alias("section_id"), F.col("b.score").alias("score"))
+    """(id, section_id, score): the section of highest positive cosine of each item; ties to the first section. sections: section_id, ord, vector; items meet them block by block."""
+    out = None
+    for part in blocks(sections, "section_id"):
+        scored = items.crossJoin(F.broadcast(part)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), digits))
+        best = scored.filter("score > 0").groupBy("id").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "section_id")).alias("b"))
+        out = best if out is None else out.unionByName(best).groupBy("id").agg(F.max("b").alias("b"))
+    return out.select("id", F.col("b.section_id").alias("section_id"), F.col("b.score").alias("score"))
 
 
 def index_health(expected: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import embeddable_text
-from weftline.operators import chunk, retrieval, vector
+from weftline.operators import chunk, order, retrieval, vector
 
 SYMBOL = "id string, filepath string, package string, language string, start_line int, end_line int, content string, content_hash string, unit_type string, role string, name string, description string, signature string, receiver string"
 EDGE = "from_id string, to_id string, kind string, resolver string, confidence double"
@@ -113,3 +114,32 @@ def test_hydration(spark):
     assert retrieval.file_count(rich).first().n == 1
     got = retrieval.layer_b(retrieval.hydrate(claims, lines), 3).collect()
     assert len(got) == 3 and sum(r.flow for r in got[:2]) == 2
+
+
+def test_positions_and_sums_need_no_single_task(spark):
+    df = spark.range(500).selectExpr("id", "id * 7919 % 503 AS k", "id % 5 AS v").repartition(6)
+    got = {r.k: (r.row, r.before) for r in order.summed(df, [F.asc("k")], "t", before=F.col("v")).collect()}
+    rows = sorted((i * 7919 % 503, i % 5) for i in range(500))
+    assert got == {k: (n, sum(v for _, v in rows[:n])) for n, (k, _) in enumerate(rows)}
+    assert order.summed(df.limit(0), [F.asc("k")], "t").count() == 0
+
+
+def test_queries_and_sections_go_in_blocks(spark, monkeypatch):
+    vectors = spark.range(60).selectExpr("cast(id AS string) AS id", "array(cast(sin(id) AS float), cast(cos(id) AS float), 1f) AS embedding")
+    queries = vectors.limit(20).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    sections = vectors.limit(9).select(F.concat(F.lit("s"), "id").alias("section_id"), F.col("id").cast("int").alias("ord"), F.col("embedding").alias("vector"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(vector.top_k_each(vectors, queries, 4)), rows(vector.assign(vectors, sections))
+    monkeypatch.setattr(vector, "BLOCK", 6)
+    assert (rows(vector.top_k_each(vectors, queries, 4)), rows(vector.assign(vectors, sections))) == whole
+    assert len(vector.blocks(queries, "query_id")) > 3 and len(whole[0]) == 80
+    with pytest.raises(ValueError, match="repeats"):
+        vector.blocks(queries.withColumn("query_id", F.lit("one")), "query_id")
+
+
+def test_code_after_the_cut_is_not_collected(spark):
+    symbols = spark.range(30).selectExpr("cast(id AS string) AS id", "'a.go' AS filepath", "int(id) AS start_line", "int(id) AS end_line", "repeat('x', 400) AS content")
+    chunks = symbols.selectExpr("id", "filepath AS file_path", "concat('F', id) AS name", "'function' AS unit_type", "'p' AS package", "'' AS description", "'' AS signature", "content", "'h' AS content_hash", "cast(array() AS array<string>) AS dependencies", "cast(array() AS array<string>) AS used_by", "array(1) AS sources")
+    want = "".join(f"// function F{i}\n{'x' * 400}\n\n" for i in sorted(range(30)))
+    row = chunk.file_chunks(symbols, chunks).first()
+    assert row.content == want[:3000] + chunk.CUT_SUFFIX and len(row.sources) == 30

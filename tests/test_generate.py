@@ -1,11 +1,16 @@
 import json
+import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_documents import GO
+from weftline import __main__ as cli
 from weftline.functions import providers
+from weftline.operators import vector
 from weftline.operators.vector import hashing_embedder
 from weftline.plans import generate, sync
+from weftline.sources import config
 from weftline.sources import model as models
 from weftline.sources.store import Store, StoredIndex
 
@@ -84,6 +89,70 @@ def test_bad_models_are_not_saved(spark, tmp_path, built):
     assert models.problems({}) != [] and models.load_model(spark, f"file://{tmp_path}/none.json") is None
 
 
+def test_index_health_is_measured_against_what_an_index_holds(spark, tmp_path):
+    """A private symbol that nothing exported reaches is in no index, and is not missing from one."""
+    (tmp_path / "a.go").write_text("package a\n\nfunc Run() { near() }\n\nfunc near() {}\n\nfunc alone() {}\n")
+    store = Store(spark, f"file://{tmp_path}/store")
+    sync.scan(spark, str(tmp_path), store)
+    calls = []
+    embed = lambda texts: calls.append(len(texts)) or [[1.0]] * len(texts)
+    generate.ensure_index(store, embed)
+    held = {r.name for r in store.load("chunks").collect()}
+    assert held == {"Run", "near", "a.go"}
+    symbols, edges = store.load("nodes"), store.load("edges")
+    health = vector.index_health(sync.prepared(symbols, edges), store.load("chunks")).first()
+    assert (health.coverage, health.freshness, health.missing, health.rebuild) == (1.0, 1.0, 0, False)
+    before = store.version()
+    generate.ensure_index(store, embed)
+    assert store.version() == before
+    store.save_chunks(store.load("chunks").limit(1).select(F.lit("gone").alias("id"), *[c for c in store.load("chunks").columns if c != "id"]))
+    generate.ensure_index(store, embed)
+    assert {r.name for r in store.load("chunks").collect()} == held
+
+
+def test_update_asks_a_writer_where_chunks_belong(spark, built):
+    store, out, _ = built
+    asked = []
+
+    class Router(Scribe):
+        def insertion_point(self, titles, content):
+            asked.append(titles)
+            return len(titles) - 1
+
+    chunk = store.load("chunks").filter("name = 'helper'").drop("file_path", "sources").first()
+    stray = store.load("chunks").filter(F.col("id") == chunk.id).withColumn("file_path", F.lit("other/stray.go")).withColumn("id", F.lit("stray"))
+    store.save_chunks(stray)
+    changes = spark.createDataFrame([("other/stray.go", [1])], "path string, changed_lines array<int>")
+    done = generate.update(spark, store, changes, f"file://{out}", hashing_embedder(16), Router(), routes=2)
+    assert asked and done == [models.load_model(spark, f"file://{out}/doc_model.json")["sections"][-1]["id"]]
+    store.delete_chunks(spark.createDataFrame([("stray",)], "target string"))
+
+
+def test_services_follow_settings(monkeypatch):
+    embed, writer = cli.services(config.Config())
+    assert len(embed(["a"])[0]) == 64 and writer is None
+    embed, writer = cli.services(config.Config(embedder="plain", embed_url="u", embed_model="m", embed_batch=3, writer="chat", writer_url="w", writer_model="n", writer_key="k"))
+    assert (embed.url, embed.batch, writer.url, writer.model, writer.key) == ("u", 3, "w", "n", "k")
+    with pytest.raises(ValueError, match="unsupported"):
+        providers.writer("none of these", url="")
+
+
+def test_commands_run_from_settings(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.go").write_text(GO["logic/run.go"] if "logic/run.go" in GO else "package a\n\nfunc Run() {}\n")
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "src"), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    store, out = Store(spark, f"file://{tmp_path}/store"), f"file://{tmp_path}/out"
+    settings = config.Config(embed_dimension=8, max_hops=1, min_confidence=0.1, package_first=True)
+    cli.run(spark, "sync", settings, str(tmp_path / "src"), store, out)
+    assert (tmp_path / "out" / "documentation.md").exists()
+    (tmp_path / "src" / "a.go").write_text((tmp_path / "src" / "a.go").read_text() + "\nfunc Added() {}\n")
+    cli.run(spark, "sync", settings, str(tmp_path / "src"), store, out)
+    assert "Added" in {r.name for r in store.load("nodes").collect()} and "Added" in {r.name for r in store.load("chunks").collect()}
+
+
 def test_http_writer(monkeypatch):
     seen = []
 

@@ -114,6 +114,15 @@ def embedder(kind: str = "hashing", dimension: int = 64, **options) -> Embed:
     raise ValueError(f"unsupported embedder: {kind}")
 
 
+def writer(kind: str = "none", **options) -> Writer | None:
+    """A text service by name; none where texts stay as drafted."""
+    if kind in ("", "none"):
+        return None
+    if kind == "chat":
+        return HttpWriter(**options)
+    raise ValueError(f"unsupported writer: {kind}")
+
+
 def parse_index(reply: str, n: int) -> int:
     """The first integer of a reply if it is a valid position, else -1."""
     digits = ""

@@ -16,6 +16,7 @@ from weftline.functions import exprs
 from weftline.functions.providers import Embed, Writer, parse_index
 from weftline.operators import capability, chunk, diagrams, docmodel, planning, report, retrieval, vector
 from weftline.plans import sync
+from weftline.sources import files
 from weftline.sources import model as models
 from weftline.sources.store import Store
 from weftline.staging import stage
@@ -47,10 +48,11 @@ class SectionPlan:
         return retrieval.SECTION_KEYWORDS.get(self.id, f"{self.title} {self.id}".lower().split())
 
 
+# Fixed values but for the goals: ids, titles, required blocks and query hints of sections, and the heading of a diagram.
 PLAN = (
-    SectionPlan("overview", "Overview", "Explain purpose, boundaries, and system-level flow in semantic terms.", ("Purpose", "End-to-End Flow", "Core Concepts"), ("system architecture", "runtime flow", "core components", "boundaries"), "## System Diagram"),
-    SectionPlan("key-features", "Key Features", "Describe capability-level behaviors, constraints, and usage without file walkthroughs.", ("Capability",), ("core capabilities", "business behavior", "constraints", "workflows")),
-    SectionPlan("development", "Development", "Provide setup, configuration, and operational guidance for maintainers.", ("Quick Start", "Configuration", "Architecture Snapshot"), ("development setup", "configuration", "cli", "testing", "runtime"), "## Architecture Snapshot"),
+    SectionPlan("overview", "Overview", "Say what the system is for, where it ends, and how work flows through it.", ("Purpose", "End-to-End Flow", "Core Concepts"), ("system architecture", "runtime flow", "core components", "boundaries"), "## System Diagram"),
+    SectionPlan("key-features", "Key Features", "Tell what each capability does, its limits and its use; files are not walked through.", ("Capability",), ("core capabilities", "business behavior", "constraints", "workflows")),
+    SectionPlan("development", "Development", "Help maintainers to set up, configure and run the project.", ("Quick Start", "Configuration", "Architecture Snapshot"), ("development setup", "configuration", "cli", "testing", "runtime"), "## Architecture Snapshot"),
 )
 
 
@@ -74,46 +76,56 @@ def _text(df: DataFrame, default: str = "") -> str:
     return row[0] if row and row[0] else default
 
 
-def _judge(spark: SparkSession, section: str, content: str) -> tuple[float, list[str], bool]:
-    df = spark.createDataFrame([(section, content)], "section_id string, content string")
-    row = report.writer_quality(df).withColumn("low", report.is_low_quality(F.col("section_id"), F.col("content"))).first()
-    return row.quality, [x for x in row.issues.split(",") if x], row.low
+@dataclass(frozen=True)
+class Read:
+    """A text of a section: cleaned, with its diagram, and how it reads; ``noted`` says that evidence is limited, ``plain`` is the text before the diagram."""
+
+    text: str
+    plain: str
+    noted: str
+    quality: float
+    issues: list[str]
+    low: bool
+
 
+def _read(spark: SparkSession, plan: SectionPlan, own: Sequence[str], written: Sequence[str] = (), drawn: str = "") -> list[Read]:
+    """Own texts and those that a writer has written, which are cleaned, all at once. drawn: the diagram to put in, if any. Quality is that of the whole text; ``low`` too."""
+    df = spark.createDataFrame([(i, plan.id, t, i >= len(own)) for i, t in enumerate([*own, *written])], "i int, section_id string, given string, written boolean")
+    df = df.withColumn("plain", F.when(F.col("written"), exprs.without_instructions(exprs.without_fences(F.col("given")))).otherwise(F.col("given")))
+    df = df.withColumn("content", diagrams.with_diagram(F.col("plain"), plan.diagram, F.lit(drawn)) if plan.diagram and drawn else F.col("plain"))
+    judged = report.writer_quality(df).withColumn("low", report.is_low_quality(F.col("section_id"), F.col("content"))).withColumn("noted", exprs.with_low_evidence_note(F.col("content")))
+    return [Read(r.content, r.plain, r.noted, r.quality, [x for x in r.issues.split(",") if x], r.low) for r in judged.orderBy("i").collect()]
 
-def _with_diagram(spark: SparkSession, plan: SectionPlan, content: str, chunks: DataFrame) -> str:
+
+def _drawn(plan: SectionPlan, chunks: DataFrame) -> str:
     if not plan.diagram:
-        return content
-    drawn = _text(diagrams.architecture_flow(chunks) if plan.id == "overview" else diagrams.architecture_snapshot(chunks))
-    return spark.range(1).select(diagrams.with_diagram(F.lit(content), plan.diagram, F.lit(drawn))).first()[0]
+        return ""
+    return _text(diagrams.architecture_flow(chunks) if plan.id == "overview" else diagrams.architecture_snapshot(chunks))
 
 
 def write_section(spark: SparkSession, plan: SectionPlan, chunks: DataFrame, stats: dict, writer: Writer | None = None, budget: int = 0) -> tuple[str, dict]:
-    """(content, trace): a draft of claims, by a writer's words where there is one, and else or if it reads badly the plain listing."""
+    """(content, trace): a draft of claims, by a writer's words where there is one, and else or if it reads badly the plain listing. The trace holds the content's quality and issues."""
     cleaned = docmodel.chunk_sources(chunks)
-    claims = capability.feature_claims(cleaned) if plan.id == "key-features" else capability.draft_claims(cleaned, plan.id)
-    content, trace = "", {"used_draft": False, "used_llm": False, "used_fallback": False}
-    if claims.count() and not capability.claim_problems(claims).count():
+    claims = stage(capability.feature_claims(cleaned) if plan.id == "key-features" else capability.draft_claims(cleaned, plan.id), "claims")
+    trace, drawn, best = {"used_draft": False, "used_llm": False, "used_fallback": False}, _drawn(plan, cleaned), None
+    if claims.take(1) and not capability.claim_problems(claims).take(1):
         draft = _text(capability.draft_markdown(claims, plan.id, plan.title))
-        content, trace["used_draft"] = draft, True
-        if writer is not None:
-            told = [f"{r.name}: {r.description}" for r in retrieval.layer_a(cleaned).collect()]
-            words = writer.from_draft(draft, told)
-            if plan.may_rewrite and budget > 0 and _judge(spark, plan.id, words)[0] < report.QUALITY_LOW:
-                words = writer.update_section(draft, told)
-            words = spark.range(1).select(exprs.without_instructions(exprs.without_fences(F.lit(words)))).first()[0]
-            if words.strip() and not _judge(spark, plan.id, _with_diagram(spark, plan, words, cleaned))[2]:
-                content, trace["used_llm"] = words, True
-        content = _with_diagram(spark, plan, content, cleaned)
-        score, _, low = _judge(spark, plan.id, content)
-        if low or score < report.QUALITY_LOW:
-            content = ""
-    if not content:
+        trace["used_draft"] = True
+        told = [f"{r.name}: {r.description}" for r in retrieval.layer_a(cleaned).collect()] if writer is not None else []
+        words = [writer.from_draft(draft, told)] if writer is not None else []
+        best, *written = _read(spark, plan, [draft], words, drawn)
+        if written and plan.may_rewrite and budget > 0 and written[0].quality < report.QUALITY_LOW:
+            written = _read(spark, plan, [], [writer.update_section(draft, told)], drawn)
+        if written and written[0].plain.strip() and not written[0].low:
+            best, trace["used_llm"] = written[0], True
+        if best.low or best.quality < report.QUALITY_LOW:
+            best = None
+    if best is None:
         trace["used_fallback"] = True
-        content = _text(capability.key_features_markdown(cleaned, 5)) if plan.id == "key-features" else f"# {plan.title}\n\n{plan.goal}\n\n" + "".join(f"- **{r.name}**: {r.text}\n" for r in retrieval.first_by_name(retrieval.semantic_only(cleaned), 8).select("name", exprs.paragraph(exprs.claim_text(F.col("name"), F.col("package"), F.col("description"))).alias("text")).collect())
-        content = _with_diagram(spark, plan, content, cleaned)
-    if stats["low_evidence"]:
-        content = spark.range(1).select(exprs.with_low_evidence_note(F.lit(content))).first()[0]
-    return content, trace
+        listed = _text(capability.key_features_markdown(cleaned, 5)) if plan.id == "key-features" else f"# {plan.title}\n\n{plan.goal}\n\n" + "".join(f"- **{r.name}**: {r.text}\n" for r in retrieval.first_by_name(retrieval.semantic_only(cleaned), 8).select("name", exprs.paragraph(exprs.claim_text(F.col("name"), F.col("package"), F.col("description"))).alias("text")).collect())
+        best = _read(spark, plan, [listed], drawn=drawn)[0]
+    trace |= {"quality": best.quality, "issues": best.issues}
+    return best.noted if stats["low_evidence"] else best.text, trace
 
 
 def _section(plan: SectionPlan, order: int, content: str, stats: dict, chunks: DataFrame) -> dict:
@@ -125,7 +137,7 @@ def _section(plan: SectionPlan, order: int, content: str, stats: dict, chunks: D
 
 
 def _record(run: models.Report, spark: SparkSession, plan: SectionPlan, stats: dict, trace: dict, content: str, chunks: DataFrame) -> None:
-    score, issues, _ = _judge(spark, plan.id, content)
+    score, issues = trace.pop("quality"), trace.pop("issues")
     found = chunks.count()
     row = {
         "section_id": plan.id, "title": plan.title, "query_count": stats["query_count"], "search_hits": stats["search_hits"], "heuristic_hits": max(found - stats["search_hits"], 0), "chunk_count": stats["chunk_count"], "source_count": stats["source_count"], "evidence_confidence": stats["confidence"],
@@ -136,27 +148,27 @@ def _record(run: models.Report, spark: SparkSession, plan: SectionPlan, stats: d
     run.signals += [{"stage": r.stage, "code": r.code, "severity": r.severity, "message": r.section_id} for r in report.section_signals(df).collect()]
 
 
-def ensure_index(store: Store, embed: Embed, run: models.Report | None = None) -> None:
-    """Drops stale chunks, and builds what is missing if the index is not healthy."""
+def ensure_index(store: Store, embed: Embed, batch: int = 64) -> None:
+    """Drops stale chunks, and builds what is missing if the index is not healthy; both against the chunks that ``sync.index`` stores."""
     symbols, edges = store.load("nodes"), store.load("edges")
     old = store.load("chunks")
     if old is None:
-        sync.index(store, embed)
+        sync.index(store, embed, batch=batch)
         return
-    expected = chunk.prepare(symbols, edges).select("id")
+    expected = stage(sync.prepared(symbols, edges).select("id"), "expected")
     health = vector.index_health(expected, old).first()
     stale = vector.missing_and_stale(expected, old).filter("state = 'stale'").select(F.col("id").alias("target"))
     if health.stale:
         store.delete_chunks(stale)
     if health.rebuild:
-        sync.index(store, embed)
+        sync.index(store, embed, batch=batch)
 
 
-def generate(spark: SparkSession, store: Store, out: str, embed: Embed, writer: Writer | None = None, rewrites: int = 1) -> dict:
+def generate(spark: SparkSession, store: Store, out: str, embed: Embed, writer: Writer | None = None, rewrites: int = 1, batch: int = 64) -> dict:
     """Writes doc_model.json, documentation.md and report.json under ``out`` and returns the model."""
     run = models.Report("generate")
     with run.stage("index"):
-        ensure_index(store, embed)
+        ensure_index(store, embed, batch)
     chunks = store.load("chunks")
     caps = [(r.title, r.intent) for r in capability.capabilities(chunks.drop("embedding"), 5).collect()]
     sections = []
@@ -176,7 +188,7 @@ def generate(spark: SparkSession, store: Store, out: str, embed: Embed, writer:
 
 def _publish(spark: SparkSession, model: dict, out: str) -> None:
     models.save_model(spark, f"{out}/doc_model.json", model)
-    models.write_file(spark, f"{out}/documentation.md", docmodel.render(models.sections_of(spark, model), model["document"]["title"]).first().markdown)
+    files.put(spark, f"{out}/documentation.md", docmodel.render(models.sections_of(spark, model), model["document"]["title"]).first().markdown)
 
 
 def load_or_bootstrap(spark: SparkSession, out: str) -> dict:
@@ -184,30 +196,35 @@ def load_or_bootstrap(spark: SparkSession, out: str) -> dict:
     model = models.load_model(spark, f"{out}/doc_model.json")
     if model is not None:
         return model
-    text = models.read_file(spark, f"{out}/documentation.md")
+    text = files.read(spark, f"{out}/documentation.md")
     s = docmodel.normalize(docmodel.build_model(spark.createDataFrame([("main", text)], "doc string, content string")))
     model = models.new_model(models.rows_to_sections(s))
     models.save_model(spark, f"{out}/doc_model.json", model)
     return model
 
 
-def update(spark: SparkSession, store: Store, changes: DataFrame, out: str, embed: Embed, writer: Writer | None = None, heuristic: bool = True, semantic: bool = False, most: int = 2) -> list[str]:
+def update(spark: SparkSession, store: Store, changes: DataFrame, out: str, embed: Embed, writer: Writer | None = None, heuristic: bool = True, semantic: bool = False, most: int = 2, hops: int = 2, least: float = 0.0, routes: int = 0) -> list[str]:
     """Rewrites the sections that a change reaches, ``most`` by a writer, and returns their ids in order.
 
     Chunks of changed files go to sections by file, then to the sections of the plan in turn, by heuristic, by a
-    writer's choice, or by vector; what is left makes a new section of at most 8.
+    writer's choice (of ``routes`` chunks), or by vector; what is left makes a new section of at most 8. The heuristic
+    leaves nothing over, so asking a writer means going without it. Changes reach ``hops`` steps over edges of ``least`` confidence.
     """
     model = load_or_bootstrap(spark, out)
     sources = models.sources_of(spark, model)
-    hit, _ = sync.plan_sections(store, changes, sources)
+    hit, _ = sync.plan_sections(store, changes, sources, hops, least)
     preferred = [r.section_id for r in hit.collect()]
-    files = changes.select(F.col("path").alias("file_path")).distinct()
-    touched = stage(store.load("chunks").join(files, "file_path", "left_semi"), "touched")
-    vectors = None
+    changed = changes.select(F.col("path").alias("file_path")).distinct()
+    touched = stage(store.load("chunks").join(changed, "file_path", "left_semi"), "touched")
+    vectors = chosen = None
+    if writer is not None and routes > 0:
+        heuristic, titles = False, [s["title"] for s in model["sections"]]
+        ids = [s["id"] for s in model["sections"]]
+        chosen = lambda rest: planning.route_by_choice(rest, ids, lambda _, text: parse_index(str(writer.insertion_point(titles, text)), len(titles)), routes)
     if semantic and not preferred and not heuristic:
         texts = embed([f"{s['title']}\n{s['content_md']}" for s in model["sections"]])
         vectors = spark.createDataFrame([(s["id"], i, [float(x) for x in v]) for i, (s, v) in enumerate(zip(model["sections"], texts, strict=True))], "section_id string, ord int, vector array<float>")
-    routed = stage(planning.route_cascade(touched, sources.select("section_id", "file_path"), preferred, heuristic, vectors), "routed")
+    routed = stage(planning.route_cascade(touched, sources.select("section_id", "file_path"), preferred, heuristic, vectors, chosen=chosen), "routed")
     order = [r.section_id for r in planning.section_order(routed.groupBy("section_id").agg(F.count(F.lit(1)).alias("n")), preferred).orderBy("pos").collect()]
     by_id = {s["id"]: s for s in model["sections"]}
     done = []
@@ -228,6 +245,8 @@ def update(spark: SparkSession, store: Store, changes: DataFrame, out: str, embe
             old["hash"] = models.section_digest(old)
         else:
             content, _ = write_section(spark, plan, chunks, stats, writer if allowed else None)
+            if writer is not None and allowed and len(done) < most:
+                content = writer.new_section([r.content for r in retrieval.first_by_name(chunks, 10).collect()]).strip() or content
             made = _section(plan, len(model["sections"]), content, stats, chunks)
             if writer is not None:
                 at = parse_index(str(writer.insertion_point([s["title"] for s in model["sections"]], content)), len(model["sections"]))

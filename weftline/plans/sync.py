@@ -29,31 +29,47 @@ def scan(spark: SparkSession, root: str, store: Store) -> None:
     store.save_graph(symbols, edges, relations)
 
 
-def update_graph(store: Store, changes: DataFrame, files: DataFrame, resolvers: Sequence[tuple[str, link.Resolver]] = ()) -> DataFrame:
-    """Replaces the symbols and relations of changed files (``files`` are those that still exist) and links all stored relations anew. Returns the stages of the resolvers."""
+def typed(symbols: DataFrame, refs: DataFrame | None = None) -> list[tuple[str, link.Resolver]]:
+    """The resolver of what names leave over: by unique key, from a type checker's references (from_id, ord, key) where there are any."""
+    return [("types", lambda edges, unresolved: link.resolve_unique(unresolved, link.name_index(symbols), edges, refs))]
+
+
+def update_graph(store: Store, changes: DataFrame, files: DataFrame, resolvers: Sequence[tuple[str, link.Resolver]] | None = None, refs: DataFrame | None = None, within_package: bool = False) -> DataFrame:
+    """Replaces the symbols and relations of changed files (``files`` are those that still exist) and links all stored relations anew.
+
+    Names decide first, all symbols of a name or only those of the relation's package; then the resolvers (``typed``, if not given).
+    Returns the resolvers' stages.
+    """
     units = stage(code.extract(files.filter(code.is_source(F.col("filepath")))), "units")
     old = store.load("nodes")
     symbols = graph.update_symbols(old, changes, code.symbols(units))
     gone = old.join(changes.select(F.col("path").alias("filepath")), "filepath", "left_semi").select(F.col("id").alias("from_id"))
     relations = store.load("relations").join(gone, "from_id", "left_anti").unionByName(code.relations(units))
+    symbols, relations = stage(symbols, "symbols"), stage(relations, "relations")
     edges, unresolved = link.link(relations, symbols)
-    edges, _, stages = link.run_chain(edges, unresolved, resolvers)
+    if within_package:
+        edges = link.link_within_package(relations, symbols)
+    edges, _, stages = link.run_chain(edges, unresolved, typed(symbols, refs) if resolvers is None else resolvers)
     store.save_graph(symbols, edges, relations)
     return stages
 
 
-def index(store: Store, embed: Embed, most: int = 0) -> None:
+def prepared(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """Chunks that an index should hold: those of symbols that matter to documents."""
+    return chunk.prepare(symbols.join(graph.doc_relevant(symbols, edges), "id", "left_semi"), edges)
+
+
+def index(store: Store, embed: Embed, most: int = 0, batch: int = 64) -> None:
     """Embeds chunks that are new or changed, at most ``most`` of them, puts them in place, and drops those that are no longer there.
 
     What is stored already is skipped before the budget is cut.
     """
     symbols, edges = store.load("nodes"), store.load("edges")
-    relevant = graph.doc_relevant(symbols, edges)
-    chunks = stage(chunk.prepare(symbols.join(relevant, "id", "left_semi"), edges), "chunks")
+    chunks = stage(prepared(symbols, edges), "chunks")
     old = store.load("chunks")
     wanted = chunks if old is None else chunk.unchanged(chunks, old)
     picked = chunk.budget(wanted, most).select(chunks.columns)
-    new = vector.embed_column(picked, embeddable_text(), embed)
+    new = vector.embed_column(picked, embeddable_text(), embed, batch)
     if old is not None:
         keep = old.join(chunks.select("id"), "id", "left_semi")
         new = chunk.upsert(keep, new)

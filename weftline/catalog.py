@@ -1,8 +1,8 @@
 """Queries over the tables of a folder, and their SQL for an independent engine.
 
 The tables hold no code, so each operator runs over a view that stands for symbols,
-relations, edges, chunks or sections. Edges, changes, section sources and section files
-are views of part of their tables' rows, in the SQL too; the README says how many.
+relations, edges, chunks or sections. Every view is the whole of its tables, and texts are
+whole. Words and numbers that an operator holds fixed stand in the SQL as they are.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ class Views:
         kinds = F.array(*map(F.lit, ("function", "method", "struct", "constant", "file_module")))
         return self.table("documents").select(
             n.cast("string").alias("id"), F.col("source").alias("filepath"), F.col("lang").alias("package"), F.col("text").alias("content"), ((n % 50) * 20 + 1).cast("int").alias("start_line"), ((n % 50) * 20 + 20).cast("int").alias("end_line"),
-            F.element_at(kinds, (n % 5 + 1).cast("int")).alias("unit_type"), name.alias("name"), F.substring("text", 1, 60).alias("description"), F.concat(name, F.lit("()")).alias("signature"), F.sha2("text", 256).alias("content_hash"), n.alias("n"),
+            F.element_at(kinds, (n % 5 + 1).cast("int")).alias("unit_type"), name.alias("name"), F.col("text").alias("description"), F.concat(name, F.lit("()")).alias("signature"), F.sha2("text", 256).alias("content_hash"), n.alias("n"),
         )
 
     @property
@@ -49,12 +49,12 @@ class Views:
 
     @property
     def changes(self) -> DataFrame:
-        e = self.table("events").filter((F.col("event_type") == "error") & (F.col("event_id") % 7 == 0))
-        return e.groupBy(F.concat(F.lit("src"), F.col("user_id") % 20).alias("path")).agg(F.array_sort(F.collect_set((F.floor(F.col("event_id") / 7) % 1000 + 1).cast("int"))).alias("changed_lines"))
+        """Each error is a changed line; lines over 1,000 are in no symbol."""
+        e = self.table("events").filter(F.col("event_type") == "error")
+        return e.groupBy(F.concat(F.lit("src"), F.col("user_id") % 20).alias("path")).agg(F.array_sort(F.collect_set((F.col("event_id") + 1).cast("int"))).alias("changed_lines"))
 
     def _edges(self, start: Column, end: Column) -> DataFrame:
-        lines = self.table("lineitem").filter((F.col("l_quantity") >= 49) & (F.col("l_linenumber") == 1))
-        return lines.groupBy(start.cast("string").alias("from_id"), end.cast("string").alias("to_id")).agg(F.min("l_returnflag").alias("kind"), F.round(F.min(1 - F.col("l_discount")), 2).alias("confidence")).filter("from_id <> to_id")
+        return self.table("lineitem").groupBy(start.cast("string").alias("from_id"), end.cast("string").alias("to_id")).agg(F.min("l_returnflag").alias("kind"), F.round(F.min(1 - F.col("l_discount")), 2).alias("confidence")).filter("from_id <> to_id")
 
     @property
     def edges(self) -> DataFrame:
@@ -63,7 +63,7 @@ class Views:
     @property
     def doc_edges(self) -> DataFrame:
         n = self.table("documents").agg(F.count(F.lit(1)).alias("docs"))
-        lines = self.table("lineitem").filter((F.col("l_quantity") >= 49) & (F.col("l_linenumber") == 1)).crossJoin(F.broadcast(n))
+        lines = self.table("lineitem").crossJoin(F.broadcast(n))
         pair = lines.groupBy((F.col("l_partkey") % F.col("docs")).cast("string").alias("from_id"), (F.col("l_orderkey") % F.col("docs")).cast("string").alias("to_id"))
         return pair.agg(F.min("l_returnflag").alias("kind"), F.round(F.min(1 - F.col("l_discount")), 2).alias("confidence")).filter("from_id <> to_id")
 
@@ -82,8 +82,9 @@ class Views:
 
     @property
     def sources(self) -> DataFrame:
-        d = self.table("documents").filter("doc_id % 7 = 0").join(self.table("labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
-        return d.select(F.col("source").alias("section_id"), F.col("doc_id").cast("string").alias("symbol_id"), F.col("source").alias("file_path"), F.coalesce("quality", F.lit(0)).cast("double").alias("confidence"))
+        """Each document is a source of its section, of the symbol that leads its seven."""
+        d = self.table("documents").join(self.table("labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
+        return d.select(F.col("source").alias("section_id"), (F.col("doc_id") - F.col("doc_id") % 7).cast("string").alias("symbol_id"), F.col("source").alias("file_path"), F.coalesce("quality", F.lit(0)).cast("double").alias("confidence"))
 
     @property
     def vectors(self) -> DataFrame:
@@ -93,23 +94,23 @@ class Views:
     def markdown(self) -> DataFrame:
         """A document for each conversation: every third turn is a heading."""
         c = self.table("conversations")
-        line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("## "), F.substring(F.translate("text", "\n\r", "  "), 1, 20))).otherwise(F.translate("text", "\n\r", "  "))
+        line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("## "), F.translate("text", "\n\r", "  "))).otherwise(F.translate("text", "\n\r", "  "))
         return c.groupBy(F.col("conv_id").cast("string").alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("r"), line.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
 
 
 CTE = {
     "sym": """SELECT doc_id::VARCHAR AS id, source AS filepath, lang AS package, text AS content, ((doc_id % 50) * 20 + 1)::INT AS start_line, ((doc_id % 50) * 20 + 20)::INT AS end_line,
       ['function', 'method', 'struct', 'constant', 'file_module'][(doc_id % 5 + 1)::INT] AS unit_type, (CASE WHEN doc_id % 3 = 0 THEN 'Load' WHEN doc_id % 3 = 1 THEN 'getIndex' ELSE 'render' END) || (doc_id % 97) AS name,
-      substr(text, 1, 60) AS description, (CASE WHEN doc_id % 3 = 0 THEN 'Load' WHEN doc_id % 3 = 1 THEN 'getIndex' ELSE 'render' END) || (doc_id % 97) || '()' AS signature, sha256(text) AS content_hash, doc_id AS n FROM documents""",
+      text AS description, (CASE WHEN doc_id % 3 = 0 THEN 'Load' WHEN doc_id % 3 = 1 THEN 'getIndex' ELSE 'render' END) || (doc_id % 97) || '()' AS signature, sha256(text) AS content_hash, doc_id AS n FROM documents""",
     "chunks": "SELECT id, filepath AS file_path, name, unit_type, package, description, signature, content, content_hash, ['Load' || (n * 7 % 97), 'render' || (n % 13)] AS dependencies, round((n % 10) / 10, 6) AS conf, start_line, end_line, n FROM sym",
-    "chg": "SELECT DISTINCT 'src' || (user_id % 20) AS path, (event_id // 7) % 1000 + 1 AS line FROM events WHERE event_type = 'error' AND event_id % 7 = 0",
-    "edg": "SELECT 'p' || l_partkey AS from_id, 's' || l_suppkey AS to_id, min(l_returnflag) AS kind, round(min(1 - l_discount), 2) AS confidence FROM lineitem WHERE l_quantity >= 49 AND l_linenumber = 1 GROUP BY 1, 2",
-    "dedg": "SELECT * FROM (SELECT (l_partkey % c)::VARCHAR AS from_id, (l_orderkey % c)::VARCHAR AS to_id, min(l_returnflag) AS kind, round(min(1 - l_discount), 2) AS confidence FROM lineitem, (SELECT count(*) AS c FROM documents) WHERE l_quantity >= 49 AND l_linenumber = 1 GROUP BY 1, 2) WHERE from_id <> to_id",
+    "chg": "SELECT DISTINCT 'src' || (user_id % 20) AS path, event_id + 1 AS line FROM events WHERE event_type = 'error'",
+    "edg": "SELECT 'p' || l_partkey AS from_id, 's' || l_suppkey AS to_id, min(l_returnflag) AS kind, round(min(1 - l_discount), 2) AS confidence FROM lineitem GROUP BY 1, 2",
+    "dedg": "SELECT * FROM (SELECT (l_partkey % c)::VARCHAR AS from_id, (l_orderkey % c)::VARCHAR AS to_id, min(l_returnflag) AS kind, round(min(1 - l_discount), 2) AS confidence FROM lineitem, (SELECT count(*) AS c FROM documents) GROUP BY 1, 2) WHERE from_id <> to_id",
     "names": "SELECT 'p' || p_partkey AS id, p_brand AS name, p_type AS package FROM part UNION ALL SELECT 'n' || n_nationkey, n_name, 'geo' FROM nation",
     "rel": """SELECT 's' || s_suppkey AS from_id, CASE s_suppkey % 7 WHEN 0 THEN '*' || n_name WHEN 1 THEN '[]' || n_name WHEN 2 THEN 'geo.' || n_name WHEN 3 THEN 'x.' || n_name WHEN 4 THEN 'map[string]' || n_name WHEN 5 THEN b ELSE 'x.' || b END AS target,
       CASE WHEN s_suppkey % 2 = 0 THEN 'calls' ELSE 'uses_type' END AS kind, round((s_suppkey % 10) / 10, 6) AS confidence FROM (SELECT *, 'Brand#' || (s_suppkey % 5 + 1) || ((s_suppkey // 5) % 5 + 1) AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
-    "src": "SELECT source AS section_id, d.doc_id::VARCHAR AS symbol_id, source AS file_path, coalesce(quality, 0)::DOUBLE AS confidence FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id WHERE d.doc_id % 7 = 0",
-    "md": "SELECT conv_id::VARCHAR AS doc, string_agg(CASE WHEN turn % 3 = 0 THEN '## ' || substr(translate(text, chr(10) || chr(13), '  '), 1, 20) ELSE translate(text, chr(10) || chr(13), '  ') END, chr(10) ORDER BY turn, role) AS content FROM conversations GROUP BY 1",
+    "src": "SELECT source AS section_id, (d.doc_id - d.doc_id % 7)::VARCHAR AS symbol_id, source AS file_path, coalesce(quality, 0)::DOUBLE AS confidence FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id",
+    "md": "SELECT conv_id::VARCHAR AS doc, string_agg(CASE WHEN turn % 3 = 0 THEN '## ' || translate(text, chr(10) || chr(13), '  ') ELSE translate(text, chr(10) || chr(13), '  ') END, chr(10) ORDER BY turn, role) AS content FROM conversations GROUP BY 1",
     "keys": "SELECT DISTINCT unnest([name, package || '.' || name]) AS key, id FROM names",
     "relkeys": r"""SELECT from_id, target, kind, confidence, unnest([{'s': 0, 'k': c}, {'s': 1, 'k': target}, {'s': 2, 'k': CASE WHEN contains(c, '.') THEN regexp_extract(c, '[^.]*$') END}]) AS sk
       FROM (SELECT *, regexp_replace(regexp_replace(target, '^\*', ''), '^\[\]', '') AS c FROM rel)""",
@@ -257,14 +258,15 @@ def role_classify(v: Views) -> DataFrame:
     return v.table("events").select("event_id", exprs.role(pick(_ROLE_KINDS), pick(_ROLE_NAMES)).alias("role"))
 
 
-_TARGETS = ("append", "fmt.Println", "Store", "*Store", "[]string", "x.make", "json", "json.Marshal", "error", "map[string]int")
+_TARGETS = ("append", "fmt.Println", "Store", "*Store", "[]string", "x.make", "json", "json.Marshal", "error", "map[string]int", "cap", "close", "complex", "copy", "delete", "imag", "len", "make", "new", "panic", "print", "println", "real", "recover", "os.Exit", "context.Background", "errors.New", "time.Now", "strings.Split", "sync.Once", "http.Get", "io.Copy", "log.Fatal", "bytes.Buffer", "reflect.TypeOf", "uint8", "[]rune", "*complex128", "interface{}", "any", "slices.Sort")
 
 
-@query("", f"""WITH s AS (SELECT event_id, {list(_TARGETS)}[event_id % 10 + 1] AS t FROM events)
-SELECT event_id, t AS target, t IN ({", ".join(f"'{b}'" for b in exprs.BUILTINS)}) OR regexp_matches(t, '^({"|".join(exprs.STDLIB)})\\.') AS noise,
-  regexp_replace(regexp_replace(t, '^\\*', ''), '^\\[\\]', '') NOT IN ({", ".join(f"'{b}'" for b in exprs.PRIMITIVES)}) AS user_type FROM s""")
+@query("", rf"""WITH s AS (SELECT event_id, {list(_TARGETS)}[event_id % {len(_TARGETS)} + 1] AS t FROM events)
+SELECT event_id, t AS target, t IN ('append', 'cap', 'close', 'complex', 'copy', 'delete', 'imag', 'len', 'make', 'new', 'panic', 'print', 'println', 'real', 'recover')
+    OR regexp_matches(t, '^(fmt|os|context|errors|time|strings|sync|json|http|io|log|bytes|reflect)\.') AS noise,
+  regexp_replace(regexp_replace(t, '^\*', ''), '^\[\]', '') NOT IN ('bool', 'string', 'int', 'int8', 'int16', 'int32', 'int64', 'uint', 'uint8', 'uint16', 'uint32', 'uint64', 'uintptr', 'byte', 'rune', 'float32', 'float64', 'complex64', 'complex128', 'error', 'interface{{}}', 'any') AS user_type FROM s""")
 def noise_filter(v: Views) -> DataFrame:
-    t = F.element_at(F.array(*map(F.lit, _TARGETS)), (F.col("event_id") % 10 + 1).cast("int"))
+    t = F.element_at(F.array(*map(F.lit, _TARGETS)), (F.col("event_id") % len(_TARGETS) + 1).cast("int"))
     return v.table("events").select("event_id", t.alias("target")).select("event_id", "target", exprs.is_noise(F.col("target")).alias("noise"), exprs.is_user_type(F.col("target")).alias("user_type"))
 
 
@@ -288,9 +290,9 @@ def embeddable_text(v: Views) -> DataFrame:
     return v.chunks.select("id", exprs.embeddable_text().alias("text"))
 
 
-@query("sym", r"""SELECT id, CASE WHEN d = '' THEN name || ' affects it.' ELSE CASE WHEN length(d) > 40 THEN regexp_replace(substr(d, 1, 40), '^[\s]+|[\s]+$', '', 'g') || '...' ELSE d END END AS claim FROM (SELECT id, name, replace(regexp_replace(description, '^[\s]+|[\s]+$', '', 'g'), chr(10), ' ') AS d FROM sym)""")
+@query("sym", r"""SELECT id, CASE WHEN d = '' THEN name || ' affects it.' ELSE CASE WHEN length(d) > 280 THEN regexp_replace(substr(d, 1, 280), '^[\s]+|[\s]+$', '', 'g') || '...' ELSE d END END AS claim FROM (SELECT id, name, replace(regexp_replace(description, '^[\s]+|[\s]+$', '', 'g'), chr(10), ' ') AS d FROM sym)""")
 def claim_texts(v: Views) -> DataFrame:
-    text = exprs.claim_text(F.col("name"), F.col("package"), F.col("description"), 40)
+    text = exprs.claim_text(F.col("name"), F.col("package"), F.col("description"))
     return v.sym.select("id", F.when(text == "", F.concat("name", F.lit(" affects it."))).otherwise(text).alias("claim"))
 
 
@@ -303,34 +305,61 @@ def link_relations(v: Views) -> DataFrame:
     return edges.select("from_id", "to_id", "kind", F.round("confidence", 6).alias("confidence"))
 
 
-@query("rel linked", "SELECT 'no_candidate' AS reason, count(*) AS n FROM rel WHERE from_id NOT IN (SELECT from_id FROM linked)")
+@query("rel linked hit", """WITH c AS (SELECT from_id, count(DISTINCT id) AS n FROM hit GROUP BY 1),
+r AS (SELECT 'no_candidate' AS reason FROM rel WHERE from_id NOT IN (SELECT from_id FROM linked) UNION ALL SELECT CASE WHEN n > 1 THEN 'ambiguous' ELSE 'typecheck_failed' END FROM rel LEFT JOIN c USING (from_id) WHERE coalesce(n, 0) <> 1)
+SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def unresolved_by_reason(v: Views) -> DataFrame:
+    """What names leave over, of which calls have no reason yet, and what unique keys leave over of all relations."""
     _, missing = link.link(v.relations, v.names)
-    return link.reason_counts(missing.withColumn("reason", F.when(F.col("kind") == "calls", "").otherwise(F.col("reason"))))
+    missing = missing.withColumn("reason", F.when(F.col("kind") == "calls", "").otherwise(F.col("reason")))
+    _, rest = link.resolve_unique(missing.limit(0).unionByName(v.relations.withColumn("reason", F.lit(""))), link.name_index(v.names), _no_edges(v))
+    return link.reason_counts(missing.unionByName(rest))
+
+
+def _no_edges(v: Views) -> DataFrame:
+    return v.spark.createDataFrame([], "from_id string, to_id string, kind string, resolver string, confidence double")
 
 
 @query("rel hit", """WITH c AS (SELECT from_id, count(DISTINCT id) AS n, min(id) AS to_id FROM hit GROUP BY 1)
 SELECT from_id, coalesce(CASE WHEN n = 1 THEN to_id END, '') AS to_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'typecheck_failed' END AS state, CASE WHEN n = 1 THEN greatest(confidence, 0.9)::DOUBLE ELSE 0 END AS confidence FROM rel LEFT JOIN c USING (from_id)""")
 def resolve_unique_key(v: Views) -> DataFrame:
     rel = v.relations.withColumn("reason", F.lit("no_candidate"))
-    none = v.spark.createDataFrame([], "from_id string, to_id string, kind string, resolver string, confidence double")
-    edges, rest = link.resolve_unique(rel, link.name_index(v.names), none)
+    edges, rest = link.resolve_unique(rel, link.name_index(v.names), _no_edges(v))
     return edges.select("from_id", "to_id", F.lit("resolved").alias("state"), "confidence").unionByName(rest.select("from_id", F.lit("").alias("to_id"), F.col("reason").alias("state"), F.lit(0.0).alias("confidence")))
 
 
-@query("rel linked hit", """WITH u AS (SELECT * FROM rel WHERE from_id NOT IN (SELECT from_id FROM linked)) SELECT 0 AS stage, 'types' AS name, (SELECT count(*) FROM u) AS before_n, (SELECT count(*) FROM u) AS after_n, 0::BIGINT AS resolved""")
+_REFS = "SELECT 's' || s_suppkey AS from_id, 'geo.' || n_name AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0"
+
+
+def _refs(v: Views) -> DataFrame:
+    """What a type checker found: suppliers with money refer to their nation."""
+    s = v.table("supplier").filter("s_acctbal > 0").join(v.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.concat(F.lit("s"), "s_suppkey").alias("from_id"), F.lit(0).alias("ord"), F.concat(F.lit("geo."), "n_name").alias("key"))
+
+
+@query("rel linked", f"""WITH refs AS ({_REFS}), u AS (SELECT from_id FROM rel WHERE from_id NOT IN (SELECT from_id FROM linked)), n AS (SELECT count(*) AS b, count_if(from_id NOT IN (SELECT from_id FROM refs)) AS a FROM u)
+SELECT 0 AS stage, 'names' AS name, b AS before_n, b AS after_n, 0::BIGINT AS resolved FROM n UNION ALL SELECT 1, 'refs', b, a::BIGINT, (b - a)::BIGINT FROM n""")
 def resolver_chain(v: Views) -> DataFrame:
+    """Unique keys of names resolve none of what names leave over; a type checker's references resolve theirs."""
     edges, missing = link.link(v.relations, v.names)
-    _, _, stages = link.run_chain(edges, missing, [("types", lambda e, u: link.resolve_unique(u, link.name_index(v.names), e))])
+    index = link.name_index(v.names)
+    _, _, stages = link.run_chain(edges, missing, [("names", lambda e, u: link.resolve_unique(u, index, e)), ("refs", lambda e, u: link.resolve_unique(u, index, e, _refs(v)))])
     return stages
 
 
+@query("rel hit", f"""WITH refs AS ({_REFS}), c AS (SELECT from_id, count(DISTINCT id) AS n, min(id) AS to_id FROM (SELECT from_id, id FROM hit WHERE from_id NOT IN (SELECT from_id FROM refs) UNION ALL SELECT from_id, 'n' || n_nationkey FROM refs JOIN nation ON key = 'geo.' || n_name) GROUP BY 1)
+SELECT from_id, coalesce(CASE WHEN n = 1 THEN to_id END, '') AS to_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'typecheck_failed' END AS state FROM rel LEFT JOIN c USING (from_id)""")
+def typed_references(v: Views) -> DataFrame:
+    edges, rest = link.resolve_unique(v.relations.withColumn("reason", F.lit("")), link.name_index(v.names), _no_edges(v), _refs(v))
+    return edges.select("from_id", "to_id", F.lit("resolved").alias("state")).unionByName(rest.select("from_id", F.lit("").alias("to_id"), F.col("reason").alias("state")))
+
+
 # Graph
 
 
-@query("edg", "SELECT from_id AS id, to_id AS neighbor FROM edg WHERE to_id IN (SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+@query("edg", "SELECT from_id AS id, to_id AS neighbor FROM edg WHERE to_id IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def neighbors_out(v: Views) -> DataFrame:
-    return graph.neighbors_out(v.edges, v.table("supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id")))
+    return graph.neighbors_out(v.edges, v.table("supplier").filter("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id")))
 
 
 @query("edg", "SELECT to_id AS id, from_id AS neighbor FROM edg WHERE from_id IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 10)")
@@ -359,26 +388,26 @@ def _expanded(edges: str, start: str) -> str:
   n2 AS (SELECT id, min(depth) AS depth, max(score) AS score FROM (SELECT * FROM n1 UNION ALL SELECT v, 2, score * w FROM n1 JOIN near ON u = id WHERE depth = 1) GROUP BY 1)"""
 
 
-_START = "start AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey <= 5)"
+_START = "start AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey % 100 = 0)"
 
 
 @query("edg", f"WITH {_START}, {_expanded('edg', 'start')} SELECT id, depth, round(score, 6) AS score FROM n2")
 def khop_max_product(v: Views) -> DataFrame:
-    start = v.table("part").filter("p_partkey <= 5").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    start = v.table("part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     nodes, _ = graph.expand(v.edges, start, 2)
     return nodes.select("id", "depth", F.round("score", 6).alias("score"))
 
 
 @query("edg", f"WITH {_START}, e AS (SELECT * FROM edg WHERE confidence >= 0.93 AND kind IN ('N', 'A')), {_expanded('e', 'start')} SELECT DISTINCT from_id, to_id, kind FROM e WHERE from_id IN (SELECT id FROM n2 WHERE depth < 2) OR to_id IN (SELECT id FROM n2 WHERE depth < 2)")
 def khop_edges_filtered(v: Views) -> DataFrame:
-    start = v.table("part").filter("p_partkey <= 5").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    start = v.table("part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     _, edges = graph.expand(v.edges, start, 2, 0.93, ("N", "A"))
     return edges.select("from_id", "to_id", "kind")
 
 
 @query("edg", f"WITH {_START}, {_expanded('edg', 'start')} SELECT id, depth FROM n2 WHERE depth > 0")
 def bfs_distance(v: Views) -> DataFrame:
-    return graph.distances(v.edges, v.table("part").filter("p_partkey <= 5").select(F.concat(F.lit("p"), "p_partkey").alias("id")), 2)
+    return graph.distances(v.edges, v.table("part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id")), 2)
 
 
 @query("sym dedg", f"WITH e AS (SELECT from_id, to_id, 1.0 AS confidence FROM dedg), s AS (SELECT id FROM sym WHERE regexp_matches(name, '^[A-Z]')), {_expanded('e', 's')} SELECT id FROM sym WHERE id IN (SELECT id FROM n2)")
@@ -417,38 +446,38 @@ def cosine_topk(v: Views) -> DataFrame:
     return vector.top_k_each(v.vectors, _first_vector(v), 20).select("id", "score")
 
 
-@query("", f"""WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT qid, vec_id::VARCHAR AS id, round({_COS}, 6) AS score FROM embeddings, q)
+@query("", f"""WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT qid, vec_id::VARCHAR AS id, round({_COS}, 6) AS score FROM embeddings, q)
 SELECT qid::VARCHAR AS query_id, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10""")
 def cosine_topk_each(v: Views) -> DataFrame:
-    q = v.vectors.filter("vec_id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    q = v.vectors.filter("vec_id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     return vector.top_k_each(v.vectors, q, 10).select("query_id", "id", "score", "rank")
 
 
-@query("", f"""WITH e AS (SELECT DISTINCT l_partkey % 400 AS a, l_suppkey % 400 AS b FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 49), near AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d1 AS (SELECT DISTINCT b AS id FROM near WHERE a = 0 AND b <> 0), d2 AS (SELECT DISTINCT b AS id FROM near JOIN d1 ON a = d1.id WHERE b <> 0 AND b NOT IN (SELECT id FROM d1))
+@query("", f"""WITH e AS (SELECT DISTINCT l_partkey % 400 AS a, l_suppkey % 400 AS b FROM lineitem), near AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d1 AS (SELECT DISTINCT b AS id FROM near WHERE a = 0 AND b <> 0), d2 AS (SELECT DISTINCT b AS id FROM near JOIN d1 ON a = d1.id WHERE b <> 0 AND b NOT IN (SELECT id FROM d1))
 SELECT vec_id::VARCHAR AS id, round({_COS} + CASE WHEN vec_id IN (SELECT id FROM d1) THEN 0.2 WHEN vec_id IN (SELECT id FROM d2) THEN 0.1 ELSE 0 END, 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY score DESC, id LIMIT 25""")
 def hybrid_topk(v: Views) -> DataFrame:
-    e = v.table("lineitem").filter("l_linenumber = 1 AND l_quantity >= 49").select((F.col("l_partkey") % 400).cast("string").alias("from_id"), (F.col("l_suppkey") % 400).cast("string").alias("to_id")).distinct()
+    e = v.table("lineitem").select((F.col("l_partkey") % 400).cast("string").alias("from_id"), (F.col("l_suppkey") % 400).cast("string").alias("to_id")).distinct()
     near = graph.distances(e, v.spark.createDataFrame([("0",)], "id string"), 2)
     query = [float(x) for x in _first_vector(v).first()["query"]]
     return vector.hybrid_top_k(v.vectors, near, query, 25).select("id", "score")
 
 
-@query("", f"""WITH s AS (SELECT vec_id AS ord, embedding AS q FROM embeddings WHERE vec_id < 12), x AS (SELECT vec_id::VARCHAR AS id, 'sec' || ord AS section_id, ord, round({_COS}, 6) AS score FROM embeddings, s WHERE vec_id >= 12)
+@query("", f"""WITH s AS (SELECT vec_id AS ord, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT vec_id::VARCHAR AS id, 'sec' || ord AS section_id, ord, round({_COS}, 6) AS score FROM embeddings, s)
 SELECT id, section_id, score FROM x WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) = 1""")
 def semantic_argmax(v: Views) -> DataFrame:
-    s = v.vectors.filter("vec_id < 12").select(F.concat(F.lit("sec"), "vec_id").alias("section_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    return vector.assign(v.vectors.filter("vec_id >= 12").select("id", "embedding"), s)
+    s = v.vectors.filter("vec_id % 100 = 0").select(F.concat(F.lit("sec"), "vec_id").alias("section_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    return vector.assign(v.vectors.select("id", "embedding"), s)
 
 
 # Chunks
 
 
 @query("sym", r"""WITH l AS (SELECT id, string_split(content, chr(10)) AS ls, content_hash, start_line FROM sym WHERE unit_type IN ('function', 'method')),
-x AS (SELECT *, unnest(range(0, least(3, (len(ls) + 4) // 5))) AS i FROM l WHERE len(ls) > 6),
-y AS (SELECT id || '::seg:' || (i + 1) AS id, regexp_replace(array_to_string(ls[i * 5 + 1 : least(i * 5 + 8, len(ls))], chr(10)), '^[\s]+|[\s]+$', '', 'g') AS content, content_hash || '::seg:' || (i + 1) AS content_hash, start_line + i * 5 AS first_line, start_line + least(i * 5 + 8, len(ls)) - 1 AS last_line FROM x)
+x AS (SELECT *, unnest(range(0, least(3, (len(ls) + 31) // 32))) AS i FROM l WHERE len(ls) > 45),
+y AS (SELECT id || '::seg:' || (i + 1) AS id, regexp_replace(array_to_string(ls[i * 32 + 1 : least(i * 32 + 40, len(ls))], chr(10)), '^[\s]+|[\s]+$', '', 'g') AS content, content_hash || '::seg:' || (i + 1) AS content_hash, start_line + i * 32 AS first_line, start_line + least(i * 32 + 40, len(ls)) - 1 AS last_line FROM x)
 SELECT id, sha256(content) AS content_sha, content_hash, first_line::INT AS first_line, last_line::INT AS last_line FROM y WHERE content <> ''""")
 def chunk_segments(v: Views) -> DataFrame:
-    s = chunk.segments(v.chunks.drop("n"), 8, 3, 3, 6, 0)
+    s = chunk.segments(v.chunks.drop("n"), max_chars=0)
     return s.select("id", F.sha2("content", 256).alias("content_sha"), "content_hash", F.col("sources")[0]["start_line"].alias("first_line"), F.col("sources")[0]["end_line"].alias("last_line"))
 
 
@@ -542,7 +571,16 @@ def hydrate_lines(v: Views) -> DataFrame:
 
 # Capabilities and diagrams
 
-_BUCKETS = {k: "(" + " + ".join(f"2 * contains(t, '{w}')::INT" for w in words.split()) + ")" for k, (words, _, _) in capability.BUCKETS.items()}
+_BUCKET_WORDS = {
+    "generation": "generate render markdown document summarize update",
+    "ingestion": "scan crawl extract parse discover",
+    "planning": "plan impact route section scope",
+    "quality": "validate schema test assert normalize",
+    "resolution": "resolve link relation dependency graph",
+    "retrieval": "search retrieve query index embed vector",
+    "runtime": "config setup init load store db sqlite cli",
+}
+_BUCKETS = {k: "(" + " + ".join(f"2 * contains(t, '{w}')::INT" for w in words.split()) + ")" for k, words in _BUCKET_WORDS.items()}
 
 
 @query("chunks", f"""WITH t AS (SELECT *, lower(name || ' ' || unit_type || ' ' || package || ' ' || description || ' ' || signature) AS t FROM chunks WHERE trim(name) <> '' AND NOT contains(lower(name), '_test') AND NOT ends_with(lower(name), 'test') AND unit_type NOT IN ('file_module', 'constant', 'variable')),
@@ -571,7 +609,8 @@ def package_chain(v: Views) -> DataFrame:
     return diagrams.package_chain(v.chunks.withColumn("package", F.col("file_path")))
 
 
-_STAGE = ["(" + " + ".join(f"contains(t, '{w}')::INT" for w in words.split()) + ")" for _, _, words in diagrams.STAGES]
+_STAGE_WORDS = ("main cmd api handler controller router endpoint serve", "service orchestr pipeline runner sync workflow manager", "domain core resolver analy planner extract generator", "store repo db sqlite index cache vector", "doc render markdown writer export")
+_STAGE = ["(" + " + ".join(f"contains(t, '{w}')::INT" for w in words.split()) + ")" for words in _STAGE_WORDS]
 
 
 @query("chunks", f"""WITH t AS (SELECT *, lower(name || ' ' || package || ' ' || description) AS t FROM chunks), b AS (SELECT *, greatest({", ".join(_STAGE)}) AS best FROM t), s AS (SELECT *, CASE {" ".join(f"WHEN {x} = best THEN {i}" for i, x in enumerate(_STAGE))} END AS stage FROM b WHERE best > 0),
@@ -584,11 +623,12 @@ def stage_flow(v: Views) -> DataFrame:
 
 # Planning and routing
 
-_FILES = "sf AS (SELECT DISTINCT source AS file_path, 'sec' || (doc_id % 3) AS section_id FROM documents WHERE doc_id % 7 = 0 AND source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6'))"
+_FILES = "sf AS (SELECT DISTINCT 'src' || n_regionkey AS file_path, 'sec' || (n_nationkey % 3) AS section_id FROM nation)"
 
 
 def _section_files(v: Views) -> DataFrame:
-    return v.table("documents").filter((F.col("doc_id") % 7 == 0) & F.col("source").isin(*(f"src{i}" for i in range(7)))).select(F.col("source").alias("file_path"), F.concat(F.lit("sec"), F.col("doc_id") % 3).alias("section_id"))
+    """Files that sections refer to, many to many; others are unmatched."""
+    return v.table("nation").select(F.concat(F.lit("src"), "n_regionkey").alias("file_path"), F.concat(F.lit("sec"), F.col("n_nationkey") % 3).alias("section_id"))
 
 
 @query("chunks", f"WITH {_FILES} SELECT id, section_id FROM chunks JOIN sf USING (file_path)")
@@ -634,9 +674,9 @@ def markdown_split(v: Views) -> DataFrame:
     return docmodel.split_markdown(v.markdown).select("doc", F.col("ord").cast("long").alias("ord"), "title", "level", "id", F.sha2("content", 256).alias("content_sha"))
 
 
-@query("", "SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)")
+@query("", "SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)")
 def slugify(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", exprs.slug(F.substring("text", 1, 40)).alias("slug"))
+    return v.table("documents").select("doc_id", exprs.slug(F.col("text")).alias("slug"))
 
 
 @query("md", f"WITH {_SPLIT} SELECT doc, ord::BIGINT AS ord, id FROM ded")

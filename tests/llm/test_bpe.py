@@ -65,7 +65,27 @@ def test_rows(spark, monkeypatch):
     assert bpe.digests(df.limit(0), RANKS, PATTERN).count() == 0
     back = bpe.decode(bpe.encode(df.select("doc_id", "text"), RANKS, PATTERN), RANKS, PATTERN)
     assert sorted(bytes(r.decoded) for r in back.collect()) == sorted((t or "").encode() for t in texts)
-    assert {r.word: r.n for r in bpe.hot_words(df, PATTERN).collect()}[" world"] == 2
+
+
+def test_long_texts_are_split_as_they_are_read(spark, monkeypatch):
+    """A text of over two million characters, one match of 100,000 characters, and small blocks."""
+    _, library = reference()
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeé ") for _ in range(rng.randrange(2, 12))) for _ in range(30_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(330_000)), "x" * 100_000, "ab " * 10]
+    assert len(texts[0]) > 2 * bpe.BLOCK_CHARS
+    c = bpe.Codec(RANKS, PATTERN)
+    for t in texts[::2]:
+        ((ids, listed),) = c.encode([t])
+        assert ids.tolist() == library.encode_ordinary(t) and c.decode(ids) == t.encode() and c.count_ids([t]) == [len(ids)]
+        assert listed == ",".join(map(str, ids.tolist())).encode()
+    ((ids, _),) = c.encode([texts[1]])
+    assert c.decode(ids) == texts[1].encode() and ids.tolist() == library.encode_ordinary(texts[1])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, *words[:50]])], "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, bpe.digests(df, RANKS, PATTERN).collect()))
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 1000)
+    parts = [ids.tolist() for part in ([t] for t in words[:50]) for ids, _ in c.encode(part)]
+    assert parts == [library.encode_ordinary(t) for t in words[:50]] and want[0][1] == len(library.encode_ordinary(texts[0]))
 
 
 def test_histogram_answers_every_limit(spark):

@@ -5,29 +5,30 @@ task encodes its documents block by block: the block's words that it has not met
 form one corpus of byte tokens with links between neighbours. An inverted index from a
 pair's rank to the positions where it stands applies every merge in rank order to all
 words at once, and a merge touches only the two pairs beside it. A document is then
-the concatenation of its words' ids. Words stay in a cache of bounded bytes.
+the concatenation of its words' ids. Words stay in a cache of bounded characters.
 
 Ranks need not grow along a word: where a merge makes a pair of lower rank, that rank
 is replayed next and the rest of the current one after it, as a single word would do.
 
-Null is the empty text: no ids. Any row gives one row; ids, nulls and further columns
-of the rows are carried, and columns named like an added one are replaced.
+Null is the empty text: no ids. Any row gives one row; null and repeated ids and further
+columns of the rows are carried, columns named like an added one are replaced, and an empty
+table gives an empty table. A text of over BLOCK_CHARS is split and learned by REPLAY_WORDS
+words at a time; its ids are held whole, and so is a single match of the pattern, whose
+replay takes some hundred bytes for each of its bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.workers import trimmed
@@ -44,15 +45,15 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-class _Pairs(dict):
-    """Rank of the token that two tokens make, by first << 20 | second; -1 if they make none."""
-
-    def __init__(self, tokens: dict[int, bytes], ranks: dict[bytes, int]):
-        self.tokens, self.ranks = tokens, ranks
-
-    def __missing__(self, key: int) -> int:
-        self[key] = rank = self.ranks.get(self.tokens[key >> 20] + self.tokens[key & 0xFFFFF], -1)
-        return rank
+def _pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of the token that two tokens make, by first << 20 | second, for all that make one: the vocabulary bounds them."""
+    out = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            first, second = ranks.get(token[:i]), ranks.get(token[i:])
+            if first is not None and second is not None:
+                out[first << 20 | second] = rank
+    return out
 
 
 class Codec:
@@ -70,7 +71,9 @@ class Codec:
         self.start = np.cumsum(self.width) - self.width
         self.byte_rank = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.two = np.array([[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
-        self.pairs = _Pairs(self.tokens, self.ranks)
+        self.pairs = _pairs(self.ranks)
+        self.decimal = [b"%d," % i for i in range(top)]
+        self.digits = np.array([len(x) for x in self.decimal], np.int64)
         self.clear()
 
     def clear(self) -> None:
@@ -101,7 +104,7 @@ class Codec:
         for rank, at in zip(heap, np.split(some, cut[1:]), strict=False):
             index[rank] = at.tolist()
         token, before, after, pair = self.byte_rank[data].tolist(), before.tolist(), after.tolist(), pair.tolist()
-        known = self.pairs
+        known = self.pairs.get
         while heap:
             rank = heappop(heap)
             at, index[rank] = index[rank], None
@@ -115,7 +118,7 @@ class Codec:
                 token[p], token[q], pair[q], after[p], lower = rank, -1, -1, right, False
                 if right >= 0:
                     before[right] = p
-                    pair[p] = new = known[high | token[right]]
+                    pair[p] = new = known(high | token[right], -1)
                     if new >= 0:
                         if index[new] is None:
                             index[new] = [p]
@@ -126,7 +129,7 @@ class Codec:
                 else:
                     pair[p] = -1
                 if left >= 0:
-                    pair[left] = new = known[token[left] << 20 | rank]
+                    pair[left] = new = known(token[left] << 20 | rank, -1)
                     if new >= 0:
                         if index[new] is None:
                             index[new] = [left]
@@ -143,22 +146,24 @@ class Codec:
         alive = left >= 0
         return left[alive].astype(np.int32), np.add.reduceat(alive.astype(np.int64), ends - sizes)
 
-    def learn(self, words: set[str]) -> None:
-        """Takes in the words of a block. When the cache is full, words that no later block met are forgotten."""
+    def places(self, words: list[str]) -> np.ndarray:
+        """Each word's place in the cache. Words that are not there are learned; when the cache is full, words that no later block met are forgotten."""
         if self.chars > CACHE_CHARS:
             self.forget()
-        new = list(words.difference(self.words))
-        met = words.difference(new)
-        self.again[np.fromiter(map(self.words.__getitem__, met), np.int64, len(met))] = True
-        for i in range(0, len(new), REPLAY_WORDS):
-            self._add(new[i : i + REPLAY_WORDS])
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        self.again[at[at >= 0]] = True
+        if missing:
+            new = list({words[i] for i in missing})
+            for i in range(0, len(new), REPLAY_WORDS):
+                self._add(new[i : i + REPLAY_WORDS])
+            at[missing] = np.fromiter((self.words[words[i]] for i in missing), np.int64, len(missing))
+        return at
 
     def _add(self, new: list[str]) -> None:
         ids, count = self.replay([w.encode() for w in new])
-        listed = np.char.add(ids.astype("S"), b",")
-        sizes = np.char.str_len(listed)
-        text = np.frombuffer(b"".join(listed.tolist()), np.uint8)
-        text_count = np.add.reduceat(sizes, np.cumsum(count) - count)
+        text = np.frombuffer(b"".join(map(self.decimal.__getitem__, ids.tolist())), np.uint8)
+        text_count = np.add.reduceat(self.digits[ids], np.cumsum(count) - count)
         self._append(new, np.zeros(len(new), bool), ids, count, text, text_count)
 
     def _append(self, names: list[str], again: np.ndarray, ids: np.ndarray, count: np.ndarray, text: np.ndarray, text_count: np.ndarray) -> None:
@@ -178,36 +183,54 @@ class Codec:
         self.clear()
         self._append(names, np.zeros(len(names), bool), *kept)
 
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, bytes]:
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        return self._spans(self.ids, self.first, self.count, at), self._spans(self.text, self.text_first, self.text_count, at).tobytes()
+    def _encoded(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, and these in decimal with a comma after each."""
+        return self._spans(self.ids, self.first, self.count, at), self._spans(self.text, self.text_first, self.text_count, at)
 
-    def _pieces(self, text: str) -> Iterator[list[str]]:
-        """Words of a long text, some at a time."""
+    def _pieces(self, text: str) -> Iterator[np.ndarray]:
+        """Places of the words of a long text, some at a time; each part is used before the next."""
         found = self.pattern.finditer(text)
         while words := [m.group() for m in islice(found, REPLAY_WORDS)]:
-            self.learn(set(words))
-            yield words
+            yield self.places(words)
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes]]:
-        """The ids of each text, and these in decimal with commas."""
-        if len(texts) == 1 and len(texts[0] or "") > BLOCK_CHARS:
-            parts = [self._encoded(words) for words in self._pieces(texts[0])]
-            yield np.concatenate([ids for ids, _ in parts]), b"".join(listed for _, listed in parts)[:-1]
-            return
+    def _split(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of all texts in sequence, and where each text ends among them."""
         split = [self.split(t or "") for t in texts]
-        self.learn(set().union(*split))
-        for words in split:
-            ids, listed = self._encoded(words)
-            yield ids, listed[:-1]
+        return self.places(list(chain.from_iterable(split))), np.cumsum([len(words) for words in split])
+
+    def encode_block(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts in sequence, and these in decimal, a comma after each; and where each text ends in either."""
+        if len(texts) == 1 and len(texts[0] or "") > BLOCK_CHARS:
+            ids, text = (np.concatenate(x) for x in zip(*map(self._encoded, self._pieces(texts[0])), strict=True))
+            return ids, text, np.array([len(ids)]), np.array([len(text)])
+        at, ends = self._split(texts)
+        upto = lambda count: np.concatenate([[0], np.cumsum(count[at], dtype=np.int64)])[ends]
+        return *self._encoded(at), upto(self.count), upto(self.text_count)
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes]]:
+        """The ids of each text, and these in decimal with commas between."""
+        ids, text, ends, text_ends = self.encode_block(texts)
+        i = j = 0
+        for end, text_end in zip(ends.tolist(), text_ends.tolist(), strict=True):
+            yield ids[i:end], text[j : max(j, text_end - 1)].tobytes()
+            i, j = end, text_end
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Of each text: how many ids it has, and SHA-256 of these in decimal and of the bytes that they decode to."""
+        ids, text, ends, text_ends = self.encode_block(texts)
+        data = self.decode(ids)
+        data_ends = np.concatenate([[0], np.cumsum(self.width[ids])])[ends]
+        sha, out, i, j, k, raw, plain = lambda x: hashlib.sha256(x).hexdigest(), [], 0, 0, 0, memoryview(data), memoryview(text)
+        for end, text_end, data_end in zip(ends.tolist(), text_ends.tolist(), data_ends.tolist(), strict=True):
+            out.append((end - i, sha(plain[j : max(j, text_end - 1)]), sha(raw[k:data_end])))
+            i, j, k = end, text_end, data_end
+        return out
 
     def count_ids(self, texts: list[str | None]) -> list[int]:
-        sizes = lambda words: int(self.count[np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))].sum(dtype=np.int64))
         if len(texts) == 1 and len(texts[0] or "") > BLOCK_CHARS:
-            return [sum(map(sizes, self._pieces(texts[0])))]
-        split = [self.split(t or "") for t in texts]
-        self.learn(set().union(*split))
-        return list(map(sizes, split))
+            return [sum(int(self.count[at].sum(dtype=np.int64)) for at in self._pieces(texts[0]))]
+        at, ends = self._split(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(self.count[at], dtype=np.int64)])[ends], prepend=0).tolist()
 
     @staticmethod
     def _spans(data: np.ndarray, first: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -289,8 +312,7 @@ def digests(df: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> Da
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def make(texts: list[str | None]) -> list[pa.Array]:
-        c = codec(shared.value, pattern)
-        rows = [(len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()) for ids, listed in c.encode(texts)]
+        rows = codec(shared.value, pattern).digests(texts)
         return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
 
     return _added(df, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, text)
@@ -300,18 +322,3 @@ def lengths(df: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> Da
     """``df`` with n_tokens in place of its text."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     return _added(df, "n_tokens long", lambda texts: [pa.array(codec(shared.value, pattern).count_ids(texts), pa.int64())], text)
-
-
-def hot_words(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """(word, n) of the corpus: counted in each block first, so that a word crosses the shuffle once for each block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
-        for _, texts in blocks(batches, text):
-            seen: dict[str, int] = defaultdict(int)
-            for t in texts:
-                for w in split(t or ""):
-                    seen[w] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    return df.select(F.col(text).alias(text)).mapInArrow(trimmed(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

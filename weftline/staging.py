@@ -3,6 +3,9 @@
 A staged table cuts lineage: it is Parquet under ``spark.checkpoint.dir``, so a
 lost executor costs the running tasks only. Without that setting a folder of
 this machine is used, and only where driver and executors are one process.
+
+What is made here is deleted when the driver's JVM ends, or before: by ``drop``, by
+``release`` for all that was made since a mark, or by ``clear``.
 """
 
 from __future__ import annotations
@@ -34,13 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    with contextlib.suppress(Exception):  # a file system may not offer it
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back."""
     path = new_path(df.sparkSession, tag)
-    _staged.append(path)
     df.write.parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._staged_at = path
@@ -53,15 +60,30 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _forget(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _delete(spark, path)
+        if path in _staged:
+            _staged.remove(path)
+
+
 def drop(*staged: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in staged:
-        path = getattr(df, "_staged_at", None)
-        if path:
-            _delete(df.sparkSession, path)
+        if path := getattr(df, "_staged_at", None):
+            _forget(df.sparkSession, [path])
+
+
+def mark() -> int:
+    """How many tables are staged now."""
+    return len(_staged)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Deletes all that was staged since a mark but ``keep``."""
+    _forget(spark, [p for p in _staged[since:] if p != getattr(keep, "_staged_at", None)])
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that this process has staged, once their results are written elsewhere."""
-    while _staged:
-        _delete(spark, _staged.pop())
+    release(spark, 0)

@@ -92,7 +92,7 @@ def test_many_sources_need_no_task_of_their_own(spark):
 
 def test_a_hot_source_spreads_over_tasks(spark):
     df = spark.range(4000).selectExpr("id AS doc_id", "'a' AS source", "repeat('w ', int(id % 50)) AS text")
-    placed = mixing._sorted(df, [F.col("source"), F.col("doc_id")], "hot").groupBy("task").count().collect()
+    placed = mixing.sorted_tasks(df, [F.col("source"), F.col("doc_id")], "hot").groupBy("task").count().collect()
     assert len(placed) > 1 and max(r["count"] for r in placed) < 2500 and mixing.copies(df).count() == 4000
 
 

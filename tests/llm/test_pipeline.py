@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from tests.llm.test_bpe import reference
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_repetition import brute
 from tests.llm.test_simhash import brute_components, brute_fingerprint
+from weftline import staging
 from weftline.llm import queries, repetition
 
 SF = "/root/testdata/sf0.001"
@@ -70,7 +72,36 @@ def test_stages_keep_values_of_clashing_columns(spark, folder):
         assert out.columns == docs.columns
         for r in out.collect():
             assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names]
-    assert f is not None and corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == docs.count()
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "words"]
+    clash = docs.withColumns({c: F.lit("x") for c in names})
+    out = corpus_pipeline.encoding(spark, clash, path)
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == docs.count() and out.filter("n_tokens = 'x'").count() == 0
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Repeated rows, null and repeated ids, nulls in every column, an empty text and a very long one."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, ["en", "fr"][i % 2], 80), ["en", "fr"][i % 2], ["a", "b"][i % 2]) for i in range(60)]
+    long = " ".join(f"{w}{i % 977}x{i % 1009}" for i, w in enumerate(["the", "and", "of", "with"] * 60_000))
+    rows += [rows[0], rows[0], (None, prose(rng, "en", 90), "en", None), (None, prose(rng, "fr", 90), None, None), (7, prose(rng, "en", 90), None, "b"), (None, None, None, None), (90, "", "en", "a"), (91, long, "en", "a")]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    before = staging.mark()
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert staging.mark() == before + 1, "only the last stage's rows are still staged"
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], set()).add(hashlib.sha256((r[1] or "").encode()).hexdigest())
+    assert out and all(r.decoded_sha256 in texts[r.doc_id] for r in out)
+    counts = {}
+    for r in out:
+        counts[r.doc_id, r.decoded_sha256] = counts.get((r.doc_id, r.decoded_sha256), 0) + 1
+    assert max(counts.values()) <= 3 and {90, 91, None} & {r.doc_id for r in out} == {91, None} and len(long) > 1_000_000
+    assert next(r.n_tokens for r in out if r.doc_id == 91) == len(reference()[1].encode_ordinary(long))
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_stages_keep_the_columns_of_documents(spark, folder):
@@ -78,6 +109,7 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     docs = queries.table(spark, path, "documents")
     for _, f in corpus_pipeline.STAGES[:-1]:
         assert f(spark, docs, path).columns == docs.columns
+    for _, f in corpus_pipeline.STAGES:
         assert f(spark, docs.limit(0), path).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality rules"
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.order import sorted_tasks, summed
 from weftline.staging import stage
 
 WEIGHTS = (1, 2, 3)
@@ -43,25 +44,6 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _sorted(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
-    """``df`` staged in range-sorted tasks, with ``at`` (place) and ``task``."""
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = stage(df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), tag)
-    return placed.withColumn("task", F.shiftright("at", 33))
-
-
-def _summed(df: DataFrame, order: list[Column], tag: str, **sums: Column) -> DataFrame:
-    """``df`` with ``row``, from 0 in the order of all rows, and for each of sums the sum of all rows before: in its task, and the totals of earlier tasks, one row for each."""
-    placed = _sorted(df, order, tag)
-    values = {"row": F.lit(1), **sums}
-    earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("task").agg(*(F.sum(v).alias(n) for n, v in values.items()))
-    totals = totals.select(F.col("task").alias("t"), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_before") for n in values))
-    inside = Window.partitionBy("task").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in values.items()}).join(totals, F.col("task") == F.col("t"))
-    return out.withColumns({n: F.col(n) + F.col(f"{n}_before") for n in values}).drop("at", "task", "t", *(f"{n}_before" for n in values))
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """sizes (source, source_size) with target: weights share all words, a target stops at ``most`` times its source's size.
 
@@ -70,10 +52,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     for each unit of weight; the answer is the first k whose level the next source can hold, the highest level that fits.
     """
     cycle = F.array(*map(F.lit, weights))
-    w = _summed(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], "sources")
+    w = summed(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], "sources")
     w = w.withColumn("weight", F.element_at(cycle, (F.col("row") % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("source_size")).drop("row")
     fill = [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
-    w = _summed(w, fill, "fill", full=F.col("cap"), spent=F.col("weight"))
+    w = summed(w, fill, "fill", full=F.col("cap"), spent=F.col("weight"))
     words, parts = w.agg(F.sum("source_size"), F.sum("weight")).first()
     w = w.withColumn("level", (F.lit(words) - F.col("full")) / (F.lit(parts) - F.col("spent")))
     reached = w.agg(F.coalesce(F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))), F.max("level"))).first()[0]
@@ -96,7 +78,7 @@ def copies(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     """A narrow row for each of ``df``: doc_id, source, size, source_size, target, copies (0 to ``most``), taken (copies times size), and the row's hashes."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), *(c.alias(n) for n, c in _keys(df).items()))
     rows = stage(rows, "sizes")
-    placed = _sorted(rows, [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_last(), *map(F.asc, _KEY)], "mix")
+    placed = sorted_tasks(rows, [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_last(), *map(F.asc, _KEY)], "mix")
     runs = placed.groupBy("source", "task").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)

@@ -11,7 +11,7 @@ import contextlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.catalog import _BUCKETS, _COS, _FILES, _IMPACT, _SPLIT, Views, _first_vector, _section_files, joined, query
+from weftline.catalog import ORACLE, QUERIES, _BUCKETS, _COS, _FILES, _IMPACT, _SPLIT, Views, _first_vector, _section_files, joined, query
 from weftline.functions import exprs
 from weftline.functions.providers import parse_index
 from weftline.operators import capability, chunk, diagrams, docmodel, graph, planning, retrieval, vector
@@ -21,6 +21,8 @@ from weftline.sources import code, config, files, store
 from weftline.sources import model as models
 from weftline.staging import new_path
 
+__all__ = ["ORACLE", "QUERIES"]
+
 # Stores
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot if it has more rows than both LEAST_HOT and 1 / MOST_HOT of all, so there are fewer than MOST_HOT hot keys.
-LEAST_HOT, MOST_HOT = 10_000, 10_000
+LEAST_HOT, MOST_HOT = 1000, 10_000
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame) -> DataFrame:

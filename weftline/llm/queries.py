@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import blocktext, bpe, filter_audit, host_reputation, ivfpq, langid, line_dedup, mixing, repetition, simhash, token_histogram, warc
+from weftline.llm import blocknorm, blocktext, bpe, filter_audit, host_reputation, ivfpq, langid, line_dedup, mixing, repetition, simhash, token_histogram, warc
 from weftline.staging import stage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -75,6 +75,10 @@ def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir).select("doc_id", "text"), ranks, pattern)
 
 
+def op11_block_norm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocknorm.summary(blocknorm.fit(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return line_dedup.digests(docs, line_dedup.bitmaps(docs))
@@ -86,7 +90,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ivfpq_search, op2_host_reputation, op3_suffix_repetition, op4_simhash_components, op5_main_text, op6_language_id, op7_source_mix, op8_token_histogram, op9_warc_shards, op10_merge_replay, op12_line_dedup, op13_filter_audit)
+    for f in (op1_ivfpq_search, op2_host_reputation, op3_suffix_repetition, op4_simhash_components, op5_main_text, op6_language_id, op7_source_mix, op8_token_histogram, op9_warc_shards, op10_merge_replay, op11_block_norm_clusters, op12_line_dedup, op13_filter_audit)
 }
 
 
@@ -120,4 +124,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 FROM p JOIN d ON p.sha = d.sha JOIN f ON p.sha = f.sha
 """
 
-ORACLE: dict[str, str] = {"op2_host_reputation": host_reputation.ORACLE, "op3_suffix_repetition": "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed, kept FROM (" + _OP3 + ")", "op7_source_mix": mixing.ORACLE, "op9_warc_shards": _OP9, "op12_line_dedup": line_dedup.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
+ORACLE: dict[str, str] = {"op2_host_reputation": host_reputation.ORACLE, "op3_suffix_repetition": "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed, kept FROM (" + _OP3 + ")", "op7_source_mix": mixing.ORACLE, "op9_warc_shards": _OP9, "op11_block_norm_clusters": blocknorm.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_filter_audit": filter_audit.ORACLE}

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html import unescape
 
 import pytest
@@ -31,8 +32,9 @@ def test_extract(html, want):
 
 
 def test_markup_leaves_empty_lines():
-    """One for each boundary of a box, three around noise, whose lines stay in the distribution without weight."""
-    assert [(t, n) for t, n, _ in lines("<p>a</p><nav>n</nav><div><p>b</p></div>")] == [("a", 1), *[("", 0)] * 3, ("n", 0), *[("", 0)] * 4, ("b", 1), ("", 0)]
+    """One where boxes begin or end, three around noise, whose lines stay in the distribution without weight."""
+    assert [(t, n) for t, n, _ in lines("<p>a</p><nav>n</nav><div><p>b</p></div>")] == [("a", 1), *[("", 0)] * 3, ("n", 0), *[("", 0)] * 3, ("b", 1), ("", 0)]
+    assert [t for t, _, _ in lines("<div><div><div>a</div></div></div><div><div>b</div></div>")] == ["", "a", "", "b", ""]
 
 
 def brute_between(found, window, part):
@@ -80,7 +82,8 @@ def test_distribution_equals_brute_force(window):
 def test_distribution_decides_on_unnamed_parts(monkeypatch):
     """Without any list of names, the menu has no weight and neither the advert nor the footer surges."""
     body = "".join(f"<p>{'word ' * 60}</p>" for _ in range(4))
-    page = f"<div><a href=/>Home</a><a href=/x>News</a></div><div><div><div>Buy this now</div></div></div><div><h1>Title</h1>{body}</div><div><div><div>All rights reserved by us</div></div></div>"
+    menu = "<ul><li><a href=/>Home</a><li><a href=/x>News</a><li><a href=/y>Sport</a></ul>"
+    page = f"{menu}<div>Buy this now</div>{menu}<div><h1>Title</h1>{body}</div>{menu}<div>All rights reserved by us</div>"
     want = "\n\n".join(["Title", *[("word " * 60).strip()] * 4])
     assert extract(page) == want
     for name in ("_NOISE", "_SKIP", "_ROLES"):
@@ -156,3 +159,64 @@ def test_raw_text_still_runs_to_the_end():
 def test_wrappers_that_have_noise_are_not_noise(name):
     assert extract(f'<div class="{name}">{ARTICLE}</div>') == TEXT
     assert extract(f'<div class="left-sidebar">{ARTICLE}</div>') == ""
+
+
+def test_nested_boxes_lose_nothing():
+    """How deep boxes nest is no distance: a short last paragraph in boxes of its own stays, with and without an article around."""
+    page = "<div><div><div><p>" + "long " * 80 + "</p></div></div></div><div><div><div><p>A short closing paragraph of the story, by the author.</p></div></div></div>"
+    want = ("long " * 80).strip() + "\n\nA short closing paragraph of the story, by the author."
+    assert extract(page) == extract(f"<article>{page}</article>") == want
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>Text <span class='ad'><span>Buy</span> now cheap</span> goes on</p>", "Text goes on"),
+        ("<p>Text <span class=ad>a <b>b <span>c <span>d</span></span></b> e</span>goes on</p>", "Text goes on"),
+        ("<p>Text <span class=ad>Buy</p><p>next</p><p><span>x</span></p>", "Text\n\nnext\n\nx"),
+        ("<p>Text <span class=ad>stays without an end tag</p><p>next</p>", "Text stays without an end tag\n\nnext"),
+        ("<div>Text <span class=ad><div>Buy</div> this</span> goes on</div>", "Text\n\ngoes on"),
+        ("<p>Text <em class=ad>Buy</span> this</em> goes on</p>", "Text goes on"),
+        ("<p>Text <SPAN class=ad>Buy</SPAN > goes <span class=ad></span>on</p>", "Text goes on"),
+    ],
+)
+def test_inline_noise_ends_with_its_own_end_tag(html, want):
+    assert extract(html) == want
+
+
+@pytest.mark.parametrize("tail", ["", "</span>", "<b></b>"])
+def test_a_page_of_open_inline_noise_takes_time_in_proportion(tail):
+    page = "<p>" + "<span class=ad>" * 70_000 + "text" + tail  # 1 MB
+    began = time.process_time()
+    extract(page)
+    assert time.process_time() - began < 2
+
+
+def planted(rng):
+    """A page without <article> or <main>, and its text: paragraphs of any length in boxes of any depth, with noise and inline noise anywhere."""
+    noise = [
+        "<nav><a href=/>Home</a> and more</nav>", "<aside>Related things</aside>", "<div class='cookie-notice'>We use cookies here</div>", "<form><p>Mail us</p></form>",
+        "<div class=ad-box><div><p>Buy this now for little money</p></div></div>", "<div id=comments><p>I have read this too, and it is long enough</p></div>", "<script>var x='<p>';</script>",
+    ]
+    out, body = [], []
+    for i in range(rng.randrange(1, 12)):
+        words = [f"w{i}", *(rng.choice(["some", "words", "of", "text"]) for _ in range(rng.choice([3, 8, 60, 200])))]
+        if rng.random() < 0.3:
+            words.insert(1, "<span class=ad>Buy <span>now</span> <b>cheap</b></span>")
+        block, depth = "<p>" + " ".join(words) + "</p>", rng.choice([0, 0, 1, 4, 9])
+        out.append("<div>" * depth + block + "</div>" * depth)
+        body.append(" ".join(w for w in words if "<" not in w))
+        if rng.random() < 0.2:
+            out.append(rng.choice(["<script>1</script>", "<!-- <p>no</p> -->", "<br>"]))
+    long = f"<p>{'long ' * 400}</p>"
+    at = rng.randrange(len(out) + 1)
+    out.insert(at, long)
+    body.insert(sum("<p>" in x and "no</p>" not in x for x in out[:at]), ("long " * 400).strip())
+    return "".join(rng.sample(noise, 3)) + "<div>" + "".join(out) + "</div>" + "".join(rng.sample(noise, 3)), "\n\n".join(body)
+
+
+def test_pages_without_article_keep_all_their_text():
+    rng = random.Random(8)
+    for _ in range(300):
+        html, want = planted(rng)
+        assert extract(html) == want, html

@@ -1,9 +1,9 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element's text. Where markup stood,
-empty lines stay: one for each boundary of a box (div, list, table), ``window`` of them
-for each boundary of a sectioning element (article, main, nav, aside, header, footer) or
-of a part named as noise. A line's weight is its length without link text; lines of menus,
+empty lines stay: one where boxes (div, list, table) begin or end, however deep they nest,
+and ``window`` of them where a sectioning element (article, main, nav, aside, header, footer)
+or a part named as noise does. A line's weight is its length without link text; lines of menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments (by element, role,
 class or id) weigh nothing. Scripts, styles and other code are markup.
 
@@ -15,9 +15,11 @@ but for its noise, also where it dives; on a page without unlinked text every on
 
 Character references are decoded, white space in a line becomes one space, lines are
 trimmed and joined by an empty line. Null and empty pages, and pages without such text,
-give the empty string. Unclosed elements end with the element around them. Rows are judged
+give the empty string. Unclosed elements end with the element around them; an inline element
+named as noise is left out with all that it holds, and counts for nothing if the page never closes one of its name. Rows are judged
 one by one: null and repeated ids change nothing, columns named text or n_chars are
-replaced, and an empty table gives an empty table. A page is held whole in its task, as are its lines.
+replaced, and an empty table gives an empty table. A page is held whole in its task, as are its lines; the time it
+takes is in proportion to its length.
 """
 
 from __future__ import annotations
@@ -95,8 +97,12 @@ class _Lines:
         self.noise_at = self.article_at = self.articles = 0
         self.text: list[str] = []
         self.links = self.in_link = 0
+        #: The inline noise around this place: its name, how many elements of that name are open in it, and the depth of blocks around it.
+        self.muted, self.muted_open, self.muted_depth = "", 0, 0
 
     def add(self, piece: str) -> None:
+        if self.muted:
+            return
         self.text.append(piece)
         if self.in_link:
             self.links += len(" ".join(unescape(piece).split()))
@@ -110,8 +116,10 @@ class _Lines:
         self.links = 0
 
     def blank(self, name: str, wide: bool = False) -> None:
-        """The empty lines that a boundary of the element leaves."""
-        self.found += [("", 0, 0)] * (self.window if wide or name in _WIDE else name in _BOX)
+        """The empty lines that a boundary of the element leaves, with those of boundaries right before it."""
+        wanted = self.window if wide or name in _WIDE else int(name in _BOX)
+        there = next((i for i, (line, _, _) in enumerate(reversed(self.found[-wanted:])) if line), min(wanted, len(self.found))) if wanted else 0
+        self.found += [("", 0, 0)] * (wanted - there)
 
     def pop_to(self, depth: int) -> None:
         for at in range(len(self.open) - 1, depth - 1, -1):
@@ -122,11 +130,19 @@ class _Lines:
                 self.noise_at = 0
             if self.article_at == at + 1:
                 self.article_at = 0
+        if len(self.open) < self.muted_depth:
+            self.muted, self.muted_depth = "", 0
+
+    def mute(self, name: str) -> None:
+        self.muted, self.muted_open, self.muted_depth = name, 1, len(self.open)
 
     def last(self, name: str) -> int:
         return len(self.open) - 1 - self.open[::-1].index(name)
 
     def end_tag(self, name: str) -> None:
+        if name == self.muted:
+            self.muted_open -= 1
+            self.muted = name if self.muted_open else ""
         if name == "a":
             self.in_link = 0
         elif name == "p":
@@ -171,6 +187,14 @@ def lines(html: str, window: int = WINDOW) -> list[tuple[str, int, int]]:
     """(text, weight, number of its article or 0) of each line, with the empty lines that markup leaves. Noise has no weight and no article."""
     page, at = _Lines(window), 0
     unclosed: set[str] = set()  # without an end tag in the rest of the page
+    ends: dict[str, int] = {}
+
+    def last_end(name: str) -> int:
+        """Where the page's last end tag of an inline element begins; each name is looked for once."""
+        if name not in ends:
+            ends[name] = max((m.start() for m in re.finditer(rf"</{name}(?=[\s/>])", html, re.I)), default=-1)
+        return ends[name]
+
     while at < len(html):
         m = _TAG.search(html, at)
         if piece := html[at : m.start()] if m else html[at:]:
@@ -198,9 +222,10 @@ def lines(html: str, window: int = WINDOW) -> list[tuple[str, int, int]]:
         elif name == "a":
             page.in_link = 1
         elif name in _INLINE:
-            if not page.noise_at and attributes and _is_noise(attributes, page.article_at > 0):
-                closed = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = closed.end() if closed else at
+            if page.muted:
+                page.muted_open += name == page.muted
+            elif not page.noise_at and attributes and _is_noise(attributes, page.article_at > 0) and at <= last_end(name):
+                page.mute(name)
         else:
             page.start_tag(name, attributes)
     page.end_line()

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from weftline.llm import repetition
@@ -75,3 +77,32 @@ def test_longest_repeat_limit(n, kept):
     text = " ".join([*(f"w{i}" for i in range(n)), *(f"x{i}" for i in range(300)), *(f"w{i}" for i in range(n))])
     (m,) = repetition.measure([text])
     assert m[5] == n and (m[5] <= repetition.MAX_REPEAT and m[6] <= repetition.MAX_COVERED * m[0]) is kept
+
+
+@pytest.mark.parametrize("words", [["a", "b"], [f"word{i}" for i in range(999)], None])
+def test_memory_grows_with_the_words_alone(words):
+    """Two million words, whatever repeats in them, take a tenth of what the docstring says of twenty million."""
+    n = 2_000_000
+    rng = random.Random(3)
+    text = " ".join(words[i % len(words)] if words else f"w{rng.randrange(5000)}" for i in range(n))
+    tracemalloc.start()
+    try:
+        (m,) = repetition.measure([text])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert m[0] == n and (m[5] == n - len(words) and m[6] == n if words else m[5] < 10)
+    assert peak < 150_000_000
+
+
+def test_prefixes_of_any_length_equal_brute_force():
+    """Repeats around the number of symbols that are compared together, and of several lengths at once."""
+    rng = random.Random(9)
+    for length in (1, 62, 63, 64, 65, 66, 200, 700):
+        part = [rng.randrange(3) for _ in range(length)]
+        symbols = np.array([*part, 5, *part, 6, *part[length // 2 :], 7, *part, 8], np.int32)
+        order = repetition.suffix_array(symbols)
+        rest = symbols.tolist()
+        assert order.tolist() == sorted(range(len(rest)), key=lambda i: rest[i:])
+        want = [next(k for k, (x, y) in enumerate(zip(rest[a:], rest[b:], strict=False)) if x != y) for a, b in zip(order[:-1], order[1:], strict=True)]
+        assert repetition.common_prefixes(symbols, order).tolist() == want

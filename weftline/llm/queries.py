@@ -35,7 +35,8 @@ def op1_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    """A page shows the document that its url numbers, and takes that one's outcome."""
+    return host_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), document=host_reputation.document_of())
 
 
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -63,3 +64,74 @@ def test_files_are_put_whole(spark, tmp_path):
     assert files.names(spark, f"file://{tmp_path}/a b") == ["x.json"]
     files.delete(spark, path)
     assert not files.exists(spark, path)
+
+
+NODE = "id string, filepath string, package string, name string, receiver string, unit_type string, start_line int"
+
+
+def node(i, file=None, name=None):
+    return (f"n{i}", file or f"f{i % 40}.go", "p", name or f"Name{i % 60}", "", "function", i)
+
+
+def parts(store, name):
+    return store.version()[name]["parts"]
+
+
+def test_a_merge_writes_the_buckets_it_hits_and_old_readers_agree(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", buckets=32)
+    store.save(nodes=spark.createDataFrame([node(i) for i in range(400)], NODE))
+    before, old = {t: parts(store, t) for t in ("nodes", "nodes.files", "nodes.names")}, store.load("nodes")
+    store.save_node(spark.createDataFrame([node(7, "new.go", "Renamed")], NODE))
+    changed = {t: {b for b in set(before[t]) | set(parts(store, t)) if before[t].get(b) != parts(store, t).get(b)} for t in before}
+    assert len(changed["nodes"]) == 1 and all(1 <= len(changed[t]) <= 4 for t in ("nodes.files", "nodes.names"))
+    assert old.filter("id = 'n7'").first().name == "Name7" and store.node("n7").first().name == "Renamed"
+    assert old.count() == store.load("nodes").count() == 400
+    for _ in range(stores.KEEP + 1):
+        store.save_node(spark.createDataFrame([node(7, "new.go", "Renamed")], NODE))
+    named = {f.partition("/")[0] for v in store._pointers() for f in store._folders(store._tables(v))}
+    assert {n for n in os.listdir(tmp_path / "s") if not n.startswith("SNAPSHOT")} == named, "what no snapshot names is gone"
+
+
+def test_lookups_open_a_handful_of_files(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", buckets=32)
+    store.save(nodes=spark.createDataFrame([node(i) for i in range(2000)], NODE))
+    every = len(store.load("nodes").inputFiles())
+    assert every >= 32 and len(store.node("n77").inputFiles()) <= 2 and ids(store.node("n77")) == ["n77"]
+    one = Store(spark, f"file://{tmp_path}/t", buckets=32)
+    one.save(nodes=spark.createDataFrame([node(i, f"f{i // 3}.go") for i in range(2000)], NODE))
+    found = one.nodes_of_file("f5.go")
+    assert ids(found) == ["n15", "n16", "n17"] and len(found.inputFiles()) <= 4
+    assert ids(one.node("absent")) == ids(one.nodes_of_file("absent")) == []
+
+
+def test_merges_and_indexes_equal_a_plain_table(spark, tmp_path):
+    rng = random.Random(4)
+    store = Store(spark, f"file://{tmp_path}/s", buckets=8)
+    held = {f"n{i}": node(i) for i in range(60)}
+    store.save(nodes=spark.createDataFrame(list(held.values()), NODE))
+    for _ in range(3):
+        new = [node(i, f"f{rng.randrange(9)}.go", f"Name{rng.randrange(9)}") for i in rng.sample(range(80), 12)]
+        gone = [f"n{i}" for i in rng.sample(range(80), 8)]
+        store.merge(nodes=(spark.createDataFrame(new, NODE), spark.createDataFrame([(g,) for g in gone], "id string")))
+        held = {k: v for k, v in held.items() if k not in gone} | {n[0]: n for n in new}
+        assert sorted(map(tuple, store.load("nodes").collect())) == sorted(held.values())
+        for index, of in (("files", lambda r: [r[1]]), ("names", lambda r: [r[3], f"p.{r[3]}"])):
+            want = sorted((k, r[0]) for r in held.values() for k in of(r))
+            assert sorted(map(tuple, store.load(f"nodes.{index}").collect())) == want
+    assert ids(store.find("nodes", "names", spark.createDataFrame([("p.Name3",)], "k string"))) == sorted(k for k, r in held.items() if r[3] == "Name3")
+
+
+def test_two_writers_of_one_bucket_lose_no_row(spark, tmp_path, monkeypatch):
+    one, two = Store(spark, f"file://{tmp_path}/s", buckets=1), Store(spark, f"file://{tmp_path}/s", buckets=1)
+    one.save(nodes=spark.createDataFrame([node(1)], NODE))
+    put, met = files.put, []
+
+    def late(spark_, path, text, replace=True):
+        if not met:
+            met.append(path)
+            two.save_node(spark.createDataFrame([node(2)], NODE))
+        return put(spark_, path, text, replace)
+
+    monkeypatch.setattr(files, "put", late)
+    one.save_node(spark.createDataFrame([node(3)], NODE))
+    assert ids(one.load("nodes")) == ["n1", "n2", "n3"]

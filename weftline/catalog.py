@@ -462,6 +462,21 @@ def hybrid_topk(v: Views) -> DataFrame:
     return vector.hybrid_top_k(v.vectors, near, query, 25).select("id", "score")
 
 
+@query("", f"""WITH e AS (SELECT DISTINCT l_partkey % 400 AS a, l_suppkey % 400 AS b FROM lineitem), near AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+d1 AS (SELECT DISTINCT qid, b AS id FROM near JOIN q ON a = qid WHERE b <> qid),
+d2 AS (SELECT DISTINCT qid, b AS id FROM near JOIN d1 ON a = d1.id WHERE b <> qid EXCEPT SELECT qid, id FROM d1),
+d AS (SELECT qid, id, 0.2 AS lift FROM d1 UNION ALL SELECT qid, id, 0.1 FROM d2),
+s AS (SELECT q.qid, vec_id::VARCHAR AS id, round({_COS} + coalesce(lift, 0), 6) AS score FROM embeddings CROSS JOIN q LEFT JOIN d ON d.qid = q.qid AND d.id = vec_id)
+SELECT qid::VARCHAR AS query_id, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 25""")
+def hybrid_topk_each(v: Views) -> DataFrame:
+    """A hybrid search for every hundredth vector, from its own node: one traversal and one ranking for all."""
+    e = v.table("lineitem").select((F.col("l_partkey") % 400).cast("string").alias("from_id"), (F.col("l_suppkey") % 400).cast("string").alias("to_id")).distinct()
+    q = v.vectors.filter("vec_id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    near = graph.distances_each(e, q.select("query_id", F.col("query_id").alias("id")), 2)
+    return vector.hybrid_top_k_each(v.vectors, near, q, 25).select("query_id", "id", "score", "rank")
+
+
 @query("", f"""WITH s AS (SELECT vec_id AS ord, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT vec_id::VARCHAR AS id, 'sec' || ord AS section_id, ord, round({_COS}, 6) AS score FROM embeddings, s)
 SELECT id, section_id, score FROM x WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) = 1""")
 def semantic_argmax(v: Views) -> DataFrame:

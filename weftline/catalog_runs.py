@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from weftline.catalog import ORACLE, QUERIES, _BUCKETS, _COS, _FILES, _IMPACT, _SPLIT, Views, _first_vector, _section_files, joined, query
 from weftline.functions import exprs
 from weftline.functions.providers import parse_index
-from weftline.operators import capability, chunk, diagrams, docmodel, graph, planning, retrieval, vector
+from weftline.operators import capability, chunk, diagrams, docmodel, graph, link, planning, retrieval, typed, vector
 from weftline.plans import generate, sync
 from weftline.plans.sync import reach_sections
 from weftline.sources import code, config, files, store
 from weftline.sources import model as models
-from weftline.staging import new_path
+from weftline.staging import new_path, stage
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -214,6 +214,61 @@ def extract_relations(v: Views) -> DataFrame:
     return code.relations(units).join(named, "from_id").select("name", "ord", "target", "kind", "confidence")
 
 
+_TYPED_GO = """'package pk' || (n % 5) || chr(10) || chr(10) || 'import nx "mod/pk' || ((n + 1) % 5) || '"' || chr(10) || chr(10)
+  || 'type Base' || n || ' struct {' || chr(10) || 'N int' || chr(10) || '}' || chr(10) || chr(10) || 'func (b *Base' || n || ') Ping() {' || chr(10) || '}' || chr(10) || chr(10)
+  || 'type Mid' || n || ' struct {' || chr(10) || '*Base' || n || chr(10) || 'Name string' || chr(10) || '}' || chr(10) || chr(10)
+  || 'type Twin' || n || ' struct {' || chr(10) || 'N int' || chr(10) || '}' || chr(10) || chr(10) || 'func (t Twin' || n || ') Ping() {' || chr(10) || '}' || chr(10) || chr(10)
+  || 'type Two' || n || ' struct {' || chr(10) || 'Base' || n || chr(10) || 'Twin' || n || chr(10) || '}' || chr(10) || chr(10)
+  || 'func New' || n || '() *Mid' || n || ' {' || chr(10) || 'return &Mid' || n || '{}' || chr(10) || '}' || chr(10) || chr(10)
+  || 'func Use' || n || '(x *Mid' || n || ', two Two' || n || ') {' || chr(10) || 'x.Ping()' || chr(10) || 'v := nx.New' || (n + 1) || '()' || chr(10) || 'v.Ping()' || chr(10)
+  || 'two.Ping()' || chr(10) || 'two.Twin' || n || '.Ping()' || chr(10) || '}' || chr(10)"""
+
+
+@query("", """WITH s AS (SELECT s_suppkey AS n, s_suppkey + 1 AS m, s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) AS next FROM supplier),
+own AS (SELECT *, 'Use' || n AS name, 'pk' || (n % 5) AS here, 'pk' || (m % 5) AS there FROM s)
+SELECT 'New' || n AS name, '' AS target, here || '.Mid' || n AS "to", 'resolved' AS state FROM own
+UNION ALL SELECT name, '', here || '.Base' || n || '.Ping', 'resolved' FROM own
+UNION ALL SELECT name, '', here || '.Twin' || n || '.Ping', 'resolved' FROM own
+UNION ALL SELECT name, 'two.Ping', '', 'ambiguous' FROM own
+UNION ALL SELECT name, CASE WHEN next THEN '' ELSE 'nx.New' || m END, CASE WHEN next THEN there || '.New' || m ELSE '' END, CASE WHEN next THEN 'resolved' ELSE 'typecheck_failed' END FROM own
+UNION ALL SELECT name, CASE WHEN next THEN '' ELSE 'v.Ping' END, CASE WHEN next THEN there || '.Base' || m || '.Ping' ELSE '' END, CASE WHEN next THEN 'resolved' ELSE 'ambiguous' END FROM own""")
+def typed_from_sources(v: Views) -> DataFrame:
+    """What calls and literals refer to by declared types: one of many homonyms, promoted methods, names of imported packages; of two promoted at one depth none."""
+    rows = v.table("supplier").selectExpr("s_suppkey AS n", "concat('pk', s_suppkey % 5, '/g', s_suppkey, '.go') AS filepath")
+    sources = rows.select("filepath", F.expr(_TYPED_GO).alias("content"))
+    units = stage(code.extract(sources).withColumn("id", code.unit_id()), "units")
+    symbols, relations = stage(code.symbols(units), "symbols"), stage(code.relations(units).filter("kind IN ('calls', 'instantiates')"), "relations")
+    refs = typed.references(units, typed.imports(sources), relations)
+    none = relations.limit(0).select("from_id", F.lit("").alias("to_id"), "kind", "resolver", "confidence")
+    found, rest = link.resolve_unique(relations.withColumn("reason", F.lit("")), link.key_index(symbols), none, refs)
+    name = symbols.select(F.col("id").alias("from_id"), "name")
+    full = F.concat_ws(".", "package", F.nullif(typed.receiver_type(F.col("receiver")), F.lit("")), "name")
+    found = found.join(name, "from_id").join(symbols.select(F.col("id").alias("to_id"), full.alias("to")), "to_id")
+    rest = rest.join(name, "from_id").select("name", "target", F.lit("").alias("to"), F.col("reason").alias("state"))
+    return found.select("name", F.lit("").alias("target"), "to", F.lit("resolved").alias("state")).unionByName(rest)
+
+
+@query("", """SELECT 'd' || (s_suppkey % 9) || '/f' || s_suppkey || '.go' AS filepath, 3 AS units, s_suppkey % 3 = 1 AS broken, CASE WHEN s_suppkey % 3 = 1 THEN 'a declaration breaks off' ELSE '' END AS error
+FROM supplier""")
+def scan_errors(v: Views) -> DataFrame:
+    """Every third file breaks off inside a declaration: what stands before it is kept, and the file is told."""
+    rows = v.table("supplier").selectExpr("s_suppkey AS n", "concat('d', s_suppkey % 9, '/f', s_suppkey, '.go') AS filepath")
+    text = "'package p' || chr(10) || 'type A' || n || ' struct {' || chr(10) || '}' || chr(10) || 'func B() {' || chr(10) || '}' || chr(10) || 'var c' || n || ' = 1' || chr(10) || CASE WHEN n % 3 = 1 THEN 'func' ELSE '' END"
+    sources = rows.select("filepath", F.expr(text).alias("content"))
+    kept = code.extract(sources).groupBy("filepath").agg(F.count(F.lit(1)).cast("int").alias("units"))
+    return kept.join(code.errors(sources), "filepath", "left").select("filepath", "units", F.col("error").isNotNull().alias("broken"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("sym", "SELECT id, name FROM sym WHERE name IN (SELECT 'Load' || (s_suppkey % 97) FROM supplier) OR package || '.' || name IN (SELECT 'en.render' || s_suppkey FROM supplier)")
+def nodes_by_name(v: Views) -> DataFrame:
+    """Stored symbols found by bare and qualified names, through the store's index."""
+    made = _store(v)
+    made.save(nodes=v.sym.select("id", "filepath", "package", "name", F.lit("").alias("receiver"), "unit_type", "start_line"))
+    key = F.col("s_suppkey")
+    asked = v.table("supplier").select(F.explode(F.array(F.concat(F.lit("Load"), key % 97), F.concat(F.lit("en.render"), key))).alias("k"))
+    return made.find("nodes", "names", asked).select("id", "name")
+
+
 def _tree(v: Views, changed: bool = False) -> str:
     """A source tree with a file for each nation; ``changed`` writes those of one region anew."""
     path = new_path(v.spark, "tree")

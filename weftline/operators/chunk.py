@@ -126,10 +126,13 @@ def delete(chunks: DataFrame, targets: DataFrame) -> DataFrame:
     return chunks.join(targets.select(F.col("target").alias("id")), "id", "left_anti").join(targets.select(F.col("target").alias("file_path")), "file_path", "left_anti").select(chunks.columns)
 
 
+def last_by_id(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("id").agg(F.max_by(F.struct(*nodes.columns), F.struct("filepath", "start_line")).alias("n")).select("n.*")
+
+
 def snapshot(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a snapshot stores: a node for each id (the last by file and line), an edge for each (from, to, kind)."""
-    last = nodes.groupBy("id").agg(F.max_by(F.struct(*nodes.columns), F.struct("filepath", "start_line")).alias("n")).select("n.*")
-    return last, edges.dropDuplicates(["from_id", "to_id", "kind"])
+    return last_by_id(nodes), edges.dropDuplicates(["from_id", "to_id", "kind"])
 
 
 def collisions(nodes: DataFrame) -> DataFrame:

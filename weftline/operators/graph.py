@@ -81,6 +81,22 @@ def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     return nodes.filter("depth > 0").select("id", "depth")
 
 
+def distances_each(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, depth) of nodes at 1 to ``most`` undirected steps from each query's starts (query_id, id), which are left out.
+
+    One traversal serves all queries: its frontier holds pairs of a query and a node. A round joins the pairs found last with the
+    edges, which are staged once, and those not known yet are the next; a pair is expanded once.
+    """
+    ends = F.array(F.struct(F.col("from_id").alias("u"), F.col("to_id").alias("v")), F.struct(F.col("to_id").alias("u"), F.col("from_id").alias("v")))
+    near = stage(edges.select(F.explode(ends).alias("e")).select("e.u", "e.v").distinct(), "near")
+    last = known = starts.select("query_id", "id", F.lit(0).alias("depth")).distinct()
+    for depth in range(1, most + 1):
+        found = last.join(near, F.col("id") == F.col("u")).select("query_id", F.col("v").alias("id")).distinct()
+        last = stage(found.join(known, ["query_id", "id"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        known = known.unionByName(last)
+    return known.filter("depth > 0")
+
+
 def doc_relevant(symbols: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """(id) of symbols that are exported or within ``hops`` undirected steps of one that is."""
     nodes, _ = expand(edges.withColumn("confidence", F.lit(1.0)), symbols.filter(is_exported(F.col("name"))), hops)

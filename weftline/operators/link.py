@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import blank
+from weftline.operators.typed import method_index
 
 
 def name_index(symbols: DataFrame) -> DataFrame:
@@ -19,6 +20,12 @@ def name_index(symbols: DataFrame) -> DataFrame:
     return symbols.select(F.explode(keys).alias("key"), "id").distinct()
 
 
+def key_index(symbols: DataFrame) -> DataFrame:
+    """``name_index``, and methods by package.receiver.name where symbols have their receivers."""
+    index = name_index(symbols)
+    return index.unionByName(method_index(symbols)).distinct() if {"receiver", "unit_type"} <= set(symbols.columns) else index
+
+
 def candidate_keys(target) -> list:
     """In order: the target less one ``*`` and one ``[]``, as it is, and what follows its last dot."""
     clean = F.regexp_replace(F.regexp_replace(target, r"^\*", ""), r"^\[\]", "")
@@ -69,6 +76,17 @@ def resolve_unique(unresolved: DataFrame, node_keys: DataFrame, edges: DataFrame
     return new, rest
 
 
+def link_typed(relations: DataFrame, symbols: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, unresolved) as of ``link``, but a relation with exactly one symbol behind its references (from_id, ord, key) is linked to that one only."""
+    none = relations.limit(0).select("from_id", F.lit("").alias("to_id"), "kind", "resolver", "confidence")
+    asked = relations.join(refs.select("from_id", "ord").distinct(), ["from_id", "ord"], "left_semi").withColumn("reason", F.lit(""))
+    sure, rest = resolve_unique(asked, key_index(symbols), none, refs)
+    others = relations.join(refs.select("from_id", "ord").distinct(), ["from_id", "ord"], "left_anti").unionByName(rest.select(relations.columns))
+    edges, missing = link(others, symbols)
+    both = sure.unionByName(edges)
+    return both.groupBy("from_id", "to_id", "kind").agg(F.max_by("resolver", "confidence").alias("resolver"), F.max("confidence").alias("confidence")), missing
+
+
 def reason_counts(unresolved: DataFrame) -> DataFrame:
     reason = F.when(blank(F.col("reason")), "no_candidate").otherwise(F.col("reason"))
     return unresolved.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))

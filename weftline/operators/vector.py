@@ -70,6 +70,21 @@ def hybrid_top_k(vectors: DataFrame, distance: DataFrame, query: list[float], k:
     return near.withColumn("score", F.round(F.col("score") + boost(F.coalesce("depth", F.lit(0))), digits)).orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
+def hybrid_top_k_each(vectors: DataFrame, distance: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, rank, id, score) of ``hybrid_top_k`` for each of the queries (query_id, query); distance: query_id, id, depth.
+
+    A row without a boost is among a query's k only if it is among the k nearest, so only these and the boosted rows are ranked
+    together, and the pairs of all rows and queries are never joined with distances.
+    """
+    lifted = distance.withColumn("lift", boost(F.col("depth"))).filter("lift > 0")
+    lifted = lifted.join(queries.select("query_id", "query"), "query_id").join(vectors.select("id", "embedding"), "id")
+    lifted = stage(lifted.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query")) + F.col("lift"), digits).alias("score")), "lifted")
+    plain = top_k_each(vectors, queries, k, digits).select("query_id", "id", "score")
+    both = plain.join(lifted, ["query_id", "id"], "left_anti").unionByName(lifted)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
+    return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def search_text(vectors: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]], k: int, exclude: str | None = None) -> DataFrame:
     """top_k for a text; ``exclude`` is dropped after the cut, so there may be one row less."""
     found = top_k(vectors, embed([text])[0], k)

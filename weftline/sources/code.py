@@ -265,11 +265,25 @@ def _user_type(t: str) -> bool:
 
 
 def go_units(path: str, text: str) -> list[dict]:
-    """Units of one Go file; a file that does not scan gives none."""
+    """Units of one Go file. Of a broken file, those that could be told, and one of type ``error``, which ``extract`` sets apart."""
+    found: list[dict] = []
+    scanner = _Scanner(path, text or "")
+    signs = [t[0] for t in scanner.code]
+    fault = "" if sum(signs.count(x) for x in "([{") == sum(signs.count(x) for x in ")]}") else "brackets do not match"
     try:
-        return list(_Scanner(path, text or "").units())
+        for unit in scanner.units():
+            if unit["name"]:
+                found.append(unit)
+            else:
+                fault = "a declaration breaks off"
     except IndexError:
-        return []
+        fault = "a declaration breaks off"
+    if fault:
+        line = scanner.line(len(scanner.text))
+        empty = {"signature": "", "receiver": "", "parameters": [], "returns": [], "fields": [], "methods": [], "value_type": "", "value": "", "relations": []}
+        after = found[-1]["end_line"] if found else 0
+        found.append(empty | {"filepath": path, "package": "", "language": "go", "unit_type": "error", "name": "", "start_line": after + 1, "end_line": line, "content": "", "description": fault})
+    return found
 
 
 #: Extractors by language: (path, text) -> units.
@@ -277,7 +291,17 @@ EXTRACTORS: dict[str, Callable[[str, str], list[dict]]] = {"go": go_units}
 
 
 def extract(files: DataFrame, language: str = "go") -> DataFrame:
-    """Units of files (filepath, content)."""
+    """Units of files (filepath, content); those of broken files up to where they break off, which ``errors`` tells."""
+    return _scanned(files, language).filter("unit_type <> 'error'")
+
+
+def errors(files: DataFrame, language: str = "go") -> DataFrame:
+    """(filepath, after_line, last_line, error) of files that could not be scanned to their end."""
+    found = _scanned(files, language).filter("unit_type = 'error'")
+    return found.select("filepath", (F.col("start_line") - 1).alias("after_line"), F.col("end_line").alias("last_line"), F.col("description").alias("error"))
+
+
+def _scanned(files: DataFrame, language: str) -> DataFrame:
     if language not in EXTRACTORS:
         raise ValueError(f"unsupported language: {language}")
     make = EXTRACTORS[language]
@@ -293,16 +317,19 @@ def extract(files: DataFrame, language: str = "go") -> DataFrame:
     return files.select("filepath", "content").mapInPandas(run, UNIT)
 
 
+def unit_id() -> Column:
+    """The stable id of the symbol of a row of units."""
+    return exprs.stable_id(*(F.col(c) for c in ("language", "package", "unit_type", "name", "receiver", "signature", "content")))
+
+
 def symbols(units: DataFrame) -> DataFrame:
     """Symbols of units, with stable id, hash and role."""
-    id_ = exprs.stable_id(*(F.col(c) for c in ("language", "package", "unit_type", "name", "receiver", "signature", "content")))
-    return units.select(id_.alias("id"), "filepath", "package", "language", "start_line", "end_line", "content", F.sha2("content", 256).alias("content_hash"), "unit_type", exprs.role(F.col("unit_type"), F.col("name")).alias("role"), "name", "description", "signature", "receiver")
+    return units.select(unit_id().alias("id"), "filepath", "package", "language", "start_line", "end_line", "content", F.sha2("content", 256).alias("content_hash"), "unit_type", exprs.role(F.col("unit_type"), F.col("name")).alias("role"), "name", "description", "signature", "receiver")
 
 
 def relations(units: DataFrame) -> DataFrame:
     """from_id, ord, target, kind, resolver, confidence, evidence. A body's relation is scored without its file, as its evidence has none when it is found."""
-    id_ = exprs.stable_id(*(F.col(c) for c in ("language", "package", "unit_type", "name", "receiver", "signature", "content")))
-    r = units.select(id_.alias("from_id"), "filepath", F.posexplode("relations").alias("ord", "r"))
+    r = units.select(unit_id().alias("from_id"), "filepath", F.posexplode("relations").alias("ord", "r"))
     file = F.when(F.col("r.in_body"), "").otherwise(F.col("filepath"))
     confidence = exprs.relation_confidence(F.col("r.kind"), F.lit("heuristic"), file, F.col("r.start_line"), F.col("r.end_line"))
     evidence = F.struct("filepath", F.col("r.start_line").alias("start_line"), F.col("r.end_line").alias("end_line"))

@@ -222,3 +222,41 @@ def test_errors_are_rows(spark):
     files = spark.createDataFrame([("a.go", "package p\nvar c = 1\n"), ("b.go", "package p\nvar d = 1\nfunc")], "filepath string, content string")
     assert [tuple(r) for r in code.errors(files).collect()] == [("b.go", 2, 3, "a declaration breaks off")]
     assert sorted(r.name for r in code.extract(files).collect()) == ["c", "d"]
+
+
+def test_an_index_that_broke_off_asks_for_the_rest(spark, tmp_path):
+    """Each part is stored when it is whole, so texts that were embedded before the fault are not asked for again."""
+    root, store, log = tmp_path / "t", Store(spark, f"file://{tmp_path}/s", buckets=4), tmp_path / "asked"
+    root.mkdir()
+    for n in range(6):
+        (root / f"f{n}.go").write_text(f"package p\n\nfunc Use{n}(a{n} int) {{\n}}\n\nfunc Help{n}(b{n} int) {{\n}}\n")
+    sync.scan(spark, str(root), store)
+
+    def embedder(most):
+        def embed(texts):
+            with open(log, "a") as f:
+                f.write("x" * len(texts))
+            if log.stat().st_size > most:
+                raise OSError("the service is gone")
+            return [[1.0, 0.0]] * len(texts)
+
+        return embed
+
+    with pytest.raises(Exception, match="the service is gone"):
+        sync.index(store, embedder(9), commit=3)
+    kept = {r.id for r in store.load("chunks").collect()}
+    assert 0 < len(kept) <= 9
+    log.write_text("")
+    sync.index(store, embedder(1000), commit=3)
+    held = store.load("chunks")
+    assert held.count() == 18 and held.filter("embedding IS NULL").count() == 0
+    assert log.stat().st_size == 18 - len(kept)
+
+
+def test_single_texts_are_embedded_once():
+    from weftline.operators.vector import CachedEmbedder
+
+    asked = []
+    embed = CachedEmbedder(lambda texts: asked.extend(texts) or [[float(len(t))] for t in texts])
+    assert embed(["ab"]) == embed(["ab"]) == [[2.0]] and embed(["ab", "c"]) == [[2.0], [1.0]]
+    assert asked == ["ab", "ab", "c"]

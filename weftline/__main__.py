@@ -28,7 +28,7 @@ def run(spark: SparkSession, command: str, settings: config.Config, root: str, s
     embed, writer = services(settings)
     first = not store.version()
     if command == "scan" or first:
-        sync.scan(spark, root, store)
+        sync.scan(spark, root, store, types=settings.types)
     if command == "generate" or command == "sync" and first:
         generate.generate(spark, store, out, embed, writer, settings.max_llm_sections, settings.embed_batch)
     elif command in ("sync", "update") and not first:
@@ -53,7 +53,7 @@ def main(args: list[str] | None = None) -> None:
     settings = config.load(os.path.join(a.root, "config.yaml"), os.path.join(a.root, ".env"))
     spark = SparkSession.builder.appName("weftline").getOrCreate()
     root = os.path.abspath(os.path.join(a.root, settings.project_root))
-    run(spark, a.command, settings, root, Store(spark, a.store), a.out or a.store, a.ref)
+    run(spark, a.command, settings, root, Store(spark, a.store, settings.store_buckets), a.out or a.store, a.ref)
 
 
 if __name__ == "__main__":

@@ -479,7 +479,7 @@ def evidence_selection(v: Views) -> DataFrame:
 
 _CLAIM = r"CASE WHEN d = '' THEN name || {default} ELSE CASE WHEN length(d) > 280 THEN regexp_replace(substr(d, 1, 280), '^[\s]+|[\s]+$', '', 'g') || '...' ELSE d END END"
 _DRAFT = f"""c AS (SELECT id, name, conf, replace(regexp_replace(description, '^[\\s]+|[\\s]+$', '', 'g'), chr(10), ' ') AS d FROM chunks WHERE unit_type NOT IN ('file_module', 'symbol_segment') ORDER BY id, name LIMIT 6),
-cl AS (SELECT 'ov-' || row_number() OVER (ORDER BY id, name) AS claim_id, {_CLAIM.format(default="' contributes to the core architecture behavior.'")} AS text, CASE WHEN conf > 0 THEN conf ELSE 0.6 END::DOUBLE AS confidence FROM c)"""
+cl AS (SELECT 'ov-' || row_number() OVER (ORDER BY id, name) AS claim_id, {_CLAIM.format(default="' is a part of how the project is built.'")} AS text, CASE WHEN conf > 0 THEN conf ELSE 0.6 END::DOUBLE AS confidence FROM c)"""
 
 
 @query("chunks", f"WITH {_DRAFT} SELECT claim_id, text, confidence FROM cl")
@@ -561,9 +561,9 @@ def _with(heading: str, text: str, diagram: str) -> str:
     return f"{text} || chr(10) || chr(10) || '{heading}' || chr(10) || chr(10) || trim({diagram}, chr(10))"
 
 
-@query("chunks", f"""WITH {_SNAPSHOT}, {_DRAFT.replace("LIMIT 6", "LIMIT 5").replace("'ov-'", "'dev-'").replace("contributes to the core architecture behavior", "affects runtime setup or operational behavior")},
+@query("chunks", f"""WITH {_SNAPSHOT}, {_DRAFT.replace("LIMIT 6", "LIMIT 5").replace("'ov-'", "'dev-'").replace("is a part of how the project is built", "matters when the project is set up or run")},
 val AS (SELECT id, name, conf, replace(regexp_replace(description, '^[\\s]+|[\\s]+$', '', 'g'), chr(10), ' ') AS d FROM chunks WHERE unit_type IN ('constant', 'variable')),
-cv AS (SELECT 'dev-' || row_number() OVER (ORDER BY id, name) AS claim_id, {_CLAIM.format(default="' affects runtime setup or operational behavior.'")} AS text, CASE WHEN conf > 0 THEN conf ELSE 0.6 END::DOUBLE AS confidence FROM val),
+cv AS (SELECT 'dev-' || row_number() OVER (ORDER BY id, name) AS claim_id, {_CLAIM.format(default="' matters when the project is set up or run.'")} AS text, CASE WHEN conf > 0 THEN conf ELSE 0.6 END::DOUBLE AS confidence FROM val),
 r AS (SELECT *, {_LINE} AS line, row_number() OVER (ORDER BY confidence DESC, claim_id) AS rank FROM cv),
 md AS (SELECT '# Development' || chr(10) || chr(10) || string_agg(text, ' ' ORDER BY rank) FILTER (rank <= 2) || chr(10) || chr(10) || '## Developer Workflow' || chr(10) || chr(10) || string_agg(line || chr(10) || chr(10), '' ORDER BY rank) FILTER (rank <= 3) || '## Operational Notes' || chr(10) || chr(10) || string_agg('- ' || line || chr(10), '' ORDER BY rank) FILTER (rank <= 4) || chr(10) AS t FROM r)
 SELECT true AS used_draft, false AS used_fallback, sha256({_with("## Architecture Snapshot", "trim(t, chr(10))", "diagram")}) AS content_sha FROM md, dia""")

@@ -95,14 +95,15 @@ def budget(chunks: DataFrame, most: int) -> DataFrame:
     """At most ``most`` chunks with their phase: 0 within quota, 1 further symbols, 2 further files.
 
     Files have a quarter of a budget of 8 or more, one place of 4 or more, else none; symbols have the rest.
-    Only the first ``most`` of symbols and of files are ranked, which Spark cuts in each task.
+    The first ``most`` of symbols and of files are taken by a bounded heap in each task, and only these are ranked.
     """
     ranked = prioritized(chunks).withColumn("is_file", F.col("unit_type") == "file_module")
     if most <= 0:
         return ranked.withColumn("phase", F.lit(0))
     files = most // 4 if most >= 8 else 1 if most >= 4 else 0
     rank = F.row_number().over(Window.partitionBy("is_file").orderBy(*by_priority()))
-    first = ranked.withColumn("rn", rank).filter(F.col("rn") <= most)
+    heads = [ranked.filter(side).orderBy(*by_priority()).limit(most) for side in (F.col("is_file"), ~F.col("is_file"))]
+    first = heads[0].unionByName(heads[1]).withColumn("rn", rank)
     quota = F.when(F.col("is_file"), files).otherwise(most - files)
     phased = first.withColumn("phase", F.when(F.col("rn") <= quota, 0).when(~F.col("is_file"), 1).otherwise(2))
     return phased.orderBy("phase", "is_file", "rn").limit(most)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -85,6 +86,16 @@ def hybrid_top_k_each(vectors: DataFrame, distance: DataFrame, queries: DataFram
     return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+class CachedEmbedder:
+    """An embedder that keeps the vectors of the last texts it was asked for one by one, as searches do; batches pass through."""
+
+    def __init__(self, embed: Callable[[list[str]], list[list[float]]], most: int = 1024):
+        self.embed, self.one = embed, lru_cache(most)(lambda text: tuple(embed([text])[0]))
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [list(self.one(texts[0]))] if len(texts) == 1 else self.embed(texts)
+
+
 def search_text(vectors: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]], k: int, exclude: str | None = None) -> DataFrame:
     """top_k for a text; ``exclude`` is dropped after the cut, so there may be one row less."""
     found = top_k(vectors, embed([text])[0], k)

@@ -114,22 +114,30 @@ def prepared(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return chunk.prepare(symbols.join(graph.doc_relevant(symbols, edges), "id", "left_semi"), edges)
 
 
-def index(store: Store, embed: Embed, most: int = 0, batch: int = 64) -> None:
+#: Chunks that are embedded and stored before the next are asked for; a run that is lost loses the work of so many.
+COMMIT = 50_000
+
+
+def index(store: Store, embed: Embed, most: int = 0, batch: int = 64, commit: int = COMMIT) -> None:
     """Embeds chunks that are new or changed, at most ``most`` of them, puts them in place, and drops those that are no longer there.
 
-    What is stored already is skipped before the budget is cut.
+    What is stored already is skipped before the budget is cut. Chunks are embedded in parts of some ``commit`` rows, by a hash of their id,
+    and each part is stored when it is whole: a run after one that broke off asks for the rest only.
     """
     symbols, edges = store.load("nodes"), store.load("edges")
     chunks = stage(prepared(symbols, edges), "chunks")
     old = store.load("chunks")
     wanted = chunks if old is None else chunk.unchanged(chunks, old)
-    picked = chunk.budget(wanted, most).select(chunks.columns)
-    new = vector.embed_column(picked, embeddable_text(), embed, batch)
+    picked = stage(chunk.budget(wanted, most).select(chunks.columns), "picked")
+    vectors = lambda df: vector.embed_column(df, embeddable_text(), embed, batch)
     if old is None:
-        store.save(chunks=new)
-    else:
-        gone = old.select("id").join(chunks.select("id"), "id", "left_anti")
-        store.merge(chunks=(new, gone))
+        store.save(chunks=vectors(picked.limit(0)))
+    parts = max(1, -(-picked.count() // commit))
+    for part in range(parts):
+        own = picked if parts == 1 else picked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        store.merge(chunks=(vectors(own), None))
+    if old is not None:
+        store.merge(chunks=(None, old.select("id").join(chunks.select("id"), "id", "left_anti")))
 
 
 def plan_sections(store: Store, changes: DataFrame, sources: DataFrame, hops: int = 2, least: float = 0.0, kinds: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

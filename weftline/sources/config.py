@@ -23,6 +23,9 @@ class Config:
     #: Parquet table of a type checker's references, and whether names resolve within their package first.
     typed_refs: str = ""
     package_first: bool = False
+    #: Whether declared types decide before names, and how many buckets the tables of a new store have.
+    types: bool = False
+    store_buckets: int = 16
     max_embed_chunks: int = 80
     max_llm_sections: int = 2
     max_llm_routes: int = 2

@@ -357,7 +357,7 @@ SELECT id, score, false AS related FROM (SELECT * FROM s ORDER BY score DESC, id
 def search_by_text(v: Views) -> DataFrame:
     """A text whose vector is the first row's: its own row is dropped after the cut, or one more is asked for."""
     own = [float(x) for x in _first_vector(v).first()["query"]]
-    embed = lambda texts: [own for _ in texts]
+    embed = vector.CachedEmbedder(lambda texts: [own for _ in texts])
     told = lambda df, related: df.select("id", F.round("score", 6).alias("score"), F.lit(related).alias("related"))
     return told(vector.search_text(v.vectors, "any", embed, 15, "0"), False).unionByName(told(vector.related(v.vectors, "any", embed, 15, "0"), True))
 
@@ -464,15 +464,15 @@ def section_ranking(v: Views) -> DataFrame:
 _KW = "(" + " + ".join(f"3 * contains(lower(name || chr(10) || description || chr(10) || signature || chr(10) || content), '{w}')::INT" for w in ("architecture", "system", "component", "module", "entry", "flow", "interface")) + " + CASE WHEN unit_type IN ('function', 'method', 'struct', 'interface', 'file_module') THEN 1 ELSE 0 END)"
 
 
-@query("chunks", f"""WITH f AS (SELECT id, row_number() OVER (ORDER BY name, id) AS pos FROM chunks WHERE n < 9 QUALIFY pos <= 32), found AS (SELECT f.id, f.pos FROM f JOIN chunks USING (id) WHERE unit_type NOT IN ('constant', 'variable')),
+@query("chunks", f"""WITH f AS (SELECT id, row_number() OVER (ORDER BY name, id) AS pos FROM chunks WHERE n % 100 = 0 QUALIFY pos <= 32), found AS (SELECT f.id, f.pos FROM f JOIN chunks USING (id) WHERE unit_type NOT IN ('constant', 'variable')),
 k AS (SELECT id, unit_type, {_KW} AS score FROM chunks WHERE {_KW} > 0 ORDER BY score DESC, id LIMIT 16), e AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS pos FROM k), extra AS (SELECT e.id, e.pos FROM e JOIN chunks USING (id) WHERE unit_type NOT IN ('constant', 'variable') AND (SELECT count(*) FROM found) < 8),
 m AS (SELECT id, row_number() OVER (ORDER BY l, pos, id) AS pos FROM (SELECT 0 AS l, * FROM found UNION ALL SELECT 1, * FROM extra WHERE id NOT IN (SELECT id FROM found))),
 c AS (SELECT m.id, m.pos, file_path, {_RICH} AS rich, count(*) OVER () AS total FROM m JOIN chunks USING (id) WHERE m.pos <= CASE WHEN (SELECT count(*) FROM found) < 8 THEN 16 ELSE 32 END),
 x AS (SELECT *, total > 16 AND row_number() OVER (PARTITION BY file_path ORDER BY pos) > 2 AS late FROM c)
 SELECT id, row_number() OVER (ORDER BY late, CASE WHEN late THEN -rich END, CASE WHEN late THEN id END, pos)::INT AS rank FROM x QUALIFY rank <= 16""")
 def evidence_selection(v: Views) -> DataFrame:
-    """Evidence of the overview from nine hits, which keywords fill up."""
-    ranked = v.chunks.filter("n < 9").withColumn("pos", F.row_number().over(Window.orderBy("name", "id")))
+    """Evidence of the overview from the first hits by name of every hundredth chunk, which keywords fill up."""
+    ranked = v.chunks.filter("n % 100 = 0").orderBy("name", "id").limit(32).withColumn("pos", F.row_number().over(Window.orderBy("name", "id")))
     words = "architecture system component module entry flow interface".split()
     return retrieval.select_evidence(v.chunks, ranked, "overview", 16, words).select("id", "rank")
 
@@ -532,16 +532,16 @@ def route_by_choice(v: Views) -> DataFrame:
 
 
 @query("chunks", f"""WITH {_FILES}, m AS (SELECT id, section_id FROM chunks JOIN sf USING (file_path)), r AS (SELECT * FROM chunks WHERE id NOT IN (SELECT id FROM m)), ch AS (SELECT id FROM (SELECT id, n FROM r ORDER BY id LIMIT 20) WHERE n % 2 = 0),
-e AS (SELECT r.id, 'sec' || q.vec_id AS section_id, q.vec_id AS ord, round(list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM r JOIN embeddings x ON x.vec_id = r.n, (SELECT * FROM embeddings WHERE vec_id < 3) q WHERE r.id NOT IN (SELECT id FROM ch)),
+e AS (SELECT r.id, 'sec' || q.vec_id AS section_id, q.vec_id AS ord, round(list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM r JOIN embeddings x ON x.vec_id = r.n, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE r.id NOT IN (SELECT id FROM ch)),
 s AS (SELECT id, section_id FROM e WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) = 1)
 SELECT id, section_id, 'file' AS stage FROM m UNION ALL SELECT id, 'chosen', 'choice' FROM ch UNION ALL SELECT id, section_id, 'semantic' FROM s
 UNION ALL (SELECT id, 'updates', 'new' FROM r WHERE id NOT IN (SELECT id FROM ch) AND id NOT IN (SELECT id FROM s) ORDER BY id LIMIT 8)""")
 def route_all_stages(v: Views) -> DataFrame:
     """By file, by a service's choice of twenty, by vector, and a new section of eight."""
     chunks = v.chunks.join(v.vectors.select("id", "embedding"), "id", "left")
-    three = v.vectors.filter("vec_id < 3").select(F.concat(F.lit("sec"), "vec_id").alias("section_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    each = v.vectors.filter("vec_id % 100 = 0").select(F.concat(F.lit("sec"), "vec_id").alias("section_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
     chosen = lambda rest: rest.orderBy("id").limit(20).filter("n % 2 = 0").select("id", F.lit("chosen").alias("section_id"))
-    return planning.route_cascade(chunks, _section_files(v), heuristic=False, sections=three, chosen=chosen)
+    return planning.route_cascade(chunks, _section_files(v), heuristic=False, sections=each, chosen=chosen)
 
 
 _NODE = "regexp_replace(lower(trim({0})), '[^a-z0-9_]', '_', 'g')"

@@ -496,12 +496,15 @@ def chunk_segments(v: Views) -> DataFrame:
     return s.select("id", F.sha2("content", 256).alias("content_sha"), "content_hash", F.col("sources")[0]["start_line"].alias("first_line"), F.col("sources")[0]["end_line"].alias("last_line"))
 
 
-@query("chunks", r"""WITH o AS (SELECT *, content_hash AS h, '- **' || name || '** (' || unit_type || '): ' || description || chr(10) AS told, CASE WHEN unit_type IN ('function', 'method', 'struct', 'interface') THEN '// ' || unit_type || ' ' || name || chr(10) || content || chr(10) || chr(10) ELSE '' END AS code, CASE WHEN unit_type IN ('struct', 'interface') THEN signature || chr(10) || chr(10) ELSE '' END AS sig FROM chunks),
+@query("chunks", r"""WITH fc AS (SELECT * REPLACE (file_path || '-' || (n // 50) AS file_path) FROM chunks),
+o AS (SELECT *, content_hash AS h, '- **' || name || '** (' || unit_type || '): ' || description || chr(10) AS told, CASE WHEN unit_type IN ('function', 'method', 'struct', 'interface') THEN '// ' || unit_type || ' ' || name || chr(10) || content || chr(10) || chr(10) ELSE '' END AS code, CASE WHEN unit_type IN ('struct', 'interface') THEN signature || chr(10) || chr(10) ELSE '' END AS sig FROM fc),
 g AS (SELECT file_path, string_agg(told, '' ORDER BY start_line, id) AS told, string_agg(code, '' ORDER BY start_line, id) AS code, string_agg(sig, '' ORDER BY start_line, id) AS sig, string_agg(h, '' ORDER BY start_line, id) AS h, arg_min(package, (start_line, id)) AS package, count(*) AS n FROM o GROUP BY 1),
-d AS (SELECT file_path, string_agg(DISTINCT dep, ',' ORDER BY dep) AS deps FROM (SELECT file_path, unnest(dependencies) AS dep FROM chunks) GROUP BY 1)
+d AS (SELECT file_path, string_agg(DISTINCT dep, ',' ORDER BY dep) AS deps FROM (SELECT file_path, unnest(dependencies) AS dep FROM fc) GROUP BY 1)
 SELECT g.file_path AS id, package, sha256('Module `' || g.file_path || '` in package `' || package || '` containing:' || chr(10) || told) AS description_sha, sha256(CASE WHEN length(code) > 3000 THEN substr(code, 1, 3000) || chr(10) || '... (truncated)' ELSE code END) AS content_sha, sha256(sig) AS signature_sha, sha256(h) AS hash_sha, deps AS dependencies, n AS sources FROM g JOIN d USING (file_path)""")
 def file_rollup(v: Views) -> DataFrame:
-    f = chunk.file_chunks(v.sym, v.chunks.drop("n"))
+    """Files of up to fifty documents of a source, so that a file's row doesn't grow with the tables."""
+    file = lambda c: F.concat(F.col(c), F.lit("-"), F.floor(F.col("n") / 50))
+    f = chunk.file_chunks(v.sym.withColumn("filepath", file("filepath")), v.chunks.withColumn("file_path", file("file_path")).drop("n"))
     sha = lambda c: F.sha2(F.col(c), 256)
     return f.select("id", "package", sha("description").alias("description_sha"), sha("content").alias("content_sha"), sha("signature").alias("signature_sha"), sha("content_hash").alias("hash_sha"), joined("dependencies").alias("dependencies"), F.size("sources").cast("long").alias("sources"))
 

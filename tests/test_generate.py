@@ -15,6 +15,10 @@ from weftline.sources import model as models
 from weftline.sources.store import Store, StoredIndex
 
 
+def faults(spark, model):
+    return [(r.path, r.rule) for r in models.problems(spark.createDataFrame([("m", json.dumps(model))], "doc string, model string")).collect()]
+
+
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("src")
@@ -30,7 +34,7 @@ def built(spark, tmp_path_factory):
 def test_generate_writes_model_markdown_and_report(spark, built):
     _, out, model = built
     assert [s["id"] for s in model["sections"]] == ["overview", "key-features", "development"]
-    assert models.problems(json.loads((out / "doc_model.json").read_text())) == []
+    assert faults(spark, json.loads((out / "doc_model.json").read_text())) == []
     text = (out / "documentation.md").read_text()
     assert "```mermaid" in text and text.startswith("# Project Documentation")
     r = json.loads((out / "report.json").read_text())
@@ -44,7 +48,7 @@ def test_update_changes_the_sections_of_changed_files(spark, built):
     done = generate.update(spark, store, changes, f"file://{out}", hashing_embedder(16))
     assert set(done) <= {s["id"] for s in before["sections"]} and done
     after = models.load_model(spark, f"file://{out}/doc_model.json")
-    assert models.problems(after) == [] and [s["order"] for s in after["sections"]] == list(range(len(after["sections"])))
+    assert faults(spark, after) == [] and [s["order"] for s in after["sections"]] == list(range(len(after["sections"])))
 
 
 class Scribe:
@@ -85,8 +89,8 @@ def test_bad_models_are_not_saved(spark, tmp_path, built):
     with pytest.raises(ValueError, match="status"):
         models.save_model(spark, f"file://{tmp_path}/m.json", model)
     model["sections"][0] |= {"status": "active", "id": "key-features"}
-    assert {p.split(":")[0] for p in models.problems(model)} >= {"duplicate section id", "required section missing"}
-    assert models.problems({}) != [] and models.load_model(spark, f"file://{tmp_path}/none.json") is None
+    assert set(faults(spark, model)) == {("$.sections", "repeated:key-features"), ("$.sections", "missing:overview")}
+    assert ("$", "required:sections") in faults(spark, {}) and models.load_model(spark, f"file://{tmp_path}/none.json") is None
 
 
 def test_index_health_is_measured_against_what_an_index_holds(spark, tmp_path):

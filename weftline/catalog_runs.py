@@ -123,6 +123,34 @@ def model_json(v: Views) -> DataFrame:
     return models.sections_of(v.spark, models.load_model(v.spark, path)).select("id", "ord", "level", F.sha2("content_md", 256).alias("content_sha"))
 
 
+@query("", """WITH l AS (SELECT *, l_orderkey::VARCHAR AS doc, 'l' || l_linenumber || CASE WHEN l_quantity = 50 THEN ' ' ELSE '' END AS id FROM lineitem),
+f AS (SELECT doc, '$.sections[].id' AS path, 'pattern' AS rule FROM l WHERE l_quantity = 50
+  UNION ALL SELECT doc, '$.sections[].title', 'minLength' FROM l WHERE l_tax > 0.075
+  UNION ALL SELECT doc, '$.sections[].level', 'maximum' FROM l WHERE l_linenumber > 6
+  UNION ALL SELECT doc, '$.sections[].order', 'minimum' FROM l WHERE l_linenumber < 2
+  UNION ALL SELECT doc, '$.sections[].status', 'enum' FROM l WHERE l_returnflag NOT IN ('A', 'R')
+  UNION ALL SELECT doc, '$.sections[].sources[].start_line', 'minimum' FROM l WHERE l_suppkey % 5 = 0
+  UNION ALL SELECT doc, '$.sections[].sources[].relation', 'enum' FROM l WHERE l_partkey % 3 = 0
+  UNION ALL SELECT doc, '$.sections[].sources[].confidence', 'maximum' FROM l WHERE l_discount * 12 > 1
+  UNION ALL SELECT doc, '$.sections', 'repeated:' || id FROM l GROUP BY doc, id HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT doc, '$.sections', 'missing:' || c.id FROM l, (VALUES ('overview'), ('key-features'), ('development')) c(id))
+SELECT doc, path, rule, count(*) AS n FROM f GROUP BY 1, 2, 3""")
+def schema_violations(v: Views) -> DataFrame:
+    """Each order is a model, and each of its lines a section; what they break of the model's schema, all items of an array together."""
+    number, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    source = F.struct(
+        F.concat(F.lit("p"), "l_partkey").alias("symbol_id"), F.concat(F.lit("s"), "l_suppkey").alias("file_path"), (F.col("l_suppkey") % 5).alias("start_line"), (F.col("l_suppkey") % 5 + 1).alias("end_line"),
+        F.when(F.col("l_partkey") % 3 == 0, "other").otherwise("primary").alias("relation"), (F.col("l_discount") * 12).alias("confidence"),
+    )
+    section = F.struct(
+        F.concat(F.lit("l"), number, F.when(F.col("l_quantity") == 50, " ").otherwise("")).alias("id"), F.when(F.col("l_tax") > 0.075, "").otherwise("Line").alias("title"), number.alias("level"), (number - 2).alias("order"), F.lit(None).cast("string").alias("parent_id"),
+        F.lit("").alias("content_md"), F.when(flag == "A", "active").when(flag == "R", "archived").otherwise("draft").alias("status"), F.array(source).alias("sources"), F.lit("h").alias("hash"),
+    )
+    rows = v.table("lineitem").select(F.col("l_orderkey").cast("string").alias("doc"), number.alias("ord"), section.alias("section"))
+    found = models.problems(models.models_of(rows)).withColumn("path", F.regexp_replace("path", r"\[\d+\]", "[]"))
+    return found.groupBy("doc", "path", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("md", f"WITH {_NORMAL} SELECT id, ord, sha256(content) AS content_sha FROM norm WHERE {_ONE}")
 def bootstrap_model(v: Views) -> DataFrame:
     """A model from a Markdown file, and the same again from what that saved."""

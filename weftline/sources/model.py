@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import time
 from collections import Counter
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.operators import schema
 from weftline.operators.docmodel import RELATIONS, SOURCE, STATUSES
 from weftline.operators.planning import CANONICAL
 from weftline.sources import files
@@ -23,8 +24,34 @@ from weftline.sources import files
 VERSION = "v0.1.0"
 STYLE = {"tone": "technical, objective", "audience": "open-source maintainers", "code_block_language": "go", "focus_mode": "semantic", "avoid_call_graph_narration": True, "prefer_conceptual_diagrams": True, "prefer_task_oriented_examples": True}
 FOCUS_MODES = ("semantic", "reference", "hybrid")
-_SECTION = frozenset("id title level order parent_id content_md summary status sources evidence hash last_updated".split())
-_NEEDED = frozenset("id title level order parent_id content_md sources hash status".split())
+TEXT, NAME, STAMP, YES_NO = {"type": "string"}, {"type": "string", "minLength": 1}, {"type": "string", "format": "date-time"}, {"type": "boolean"}
+UNIT = {"type": "number", "minimum": 0, "maximum": 1}
+
+
+def _whole(least: int, most: int | None = None) -> dict:
+    return {"type": "integer", "minimum": least} | ({} if most is None else {"maximum": most})
+
+
+def _record(optional: str = "", **fields: dict) -> dict:
+    """A closed object, all of whose fields but the optional ones are required."""
+    return {"type": "object", "additionalProperties": False, "required": [f for f in fields if f not in optional.split()], "properties": fields}
+
+
+SOURCE_REF = _record("commit_sha confidence", symbol_id=NAME, file_path=NAME, start_line=_whole(1), end_line=_whole(1), relation={"enum": list(RELATIONS)}, commit_sha=TEXT, confidence=UNIT)
+EVIDENCE = _record(coverage=UNIT, confidence=UNIT, chunk_count=_whole(0), source_count=_whole(0), query_count=_whole(0), low_evidence=YES_NO)
+SECTION = _record(
+    "summary evidence last_updated",
+    id={"type": "string", "pattern": "^[a-zA-Z0-9._:-]+$"}, title=NAME, level=_whole(1, 6), order=_whole(0), parent_id={"type": ["string", "null"]}, content_md=TEXT, summary=TEXT, status={"enum": list(STATUSES)},
+    sources={"type": "array", "items": SOURCE_REF}, evidence=EVIDENCE, hash=TEXT, last_updated=_record("pr_number", commit_sha=TEXT, pr_number=_whole(1), timestamp=STAMP),
+)
+POLICIES = _record(
+    required_section_ids={"type": "array", "items": TEXT, "uniqueItems": True}, max_section_chars=_whole(200),
+    style=_record(**{k: YES_NO if isinstance(v, bool) else TEXT for k, v in STYLE.items()} | {"focus_mode": {"enum": list(FOCUS_MODES)}}),
+)
+MODEL_SCHEMA = _record(
+    schema_version={"type": "string", "pattern": r"^v\d+\.\d+\.\d+$"}, document=_record(id=NAME, title=NAME, root_section_ids={"type": "array", "items": NAME, "uniqueItems": True}),
+    sections={"type": "array", "items": SECTION}, policies=POLICIES, meta=_record("generator_version", repo=TEXT, default_branch=TEXT, generated_at=STAMP, generator_version=TEXT),
+)
 
 
 def now() -> str:
@@ -44,40 +71,35 @@ def new_model(sections: list[dict], title: str = "Project Documentation", repo:
     }
 
 
-def problems(model: dict) -> list[str]:
-    """What keeps a model from being saved: its structure and every field's values."""
-    out = [f"{k} is required" for k in ("schema_version", "document", "sections", "policies", "meta") if not model.get(k)]
-    if out:
-        return out
-    if not re.fullmatch(r"v\d+\.\d+\.\d+", model["schema_version"]):
-        out.append("schema_version is no version")
-    ids = Counter(s.get("id") for s in model["sections"])
-    out += [f"duplicate section id: {i}" for i, n in ids.items() if n > 1]
-    out += [f"required section missing: {i}" for i in model["policies"].get("required_section_ids", []) if i not in ids]
-    if model["policies"].get("style", {}).get("focus_mode") not in FOCUS_MODES or model["policies"].get("max_section_chars", 0) < 200:
-        out.append("policies out of range")
-    unit = lambda x: isinstance(x, (int, float)) and 0 <= x <= 1
-    for s in model["sections"]:
-        at = f"section {s.get('id')}: "
-        out += [at + f"{k} is required" for k in sorted(_NEEDED - s.keys())] + [at + f"unknown {k}" for k in sorted(s.keys() - _SECTION)]
-        if not re.fullmatch(r"[a-zA-Z0-9._:-]+", s.get("id") or ""):
-            out.append(at + "id")
-        if s.get("status") not in STATUSES:
-            out.append(at + "status")
-        if not 1 <= s.get("level", 0) <= 6 or s.get("order", -1) < 0:
-            out.append(at + "level or order")
-        for r in s.get("sources", []):
-            if not r.get("symbol_id") or not r.get("file_path") or r.get("relation") not in RELATIONS or min(r.get("start_line", 0), r.get("end_line", 0)) < 1 or not unit(r.get("confidence", 0)):
-                out.append(at + "source")
-        if s.get("evidence") and not (unit(s["evidence"]["coverage"]) and unit(s["evidence"]["confidence"])):
-            out.append(at + "evidence")
-    return out
+def problems(documents: DataFrame) -> DataFrame:
+    """(doc, path, rule): what keeps models (doc, and their JSON in model) from being saved, of any number of them.
+
+    Beside the rules of ``MODEL_SCHEMA``: a model without sections (``sections``), each id that several sections have (``repeated:id``),
+    and each required section that is missing (``missing:id``).
+    """
+    document = F.try_parse_json("model")
+    ids = F.filter(F.transform(F.try_variant_get("document", "$.sections", "array<variant>"), lambda s: F.try_variant_get(s, "$.id", "string")), lambda i: i.isNotNull())
+    needed = F.try_variant_get("document", "$.policies.required_section_ids", "array<string>")
+    repeated = F.filter(F.array_distinct("ids"), lambda i: F.size(F.filter("ids", lambda j: i == j)) > 1)
+    named = lambda word, found: F.transform(found, lambda i: F.concat(F.lit(f"{word}:"), i))
+    none = F.array().cast("array<string>")
+    rules = F.concat(*(F.coalesce(r, none) for r in (F.when(F.size("ids") < 1, F.array(F.lit("sections"))), named("repeated", repeated), named("missing", F.array_except("needed", "ids")))))
+    whole = documents.select("doc", document.alias("document")).select("doc", F.coalesce(ids, none).alias("ids"), needed.alias("needed"), F.col("document").isNotNull().alias("read"))
+    return schema.violations(documents, MODEL_SCHEMA).unionByName(whole.filter("read").select("doc", F.lit("$.sections").alias("path"), F.explode(rules).alias("rule")))
+
+
+def models_of(sections: DataFrame) -> DataFrame:
+    """(doc, model): the models of documents' sections as JSON texts, a row for each document. sections: doc, ord, section (a struct of a section's fields)."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ord", F.to_json("section", {"ignoreNullFields": "false"}).alias("text")))), lambda x: x["text"])
+    frame = json.dumps(new_model([]) | {"sections": "@"}, ensure_ascii=False).split('"@"')
+    return sections.groupBy("doc").agg(F.concat(F.lit(frame[0] + "["), F.array_join(ordered, ","), F.lit("]" + frame[1])).alias("model"))
 
 
 def save_model(spark: SparkSession, path: str, model: dict) -> None:
-    if found := problems(model):
-        raise ValueError("document model: " + "; ".join(found))
-    files.put(spark, path, json.dumps(model, indent=2, ensure_ascii=False) + "\n")
+    text = json.dumps(model, indent=2, ensure_ascii=False) + "\n"
+    if found := problems(spark.createDataFrame([("main", text)], "doc string, model string")).orderBy("path", "rule").collect():
+        raise ValueError("document model: " + "; ".join(f"{r.path} {r.rule}" for r in found))
+    files.put(spark, path, text)
 
 
 def load_model(spark: SparkSession, path: str) -> dict | None:

@@ -19,11 +19,19 @@ RULES = frozenset("type enum const required properties additionalProperties item
 DATE_TIME = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$"
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it; f gives an array."""
+    return F.flatten(F.transform(F.array(value), f))
+
+
 def _kind(value: Column) -> Column:
     """object, array, string, boolean, null or number."""
-    found = F.schema_of_variant(value)
-    named = F.when(found.startswith("OBJECT"), "object").when(found.startswith("ARRAY"), "array")
-    return named.when(found == "STRING", "string").when(found == "BOOLEAN", "boolean").when(found == "VOID", "null").otherwise("number")
+
+    def named(found: Column) -> Column:
+        kind = F.when(found.startswith("OBJECT"), "object").when(found.startswith("ARRAY"), "array")
+        return F.array(kind.when(found == "STRING", "string").when(found == "BOOLEAN", "boolean").when(found == "VOID", "null").when(found.isNotNull(), "number"))
+
+    return F.element_at(_with(F.schema_of_variant(value), named), 1)
 
 
 def _is_type(kind: Column, number: Column, names: str | list[str]) -> Column:
@@ -79,19 +87,26 @@ def compile_schema(schema: dict) -> Callable[[Column], Column]:
             node, seen = {**target, **{k: v for k, v in node.items() if k != "$ref"}}, (*seen, ref)
         return node, seen
 
-    def faults(base: Column, inside: str, path: Column, node: dict, seen: tuple[str, ...]) -> Column:
-        """Of the value at ``inside`` of base, a VARIANT; nothing, if it isn't there."""
+    none = F.array().cast(f"array<{FAULT}>")
+
+    def faults(value: Column, path: Column, node: dict, seen: tuple[str, ...]) -> Column:
+        """Of a VARIANT; none, if it isn't there: then its kind is null, and so is each test."""
         node, seen = resolve(node, seen)
         if unknown := node.keys() - RULES - NOTES:
             raise ValueError(f"unknown keywords: {sorted(unknown)}")
-        value = F.try_variant_get(base, inside, "variant")
-        text, number, kind = F.try_variant_get(base, inside, "string"), F.try_variant_get(base, inside, "double"), _kind(value)
+        return _with(F.struct(value.alias("v"), _kind(value).alias("kind")), lambda x: judged(x["v"], x["kind"], path, node, seen))
+
+    def judged(value: Column, kind: Column, path: Column, node: dict, seen: tuple[str, ...]) -> Column:
+        text, number, items = (F.try_variant_get(value, "$", t) for t in ("string", "double", "array<variant>"))
         own: list[Column] = []
         deeper: list[Column] = []
 
         def broken(rule: str, where: Column) -> None:
             own.append(F.when(where, F.struct(path.alias("path"), F.lit(rule).alias("rule"))))
 
+        def named(rule: str, keys: Column) -> Column:
+            return F.transform(keys, lambda k: F.struct(path.alias("path"), F.concat(F.lit(f"{rule}:"), k).alias("rule")))
+
         if "type" in node:
             broken("type", ~_is_type(kind, number, node["type"]))
         if "enum" in node:
@@ -108,7 +123,6 @@ def compile_schema(schema: dict) -> Callable[[Column], Column]:
         for rule, test in (("minimum", lambda x: number < x), ("maximum", lambda x: number > x), ("exclusiveMinimum", lambda x: number <= x), ("exclusiveMaximum", lambda x: number >= x)):
             if rule in node:
                 broken(rule, (kind == "number") & test(node[rule]))
-        items = F.try_variant_get(base, inside, "array<variant>")
         for rule, test in (("minItems", lambda x: F.size(items) < x), ("maxItems", lambda x: F.size(items) > x)):
             if rule in node:
                 broken(rule, (kind == "array") & test(node[rule]))
@@ -116,28 +130,26 @@ def compile_schema(schema: dict) -> Callable[[Column], Column]:
             texts = F.transform(items, lambda x: F.to_json(x))
             broken("uniqueItems", (kind == "array") & (F.size(F.array_distinct(texts)) < F.size(texts)))
         if "items" in node:
-            each = F.transform(items, lambda x, i: faults(x, "$", F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), node["items"], seen))
+            each = F.transform(items, lambda x, i: faults(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), node["items"], seen))
             deeper.append(F.when(kind == "array", F.flatten(each)))
-        properties = node.get("properties", {})
-        for key in node.get("required", ()):
-            gone = F.try_variant_get(base, inside + _path_key(key), "variant").isNull()
-            broken(f"required:{key}", (kind == "object") & gone)
-        extra = node.get("additionalProperties", True)
+        properties, needed, extra = node.get("properties", {}), node.get("required", ()), node.get("additionalProperties", True)
         if not isinstance(extra, bool):
             raise ValueError("additionalProperties is true or false")
-        if not extra:
-            keys = F.array_sort(F.map_keys(F.try_variant_get(base, inside, "map<string,variant>")))
-            unknown_keys = F.filter(keys, lambda k: ~k.isin(*properties) if properties else F.lit(True))
-            deeper.append(F.when(kind == "object", F.transform(unknown_keys, lambda k: F.struct(path.alias("path"), F.concat(F.lit("additionalProperties:"), k).alias("rule")))))
-        for key, child in properties.items():
-            at = inside + _path_key(key)
-            # A value that isn't there breaks no rule of its own: its kind is null, and so is each test.
-            deeper.append(F.when((kind == "object") & F.try_variant_get(base, at, "variant").isNotNull(), faults(base, at, F.concat(path, F.lit(f".{key}")), child, seen)))
-        none = F.array().cast(f"array<{FAULT}>")
+        if needed or not extra:
+            texts_of = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+
+            def by_keys(keys: Column) -> Column:
+                found = [named("required", F.array_except(texts_of(needed), keys))] if needed else []
+                return F.concat(*found, *([] if extra else [named("additionalProperties", F.array_sort(F.array_except(keys, texts_of(properties))))]))
+
+            deeper.append(F.when(kind == "object", _with(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), by_keys)))
+        if properties:
+            of_each = [faults(F.try_variant_get(value, "$" + _path_key(key), "variant"), F.concat(path, F.lit(f".{key}")), child, seen) for key, child in properties.items()]
+            deeper.append(F.when(kind == "object", F.flatten(F.array(*of_each))))
         here = F.array_compact(F.array(*own)).cast(f"array<{FAULT}>") if own else none
         return F.concat(here, *(F.coalesce(d.cast(f"array<{FAULT}>"), none) for d in deeper)) if deeper else here
 
-    return lambda document: faults(document, "$", F.lit("$"), root, ())
+    return lambda document: faults(document, F.lit("$"), root, ())
 
 
 def violations(documents: DataFrame, schema: dict, text: str = "model") -> DataFrame:

@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import edge_allowed, edge_score, is_exported
+from weftline.operators import skew
 from weftline.staging import stage
 
 #: Lines in a bucket of the line-overlap join.
 LINE_BUCKET = 64
 
 
+def _known(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, neighbor) whose neighbor is a node; a node with a large part of all edges is shared by many tasks."""
+    return skew.join(pairs, nodes.select(F.col("id").alias("neighbor")).distinct(), "neighbor", ["id"], skew.hot_keys(pairs, "neighbor"), how="left_semi").select("id", "neighbor")
+
+
 def neighbors_out(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, neighbor): what each node refers to; edges to unknown nodes are dropped."""
-    return edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("neighbor")).join(nodes.select(F.col("id").alias("neighbor")), "neighbor", "left_semi").select("id", "neighbor")
+    return _known(edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("neighbor")), nodes)
 
 
 def neighbors_in(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, neighbor): what refers to each node."""
-    return edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("neighbor")).join(nodes.select(F.col("id").alias("neighbor")), "neighbor", "left_semi").select("id", "neighbor")
+    return _known(edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("neighbor")), nodes)
 
 
 def _touched(symbols: DataFrame, changes: DataFrame, whole_file: bool) -> DataFrame:
@@ -59,18 +66,27 @@ def expand(edges: DataFrame, start: DataFrame, hops: int = 2, least: float = 0.0
 
     nodes: id, depth, score. Round by round, the nodes found last are expanded with the score they have then, a
     node's score is the largest product of edge scores that reaches it, and each node is expanded once.
+
+    Edges lead both ways, so what a round finds is new unless it stands in one of the last two rounds: a round joins its frontier with
+    the edges, compares with these two, and leaves all earlier nodes alone. A hub's edges are shared by many tasks.
     """
+    keep = stage if hops > 1 else lambda df, _: df
     allowed = edges.filter(edge_allowed(F.col("confidence"), F.col("kind"), least, kinds))
-    near = _both_ways(allowed)
-    nodes = start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("score"))
+    near = keep(_both_ways(allowed), "near")
+    hubs = skew.hot_keys(near, "u")
+    last = keep(start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("score")), "start")
+    before, rounds = last.limit(0), [last]
     for depth in range(1, hops + 1):
-        found = nodes.filter(F.col("depth") == depth - 1).join(near, F.col("id") == F.col("u"))
-        next_ = found.select(F.col("v").alias("id"), F.lit(depth).alias("depth"), (F.col("score") * F.col("w")).alias("score"))
-        nodes = nodes.unionByName(next_).groupBy("id").agg(F.min("depth").alias("depth"), F.max("score").alias("score"))
-        if depth > 1 and depth < hops:
-            nodes = stage(nodes, "frontier")  # the nodes so far stand in the plan twice
-    inner = nodes.filter(F.col("depth") < hops).select("id")
-    ends = allowed.select("*", F.explode(F.array("from_id", "to_id")).alias("id")).join(inner, "id", "left_semi").drop("id")
+        met = skew.join(near, last.select(F.col("id").alias("u"), "score"), "u", ["v"], hubs)
+        found = met.groupBy(F.col("v").alias("id")).agg(F.max(F.col("score") * F.col("w")).alias("score")).select("id", F.lit(depth).alias("depth"), "score")
+        if depth < hops:
+            found = stage(found, "frontier")
+        rounds.append(found)
+        before, last = last, found.join(last.select("id").unionByName(before.select("id")), "id", "left_anti")
+    nodes = reduce(DataFrame.unionByName, rounds).groupBy("id").agg(F.min("depth").alias("depth"), F.max("score").alias("score"))
+    inner = reduce(DataFrame.unionByName, rounds[:hops] or [last.limit(0)]).select("id").distinct()
+    ends = allowed.select("*", F.explode(F.array("from_id", "to_id")).alias("id"))
+    ends = skew.join(ends, inner, "id", ["from_id", "to_id"], hubs.withColumnRenamed("u", "id"), how="left_semi").drop("id")
     return nodes, ends.dropDuplicates(["from_id", "to_id", "kind"])
 
 
@@ -85,16 +101,22 @@ def distances_each(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     """(query_id, id, depth) of nodes at 1 to ``most`` undirected steps from each query's starts (query_id, id), which are left out.
 
     One traversal serves all queries: its frontier holds pairs of a query and a node. A round joins the pairs found last with the
-    edges, which are staged once, and those not known yet are the next; a pair is expanded once.
+    edges, which are staged once, and those in neither of the last two rounds are the next; a pair is expanded once. A hub's edges, and
+    the queries that meet in one node, are shared by many tasks.
     """
     ends = F.array(F.struct(F.col("from_id").alias("u"), F.col("to_id").alias("v")), F.struct(F.col("to_id").alias("u"), F.col("from_id").alias("v")))
     near = stage(edges.select(F.explode(ends).alias("e")).select("e.u", "e.v").distinct(), "near")
-    last = known = starts.select("query_id", "id", F.lit(0).alias("depth")).distinct()
+    hubs = skew.hot_keys(near, "u")
+    last = stage(starts.select("query_id", "id", F.lit(0).alias("depth")).distinct(), "start")
+    before = last.limit(0)
+    rounds = [before]
     for depth in range(1, most + 1):
-        found = last.join(near, F.col("id") == F.col("u")).select("query_id", F.col("v").alias("id")).distinct()
-        last = stage(found.join(known, ["query_id", "id"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        known = known.unionByName(last)
-    return known.filter("depth > 0")
+        asked = last.select("query_id", F.col("id").alias("u"))
+        found = skew.join(near, asked, "u", ["v"], hubs, skew.hot_keys(asked, "u"), ["query_id"]).select("query_id", F.col("v").alias("id")).distinct()
+        new = found.join(last.unionByName(before), ["query_id", "id"], "left_anti").withColumn("depth", F.lit(depth))
+        before, last = last, stage(new, "frontier")
+        rounds.append(last)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def doc_relevant(symbols: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:

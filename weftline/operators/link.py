@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import blank
+from weftline.operators import skew
 from weftline.operators.typed import method_index
 
 
@@ -35,14 +36,15 @@ def candidate_keys(target) -> list:
 def link(relations: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, unresolved). The first key with any match decides, and every symbol that matches it gets an edge.
 
-    Relations are joined by key, so a name that many relations use is an equi-join that can be split, and the
+    Relations are joined by key, and a name that many relations use, or many symbols bear, is shared by many tasks. The
     choice of key is an aggregate of one row for each relation, not a window over its matches.
     """
     keyed = relations.select("*", F.posexplode(F.array(*candidate_keys(F.col("target")))).alias("step", "key")).filter("key IS NOT NULL AND key <> ''")
     index = name_index(symbols)
-    known = keyed.join(index.select("key").distinct(), "key", "left_semi")
+    hot, row = skew.hot_keys(keyed, "key"), ["from_id", "ord"]
+    known = skew.join(keyed, index.select("key").distinct(), "key", row, hot, how="left_semi")
     first = known.groupBy("from_id", "ord").agg(F.min(F.struct("step", "key")).alias("best")).select("from_id", "ord", F.col("best.key").alias("key"))
-    edges = relations.join(first, ["from_id", "ord"]).join(index, "key").select("from_id", F.col("id").alias("to_id"), "kind", "resolver", "confidence")
+    edges = skew.join(relations.join(first, row), index, "key", row, hot, skew.hot_keys(index, "key"), ["id"]).select("from_id", F.col("id").alias("to_id"), "kind", "resolver", "confidence")
     edges = edges.groupBy("from_id", "to_id", "kind").agg(F.max_by("resolver", "confidence").alias("resolver"), F.max("confidence").alias("confidence"))
     missing = relations.join(first, ["from_id", "ord"], "left_anti").select("from_id", "ord", "target", "kind", "resolver", "confidence", F.lit("no_candidate").alias("reason"))
     return edges, missing

@@ -140,14 +140,16 @@ def compile_schema(schema: dict) -> Callable[[Column], Column]:
 
             def by_keys(keys: Column) -> Column:
                 found = [named("required", F.array_except(texts_of(needed), keys))] if needed else []
-                return F.concat(*found, *([] if extra else [named("additionalProperties", F.array_sort(F.array_except(keys, texts_of(properties))))]))
+                if not extra:
+                    found.append(named("additionalProperties", F.array_sort(F.array_except(keys, texts_of(properties)))))
+                return F.flatten(F.array(*found))
 
             deeper.append(F.when(kind == "object", _with(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), by_keys)))
         if properties:
             of_each = [faults(F.try_variant_get(value, "$" + _path_key(key), "variant"), F.concat(path, F.lit(f".{key}")), child, seen) for key, child in properties.items()]
             deeper.append(F.when(kind == "object", F.flatten(F.array(*of_each))))
         here = F.array_compact(F.array(*own)).cast(f"array<{FAULT}>") if own else none
-        return F.concat(here, *(F.coalesce(d.cast(f"array<{FAULT}>"), none) for d in deeper)) if deeper else here
+        return F.flatten(F.array(here, *(F.coalesce(d.cast(f"array<{FAULT}>"), none) for d in deeper))) if deeper else here
 
     return lambda document: faults(document, F.lit("$"), root, ())
 

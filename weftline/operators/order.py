@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.staging import stage
 
 
+def first_rows(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str] = ()) -> DataFrame:
+    """The first k rows of each group, or of all rows without groups; either way each task cuts its own rows before they are shuffled."""
+    if not by:
+        return df.orderBy(*order).limit(k)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("_first", rank).filter(F.col("_first") <= k).drop("_first")
+
+
 def sorted_tasks(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
     """``df`` staged in range-sorted tasks, with ``at`` (place, which grows along the order) and ``task``."""
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)

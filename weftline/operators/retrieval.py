@@ -1,4 +1,8 @@
-"""Evidence for sections: keyword and vector hits, their union, filters, diversity, and statistics."""
+"""Evidence for sections: keyword and vector hits, their union, filters, diversity, and statistics.
+
+``search_each`` and ``select_each`` serve any number of sections of any number of documents in one plan; a section of one
+document is a table of one row. Sections have a unique ``section``, and ``section_id``, which decides by what rules it is filled.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import CODE_TYPES, blank, file_key, hits, is_testlike, richness
-from weftline.operators.order import summed
+from weftline.operators.order import first_rows, summed
+from weftline.operators.vector import blocks, top_k_each
+from weftline.staging import stage
 
 # Section plans (id, title, goal, required blocks, query hints, keywords, top_k, min_evidence, uses a writer).
 SECTION_KEYWORDS = {
@@ -19,13 +25,22 @@ SECTION_KEYWORDS = {
 SECTION_TOP_K = {"overview": (16, 6, False), "key-features": (20, 8, True), "development": (14, 5, False)}
 FALLBACK_TOP_K = (12, 4)
 FLOW_WORDS = "flow pipeline sequence before after when then route".split()
+#: Rows of hits that are broadcast to meet their chunks, rather than shuffling these; counted.
+FEW_HITS = 200_000
 LAYER_A, LAYER_B, BLOCK_LINES, MIN_FLOW, CONTEXT_LINES = 8, 4, 60, 2, 4
 
 
+def keyword_text() -> Column:
+    return F.lower(F.concat_ws("\n", *(F.coalesce(F.col(c), F.lit("")) for c in ("name", "description", "signature", "content"))))
+
+
+def with_behaviour() -> Column:
+    return F.when(F.col("unit_type").isin(*CODE_TYPES, "file_module"), 1).otherwise(0)
+
+
 def keyword_score(words: Sequence[str]) -> Column:
     """3 for each word found in name, description, signature or content; 1 for a unit with behaviour."""
-    text = F.lower(F.concat_ws("\n", *(F.coalesce(F.col(c), F.lit("")) for c in ("name", "description", "signature", "content"))))
-    return hits(text, [w.strip().lower() for w in words if w.strip()], 3) + F.when(F.col("unit_type").isin(*CODE_TYPES, "file_module"), 1).otherwise(0)
+    return hits(keyword_text(), [w.strip().lower() for w in words if w.strip()], 3) + with_behaviour()
 
 
 def keyword_top_k(chunks: DataFrame, words: Sequence[str], limit: int) -> DataFrame:
@@ -64,11 +79,11 @@ def filter_or_all(rows: DataFrame, keep: Column, by: Sequence[str] = ()) -> Data
     return rows.join(any_, list(by)).filter(keep | ~F.col("_any")).select(rows.columns)
 
 
-def semantic_only(chunks: DataFrame) -> DataFrame:
-    return filter_or_all(chunks, ~F.col("unit_type").isin("file_module", "symbol_segment"))
+def semantic_only(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return filter_or_all(chunks, ~F.col("unit_type").isin("file_module", "symbol_segment"), by)
 
 
-def diversity_rerank(chunks: DataFrame, limit: int, per_file: int = 2, by: Sequence[str] = (), pos: str = "pos") -> DataFrame:
+def diversity_rerank(chunks: DataFrame, limit: int | Column, per_file: int = 2, by: Sequence[str] = (), pos: str = "pos") -> DataFrame:
     """At most ``limit`` rows of each list (``by``): first in order with at most ``per_file`` of a file, then the rest by richness and id; ``rank`` is the new order.
 
     Lists are search results: their own limits bound the windows here.
@@ -77,7 +92,7 @@ def diversity_rerank(chunks: DataFrame, limit: int, per_file: int = 2, by: Seque
     every = Window.partitionBy(*by)
     in_file = F.row_number().over(Window.partitionBy(*by, "_file").orderBy(pos))
     c = chunks.withColumn("_file", file_key(F.col("file_path"), F.col("id"))).withColumn("_n", F.count(F.lit(1)).over(every)).withColumn("_in", in_file)
-    all_fit = F.col("_n") <= limit if limit > 0 else F.lit(True)
+    all_fit = F.col("_n") <= limit if isinstance(limit, Column) or limit > 0 else F.lit(True)
     later = ~all_fit & (F.col("_in") > per_file)
     order = [later.cast("int"), F.when(later, -F.col("_rich")), F.when(later, F.col("id")), F.col(pos)]
     ranked = c.withColumn("_rich", richness()).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -122,21 +137,91 @@ def per_query_k(top_k: int, queries: int) -> int:
     return top_k if queries <= 1 else max(min(top_k // queries, top_k), min(4, top_k))
 
 
+def shares(queries: DataFrame, sections: DataFrame) -> DataFrame:
+    """queries (section, n, query) with ``each``: the hits that a query may bring, as ``per_query_k`` tells."""
+    asked = queries.groupBy("section").agg(F.count(F.lit(1)).alias("_asked")).join(sections.select("section", "top_k"), "section")
+    each = F.greatest(F.least((F.col("top_k") / F.col("_asked")).cast("int"), F.col("top_k")), F.least(F.lit(4), F.col("top_k")))
+    each = F.when(F.col("_asked") <= 1, F.col("top_k")).otherwise(each)
+    return queries.join(asked.select("section", each.alias("each")), "section")
+
+
+def search_each(vectors: DataFrame, queries: DataFrame, sections: DataFrame) -> DataFrame:
+    """(section, id, pos): what each section's queries find, in the order of queries (n, from 0) and then of nearness; each id once.
+
+    vectors: id, embedding; queries: section, n, query; sections: section, top_k. All queries of all sections are one search.
+    """
+    asked = stage(shares(queries, sections).select(F.struct("section", "n", "each").alias("query_id"), "query"), "asked")
+    widest = asked.agg(F.max("query_id.each")).first()[0] or 0
+    hits_ = top_k_each(vectors, asked, widest).filter(F.col("rank") <= F.col("query_id.each"))
+    pos = F.col("query_id.n") * F.col("query_id.each") + F.col("rank")
+    return hits_.groupBy(F.col("query_id.section").alias("section"), "id").agg(F.min(pos).alias("pos"))
+
+
+def keyword_top_k_each(chunks: DataFrame, sections: DataFrame, widest: int) -> DataFrame:
+    """(section, id, pos) of ``keyword_top_k`` for each of the sections (section, top_k, words); top_k is ``widest`` at most.
+
+    Chunks are scored once for each block of sections, which are broadcast; a task's rows are cut to ``widest`` of a section
+    before they are shuffled, and hold ids and scores only.
+    """
+    in_section = Window.partitionBy("section")
+    rank = F.row_number().over(in_section.orderBy("miss", F.desc("score"), "id"))
+    narrow = chunks.select("id", keyword_text().alias("_text"), with_behaviour().alias("_kind"))
+    found = None
+    for part in blocks(sections.select("section", "top_k", "words"), "section"):
+        words = F.filter(F.transform("words", lambda w: F.lower(F.trim(w))), lambda w: w != "")
+        part = part.withColumn("words", words)
+        held = F.size(F.filter("words", lambda w: F.contains(F.col("_text"), w)))
+        score = 3 * held + F.col("_kind")
+        scored = narrow.crossJoin(F.broadcast(part)).select("section", "top_k", "id", score.alias("score"))
+        scored = scored.withColumn("miss", (F.col("score") <= 0).cast("int")).withColumn("pos", rank)
+        top = scored.filter((F.col("pos") <= widest) & (F.col("pos") <= F.col("top_k")))
+        found = top if found is None else found.unionByName(top)
+    best = found.withColumn("least", F.min("miss").over(in_section)).filter("miss = least")
+    return best.select("section", "id", "pos")
+
+
+def _meet(hits_: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Staged hits with their chunks: few hits are broadcast, so that texts stay where they are."""
+    return chunks.join(F.broadcast(hits_) if hits_.limit(FEW_HITS + 1).count() <= FEW_HITS else hits_, "id")
+
+
+def select_each(chunks: DataFrame, hits_: DataFrame, sections: DataFrame) -> DataFrame:
+    """Evidence of each section: chunks with section, section_id, top_k, pos and rank.
+
+    hits_: section, id, pos (``search_each``); sections: section, section_id, top_k, words. As for one section: hits up to twice top_k,
+    the section's filter or all where it leaves none, keyword hits where hits are under half of top_k, diversity. Only sections that
+    want keyword hits are scored against chunks. Ids are unique in chunks, which have none of these columns. Windows are of one
+    section, whose rows its top_k bounds.
+    """
+    plan = sections.select("section", "section_id", "top_k")
+    keep, in_section = section_filter(F.col("section_id")), Window.partitionBy("section")
+    widest = sections.agg(F.max("top_k")).first()[0] or 0
+    once = hits_.filter(~blank(F.col("id"))).groupBy("section", "id").agg(F.min("pos").alias("pos")).join(plan, "section")
+    once = once.withColumn("pos", F.row_number().over(in_section.orderBy("pos", "id")))
+    first = stage(once.filter((F.col("pos") <= 2 * widest) & (F.col("pos") <= 2 * F.col("top_k"))), "hits")
+    found = stage(filter_or_all(_meet(first, chunks), keep, ("section",)), "found")
+    counted = found.groupBy("section").agg(F.count(F.lit(1)).alias("_found"))
+    short = F.coalesce("_found", F.lit(0)) < F.expr("top_k div 2")
+    wanting = stage(sections.join(counted, "section", "left").filter(short).select("section", "top_k", "words"), "wanting")
+    words = stage(keyword_top_k_each(chunks, wanting, widest).join(plan, "section"), "words")
+    extra = filter_or_all(_meet(words, chunks), keep, ("section",))
+    both = found.withColumn("_list", F.lit(0)).unionByName(extra.withColumn("_list", F.lit(1)))
+    both = both.withColumn("_rn", F.row_number().over(Window.partitionBy("section", "id").orderBy("_list", "pos"))).filter("_rn = 1").drop("_rn")
+    both = both.withColumn("pos", F.row_number().over(in_section.orderBy("_list", "pos", "id")))
+    both = both.withColumn("_found", F.count_if(F.col("_list") == 0).over(in_section))
+    most = F.when(short, F.col("top_k")).otherwise(2 * F.col("top_k"))
+    return diversity_rerank(both.filter(F.col("pos") <= most).drop("_list", "_found"), F.col("top_k"), 2, ("section",))
+
+
 def select_evidence(chunks: DataFrame, ranked: DataFrame, section: str, top_k: int, words: Sequence[str]) -> DataFrame:
-    """Evidence of a section from the hits of its queries (ranked: chunks with pos): union, section filter, keyword hits where these are under half, diversity."""
-    keep = section_filter(F.lit(section))
-    found = filter_or_all(merge_ranked([ranked], 2 * top_k), keep)
-    extra = keyword_top_k(chunks, words, top_k)
-    extra = extra.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).drop("score")
-    n = found.agg(F.count(F.lit(1)).alias("_found"))
-    extra = filter_or_all(extra, keep).crossJoin(F.broadcast(n)).filter(F.col("_found") < top_k // 2).drop("_found")
-    first = found.crossJoin(F.broadcast(n)).withColumn("_most", F.when(F.col("_found") < top_k // 2, top_k).otherwise(2 * top_k)).drop("_found")
-    merged = merge_ranked([first, extra.withColumn("_most", F.lit(top_k))], 3 * top_k)
-    return diversity_rerank(merged.filter(F.col("pos") <= F.col("_most")).drop("_most"), top_k, 2)
+    """``select_each`` of one section from the hits of its queries (ranked: id, pos)."""
+    one = chunks.sparkSession.createDataFrame([(section, section, top_k, list(words))], "section string, section_id string, top_k int, words array<string>")
+    found = select_each(chunks, ranked.select(F.lit(section).alias("section"), "id", "pos"), one)
+    return found.select(*chunks.columns, "pos", "rank")
 
 
-def first_by_name(chunks: DataFrame, n: int) -> DataFrame:
-    return chunks.orderBy("id", "name").limit(n) if n > 0 else chunks
+def first_by_name(chunks: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
+    return first_rows(chunks, [F.asc("id"), F.asc("name")], n, by) if n > 0 else chunks
 
 
 def claim_weight(text: Column, confidence: Column) -> Column:
@@ -169,8 +254,8 @@ def layer_b(blocks: DataFrame, most: int = LAYER_B, min_flow: int = MIN_FLOW) ->
     return first.orderBy("late", *order).limit(most).drop("_rn")
 
 
-def layer_a(chunks: DataFrame, most: int = LAYER_A) -> DataFrame:
-    return chunks.withColumn("rich", richness()).orderBy(F.desc("rich"), F.asc("id")).limit(most)
+def layer_a(chunks: DataFrame, most: int = LAYER_A, by: Sequence[str] = ()) -> DataFrame:
+    return first_rows(chunks.withColumn("rich", richness()), [F.desc("rich"), F.asc("id")], most, by)
 
 
 def draft_context(chunks: DataFrame, blocks: DataFrame, most_a: int = LAYER_A, most_b: int = LAYER_B, min_flow: int = MIN_FLOW) -> DataFrame:

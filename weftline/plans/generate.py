@@ -1,12 +1,12 @@
 """Documents from a stored graph and index: full generation, and updates of the sections that a change affects.
 
-The driver loops over a document's few sections; what it collects is a section's
-evidence, at most its top_k, and rendered text.
+Evidence, drafts, diagrams and facts of all sections are found together, so the number of jobs doesn't depend on how many
+sections there are. The driver collects texts and sources of a document's sections, and asks a writer for each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import exprs
 from weftline.functions.providers import Embed, Writer, parse_index
-from weftline.operators import capability, chunk, diagrams, docmodel, planning, report, retrieval, vector
+from weftline.operators import capability, chunk, docmodel, drafts, planning, report, retrieval, vector
 from weftline.plans import sync
 from weftline.sources import files
 from weftline.sources import model as models
@@ -56,96 +56,129 @@ PLAN = (
 )
 
 
-def evidence(spark: SparkSession, chunks: DataFrame, plan: SectionPlan, embed: Embed, capabilities: Sequence[tuple[str, str]] = ()) -> tuple[DataFrame, dict]:
-    """(a section's chunks with rank, its evidence statistics)."""
-    queries = retrieval.section_queries(plan.id, plan.title, plan.goal, plan.blocks, plan.hints, capabilities) or [plan.id]
-    vectors = embed(queries)
-    each = retrieval.per_query_k(plan.top_k, len(queries))
-    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "query_id int, query array<float>")
-    hits = vector.top_k_each(chunks.select("id", "embedding"), asked, each)
-    pos = hits.groupBy("id").agg(F.min(F.struct("query_id", "rank")).alias("p")).select("id", (F.col("p.query_id") * each + F.col("p.rank")).alias("pos"))
-    ranked = stage(pos.join(chunks.drop("embedding"), "id"), "hits")
-    picked = stage(retrieval.select_evidence(chunks.drop("embedding"), ranked, plan.id, plan.top_k, plan.words), "evidence")
-    stats = retrieval.evidence_stats(picked.withColumn("section", F.lit(plan.id)), ["section"], F.lit(plan.min_evidence), F.lit(len(queries))).drop("section").first()
-    found = stats.asDict() if stats else {"coverage": 0.0, "confidence": 0.0, "chunk_count": 0, "source_count": 0, "query_count": len(queries), "low_evidence": True}
-    return picked, found | {"search_hits": ranked.count()}
+NOTHING = {"coverage": 0.0, "confidence": 0.0, "chunk_count": 0, "source_count": 0, "low_evidence": True}
 
 
-def _text(df: DataFrame, default: str = "") -> str:
-    row = df.first()
-    return row[0] if row and row[0] else default
+def section_rows(spark: SparkSession, plans: Sequence[SectionPlan]) -> DataFrame:
+    """Plans as a table: section, section_id, title, goal, heading, top_k, min_evidence, words."""
+    rows = [(p.id, p.id, p.title, p.goal, p.diagram, p.top_k, p.min_evidence, list(p.words)) for p in plans]
+    return spark.createDataFrame(rows, "section string, section_id string, title string, goal string, heading string, top_k int, min_evidence int, words array<string>")
 
 
-@dataclass(frozen=True)
-class Read:
-    """A text of a section: cleaned, with its diagram, and how it reads; ``noted`` says that evidence is limited, ``plain`` is the text before the diagram."""
+def _stats(chunks: DataFrame, asked: DataFrame) -> dict[str, dict]:
+    """Evidence statistics by section; asked: section, min_evidence, query_count."""
+    rows = chunks.join(F.broadcast(asked), "section")
+    return {r.section: r.asDict() for r in retrieval.evidence_stats(rows, ["section"], F.col("min_evidence"), F.col("query_count")).collect()}
+
 
-    text: str
-    plain: str
-    noted: str
-    quality: float
-    issues: list[str]
-    low: bool
+def evidence(spark: SparkSession, chunks: DataFrame, plans: Sequence[SectionPlan], embed: Embed, capabilities: Sequence[tuple[str, str]] = ()) -> tuple[DataFrame, dict[str, dict]]:
+    """(chunks of all sections with section and rank, each section's evidence statistics): one search and one selection, however many sections."""
+    queries = {p.id: retrieval.section_queries(p.id, p.title, p.goal, p.blocks, p.hints, capabilities if p.id == "key-features" else ()) or [p.id] for p in plans}
+    texts = [(s, i, q) for s, of in queries.items() for i, q in enumerate(of)]
+    vectors = embed([q for _, _, q in texts])
+    asked = spark.createDataFrame([(s, i, [float(x) for x in v]) for (s, i, _), v in zip(texts, vectors, strict=True)], "section string, n int, query array<float>")
+    sections = section_rows(spark, plans)
+    hits = stage(retrieval.search_each(chunks.select("id", "embedding"), asked, sections), "found")
+    picked = stage(retrieval.select_each(chunks.drop("embedding"), hits, sections), "evidence")
+    counts = spark.createDataFrame([(p.id, p.min_evidence, len(queries[p.id])) for p in plans], "section string, min_evidence int, query_count int")
+    known = _stats(picked, counts)
+    found = {r.section: r["count"] for r in hits.groupBy("section").count().collect()}
+    return picked, {s: NOTHING | {"query_count": len(of)} | known.get(s, {}) | {"search_hits": found.get(s, 0)} for s, of in queries.items()}
 
 
-def _read(spark: SparkSession, plan: SectionPlan, own: Sequence[str], written: Sequence[str] = (), drawn: str = "") -> list[Read]:
-    """Own texts and those that a writer has written, which are cleaned, all at once. drawn: the diagram to put in, if any. Quality is that of the whole text; ``low`` too."""
-    df = spark.createDataFrame([(i, plan.id, t, i >= len(own)) for i, t in enumerate([*own, *written])], "i int, section_id string, given string, written boolean")
-    df = df.withColumn("plain", F.when(F.col("written"), exprs.without_instructions(exprs.without_fences(F.col("given")))).otherwise(F.col("given")))
-    df = df.withColumn("content", diagrams.with_diagram(F.col("plain"), plan.diagram, F.lit(drawn)) if plan.diagram and drawn else F.col("plain"))
-    judged = report.writer_quality(df).withColumn("low", report.is_low_quality(F.col("section_id"), F.col("content"))).withColumn("noted", exprs.with_low_evidence_note(F.col("content")))
-    return [Read(r.content, r.plain, r.noted, r.quality, [x for x in r.issues.split(",") if x], r.low) for r in judged.orderBy("i").collect()]
+def _read(spark: SparkSession, written: dict[str, str], sections: dict) -> dict:
+    """A writer's texts by section, cleaned, as ``drafts.read`` tells; sections: rows of ``drafts.texts``, with the diagrams to put in."""
+    if not written:
+        return {}
+    rows = [(s, sections[s].section_id, sections[s].heading, sections[s].diagram, text) for s, text in written.items()]
+    df = spark.createDataFrame(rows, "section string, section_id string, heading string, diagram string, plain string")
+    df = df.withColumn("plain", exprs.without_instructions(exprs.without_fences(F.col("plain"))))
+    return {r.section: r for r in drafts.read(df).collect()}
 
 
-def _drawn(plan: SectionPlan, chunks: DataFrame) -> str:
-    if not plan.diagram:
-        return ""
-    return _text(diagrams.architecture_flow(chunks) if plan.id == "overview" else diagrams.architecture_snapshot(chunks))
+def write_sections(spark: SparkSession, plans: Sequence[SectionPlan], chunks: DataFrame, stats: dict[str, dict], writer: Writer | None = None, budget: int = 0, writes: Collection[str] | None = None) -> dict[str, tuple[str, dict]]:
+    """(content, trace) by section: a draft of claims, by a writer's words where there is one, and else or if it reads badly the plain listing.
+
+    chunks: evidence of all sections (section, section_id). All drafts, listings and diagrams are one plan, and a writer's words are read
+    in one more; words that are asked for again, ``budget`` at most, are read one by one. writes: the sections that the writer may
+    write, all if not given. A trace holds its content's quality and issues.
+    """
+    read: dict[str, dict] = {}
+    for r in drafts.texts(chunks, section_rows(spark, plans)).collect():
+        read.setdefault(r.section, {})[r.choice] = r
+    asked = [p.id for p in plans if writer is not None and 0 in read[p.id] and (writes is None or p.id in writes)]
+    told: dict[str, list[str]] = {s: [] for s in asked}
+    if asked:
+        rich = retrieval.layer_a(docmodel.chunk_sources(chunks).filter(F.col("section").isin(*asked)), by=drafts.BY)
+        for r in rich.select("section", "rich", "id", "name", "description").orderBy("section", F.desc("rich"), "id").collect():
+            told[r.section].append(f"{r.name}: {r.description}")
+    heads = {s: of[1] for s, of in read.items()}
+    written = _read(spark, {s: writer.from_draft(read[s][0].plain, told[s]) for s in asked}, heads)
+    out = {}
+    for plan in plans:
+        own, words = read[plan.id], written.get(plan.id)
+        best = own.get(0)
+        trace = {"used_draft": best is not None, "used_llm": False, "used_fallback": False}
+        if words and plan.may_rewrite and budget > 0 and words.quality < report.QUALITY_LOW:
+            words = _read(spark, {plan.id: writer.update_section(best.plain, told[plan.id])}, heads)[plan.id]
+        if words and words.plain.strip() and not words.low:
+            best, trace["used_llm"] = words, True
+        if best is None or best.low or best.quality < report.QUALITY_LOW:
+            best, trace["used_fallback"] = own[1], True
+        budget -= trace["used_llm"]
+        trace |= {"quality": best.quality, "issues": [x for x in best.issues.split(",") if x]}
+        out[plan.id] = (best.noted if stats[plan.id]["low_evidence"] else best.content, trace)
+    return out
 
 
 def write_section(spark: SparkSession, plan: SectionPlan, chunks: DataFrame, stats: dict, writer: Writer | None = None, budget: int = 0) -> tuple[str, dict]:
-    """(content, trace): a draft of claims, by a writer's words where there is one, and else or if it reads badly the plain listing. The trace holds the content's quality and issues."""
-    cleaned = docmodel.chunk_sources(chunks)
-    claims = stage(capability.feature_claims(cleaned) if plan.id == "key-features" else capability.draft_claims(cleaned, plan.id), "claims")
-    trace, drawn, best = {"used_draft": False, "used_llm": False, "used_fallback": False}, _drawn(plan, cleaned), None
-    if claims.take(1) and not capability.claim_problems(claims).take(1):
-        draft = _text(capability.draft_markdown(claims, plan.id, plan.title))
-        trace["used_draft"] = True
-        told = [f"{r.name}: {r.description}" for r in retrieval.layer_a(cleaned).collect()] if writer is not None else []
-        words = [writer.from_draft(draft, told)] if writer is not None else []
-        best, *written = _read(spark, plan, [draft], words, drawn)
-        if written and plan.may_rewrite and budget > 0 and written[0].quality < report.QUALITY_LOW:
-            written = _read(spark, plan, [], [writer.update_section(draft, told)], drawn)
-        if written and written[0].plain.strip() and not written[0].low:
-            best, trace["used_llm"] = written[0], True
-        if best.low or best.quality < report.QUALITY_LOW:
-            best = None
-    if best is None:
-        trace["used_fallback"] = True
-        listed = _text(capability.key_features_markdown(cleaned, 5)) if plan.id == "key-features" else f"# {plan.title}\n\n{plan.goal}\n\n" + "".join(f"- **{r.name}**: {r.text}\n" for r in retrieval.first_by_name(retrieval.semantic_only(cleaned), 8).select("name", exprs.paragraph(exprs.claim_text(F.col("name"), F.col("package"), F.col("description"))).alias("text")).collect())
-        best = _read(spark, plan, [listed], drawn=drawn)[0]
-    trace |= {"quality": best.quality, "issues": best.issues}
-    return best.noted if stats["low_evidence"] else best.text, trace
-
-
-def _section(plan: SectionPlan, order: int, content: str, stats: dict, chunks: DataFrame) -> dict:
-    sources = [r.s.asDict() | {"commit_sha": "HEAD"} for r in docmodel.chunk_sources(chunks).select(F.explode("sources").alias("s")).dropDuplicates(["s"]).orderBy("s.symbol_id", "s.file_path", "s.start_line").collect()]
-    s = {"id": plan.id, "title": plan.title, "level": 1, "order": order, "parent_id": None, "content_md": content, "status": "active", "sources": sources, "evidence": {k: stats[k] for k in ("coverage", "confidence", "chunk_count", "source_count", "query_count", "low_evidence")}}
+    """(content, trace) of one section."""
+    of = chunks.withColumn("section", F.lit(plan.id)).withColumn("section_id", F.lit(plan.id))
+    return write_sections(spark, [plan], of, {plan.id: stats}, writer, budget)[plan.id]
+
+
+@dataclass(frozen=True)
+class Facts:
+    """What a section's evidence comes from: its sources in order, and its numbers of chunks and files."""
+
+    sources: Sequence[dict] = ()
+    chunks: int = 0
+    files: int = 0
+
+
+def _facts(chunks: DataFrame) -> dict[str, Facts]:
+    """Facts by section, in one job."""
+    each = docmodel.chunk_sources(chunks).select("section", F.explode("sources").alias("s")).distinct()
+    sources = each.groupBy("section").agg(F.sort_array(F.collect_list("s")).alias("sources"))
+    counts = chunks.groupBy("section").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct(exprs.file_key(F.col("file_path"), F.col("id"))).alias("files"))
+    rows = counts.join(sources, "section", "left").collect()
+    return {r.section: Facts([s.asDict() | {"commit_sha": "HEAD"} for s in r.sources or ()], r.chunks, r.files) for r in rows}
+
+
+def _section(plan: SectionPlan, order: int, content: str, stats: dict, facts: Facts) -> dict:
+    s = {"id": plan.id, "title": plan.title, "level": 1, "order": order, "parent_id": None, "content_md": content, "status": "active", "sources": list(facts.sources)}
+    s["evidence"] = {k: stats[k] for k in ("coverage", "confidence", "chunk_count", "source_count", "query_count", "low_evidence")}
     lines = [x.strip() for x in content.split("\n")]
     s["summary"] = next((x[:120] for x in lines if x and not x.startswith("#")), "")
     return s | {"hash": models.section_digest(s), "last_updated": {"commit_sha": "HEAD", "timestamp": models.now()}}
 
 
-def _record(run: models.Report, spark: SparkSession, plan: SectionPlan, stats: dict, trace: dict, content: str, chunks: DataFrame) -> None:
-    score, issues = trace.pop("quality"), trace.pop("issues")
-    found = chunks.count()
-    row = {
-        "section_id": plan.id, "title": plan.title, "query_count": stats["query_count"], "search_hits": stats["search_hits"], "heuristic_hits": max(found - stats["search_hits"], 0), "chunk_count": stats["chunk_count"], "source_count": stats["source_count"], "evidence_confidence": stats["confidence"],
-        "evidence_coverage": stats["coverage"], "low_evidence": stats["low_evidence"], "writer_quality_score": score, "writer_quality_issues": issues, "file_diversity": chunks.select(exprs.file_key(F.col("file_path"), F.col("id"))).distinct().count(), **trace,
+def _report_row(plan: SectionPlan, stats: dict, trace: dict, facts: Facts) -> dict:
+    rest = {k: v for k, v in trace.items() if k not in ("quality", "issues")}
+    return {
+        "section_id": plan.id, "title": plan.title, "query_count": stats["query_count"], "search_hits": stats["search_hits"],
+        "heuristic_hits": max(facts.chunks - stats["search_hits"], 0), "chunk_count": stats["chunk_count"], "source_count": stats["source_count"],
+        "evidence_confidence": stats["confidence"], "evidence_coverage": stats["coverage"], "low_evidence": stats["low_evidence"],
+        "writer_quality_score": trace["quality"], "writer_quality_issues": trace["issues"], "file_diversity": facts.files, **rest,
     }
-    run.sections.append(row)
-    df = spark.createDataFrame([(plan.id, bool(row["low_evidence"]), row["search_hits"], row["heuristic_hits"], score)], "section_id string, low_evidence boolean, search_hits int, heuristic_hits int, quality double")
-    run.signals += [{"stage": r.stage, "code": r.code, "severity": r.severity, "message": r.section_id} for r in report.section_signals(df).collect()]
+
+
+def _signals(spark: SparkSession, rows: Sequence[dict]) -> list[dict]:
+    told = [(r["section_id"], bool(r["low_evidence"]), r["search_hits"], r["heuristic_hits"], r["writer_quality_score"]) for r in rows]
+    df = spark.createDataFrame(told, "section_id string, low_evidence boolean, search_hits int, heuristic_hits int, quality double")
+    at = {r["section_id"]: i for i, r in enumerate(rows)}
+    found = sorted(report.section_signals(df).collect(), key=lambda r: at[r.section_id])
+    return [{"stage": r.stage, "code": r.code, "severity": r.severity, "message": r.section_id} for r in found]
 
 
 def ensure_index(store: Store, embed: Embed, batch: int = 64) -> None:
@@ -171,15 +204,16 @@ def generate(spark: SparkSession, store: Store, out: str, embed: Embed, writer:
         ensure_index(store, embed, batch)
     chunks = store.load("chunks")
     caps = [(r.title, r.intent) for r in capability.capabilities(chunks.drop("embedding"), 5).collect()]
-    sections = []
-    for order, plan in enumerate(PLAN):
-        with run.stage(plan.id) as counters:
-            picked, stats = evidence(spark, chunks, plan, embed, caps if plan.id == "key-features" else ())
-            content, trace = write_section(spark, plan, picked, stats, writer, rewrites)
-            rewrites -= trace["used_llm"]
-            sections.append(_section(plan, order, content, stats, picked))
-            _record(run, spark, plan, stats, trace, content, picked)
-            counters["chunks"] = stats["chunk_count"]
+    with run.stage("evidence") as counters:
+        picked, stats = evidence(spark, chunks, PLAN, embed, caps)
+        counters["chunks"] = sum(s["chunk_count"] for s in stats.values())
+    with run.stage("sections") as counters:
+        written = write_sections(spark, PLAN, picked, stats, writer, rewrites)
+        facts = _facts(picked)
+        sections = [_section(p, i, written[p.id][0], stats[p.id], facts.get(p.id, Facts())) for i, p in enumerate(PLAN)]
+        run.sections += [_report_row(p, stats[p.id], written[p.id][1], facts.get(p.id, Facts())) for p in PLAN]
+        run.signals += _signals(spark, run.sections)
+        counters["sections"] = len(sections)
     model = models.new_model(sections)
     _publish(spark, model, out)
     run.save(spark, f"{out}/report.json")
@@ -227,27 +261,37 @@ def update(spark: SparkSession, store: Store, changes: DataFrame, out: str, embe
     routed = stage(planning.route_cascade(touched, sources.select("section_id", "file_path"), preferred, heuristic, vectors, chosen=chosen), "routed")
     order = [r.section_id for r in planning.section_order(routed.groupBy("section_id").agg(F.count(F.lit(1)).alias("n")), preferred).orderBy("pos").collect()]
     by_id = {s["id"]: s for s in model["sections"]}
+    known = {p.id: p for p in PLAN}
+    plans = [known.get(s) or SectionPlan(s, by_id[s]["title"] if s in by_id else "Updates", "Recent changes.") for s in order]
+    of = touched.drop("embedding").join(routed.select("id", F.col("section_id").alias("section")).distinct(), "id")
+    of = stage(of.withColumn("section_id", F.col("section")), "changed")
+    asked = spark.createDataFrame([(p.id, p.min_evidence, 1) for p in plans], "section string, min_evidence int, query_count int")
+    stats = {p.id: NOTHING | {"query_count": 1} for p in plans} | _stats(of, asked)
+    allowed = {s for s, x in stats.items() if x["coverage"] >= 0.75 and x["confidence"] >= 0.6 and not x["low_evidence"]}
+    facts, new = _facts(of), [p for p in plans if p.id not in by_id]
+    fresh = write_sections(spark, new, of.filter(F.col("section").isin([p.id for p in new])), stats, writer, writes=allowed) if new else {}
+    told: dict[str, list[str]] = {p.id: [] for p in plans}
+    if writer is not None:
+        for r in retrieval.first_by_name(of, 10, ("section",)).select("section", "id", "name", "content").orderBy("section", "id", "name").collect():
+            told[r.section].append(r.content)
     done = []
-    for section in order:
-        chunks = touched.join(routed.filter(F.col("section_id") == section).select("id").distinct(), "id", "left_semi").drop("embedding")
-        plan = next((p for p in PLAN if p.id == section), SectionPlan(section, by_id[section]["title"] if section in by_id else "Updates", "Recent changes."))
-        row = retrieval.evidence_stats(chunks.withColumn("section", F.lit(section)), ["section"], F.lit(plan.min_evidence), F.lit(1)).first()
-        stats = row.asDict() if row else {"coverage": 0.0, "confidence": 0.0, "chunk_count": 0, "source_count": 0, "query_count": 1, "low_evidence": True}
-        allowed = stats["coverage"] >= 0.75 and stats["confidence"] >= 0.6 and not stats["low_evidence"]
-        new = _section(plan, len(model["sections"]), "", stats, chunks)
+    for plan in plans:
+        section = plan.id
+        may_write = writer is not None and section in allowed and len(done) < most
+        made = _section(plan, len(model["sections"]), fresh[section][0] if section in fresh else "", stats[section], facts.get(section, Facts()))
         if section in by_id:
             old = by_id[section]
-            known = {(s["symbol_id"], s["file_path"]) for s in old["sources"]}
-            old["sources"] += [s for s in new["sources"] if (s["symbol_id"], s["file_path"]) not in known]
-            if writer is not None and allowed and len(done) < most:
-                old["content_md"] = writer.update_section(old["content_md"], [r.content for r in retrieval.first_by_name(chunks, 10).collect()]).strip() or old["content_md"]
-            old |= {"evidence": new["evidence"], "last_updated": new["last_updated"]}
+            held = {(s["symbol_id"], s["file_path"]) for s in old["sources"]}
+            old["sources"] += [s for s in made["sources"] if (s["symbol_id"], s["file_path"]) not in held]
+            if may_write:
+                old["content_md"] = writer.update_section(old["content_md"], told[section]).strip() or old["content_md"]
+            old |= {"evidence": made["evidence"], "last_updated": made["last_updated"]}
             old["hash"] = models.section_digest(old)
         else:
-            content, _ = write_section(spark, plan, chunks, stats, writer if allowed else None)
-            if writer is not None and allowed and len(done) < most:
-                content = writer.new_section([r.content for r in retrieval.first_by_name(chunks, 10).collect()]).strip() or content
-            made = _section(plan, len(model["sections"]), content, stats, chunks)
+            content = fresh[section][0]
+            if may_write:
+                content = writer.new_section(told[section]).strip() or content
+            made = _section(plan, len(model["sections"]), content, stats[section], facts.get(section, Facts()))
             if writer is not None:
                 at = parse_index(str(writer.insertion_point([s["title"] for s in model["sections"]], content)), len(model["sections"]))
                 model["sections"].insert(at + 1 if at >= 0 else len(model["sections"]), made)

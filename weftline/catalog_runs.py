@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline.catalog import ORACLE, QUERIES, _BUCKETS, _COS, _FILES, _IMPACT, _SPLIT, Views, _first_vector, _section_files, joined, query
 from weftline.functions import exprs
 from weftline.functions.providers import parse_index
-from weftline.operators import capability, chunk, diagrams, docmodel, graph, link, planning, retrieval, typed, vector
+from weftline.operators import capability, chunk, diagrams, docmodel, drafts, graph, link, planning, retrieval, typed, vector
 from weftline.plans import generate, sync
 from weftline.plans.sync import reach_sections
 from weftline.sources import code, config, files, store
@@ -505,6 +505,49 @@ def evidence_selection(v: Views) -> DataFrame:
     return retrieval.select_evidence(v.chunks, ranked, "overview", 16, words).select("id", "rank")
 
 
+_LISTS = ", ".join(f"('{k}', {retrieval.SECTION_TOP_K[k][0]}, {list(words)})" for k, words in retrieval.SECTION_KEYWORDS.items())
+_KEEP = """CASE section_id WHEN 'key-features' THEN unit_type NOT IN ('constant', 'variable', 'file_module')
+  WHEN 'overview' THEN unit_type NOT IN ('constant', 'variable') ELSE true END"""
+_HAY = "lower(" + " || chr(10) || ".join(f"coalesce({c}, '')" for c in ("name", "description", "signature", "content")) + ")"
+_IN_SECTION = "OVER (PARTITION BY section ORDER BY"
+
+
+@query("chunks", f"""WITH kinds AS (SELECT * FROM (VALUES {_LISTS}) AS t(section_id, top_k, words)),
+sec AS (SELECT vec_id || '/' || section_id AS section, section_id, top_k, words, vec_id AS v FROM embeddings, kinds WHERE vec_id % 100 = 0),
+qs AS (SELECT section, top_k, vec_id - v AS qn, embedding AS q, count(*) OVER (PARTITION BY section) AS asked
+  FROM sec JOIN embeddings ON vec_id = v OR vec_id = v + 1 WHERE v % 200 = 0),
+sh AS (SELECT section, qn, q, CASE WHEN asked <= 1 THEN top_k ELSE greatest(top_k // asked, least(4, top_k)) END AS each FROM qs),
+sc AS (SELECT section, qn, each, vec_id::VARCHAR AS id, round({_COS}, 6) AS score FROM embeddings, sh),
+hits AS (SELECT *, row_number() OVER (PARTITION BY section, qn ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= each),
+spot AS (SELECT section, id, min(qn * each + rank) AS p FROM hits GROUP BY 1, 2),
+fst AS (SELECT section, section_id, top_k, id, row_number() {_IN_SECTION} p, id) AS pos FROM spot JOIN sec USING (section) QUALIFY pos <= 2 * top_k),
+f0 AS (SELECT section, top_k, id, pos, {_KEEP} AS ok FROM fst JOIN chunks USING (id)),
+found AS (SELECT * FROM f0 QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY section)),
+short AS (SELECT sec.* FROM sec LEFT JOIN (SELECT section, count(*) AS c FROM found GROUP BY 1) USING (section) WHERE coalesce(c, 0) < top_k // 2),
+kw AS (SELECT section, section_id, top_k, id, unit_type, 3 * len(list_filter(words, lambda w: contains(hay, w)))
+  + CASE WHEN unit_type IN ('function', 'method', 'struct', 'interface', 'file_module') THEN 1 ELSE 0 END AS score
+  FROM short, (SELECT id, unit_type, {_HAY} AS hay FROM chunks)),
+k AS (SELECT *, (score <= 0)::INT AS miss, row_number() {_IN_SECTION} (score <= 0)::INT, score DESC, id) AS pos FROM kw QUALIFY pos <= top_k),
+k2 AS (SELECT *, {_KEEP} AS ok FROM (SELECT * FROM k QUALIFY miss = min(miss) OVER (PARTITION BY section))),
+extra AS (SELECT * FROM k2 QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY section)),
+u AS (SELECT section, id, top_k, 0 AS l, pos FROM found UNION ALL SELECT section, id, top_k, 1, pos FROM extra ANTI JOIN found USING (section, id)),
+m AS (SELECT section, id, top_k, row_number() {_IN_SECTION} l, pos, id) AS place, count(*) FILTER (l = 0) OVER (PARTITION BY section) AS nf FROM u),
+c AS (SELECT m.*, coalesce(nullif(trim(file_path), ''), split_part(id, ':', 1)) AS f, {_RICH} AS rich, count(*) OVER (PARTITION BY section) AS total
+  FROM m JOIN chunks USING (id) WHERE place <= CASE WHEN nf < top_k // 2 THEN top_k ELSE 2 * top_k END),
+x AS (SELECT *, total > top_k AND row_number() OVER (PARTITION BY section, f ORDER BY place) > 2 AS late FROM c)
+SELECT section, id, row_number() {_IN_SECTION} late, CASE WHEN late THEN -rich END, CASE WHEN late THEN id END, place)::INT AS rank FROM x QUALIFY rank <= top_k""")
+def evidence_each(v: Views) -> DataFrame:
+    """Evidence of the three sections of a document for every hundredth vector: its own and the next are queries, every other document has none yet."""
+    own = v.vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("v"))
+    rows = [(k, retrieval.SECTION_TOP_K[k][0], list(words)) for k, words in retrieval.SECTION_KEYWORDS.items()]
+    kinds = v.spark.createDataFrame(rows, "section_id string, top_k int, words array<string>")
+    sections = own.crossJoin(F.broadcast(kinds)).withColumn("section", F.concat_ws("/", "v", "section_id"))
+    asked = v.vectors.withColumn("v", F.col("vec_id") - F.col("vec_id") % 200).withColumn("n", (F.col("vec_id") - F.col("v")).cast("int")).filter("n < 2")
+    asked = asked.select("v", "n", F.col("embedding").alias("query")).join(sections.select("v", "section"), "v")
+    hits = stage(retrieval.search_each(v.vectors.select("id", "embedding"), asked.select("section", "n", "query"), sections), "hits")
+    return retrieval.select_each(v.chunks, hits, sections.drop("v")).select("section", "id", "rank")
+
+
 _CLAIM = r"CASE WHEN d = '' THEN name || {default} ELSE CASE WHEN length(d) > 280 THEN regexp_replace(substr(d, 1, 280), '^[\s]+|[\s]+$', '', 'g') || '...' ELSE d END END"
 _DRAFT = f"""c AS (SELECT id, name, conf, replace(regexp_replace(description, '^[\\s]+|[\\s]+$', '', 'g'), chr(10), ' ') AS d FROM chunks WHERE unit_type NOT IN ('file_module', 'symbol_segment') ORDER BY id, name LIMIT 6),
 cl AS (SELECT 'ov-' || row_number() OVER (ORDER BY id, name) AS claim_id, {_CLAIM.format(default="' is a part of how the project is built.'")} AS text, CASE WHEN conf > 0 THEN conf ELSE 0.6 END::DOUBLE AS confidence FROM c)"""
@@ -524,6 +567,28 @@ def draft_markdown(v: Views) -> DataFrame:
     return capability.draft_markdown(capability.draft_claims(v.chunks, "overview"), "overview", "Overview")
 
 
+_EACH = {"overview": ("ov", 6, "is a part of how the project is built"), "notes": ("cl", 4, "belongs to what this section tells")}
+_BREAK = "chr(10) || chr(10)"
+
+
+@query("chunks", f"""WITH kinds AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{p}', {n}, ' {t}.')" for k, (p, n, t) in _EACH.items())}) AS t(kind, prefix, most, ending)),
+c AS (SELECT file_path || '/' || kind AS section, kind, prefix, ending, name, conf, replace(regexp_replace(coalesce(description, ''), '^[\\s]+|[\\s]+$', '', 'g'), chr(10), ' ') AS d,
+  row_number() OVER (PARTITION BY file_path, kind ORDER BY id, name) AS o
+  FROM (SELECT * FROM chunks QUALIFY unit_type <> 'file_module' OR NOT bool_or(unit_type <> 'file_module') OVER (PARTITION BY file_path)), kinds QUALIFY o <= most),
+cl AS (SELECT section, kind, prefix || '-' || o AS claim_id, {_CLAIM.format(default="ending")} AS text, CASE WHEN conf > 0 THEN conf ELSE 0.6 END::DOUBLE AS confidence FROM c),
+r AS (SELECT *, {_LINE} AS line, row_number() OVER (PARTITION BY section ORDER BY confidence DESC, claim_id) AS rank FROM cl),
+g AS (SELECT section, kind, string_agg(text, ' ' ORDER BY rank) FILTER (rank <= 2) AS told, string_agg(line || {_BREAK}, '' ORDER BY rank) FILTER (rank <= 2) AS two,
+  string_agg('- ' || line || chr(10), '' ORDER BY rank) FILTER (rank <= 4) AS items, string_agg(line || {_BREAK}, '' ORDER BY rank) FILTER (rank <= 5) AS five FROM r GROUP BY 1, 2)
+SELECT section, sha256('# ' || section || {_BREAK} || told || {_BREAK} || CASE WHEN kind = 'overview' THEN '## Architecture Intent' || {_BREAK} || two || '## Core Concepts' || {_BREAK} || items || chr(10)
+  ELSE '## Highlights' || {_BREAK} || five END) AS draft_sha FROM g""")
+def draft_each(v: Views) -> DataFrame:
+    """Drafts of an overview and of notes for each source, from all its chunks."""
+    kinds = F.array(*map(F.lit, _EACH))
+    rows = v.chunks.withColumn("section_id", F.explode(kinds)).withColumn("section", F.concat_ws("/", "file_path", "section_id"))
+    sections = rows.select("section", "section_id", F.col("section").alias("title")).distinct()
+    return drafts.drafts_each(drafts.claims_each(rows), sections).select("section", F.sha2("draft", 256).alias("draft_sha"))
+
+
 _CAPABILITY = f"""t AS (SELECT *, lower(name || ' ' || unit_type || ' ' || package || ' ' || description || ' ' || signature) AS t FROM chunks WHERE trim(name) <> '' AND NOT contains(lower(name), '_test') AND NOT ends_with(lower(name), 'test') AND unit_type NOT IN ('file_module', 'constant', 'variable')),
 s AS (SELECT *, greatest({", ".join(_BUCKETS.values())}) AS best FROM t), b AS (SELECT *, CASE WHEN best <= 0 THEN 'core' {" ".join(f"WHEN {x} = best THEN '{k}'" for k, x in _BUCKETS.items())} END AS key FROM s),
 m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY package, name, id) AS rn FROM b QUALIFY rn <= 6),

@@ -168,7 +168,7 @@ def keyword_top_k_each(chunks: DataFrame, sections: DataFrame, widest: int) -> D
     narrow = chunks.select("id", keyword_text().alias("_text"), with_behaviour().alias("_kind"))
     found = None
     for part in blocks(sections.select("section", "top_k", "words"), "section"):
-        words = F.filter(F.transform("words", lambda w: F.lower(F.trim(w))), lambda w: w != "")
+        words = F.filter(F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.lower(F.trim(w))), lambda w: w != "")
         part = part.withColumn("words", words)
         held = F.size(F.filter("words", lambda w: F.contains(F.col("_text"), w)))
         score = 3 * held + F.col("_kind")

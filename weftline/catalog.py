@@ -16,6 +16,7 @@ from weftline.functions import exprs
 from weftline.operators import capability, chunk, diagrams, docmodel, graph, link, planning, report, retrieval, vector
 from weftline.plans.sync import reach_sections
 from weftline.sources import code, diff, store
+from weftline.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -452,6 +453,15 @@ def cosine_topk_each(v: Views) -> DataFrame:
     q = v.vectors.filter("vec_id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     return vector.top_k_each(v.vectors, q, 10).select("query_id", "id", "score", "rank")
 
+@query("", f"""WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT qid, vec_id::VARCHAR AS id, round({_COS}, 6) AS score FROM embeddings, q)
+SELECT qid::VARCHAR AS query_id, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10""")
+def cosine_topk_pivots(v: Views) -> DataFrame:
+    """The same answers by way of pivots: cosines only of pairs that angles to pivots leave."""
+    q = v.vectors.filter("vec_id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    pivots = vector.choose_pivots(v.vectors)
+    cells = stage(vector.with_cells(v.vectors.select("id", "embedding"), pivots).drop("angles"), "cells")
+    return vector.top_k_by_pivots(cells, pivots, q, 10).select("query_id", "id", "score", "rank")
+
 
 @query("", f"""WITH e AS (SELECT DISTINCT l_partkey % 400 AS a, l_suppkey % 400 AS b FROM lineitem), near AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d1 AS (SELECT DISTINCT b AS id FROM near WHERE a = 0 AND b <> 0), d2 AS (SELECT DISTINCT b AS id FROM near JOIN d1 ON a = d1.id WHERE b <> 0 AND b NOT IN (SELECT id FROM d1))
 SELECT vec_id::VARCHAR AS id, round({_COS} + CASE WHEN vec_id IN (SELECT id FROM d1) THEN 0.2 WHEN vec_id IN (SELECT id FROM d2) THEN 0.1 ELSE 0 END, 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY score DESC, id LIMIT 25""")

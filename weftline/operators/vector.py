@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import clamp, cosine
+from weftline.operators.order import first_rows
 from weftline.staging import stage
 
 #: (steps from the source, boost).
@@ -20,6 +21,8 @@ GRAPH_BOOST = ((1, 0.2), (2, 0.1))
 FRESH, COVERED, STALE = 0.85, 0.70, 0.15
 #: Rows of queries or sections that are broadcast at once.
 BLOCK = 2048
+#: Vectors by whose angles others are told apart, and what rounding may add to an angle.
+PIVOTS, SLACK = 64, 1e-6
 
 
 def similarity(vectors: DataFrame, query: list[float], digits: int | None = None) -> DataFrame:
@@ -58,6 +61,66 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6)
     return out
 
 
+def _has_angle(v: Column) -> Column:
+    """Vectors that have an angle to others: not null, empty, zero, or of components that are no numbers."""
+    square = F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
+    return F.coalesce((square > 0) & (square < 1e300), F.lit(False))
+
+
+def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> DataFrame:
+    """One staged row, pivots: the vectors of n ids that come first by hash, of those the ones that are as long as the first."""
+    first = vectors.filter(_has_angle(F.col("embedding"))).orderBy(F.xxhash64("id"), "id").limit(n)
+    one = first.agg(F.collect_list("embedding").alias("held"))
+    return stage(one.select(F.filter("held", lambda v: F.size(v) == F.size(F.get("held", F.lit(0)))).alias("pivots")), "pivots")
+
+
+def with_cells(vectors: DataFrame, pivots: DataFrame, vector: str = "embedding") -> DataFrame:
+    """vectors with ``angles`` to the pivots, ``cell``, the nearest one's number, and ``far``, its angle: null for vectors without an angle to them."""
+    v = F.col(vector)
+    known = _has_angle(v) & (F.size(v) == F.size(F.get("pivots", F.lit(0))))
+    angle = F.transform("pivots", lambda p: F.acos(clamp(cosine(v, p), -1.0, 1.0)))
+    out = vectors.crossJoin(F.broadcast(pivots)).withColumn("angles", F.when(known, angle)).drop("pivots")
+    return out.withColumn("far", F.array_min("angles")).withColumn("cell", (F.array_position("angles", F.col("far")) - 1).cast("int"))
+
+
+def within_reach(cells: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs of rows and queries (query_id, query, angles, reach) that the triangle inequality of angles can't rule out.
+
+    A row's angle to a query is at least what their angles to the row's pivot differ by. Rows and queries without cells meet all.
+    """
+    least = F.abs(F.get("_angles", F.col("cell")) - F.col("far"))
+    near = F.col("cell").isNull() | F.col("_angles").isNull() | (least <= F.col("reach"))
+    return cells.join(F.broadcast(queries.withColumnRenamed("angles", "_angles")), near)
+
+
+def reaches(cells: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """Staged queries with ``reach``, an angle beyond which no row is among a query's k nearest: the k-th of its own cell, or all where that has fewer."""
+    own = cells.join(F.broadcast(queries.select("query_id", "query", F.col("cell").alias("home"))), F.col("cell") == F.col("home"))
+    score = F.round(cosine(F.col("embedding"), F.col("query")), digits)
+    best = first_rows(own.select("query_id", "id", score.alias("score")), [F.desc("score"), F.asc("id")], k, ("query_id",))
+    last = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
+    angle = F.acos(clamp(F.col("least") - 10.0**-digits, -1.0, 1.0))
+    reach = F.coalesce(angle, F.lit(np.pi)) + SLACK
+    return stage(queries.join(last, "query_id", "left").select("query_id", "query", "angles", reach.alias("reach")), "reaches")
+
+
+def top_k_by_pivots(cells: DataFrame, pivots: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """``top_k_each``, with the same rows, over vectors that ``with_cells`` has stored: cosines are computed only within reach.
+
+    It pays where vectors lie in clusters. Vectors aren't shuffled: a block's queries, their angles and their reaches are broadcast.
+    """
+    out, parts = None, blocks(queries, "query_id")
+    for part in parts:
+        asked = stage(with_cells(part.select("query_id", "query"), pivots, "query"), "asked")
+        pairs = within_reach(cells, reaches(cells, asked, k, digits))
+        scored = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query")), digits).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
+        found = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+        found = stage(found, "nearest") if len(parts) > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def boost(depth: Column) -> Column:
     out = F.lit(0.0)
     for d, b in GRAPH_BOOST:

@@ -46,3 +46,18 @@ def test_symbols_without_ids_and_one_symbol_behind_two_keys(spark):
     new, rest = link.resolve_unique(rel, index, none)
     assert {(r.from_id, r.to_id) for r in new.collect()} == {("b", "1"), ("x.c", "2")}
     assert {(r.target, r.reason) for r in rest.collect()} == {("a", "typecheck_failed"), ("x.d", "ambiguous"), ("e", "typecheck_failed")}
+
+
+def test_edges_are_not_shuffled_once_relations_have_met_symbols(spark):
+    symbols, rel = homonyms(spark, 300)
+    edges, _ = link.link(rel, symbols)
+    assert edges.count() == 300 * 300
+    assert max(n for kind, n in counted(edges) if "Exchange" in kind) <= 2 * 300
+
+
+def test_edges_that_several_relations_give_are_one(spark):
+    symbols = spark.createDataFrame([("1", "Run", "a", "a.go", 1, 2), ("2", "Run", "b", "b.go", 1, 2)], SYMBOL)
+    rel = [("f", 0, "Run", "calls", "h", 0.5), ("f", 1, "*Run", "calls", "t", 0.7), ("f", 2, "a.Run", "calls", "u", 0.9), ("f", 3, "a.Run", "uses", "h", 0.4), ("g", 0, "Run", "calls", "h", 0.3)]
+    edges, _ = link.link(spark.createDataFrame(rel, RELATION), symbols)
+    got = sorted((r.from_id, r.to_id, r.kind, r.resolver, r.confidence) for r in edges.collect())
+    assert got == [("f", "1", "calls", "u", 0.9), ("f", "1", "uses", "h", 0.4), ("f", "2", "calls", "t", 0.7), ("g", "1", "calls", "h", 0.3), ("g", "2", "calls", "h", 0.3)]

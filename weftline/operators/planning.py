@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions.exprs import clamp, section_by_heuristic
 from weftline.operators.order import summed
 from weftline.operators.vector import assign
+from weftline.staging import stage
 
 # A hit symbol scores 1 and a fifth of its combined confidence, a hit file 0.35 at confidence 0.3; a node without score counts 0.45.
 SYMBOL_SCORE, SYMBOL_SHARE, FILE_SCORE, FILE_CONFIDENCE, UNSCORED = 1.0, 0.2, 0.35, 0.3, 0.45
@@ -98,7 +99,7 @@ def route_cascade(chunks: DataFrame, section_files: DataFrame, preferred: Sequen
         out = out.unionByName(picked.select("id", "section_id", F.lit("choice").alias("stage")))
         rest = rest.join(picked.select("id"), "id", "left_anti")
     if sections is not None:
-        near = assign(rest, sections).select("id", "section_id")
+        near = stage(assign(rest, sections).select("id", "section_id"), "near")  # it is read twice; cosines are computed once
         out = out.unionByName(near.withColumn("stage", F.lit("semantic")))
         rest = rest.join(near, "id", "left_anti")
     return out.unionByName(rest.orderBy("id").limit(most_new).select("id", F.lit(new_section).alias("section_id"), F.lit("new").alias("stage")))

@@ -40,3 +40,11 @@ def test_odd_vectors_and_ties(spark):
     none = v.limit(0)
     pivots = vector.choose_pivots(none)
     assert vector.top_k_by_pivots(vector.with_cells(none, pivots), pivots, q, 2).count() == 0
+
+
+def test_no_pair_of_a_cell_or_within_reach_is_a_join(spark):
+    v = spark.createDataFrame(clustered(60, 4), VECTORS)
+    q = v.limit(3).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    pivots = vector.choose_pivots(v, 4)
+    found = vector.top_k_by_pivots(vector.stage(vector.with_cells(v, pivots), "cells"), pivots, q, 2)
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()

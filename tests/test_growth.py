@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.test_graph import RELATION, SYMBOL
-from weftline.operators import link
+from weftline.operators import link, retrieval
 
 
 def counted(df):
@@ -61,3 +61,21 @@ def test_edges_that_several_relations_give_are_one(spark):
     edges, _ = link.link(spark.createDataFrame(rel, RELATION), symbols)
     got = sorted((r.from_id, r.to_id, r.kind, r.resolver, r.confidence) for r in edges.collect())
     assert got == [("f", "1", "calls", "u", 0.9), ("f", "1", "uses", "h", 0.4), ("f", "2", "calls", "t", 0.7), ("g", "1", "calls", "h", 0.3), ("g", "2", "calls", "h", 0.3)]
+
+
+def test_texts_are_searched_once_for_a_list_of_words(spark):
+    chunks = spark.range(200).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("Flow"), F.col("id") % 7).alias("name"), *(F.lit(x).alias(c) for c, x in (("description", ""), ("signature", ""), ("content", "the entry"), ("unit_type", "other"))))
+    rows = [(f"s{i}", 3 + i % 2, [" Flow1", "entry"] if i % 3 else ["entry", "flow1", ""]) for i in range(60)] + [("none", 2, None), ("odd", 2, ["no such"])]
+    found = retrieval.keyword_top_k_each(chunks, spark.createDataFrame(rows, "section string, top_k int, words array<string>"), 4)
+    got = sorted((r.section, r.pos, r.id) for r in found.collect())
+    first = sorted(str(i) for i in range(200) if i % 7 == 1)
+    want = [(f"s{i}", n + 1, first[n]) for i in range(60) for n in range(3 + i % 2)] + [(s, n + 1, str(n)) for s, n in (("none", 0), ("odd", 0))] + [(s, 2, "1") for s in ("none", "odd")]
+    assert got == sorted(want)
+
+
+def test_no_join_of_texts_and_sections(spark, monkeypatch):
+    lists = []
+    monkeypatch.setattr(retrieval, "blocks", lambda df, key: lists.append(df.count()) or [df])
+    chunks = spark.createDataFrame([("1", "a", "", "", "", "x")], "id string, name string, description string, signature string, content string, unit_type string")
+    sections = spark.createDataFrame([(f"s{i}", 1, ["a"]) for i in range(50)], "section string, top_k int, words array<string>")
+    assert retrieval.keyword_top_k_each(chunks, sections, 1).count() == 50 and lists == [1]

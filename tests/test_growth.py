@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.test_graph import RELATION, SYMBOL
+from weftline import catalog
 from weftline.operators import link, retrieval
 
 
@@ -79,3 +80,9 @@ def test_no_join_of_texts_and_sections(spark, monkeypatch):
     chunks = spark.createDataFrame([("1", "a", "", "", "", "x")], "id string, name string, description string, signature string, content string, unit_type string")
     sections = spark.createDataFrame([(f"s{i}", 1, ["a"]) for i in range(50)], "section string, top_k int, words array<string>")
     assert retrieval.keyword_top_k_each(chunks, sections, 1).count() == 50 and lists == [1]
+
+
+def test_no_text_passes_the_windows_of_a_list(spark):
+    plan = catalog.QUERIES["diversity_rerank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    between = plan[plan.index("Window") : plan.rindex("Window")]
+    assert "_rich#" in between and not any(f"{c}#" in between for c in ("text", "description", "content"))

@@ -87,3 +87,9 @@ def test_models_are_made_and_checked_by_the_table(spark):
     names = ("id", "title", F.lit(1).alias("level"), F.col("ord").alias("order"), F.lit(None).cast("string").alias("parent_id"), F.lit("").alias("content_md"), F.lit("active").alias("status"), F.array().cast("array<string>").alias("sources"), F.lit("h").alias("hash"))
     made = models.models_of(rows.select("doc", "ord", F.struct(*names).alias("section")))
     assert models.problems(made).count() == 0 and [s["id"] for s in json.loads(made.first().model)["sections"]] == ["overview", "key-features", "development"]
+
+
+def test_a_model_is_read_once_and_fields_are_taken_from_its_opened_objects(spark):
+    df = spark.createDataFrame([("m", "{}")], DOC)
+    plan = models.problems(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("parseJson") <= 1 and not any(f'["{k}"]' in plan for k in ("sections", "start_line", "meta"))

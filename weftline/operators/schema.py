@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 FAULT = "struct<path:string,rule:string>"
 NOTES = frozenset("$schema $id $comment $defs title description default examples".split())
 RULES = frozenset("type enum const required properties additionalProperties items minItems maxItems uniqueItems minLength maxLength pattern format minimum maximum exclusiveMinimum exclusiveMaximum $ref".split())
+ARRAY_RULES = frozenset("items minItems maxItems uniqueItems".split())
 #: Date and time with an offset, as JSON Schema's ``date-time`` asks for.
 DATE_TIME = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$"
 
@@ -24,47 +27,27 @@ def _with(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(F.array(value), f))
 
 
-def _kind(value: Column) -> Column:
-    """object, array, string, boolean, null or number."""
+def _is_kind(value: Column, name: str) -> Column:
+    """A VARIANT is of a plain kind: string, boolean, null or number."""
+    found = F.schema_of_variant(value)
+    return ~F.left(found, F.lit(4)).isin("STRI", "BOOL", "VOID", "OBJE", "ARRA") if name == "number" else found == {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[name]
 
-    def named(found: Column) -> Column:
-        kind = F.when(found.startswith("OBJECT"), "object").when(found.startswith("ARRAY"), "array")
-        return F.array(kind.when(found == "STRING", "string").when(found == "BOOLEAN", "boolean").when(found == "VOID", "null").when(found.isNotNull(), "number"))
 
-    return F.element_at(_with(F.schema_of_variant(value), named), 1)
-
-
-def _is_type(kind: Column, number: Column, names: str | list[str]) -> Column:
-    names = [names] if isinstance(names, str) else names
-    whole = (kind == "number") & (number == F.floor(number))
-    tests = [whole if n == "integer" else kind == n for n in names]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
-
-
-def _is_value(value: Column, kind: Column, number: Column, allowed: list) -> Column:
+def _is_value(value: Column, allowed: list) -> Column:
     """Equal to one of strings, numbers, booleans and null."""
     out = F.lit(False)
+    if texts := [a for a in allowed if isinstance(a, str)]:
+        out = F.try_variant_get(value, "$", "string").isin(texts) & _is_kind(value, "string")
     for a in allowed:
         if isinstance(a, bool) or a is None:
             out = out | (F.to_json(value) == json.dumps(a))
         elif isinstance(a, (int, float)):
-            out = out | ((kind == "number") & (number == float(a)))
+            out = out | (_is_kind(value, "number") & (F.try_variant_get(value, "$", "double") == float(a)))
         elif not isinstance(a, str):
             raise ValueError(f"enum and const take plain values, not {a!r}")
-    if texts := [a for a in allowed if isinstance(a, str)]:
-        out = out | ((kind == "string") & F.try_variant_get(value, "$", "string").isin(texts))
     return out
 
 
-def _path_key(key: str) -> str:
-    if '"' in key or "\\" in key:
-        raise ValueError(f"a property's name may hold no quote or backslash: {key}")
-    return f'["{key}"]'
-
-
 def compile_schema(schema: dict) -> Callable[[Column], Column]:
     """From a VARIANT column to the array of (path, rule) that it breaks; an empty array means a valid document.
 
@@ -89,15 +72,27 @@ def compile_schema(schema: dict) -> Callable[[Column], Column]:
 
     none = F.array().cast(f"array<{FAULT}>")
 
-    def faults(value: Column, path: Column, node: dict, seen: tuple[str, ...]) -> Column:
-        """Of a VARIANT; none, if it isn't there: then its kind is null, and so is each test."""
+    def joined(own: list[Column], deeper: list[Column]) -> Column:
+        here = [F.array_compact(F.array(*own)).cast(f"array<{FAULT}>")] if own else []
+        return F.flatten(F.array(none, *here, *(F.coalesce(d.cast(f"array<{FAULT}>"), none) for d in deeper)))
+
+    def faults(value: Column, path: Column, node: dict, seen: tuple[str, ...]) -> tuple[list[Column], list[Column]]:
+        """Of a VARIANT that is cheap to name: faults or nulls, and arrays of faults or nulls. A value that isn't there has none: its tests are null.
+
+        Only what may be an object or an array is opened, once; its fields and items are taken from there. A plain value's
+        rules look at the value first and at its kind, which costs more, where they would be broken.
+        """
         node, seen = resolve(node, seen)
         if unknown := node.keys() - RULES - NOTES:
             raise ValueError(f"unknown keywords: {sorted(unknown)}")
-        return _with(F.struct(value.alias("v"), _kind(value).alias("kind")), lambda x: judged(x["v"], x["kind"], path, node, seen))
-
-    def judged(value: Column, kind: Column, path: Column, node: dict, seen: tuple[str, ...]) -> Column:
-        text, number, items = (F.try_variant_get(value, "$", t) for t in ("string", "double", "array<variant>"))
+        types = [node["type"]] if isinstance(node.get("type"), str) else node.get("type", [])
+        if not node.get("additionalProperties", True) or node.keys() & {"properties", "required"} or "object" in types or node.keys() & ARRAY_RULES or "array" in types:
+            opened = F.struct(value.alias("v"), F.try_variant_get(value, "$", "map<string,variant>").alias("fields"), F.try_variant_get(value, "$", "array<variant>").alias("items"))
+            return [], [_with(opened, lambda x: joined(*judged(x["v"], x["fields"], x["items"], path, node, types, seen)))]
+        return judged(value, None, None, path, node, types, seen)
+
+    def judged(value: Column, fields: Column | None, items: Column | None, path: Column, node: dict, types: list[str], seen: tuple[str, ...]) -> tuple[list[Column], list[Column]]:
+        text, number = (F.try_variant_get(value, "$", t) for t in ("string", "double"))
         own: list[Column] = []
         deeper: list[Column] = []
 
@@ -107,62 +102,65 @@ def compile_schema(schema: dict) -> Callable[[Column], Column]:
         def named(rule: str, keys: Column) -> Column:
             return F.transform(keys, lambda k: F.struct(path.alias("path"), F.concat(F.lit(f"{rule}:"), k).alias("rule")))
 
-        if "type" in node:
-            broken("type", ~_is_type(kind, number, node["type"]))
+        def is_type(name: str) -> Column:
+            if name in ("object", "array"):
+                return (fields if name == "object" else items).isNotNull()
+            if name == "integer":
+                return (F.schema_of_variant(value) == "BIGINT") | ((number == F.floor(number)) & _is_kind(value, "number"))
+            return _is_kind(value, name)
+
+        if types:
+            other = ~reduce(or_, map(is_type, types))
+            broken("type", other if fields is None else other & value.isNotNull())
         if "enum" in node:
-            broken("enum", ~_is_value(value, kind, number, node["enum"]))
+            broken("enum", ~_is_value(value, node["enum"]))
         if "const" in node:
-            broken("const", ~_is_value(value, kind, number, [node["const"]]))
+            broken("const", ~_is_value(value, [node["const"]]))
         for rule, test in (("minLength", lambda x: F.length(text) < x), ("maxLength", lambda x: F.length(text) > x), ("pattern", lambda x: ~text.rlike(x))):
             if rule in node:
-                broken(rule, (kind == "string") & test(node[rule]))
+                broken(rule, test(node[rule]) & _is_kind(value, "string"))
         if "format" in node:
             if node["format"] != "date-time":
                 raise ValueError(f"unknown format: {node['format']}")
-            broken("format", (kind == "string") & ~text.rlike(DATE_TIME))
+            broken("format", ~text.rlike(DATE_TIME) & _is_kind(value, "string"))
         for rule, test in (("minimum", lambda x: number < x), ("maximum", lambda x: number > x), ("exclusiveMinimum", lambda x: number <= x), ("exclusiveMaximum", lambda x: number >= x)):
             if rule in node:
-                broken(rule, (kind == "number") & test(node[rule]))
+                broken(rule, test(node[rule]) & _is_kind(value, "number"))
         for rule, test in (("minItems", lambda x: F.size(items) < x), ("maxItems", lambda x: F.size(items) > x)):
             if rule in node:
-                broken(rule, (kind == "array") & test(node[rule]))
+                broken(rule, items.isNotNull() & test(node[rule]))
         if node.get("uniqueItems"):
             texts = F.transform(items, lambda x: F.to_json(x))
-            broken("uniqueItems", (kind == "array") & (F.size(F.array_distinct(texts)) < F.size(texts)))
+            broken("uniqueItems", items.isNotNull() & (F.size(F.array_distinct(texts)) < F.size(texts)))
         if "items" in node:
-            each = F.transform(items, lambda x, i: faults(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), node["items"], seen))
-            deeper.append(F.when(kind == "array", F.flatten(each)))
+            deeper.append(F.flatten(F.transform(items, lambda x, i: joined(*faults(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), node["items"], seen)))))
         properties, needed, extra = node.get("properties", {}), node.get("required", ()), node.get("additionalProperties", True)
         if not isinstance(extra, bool):
             raise ValueError("additionalProperties is true or false")
-        if needed or not extra:
-            texts_of = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
-
-            def by_keys(keys: Column) -> Column:
-                found = [named("required", F.array_except(texts_of(needed), keys))] if needed else []
-                if not extra:
-                    found.append(named("additionalProperties", F.array_sort(F.array_except(keys, texts_of(properties)))))
-                return F.flatten(F.array(*found))
-
-            deeper.append(F.when(kind == "object", _with(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), by_keys)))
-        if properties:
-            of_each = [faults(F.try_variant_get(value, "$" + _path_key(key), "variant"), F.concat(path, F.lit(f".{key}")), child, seen) for key, child in properties.items()]
-            deeper.append(F.when(kind == "object", F.flatten(F.array(*of_each))))
-        here = F.array_compact(F.array(*own)).cast(f"array<{FAULT}>") if own else none
-        return F.flatten(F.array(here, *(F.coalesce(d.cast(f"array<{FAULT}>"), none) for d in deeper))) if deeper else here
+        texts_of = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+        if needed:
+            deeper.append(named("required", F.array_except(texts_of(needed), F.map_keys(fields))))
+        if not extra:
+            deeper.append(named("additionalProperties", F.array_sort(F.array_except(F.map_keys(fields), texts_of(properties)))))
+        for key, child in properties.items():
+            there, below = faults(fields[F.lit(key)], F.concat(path, F.lit(f".{key}")), child, seen)
+            own += there
+            deeper += below
+        return own, deeper
 
-    return lambda document: faults(document, F.lit("$"), root, ())
+    return lambda document: joined(*faults(document, F.lit("$"), root, ()))
 
 
-def violations(documents: DataFrame, schema: dict, text: str = "model") -> DataFrame:
+def violations(documents: DataFrame, schema: dict, text: str = "model", more: Callable[[Column], Column] | None = None) -> DataFrame:
     """(doc, path, rule): every rule of ``schema`` that each document (doc, and its JSON in ``text``) breaks.
 
-    A null, blank or broken text, one with a repeated key in an object, or one larger than a VARIANT holds, breaks the rule ``json``.
+    more: from the parsed document to an array of (path, rule) that it breaks besides. A null, blank or broken text, one with a repeated key in an object, or one larger than a VARIANT holds, breaks the rule ``json``.
     """
     checks = compile_schema(schema)
+    judged = F.flatten(F.array(checks(F.col("document")), more(F.col("document")))) if more else checks(F.col("document"))
     parsed = documents.select("doc", F.try_parse_json(F.col(text)).alias("document"))
     broken = F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("rule"))).cast(f"array<{FAULT}>")
-    found = parsed.select("doc", F.explode(F.when(F.col("document").isNull(), broken).otherwise(checks(F.col("document")))).alias("fault"))
+    found = parsed.select("doc", F.explode(F.when(F.col("document").isNull(), broken).otherwise(judged)).alias("fault"))
     return found.select("doc", "fault.path", "fault.rule")
 
 

@@ -12,7 +12,7 @@ import time
 from collections import Counter
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import schema
@@ -77,15 +77,21 @@ def problems(documents: DataFrame) -> DataFrame:
     Beside the rules of ``MODEL_SCHEMA``: a model without sections (``sections``), each id that several sections have (``repeated:id``),
     and each required section that is missing (``missing:id``).
     """
-    document = F.try_parse_json("model")
-    ids = F.filter(F.transform(F.try_variant_get("document", "$.sections", "array<variant>"), lambda s: F.try_variant_get(s, "$.id", "string")), lambda i: i.isNotNull())
-    needed = F.try_variant_get("document", "$.policies.required_section_ids", "array<string>")
-    repeated = F.filter(F.array_distinct("ids"), lambda i: F.size(F.filter("ids", lambda j: i == j)) > 1)
-    named = lambda word, found: F.transform(found, lambda i: F.concat(F.lit(f"{word}:"), i))
     none = F.array().cast("array<string>")
-    rules = F.concat(*(F.coalesce(r, none) for r in (F.when(F.size("ids") < 1, F.array(F.lit("sections"))), named("repeated", repeated), named("missing", F.array_except("needed", "ids")))))
-    whole = documents.select("doc", document.alias("document")).select("doc", F.coalesce(ids, none).alias("ids"), needed.alias("needed"), F.col("document").isNotNull().alias("read"))
-    return schema.violations(documents, MODEL_SCHEMA).unionByName(whole.filter("read").select("doc", F.lit("$.sections").alias("path"), F.explode(rules).alias("rule")))
+    named = lambda word, found: F.transform(found, lambda i: F.concat(F.lit(f"{word}:"), i))
+
+    def rules(x: Column) -> Column:
+        ids, needed = x["ids"], x["needed"]
+        repeated = F.filter(F.array_distinct(ids), lambda i: F.size(F.filter(ids, lambda j: i == j)) > 1)
+        each = (F.when(F.size(ids) < 1, F.array(F.lit("sections"))), named("repeated", repeated), named("missing", F.array_except(needed, ids)))
+        return F.transform(F.flatten(F.array(*(F.coalesce(r, none) for r in each))), lambda r: F.struct(F.lit("$.sections").alias("path"), r.alias("rule")))
+
+    def more(document: Column) -> Column:
+        ids = F.filter(F.transform(F.try_variant_get(document, "$.sections", "array<variant>"), lambda s: F.try_variant_get(s, "$.id", "string")), lambda i: i.isNotNull())
+        needed = F.try_variant_get(document, "$.policies.required_section_ids", "array<string>")
+        return F.flatten(F.transform(F.array(F.struct(F.coalesce(ids, none).alias("ids"), needed.alias("needed"))), rules))
+
+    return schema.violations(documents, MODEL_SCHEMA, more=more)
 
 
 def models_of(sections: DataFrame) -> DataFrame:

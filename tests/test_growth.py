@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.test_graph import RELATION, SYMBOL
 from weftline import catalog
-from weftline.operators import link, retrieval
+from weftline.operators import graph, link, retrieval, skew
 
 
 def counted(df):
@@ -86,3 +86,13 @@ def test_no_text_passes_the_windows_of_a_list(spark):
     plan = catalog.QUERIES["diversity_rerank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     between = plan[plan.index("Window") : plan.rindex("Window")]
     assert "_rich#" in between and not any(f"{c}#" in between for c in ("text", "description", "content"))
+
+
+def test_edges_are_grouped_by_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    for n in (1_000, 3_000):
+        edges = spark.range(n).select(F.concat(F.lit("a"), "id").alias("from_id"), F.concat(F.lit("b"), "id").alias("to_id"), F.lit("calls").alias("kind"), F.lit(0.5).alias("confidence"))
+        both = graph._both_ways(edges)
+        assert both.rdd.getNumPartitions() == 2 * n / 100 and both.count() == 2 * n
+    lines = catalog.Views(spark, "/root/testdata/sf0.001")
+    assert lines.edges.rdd.getNumPartitions() >= lines.table("lineitem").count() / 100

@@ -58,7 +58,8 @@ def impact(symbols: DataFrame, edges: DataFrame, changes: DataFrame) -> DataFram
 def _both_ways(edges: DataFrame) -> DataFrame:
     score = edge_score(F.col("confidence"))
     ends = F.array(F.struct(F.col("from_id").alias("u"), F.col("to_id").alias("v")), F.struct(F.col("to_id").alias("u"), F.col("from_id").alias("v")))
-    return edges.select(F.explode(ends).alias("e"), score.alias("w")).select("e.u", "e.v", "w").groupBy("u", "v").agg(F.max("w").alias("w"))
+    both = edges.select(F.explode(ends).alias("e"), score.alias("w")).select("e.u", "e.v", "w")
+    return skew.spread(both, 2 * edges.count(), "u", "v").groupBy("u", "v").agg(F.max("w").alias("w"))
 
 
 def expand(edges: DataFrame, start: DataFrame, hops: int = 2, least: float = 0.0, kinds: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -68,10 +69,11 @@ def expand(edges: DataFrame, start: DataFrame, hops: int = 2, least: float = 0.0
     node's score is the largest product of edge scores that reaches it, and each node is expanded once.
 
     Edges lead both ways, so what a round finds is new unless it stands in one of the last two rounds: a round joins its frontier with
-    the edges, compares with these two, and leaves all earlier nodes alone. A hub's edges are shared by many tasks.
+    the edges, compares with these two, and leaves all earlier nodes alone. A hub's edges are shared by many tasks. Edges are staged first and
+    counted, since their number says how many tasks share them.
     """
     keep = stage if hops > 1 else lambda df, _: df
-    allowed = edges.filter(edge_allowed(F.col("confidence"), F.col("kind"), least, kinds))
+    allowed = stage(edges.filter(edge_allowed(F.col("confidence"), F.col("kind"), least, kinds)), "edges")
     near = keep(_both_ways(allowed), "near")
     hubs = skew.hot_keys(near, "u")
     last = keep(start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("score")), "start")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.test_graph import RELATION, SYMBOL
 from weftline import catalog
 from weftline.operators import graph, link, retrieval, skew
+from weftline.sources.store import Store
 
 
 def counted(df):
@@ -96,3 +97,11 @@ def test_edges_are_grouped_by_more_tasks_as_they_grow(spark, monkeypatch):
         assert both.rdd.getNumPartitions() == 2 * n / 100 and both.count() == 2 * n
     lines = catalog.Views(spark, "/root/testdata/sf0.001")
     assert lines.edges.rdd.getNumPartitions() >= lines.table("lineitem").count() / 100
+
+
+def test_pairs_of_an_index_are_told_apart_by_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    for n in (1_000, 3_000):
+        edges = spark.range(n).select(F.concat(F.lit("a"), "id").alias("from_id"), F.concat(F.lit("b"), F.col("id") % 7).alias("to_id"))
+        pairs = Store._pairs("edges", "targets", edges.unionByName(edges), "from_id", whole=True)
+        assert pairs.rdd.getNumPartitions() == 2 * n / 100 and pairs.count() == n

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from weftline.operators.chunk import delete, snapshot
 from weftline.operators.link import candidate_keys
+from weftline.operators.skew import spread
 from weftline.operators.typed import receiver_type
 from weftline.operators.vector import top_k
 from weftline.sources import files
@@ -143,12 +144,13 @@ class Store:
         return [str(r[0]) for r in keys.select(bucket_of(F.col(keys.columns[0]), n)).distinct().collect()]
 
     @staticmethod
-    def _pairs(name: str, index: str, df: DataFrame, key: str) -> DataFrame | None:
-        """(k, id) of an index over rows, or None where these lack a column."""
+    def _pairs(name: str, index: str, df: DataFrame, key: str, whole: bool = False) -> DataFrame | None:
+        """(k, id) of an index over rows, or None where these lack a column. whole: rows are a whole table, whose pairs are counted and dealt to tasks of bounded rows."""
         needs, values = INDEXES[name][index]
         if not set(needs) <= set(df.columns):
             return None
-        return df.select(F.explode(values()).alias("k"), F.col(key).alias("id")).filter("k IS NOT NULL AND k <> ''").distinct()
+        pairs = df.select(F.explode(values()).alias("k"), F.col(key).alias("id")).filter("k IS NOT NULL AND k <> ''")
+        return (spread(pairs, pairs.count(), "k", "id") if whole else pairs).distinct()
 
     # Tables
 
@@ -164,7 +166,7 @@ class Store:
             new[name] = self._save_buckets(name, df, key)
             rows = self._read(new[name])
             for index in INDEXES.get(name, {}):
-                if (pairs := self._pairs(name, index, rows, key)) is not None:
+                if (pairs := self._pairs(name, index, rows, key, whole=True)) is not None:
                     new[f"{name}.{index}"] = self._save_buckets(f"{name}.{index}", pairs, "k")
         self._point(new)
         self._forget()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.test_graph import RELATION, SYMBOL
 from weftline import catalog
-from weftline.operators import graph, link, retrieval, skew
+from weftline.operators import docmodel, graph, link, retrieval, skew
 from weftline.sources.store import Store
 
 
@@ -105,3 +105,10 @@ def test_pairs_of_an_index_are_told_apart_by_more_tasks_as_they_grow(spark, monk
         edges = spark.range(n).select(F.concat(F.lit("a"), "id").alias("from_id"), F.concat(F.lit("b"), F.col("id") % 7).alias("to_id"))
         pairs = Store._pairs("edges", "targets", edges.unionByName(edges), "from_id", whole=True)
         assert pairs.rdd.getNumPartitions() == 2 * n / 100 and pairs.count() == n
+
+
+def test_documents_are_split_once_for_a_model(spark):
+    docs = spark.createDataFrame([("d", "# A\nb\n"), ("empty", ""), ("null", None)], "doc string, content string")
+    made = docmodel.build_model(docs)
+    splits = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("posexplode(")
+    assert splits(made) == 1 and splits(docmodel.normalize(made)) == 0 and splits(docmodel.violations(made)) == 0

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.exprs import blank, clamp, section_hash, slug, summary, title_of, trim_ws
 from weftline.operators.planning import CANONICAL
+from weftline.staging import stage
 
 SOURCE = "struct<symbol_id:string,file_path:string,start_line:int,end_line:int,relation:string,confidence:double>"
 STATUSES = ("active", "deprecated", "archived")
@@ -55,7 +56,7 @@ def build_model(docs: DataFrame, fence_aware: bool = False) -> DataFrame:
         "doc", "id", "title", F.greatest("level", F.lit(1)).alias("level"), "ord", F.lit(None).cast("string").alias("parent_id"), trim_ws(F.col("content")).alias("content_md"),
         summary(F.col("content")).alias("summary"), F.lit("active").alias("status"), none.alias("sources"), section_hash(F.col("title"), F.col("content")).alias("hash"),
     )
-    empty = docs.select("doc").distinct().join(s.select("doc").distinct(), "doc", "left_anti")
+    empty = docs.groupBy("doc").agg(F.max(F.coalesce("content", F.lit("")) != "").alias("_some")).filter("NOT _some")
     stub = empty.select("doc", *(F.lit(v).cast(t).alias(c) for c, v, t in (("id", "overview", "string"), ("title", "Overview", "string"), ("level", 1, "int"), ("ord", 0, "int"), ("parent_id", None, "string"), ("content_md", "# Overview\n", "string"), ("summary", "", "string"), ("status", "active", "string"))), none.alias("sources"), F.lit("sha256:empty").alias("hash"))
     return s.unionByName(stub)
 
@@ -71,8 +72,9 @@ def reindex(sections: DataFrame) -> DataFrame:
 
 
 def normalize(sections: DataFrame) -> DataFrame:
-    """Adds missing canonical sections, orders, and repairs levels, titles, headings, summaries and hashes."""
+    """Adds missing canonical sections, orders, and repairs levels, titles, headings, summaries and hashes. Sections are staged, so their texts are read once, whoever asks for ids."""
     spark = sections.sparkSession
+    sections = stage(sections, "sections")
     wanted = sections.select("doc").distinct().crossJoin(F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(CANONICAL)], "id string, pos int")))
     end = sections.groupBy("doc").agg(F.max("ord").alias("last"))
     missing = wanted.join(sections.select("doc", "id"), ["doc", "id"], "left_anti").join(end, "doc").select("doc", "id", title_of(F.col("id")).alias("title"), F.lit(1).alias("level"), (F.col("last") + 1 + F.col("pos")).alias("ord"), F.lit("active").alias("status"), F.array().cast(f"array<{SOURCE}>").alias("sources"))
@@ -89,6 +91,7 @@ def normalize(sections: DataFrame) -> DataFrame:
 def violations(sections: DataFrame, required: Sequence[str] = CANONICAL) -> DataFrame:
     """(doc, problem, id): blank and repeated ids, required sections that are missing, unknown status or source relation, confidences outside 0 to 1."""
     row = lambda df, problem: df.select("doc", F.lit(problem).alias("problem"), "id")
+    sections = stage(sections.select("doc", "id", "status", "sources"), "sections")
     repeated = sections.groupBy("doc", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     spark = sections.sparkSession
     wanted = sections.select("doc").distinct().crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in required], "id string")))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.test_graph import RELATION, SYMBOL
 from weftline import catalog
-from weftline.operators import docmodel, graph, link, retrieval, skew
+from weftline.operators import capability, docmodel, graph, link, retrieval, skew
 from weftline.sources.store import Store
 
 
@@ -112,3 +112,21 @@ def test_documents_are_split_once_for_a_model(spark):
     made = docmodel.build_model(docs)
     splits = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("posexplode(")
     assert splits(made) == 1 and splits(docmodel.normalize(made)) == 0 and splits(docmodel.violations(made)) == 0
+
+
+def test_rows_of_a_draft_are_cut_before_groups_meet(spark):
+    rows = catalog.Views(spark, "/root/testdata/sf0.001").chunks.withColumnRenamed("file_path", "section")
+    for section in ("overview", "notes"):
+        plan = capability.draft_claims(rows, section, ("section",))._jdf.queryExecution().executedPlan().toString().splitlines()
+        scan = next(i for i, line in enumerate(plan) if "FileScan" in line)
+        met = max(i for i, line in enumerate(plan[:scan]) if "Exchange hashpartitioning" in line and "section#" in line)
+        assert any("WindowGroupLimit" in line and "Partial" in line for line in plan[met:scan])
+
+
+def test_the_first_semantic_rows_are_those_of_the_whole_group(spark):
+    kinds = ("file_module", "symbol_segment", "function", "struct")
+    of = F.array(*map(F.lit, kinds))
+    rows = spark.range(400).select(F.concat(F.lit("s"), F.col("id") % 13).alias("section"), F.format_string("%03d", 397 * F.col("id") % 400).alias("id"), F.lit("n").alias("name"), F.element_at(of, F.when(F.col("id") % 13 < 3, F.col("id") % 2 + 1).otherwise(F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int")).alias("unit_type"))
+    for by in (("section",), ()):
+        told = lambda df: sorted(map(tuple, df.select("section", "id", "unit_type").collect()))
+        assert told(retrieval.first_semantic(rows, 5, by)) == told(retrieval.first_by_name(retrieval.semantic_only(rows, by), 5, by))

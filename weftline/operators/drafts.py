@@ -49,7 +49,7 @@ def drafts_each(claims: DataFrame, sections: DataFrame) -> DataFrame:
 def listings_each(evidence: DataFrame, sections: DataFrame) -> DataFrame:
     """(section, listing): what a section says without a draft; sections: section, section_id, title, goal."""
     features = capability.key_features_markdown(evidence.filter(_kind("key-features")), FEATURES, BY)
-    first = retrieval.first_by_name(retrieval.semantic_only(evidence.filter(~_kind("key-features")), BY), LISTED, BY)
+    first = retrieval.first_semantic(evidence.filter(~_kind("key-features")), LISTED, BY)
     text = exprs.paragraph(exprs.claim_text(F.col("name"), F.col("package"), F.col("description")))
     line = F.concat(F.lit("- **"), F.col("name"), F.lit("**: "), text, F.lit("\n"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("id", "name", line.alias("line")))), lambda x: x["line"])

@@ -130,3 +130,14 @@ def test_the_first_semantic_rows_are_those_of_the_whole_group(spark):
     for by in (("section",), ()):
         told = lambda df: sorted(map(tuple, df.select("section", "id", "unit_type").collect()))
         assert told(retrieval.first_semantic(rows, 5, by)) == told(retrieval.first_by_name(retrieval.semantic_only(rows, by), 5, by))
+
+
+def test_pairs_of_nodes_are_shuffled_once_for_both_ways(spark):
+    rows = [("a", "b", 0.5), ("b", "a", 0.9), ("c", "c", 0.7), ("c", "a", 0.2), (None, "a", 0.3), ("a", None, 0.6)]
+    edges = spark.createDataFrame(rows, "from_id string, to_id string, confidence double")
+    both = graph._both_ways(edges)
+    assert sorted((str(r.u), str(r.v)) for r in both.collect()) == sorted([("a", "b"), ("b", "a"), ("c", "c"), ("c", "a"), ("a", "c"), ("None", "a"), ("a", "None")])
+    w = {(r.u, r.v): r.w for r in both.collect()}
+    assert w["a", "b"] == w["b", "a"] > w["c", "c"] and w[None, "a"] == w["a", None] > w["a", "c"] == w["c", "a"]
+    plan = both._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("explode(") < plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "Exchange")

@@ -56,10 +56,13 @@ def impact(symbols: DataFrame, edges: DataFrame, changes: DataFrame) -> DataFram
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    score = edge_score(F.col("confidence"))
-    ends = F.array(F.struct(F.col("from_id").alias("u"), F.col("to_id").alias("v")), F.struct(F.col("to_id").alias("u"), F.col("from_id").alias("v")))
-    both = edges.select(F.explode(ends).alias("e"), score.alias("w")).select("e.u", "e.v", "w")
-    return skew.spread(both, 2 * edges.count(), "u", "v").groupBy("u", "v").agg(F.max("w").alias("w"))
+    """(u, v, w) for both directions of each pair of nodes. A pair's score is the same either way, so pairs are shuffled and grouped once, whatever the direction."""
+    ahead = F.coalesce(F.col("from_id") <= F.col("to_id"), F.col("from_id").isNull())
+    a, b = F.when(ahead, F.col("from_id")).otherwise(F.col("to_id")), F.when(ahead, F.col("to_id")).otherwise(F.col("from_id"))
+    pairs = edges.select(a.alias("a"), b.alias("b"), edge_score(F.col("confidence")).alias("w"))
+    pairs = skew.spread(pairs, 2 * edges.count(), "a", "b").groupBy("a", "b").agg(F.max("w").alias("w"))
+    ends = F.array_distinct(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    return pairs.select(F.explode(ends).alias("e"), "w").select("e.u", "e.v", "w")
 
 
 def expand(edges: DataFrame, start: DataFrame, hops: int = 2, least: float = 0.0, kinds: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

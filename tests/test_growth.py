@@ -141,3 +141,13 @@ def test_pairs_of_nodes_are_shuffled_once_for_both_ways(spark):
     assert w["a", "b"] == w["b", "a"] > w["c", "c"] and w[None, "a"] == w["a", None] > w["a", "c"] == w["c", "a"]
     plan = both._jdf.queryExecution().sparkPlan().toString()
     assert plan.index("explode(") < plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "Exchange")
+
+
+def test_lines_are_dealt_with_numbers_of_their_ends(spark):
+    lines = catalog.Views(spark, "/root/testdata/sf0.001")
+    for edges in (lines.edges, lines.doc_edges):
+        plan = edges.dropDuplicates(["from_id", "to_id", "kind"])._jdf.queryExecution().executedPlan().toString()
+        deals = [i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line]
+        assert len(deals) == 1 and not any("AS from_id" in line for line in plan.splitlines()[deals[0] :])
+    want = {(f"p{r.l_partkey}", f"s{r.l_suppkey}") for r in lines.table("lineitem").select("l_partkey", "l_suppkey").collect()}
+    assert {(r.from_id, r.to_id) for r in lines.edges.collect()} == want

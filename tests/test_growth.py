@@ -151,3 +151,16 @@ def test_lines_are_dealt_with_numbers_of_their_ends(spark):
         assert len(deals) == 1 and not any("AS from_id" in line for line in plan.splitlines()[deals[0] :])
     want = {(f"p{r.l_partkey}", f"s{r.l_suppkey}") for r in lines.table("lineitem").select("l_partkey", "l_suppkey").collect()}
     assert {(r.from_id, r.to_id) for r in lines.edges.collect()} == want
+
+
+def test_files_of_a_bucket_have_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    store = Store(spark, f"file://{tmp_path}/s", buckets=2)
+    edges = spark.range(1_000).select(F.lit("a").alias("from_id"), F.concat(F.lit("b"), "id").alias("to_id"), F.lit("calls").alias("kind"))
+    store.save(edges=edges)
+    for table in ("edges", "edges.targets"):
+        saved = store.load(table)
+        rows = [r["count"] for r in saved.groupBy(F.input_file_name()).count().collect()]
+        assert max(rows) <= 100 and sum(rows) == 1_000
+    assert store.load("edges").exceptAll(edges).count() == 0
+    assert store.find("edges", "targets", spark.createDataFrame([("b7",)], "k string")).count() == 1_000  # the rows of from_id a

@@ -11,7 +11,8 @@ ones; if another writer has changed one of them meanwhile, it starts again from
 buckets of its keys only. Indexes (``INDEXES``) are tables (k, id) in buckets by k that say which keys have rows
 with a value, such as a file's symbols; saves and merges keep them, and ``find`` goes through one. Buckets are sorted by file and key,
 with Bloom filters on both, so a lookup skips row groups. Rows are written through Spark's rebalancing, which splits
-a bucket that many rows fall in, as a name that a third of all relations use.
+a bucket that many rows fall in, as a name that a third of all relations use. A file has at most TASK_ROWS rows: Spark counts
+4 MB for opening one, so a task's files have bounded rows, however well these compress.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators import skew
 from weftline.operators.chunk import delete, snapshot
 from weftline.operators.link import candidate_keys
-from weftline.operators.skew import spread
 from weftline.operators.typed import receiver_type
 from weftline.operators.vector import top_k
 from weftline.sources import files
@@ -119,7 +120,7 @@ class Store:
         folder = f"{name}-{uuid.uuid4().hex}"
         order = [c for c in (_BUCKET, "filepath", "file_path", key) if c == _BUCKET or c in df.columns]
         rows = df.withColumn(_BUCKET, bucket_of(F.col(key), n)).hint("rebalance", _BUCKET).sortWithinPartitions(*order)
-        writer = rows.write.partitionBy(_BUCKET)
+        writer = rows.write.partitionBy(_BUCKET).option("maxRecordsPerFile", skew.TASK_ROWS)
         for c in order[1:]:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(f"{self.root}/{folder}")
@@ -150,7 +151,7 @@ class Store:
         if not set(needs) <= set(df.columns):
             return None
         pairs = df.select(F.explode(values()).alias("k"), F.col(key).alias("id")).filter("k IS NOT NULL AND k <> ''")
-        return (spread(pairs, pairs.count(), "k", "id") if whole else pairs).distinct()
+        return (skew.spread(pairs, pairs.count(), "k", "id") if whole else pairs).distinct()
 
     # Tables
 

@@ -164,3 +164,15 @@ def test_files_of_a_bucket_have_bounded_rows(spark, tmp_path, monkeypatch):
         assert max(rows) <= 100 and sum(rows) == 1_000
     assert store.load("edges").exceptAll(edges).count() == 0
     assert store.find("edges", "targets", spark.createDataFrame([("b7",)], "k string")).count() == 1_000  # the rows of from_id a
+
+
+def test_edges_of_a_name_are_written_by_many_tasks_in_little_space(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(skew, "LEAST_LISTED", 512, raising=False)
+    symbols, rel = homonyms(spark, 3_000)
+    edges, _ = link.link(rel.filter("ord = 0 AND substr(from_id, 2) < 200"), symbols)
+    edges.write.parquet(f"{tmp_path}/edges")
+    files = list(tmp_path.glob("edges/*.parquet"))
+    written = spark.read.parquet(f"{tmp_path}/edges")
+    rows = written.count()
+    assert rows == written.distinct().count() == 3_000 * rel.filter("substr(from_id, 2) < 200").count()
+    assert len(files) > 1 and sum(f.stat().st_size for f in files) < rows / 2
